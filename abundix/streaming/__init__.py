@@ -1,0 +1 @@
+"""Empty on purpose: every supported source is a bounded file or table, so there is no streaming operator."""
