@@ -12,6 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SHIFT = 8
 
@@ -164,25 +165,25 @@ def hypergeometric_upper(k: np.ndarray, n: np.ndarray, big_k: np.ndarray, big_n:
     return np.clip(tail, 0.0, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     p = t_two_sided(t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan))
     return pd.Series(p).astype(object).where(~np.isnan(p), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_upper_p(z: pd.Series) -> pd.Series:
     values = z.to_numpy(dtype=float, na_value=np.nan)
     p = normal_upper(values)
     return pd.Series(p).astype(object).where(~np.isnan(p), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeometric_upper_p(k: pd.Series, n: pd.Series, big_k: pd.Series, big_n: pd.Series) -> pd.Series:
     return pd.Series(hypergeometric_upper(k, n, big_k, big_n))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def inverse_trigamma(target: pd.Series) -> pd.Series:
     values = target.to_numpy(dtype=float, na_value=np.nan)
     good = values > 0

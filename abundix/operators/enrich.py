@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abundix.functions.special import hypergeometric_upper_p, t_two_sided_p
 from abundix.functions.text import pathway_label
@@ -137,7 +138,7 @@ def keyed_position(n: np.ndarray, key: np.ndarray, i: np.ndarray, rounds: int =
     return x.astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _draw(n: pd.Series, key: pd.Series, i: pd.Series) -> pd.Series:
     with np.errstate(over="ignore"):
         return pd.Series(keyed_position(n.to_numpy(), key.to_numpy().view(np.uint64), i.to_numpy()))

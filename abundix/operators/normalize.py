@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abundix.operators.ordered import grouped_median
 from abundix.session import cut_lineage
@@ -78,7 +79,7 @@ def sum_coded(column: str, levels: Sequence[str]) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _least_squares(xtx: pd.Series, xty: pd.Series) -> pd.Series:
     y = np.stack(xty.to_numpy())
     p = y.shape[1]

@@ -66,9 +66,6 @@ def remap_accession(spark, d):
 
 
 BEST_SQL = """select {level}, max(score) as score, arg_min(is_decoy, {{'s': -score, 'd': is_decoy}}) as is_decoy from {source} group by {level}"""
-Q_SQL = """select *, min(rate) over (order by score rows between unbounded preceding and current row) as q0 from (
-    select *, sum(is_decoy::int) over w / cast(sum((not is_decoy)::int) over w as double) as rate from {best}
-    window w as (order by score desc range between unbounded preceding and current row))"""
 QMIN_SQL = "select *, min(rate) over (order by score range between unbounded preceding and current row) as q_value from ({inner})"
 
 
@@ -206,8 +203,8 @@ def best_site_per_spectrum(spark, d):
 
 @query(
     "map_mod_sites",
-    """select gene, peptide, concat(gene, '-', r1, cast(at + 3 as varchar), lower(r1), r2, cast(at + 6 as varchar), lower(r2)) as site_id from (
-         select *, instr(sequence, bare) as at, substr(bare, 4, 1) as r1, substr(bare, 7, 1) as r2 from (
+    """select gene, peptide, concat(gene, '-', r1, cast(spot + 3 as varchar), lower(r1), r2, cast(spot + 6 as varchar), lower(r2)) as site_id from (
+         select *, instr(sequence, bare) as spot, substr(bare, 4, 1) as r1, substr(bare, 7, 1) as r2 from (
            select gene, sequence, substr(sequence, start, 9) as bare, concat('K.', substr(sequence, start, 4), '*', substr(sequence, start + 4, 3), '*',
              substr(sequence, start + 7, 2), '.R') as peptide from (
              select gene, sequence, 1 + (doc_id * 7) % (length(sequence) - 12) as start from (

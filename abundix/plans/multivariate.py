@@ -1 +1,168 @@
-"""Queries."""
+"""Queries on cross-products, components, clusters, distances and networks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from abundix.operators import aggregate, multivar, network, reshape
+from abundix.plans import views
+from abundix.plans.registry import prefixed, query, r6, rounded
+from abundix.plans.shaping import DENSE_CELLS_SQL, VARIANCE_SQL
+from abundix.plans.statistics import P_VIEWS, with_p
+from abundix.plans.views import SAMPLES, table, with_views
+
+POSITIONS = [str(i) for i in range(64)]
+MATRIX_SQL = """select vec_id as feature, generate_subscripts(embedding, 1) - 1 as sample, cast(unnest(embedding) as double) as value from embeddings"""
+
+
+def matrix(spark, d):
+    """Embeddings as a long table: feature = vector, sample = position."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    return rows.select(F.col("vec_id").alias("feature"), F.col("pos").cast("string").alias("sample"), F.col("value").cast("double").alias("value"))
+
+
+def packed(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+@query(
+    "gram_matrix",
+    with_views(
+        f"""select cast(x.sample as varchar) as a, cast(y.sample as varchar) as b, {r6('sum(x.c * y.c)')} as product from centred x
+            join centred y on x.feature = y.feature group by all""",
+        matrix=MATRIX_SQL, centred="select feature, sample, value - avg(value) over (partition by feature) as c from matrix",
+    ),
+)
+def gram_matrix(spark, d):
+    return rounded(multivar.gram_matrix(matrix(spark, d), POSITIONS), "product")
+
+
+@query("pca_scores")
+def pca_scores(spark, d):
+    return rounded(multivar.pca_scores(matrix(spark, d), POSITIONS, 2), "score", "share")
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, d):
+    return multivar.kmeans_clusters(packed(spark, d), [3, 4], restarts=3)
+
+
+@query(
+    "nearest_centroid",
+    with_views(
+        f"""select feature, cluster, {r6('distance')} as distance from (
+              select feature, cluster, distance, row_number() over (partition by feature order by distance, cluster) as rn from (
+                select m.feature, c.label::bigint as cluster, sum((m.value - c.value) * (m.value - c.value)) as distance from matrix m
+                join centres c on m.sample = c.sample group by all)) where rn = 1""",
+        matrix=MATRIX_SQL,
+        centres="select label, sample, avg(value) as value from matrix join embeddings on feature = vec_id group by all",
+    ),
+)
+def nearest_centroid(spark, d):
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "value"))
+    means = rows.groupBy("label", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    lines = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("line"))
+    centres = {row["label"]: [v["value"] for v in row["line"]] for row in lines.collect()}  # one row per label
+    found = multivar.nearest_centroid(packed(spark, d), [centres[label] for label in sorted(centres)])
+    return rounded(found, "distance")
+
+
+@query(
+    "targeted_by_cluster",
+    """select label, count(*) as size, 0::bigint as part, string_agg(v, '; ' order by v) as members from (
+         select distinct label, concat('V', cast(vec_id as varchar)) as v from embeddings where vec_id in (select doc_id from labels where quality = 1)) group by label""",
+)
+def targeted_by_cluster(spark, d):
+    listed = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    members = table(spark, d, "embeddings").select("vec_id", "label").join(listed, "vec_id", "left_semi")
+    return reshape.collapse_members(members.select("label", prefixed("V", "vec_id").alias("v")), "label", "v")
+
+
+@query(
+    "corr_distance",
+    with_views(
+        f"""select a, b, n, case when n >= 3 and va > 1e-9 and vb > 1e-9 then {r6('1 - r')} end as distance from (
+              select x.sample as a, y.sample as b, count(*) as n, corr(x.value, y.value) as r, var_pop(x.value) * count(*) as va, var_pop(y.value) * count(*) as vb
+              from dense x join dense y on x.feature = y.feature and x.k < y.k group by all)""",
+        "meas",
+        dense="select feature, sample, cast(substr(sample, 2) as int) as k, avg(value) as value from meas group by all",
+    ),
+)
+def corr_distance(spark, d):
+    """Between samples, over the features that both have."""
+    moments = multivar.pair_moments(views.meas(spark, d), SAMPLES)
+    return rounded(multivar.correlation_distance(moments), "distance")
+
+
+@query(
+    "euclid_distance",
+    with_views(
+        f"""select x.feature as a, y.feature as b, count(*) as n, {r6('sqrt(sum((x.value - y.value) * (x.value - y.value)))')} as distance
+            from picked x join picked y on x.sample = y.sample and x.feature < y.feature group by all""",
+        "meas_dense", dense=DENSE_CELLS_SQL, spread=VARIANCE_SQL,
+        picked="select * from dense where feature in (select feature from spread order by spread.variance desc, feature limit 30)",
+    ),
+)
+def euclid_distance(spark, d):
+    """Between the most variable features; their names, thirty at most, are the axis."""
+    rows = views.meas_dense(spark, d)
+    names = sorted(row["feature"] for row in aggregate.top_variable(rows, 30).collect())
+    picked = rows.where(F.col("feature").isin(names))
+    moments = multivar.pair_moments(picked, names, row="sample", column="feature")
+    return rounded(multivar.euclidean_distance(moments), "distance")
+
+
+# --- networks --------------------------------------------------------------------------------------------
+
+HITS_SQL = "select comparison as condition, feature from with_p where p < 0.2"
+SUBNET_SQL = """select h.condition, a, b from edges join hits h on a = h.feature join hits g on b = g.feature and g.condition = h.condition"""
+
+
+def hits(spark, d):
+    return with_p(spark, d).where("p < 0.2").select(F.col("comparison").alias("condition"), "feature")
+
+
+@query("signif_subnetwork", with_views("select condition, a, b from subnet", "meas", "edges", **P_VIEWS, hits=HITS_SQL, subnet=SUBNET_SQL))
+def signif_subnetwork(spark, d):
+    return network.hit_edges(views.edges(spark, d), hits(spark, d))
+
+
+@query(
+    "subnetwork_nodes",
+    with_views(
+        "select condition, node, count(*) as degree from (select condition, a as node from subnet union all select condition, b from subnet) group by all",
+        "meas", "edges", **P_VIEWS, hits=HITS_SQL, subnet=SUBNET_SQL,
+    ),
+)
+def subnetwork_nodes(spark, d):
+    return network.node_degrees(network.hit_edges(views.edges(spark, d), hits(spark, d)))
+
+
+@query(
+    "linker_nodes",
+    with_views(
+        """select condition, node, count(distinct feature) as n_hits from (select a as node, b as feature from edges union all select b, a from edges)
+           join hits using (feature) where (condition, node) not in (select condition, feature from hits) group by all having count(distinct feature) >= 2""",
+        "meas", "edges", **P_VIEWS, hits=HITS_SQL,
+    ),
+)
+def linker_nodes(spark, d):
+    return network.linker_nodes(views.edges(spark, d), hits(spark, d))
+
+
+SPARSE_HITS_SQL = "select comparison as condition, feature from with_p where p < 0.02"
+
+
+@query(
+    "components",
+    with_views(
+        "select condition, node, min(other) as component from walk group by all",
+        "meas", "edges", **P_VIEWS, hits=SPARSE_HITS_SQL, subnet=SUBNET_SQL,
+        arcs="select condition, a as node, b as other from subnet union select condition, b, a from subnet",
+        walk="""with recursive w(condition, node, other) as (select condition, node, node from arcs
+            union select w.condition, w.node, arcs.other from w join arcs on arcs.condition = w.condition and arcs.node = w.other) select * from w""",
+    ),
+)
+def components(spark, d):
+    strict = with_p(spark, d).where("p < 0.02").select(F.col("comparison").alias("condition"), "feature")
+    return network.connected_components(network.hit_edges(views.edges(spark, d), strict))

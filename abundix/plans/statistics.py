@@ -28,7 +28,7 @@ CATALOGUE_SQL = "select * from (values " + ", ".join(
 ) + ") as v(comparison, side, condition)"
 
 
-def t_p_sql(t: str, v: str, steps: int = 200) -> str:
+def t_p_sql(t: str, v: str, steps: int = 1000) -> str:
     """Two-sided t tail in SQL: with x = sqrt(v) tan(a) the density integrates as cos(a)^(v-1); Simpson's rule."""
     top = f"atan(abs({t}) / sqrt({v}))"
     weight = f"case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end"
@@ -373,7 +373,7 @@ def logfc_histogram(spark, d):
 @query(
     "ranked_features",
     with_views(
-        f"""select comparison, feature, {r6('log_fc')} as log_fc, row_number() over (partition by comparison order by round(log_fc, 9) desc, md5(feature), feature) as rank,
+        f"""select comparison, feature, {r6('round(log_fc, 9)')} as log_fc, row_number() over (partition by comparison order by round(log_fc, 9) desc, md5(feature), feature) as rank,
             count(*) over (partition by comparison) as n from tested""",
         "meas", **TEST_VIEWS,
     ),
