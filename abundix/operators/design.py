@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,10 @@ def comparison_catalogue(
         for side, conditions in enumerate(sides, 1)
         for condition in conditions
     ]
-    return spark.createDataFrame(rows, "comparison string, side int, condition string")
+    columns = list(zip(*rows)) or [(), (), ()]
+    types = {"comparison": pa.string(), "side": pa.int32(), "condition": pa.string()}
+    # An Arrow table becomes a local relation: its size is known, so it is broadcast without a look at run time.
+    return spark.createDataFrame(pa.table({n: pa.array(c, t) for (n, t), c in zip(types.items(), columns)}))
 
 
 def checked_catalogue(catalogue: DataFrame, samples: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abundix.functions.special import digamma, inverse_trigamma, t_two_sided_p, trigamma
-from abundix.operators.ordered import keys_of, prefix_scan
+from abundix.operators.ordered import keys_of, prefix_scan, settled
+from abundix.session import cut_lineage
 
 
 def condition_stats(
@@ -173,10 +174,11 @@ def bh_adjust(df: DataFrame, by: str | Sequence[str] | None, p: str = "p", out:
     one row before any window sees it.
     """
     keys = keys_of(by)
-    levels = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
-    ranks = prefix_scan(levels, keys, p, {"__rank": ("sum", F.col("__n"))})
+    df = cut_lineage(df)
+    levels, largest = settled(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n")), keys)
+    ranks = prefix_scan(levels, keys, p, {"__rank": ("sum", F.col("__n"))}, largest=largest)
     raw = ranks.select(*keys, p, (F.col(p) * F.col("__rank_total") / F.col("__rank")).alias("__raw"))
-    adjusted = prefix_scan(raw, keys, p, {"__min": ("min", F.col("__raw"))}, descending=True)
+    adjusted = prefix_scan(raw, keys, p, {"__min": ("min", F.col("__raw"))}, descending=True, largest=largest)
     adjusted = adjusted.select(*keys, p, F.least(F.col("__min"), F.lit(1.0)).alias(out))
     return df.join(adjusted, [*keys, p], "left").select(*df.columns, out)
 

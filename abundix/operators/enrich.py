@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from abundix.functions.special import hypergeometric_upper_p, t_two_sided_p
+from abundix.functions.special import hypergeometric_upper_p, normal_upper_p, t_two_sided_p
 from abundix.functions.text import pathway_label
 from abundix.operators.differential import bh_adjust
 from abundix.operators.filters import top_rows
 from abundix.operators.multivar import outer_sums, standardised_rows
-from abundix.operators.ordered import keys_of, prefix_scan
+from abundix.operators.ordered import keys_of, prefix_scan, settled
 from abundix.operators.reshape import explode_tokens, sets_to_long
+from abundix.session import cut_lineage
 
 _DRAW_BLOCK = 65_536
 
@@ -61,8 +62,6 @@ def kinase_scores(
 
 def kinase_test(scores: DataFrame, by: str | Sequence[str] | None = "comparison") -> DataFrame:
     """One-tailed normal p of z and its adjustment within each comparison."""
-    from abundix.functions.special import normal_upper_p
-
     return bh_adjust(scores.withColumn("p", normal_upper_p(F.abs("z"))), by, "p", "fdr")
 
 
@@ -73,11 +72,11 @@ def significant_kinases(tested: DataFrame, min_substrates: int = 5, max_fdr: flo
 # --- ranked lists ----------------------------------------------------------------------------------------
 
 
-def _peak(hits: DataFrame, keys: list[str]) -> DataFrame:
+def _peak(hits: DataFrame, keys: list[str], largest: int) -> DataFrame:
     """Enrichment score from hits (keys, rank, weight, n, h): the running sum moves up only at hits, so its
     extremes lie just after or just before one of them."""
     sums = prefix_scan(
-        hits, keys, "rank", {"__w": ("sum", F.col("weight")), "__i": ("sum", F.lit(1))}, group_size="h"
+        hits, keys, "rank", {"__w": ("sum", F.col("weight")), "__i": ("sum", F.lit(1))}, largest=largest
     )
     missed = (F.col("rank") - F.col("__i")) / (F.col("n") - F.col("h"))
     after = F.col("__w") / F.col("__w_total") - missed
@@ -104,11 +103,12 @@ def ranked_set_scores(
     keys = keys_of(by)
     members = sets.select("term", F.col("gene").alias(feature)).distinct()
     hits = ranked.select(*keys, feature, "rank", "n", F.abs(value).alias("weight")).join(members, feature)
+    hits, largest = settled(hits.drop(feature), [*keys, "term"])
     sizes = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("h"))
     sizes = sizes.where(F.col("h") >= min_size)
     if max_size is not None:
         sizes = sizes.where(F.col("h") <= max_size)
-    return _peak(hits.join(sizes, [*keys, "term"]).drop(feature), [*keys, "term"])
+    return _peak(hits.join(sizes, [*keys, "term"]), [*keys, "term"], largest)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -159,8 +159,10 @@ def null_set_scores(
     a keyed permutation and do not depend on partitioning.
     """
     keys = keys_of(by)
+    wanted = cut_lineage(sizes.select(*keys, "n", "h").distinct())
+    largest = wanted.agg(F.max("h")).first()[0] or 0
     draws = (
-        sizes.select(*keys, "n", "h").distinct()
+        wanted
         .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
         .withColumn("__key", F.xxhash64(F.lit(seed), "perm", *keys))
         .withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / _DRAW_BLOCK).cast("int"))))
@@ -177,7 +179,8 @@ def null_set_scores(
     )
     weights = ranked.select(*keys, "rank", F.abs(value).alias("weight"))
     hits = draws.join(weights, [*keys, "rank"])
-    return _peak(hits.withColumn("size", F.col("h")), [*keys, "size", "perm"]).select(*keys, "h", "perm", "es")
+    peaks = _peak(hits.withColumn("__size", F.col("h")), [*keys, "__size", "perm"], largest)
+    return peaks.select(*keys, "h", "perm", "es")
 
 
 def normalised_set_scores(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abundix.operators.ordered import keys_of, prefix_scan
+from abundix.operators.ordered import keys_of, prefix_scan, settled
 from abundix.session import cut_lineage
 
 
@@ -26,15 +26,18 @@ def target_decoy_q(
     Rows are first counted per score, so ties share a cut-off; both running values then go over cells.
     """
     keys = keys_of(by)
+    df = cut_lineage(df)
     levels = df.groupBy(*keys, score).agg(
         F.count_if(F.col(decoy)).alias("__decoys"), F.count_if(~F.col(decoy)).alias("__targets")
     )
+    levels, largest = settled(levels, keys)
     sums = prefix_scan(
         levels,
         keys,
         score,
         {"__cum_decoys": ("sum", F.col("__decoys")), "__cum_targets": ("sum", F.col("__targets"))},
         descending=True,
+        largest=largest,
     )
     rate = sums.select(
         *keys,
@@ -43,7 +46,7 @@ def target_decoy_q(
         .otherwise(F.lit(float("inf")))
         .alias("__rate"),
     )
-    q = prefix_scan(rate, keys, score, {"q_value": ("min", F.col("__rate"))})
+    q = prefix_scan(rate, keys, score, {"q_value": ("min", F.col("__rate"))}, largest=largest)
     return df.join(q.select(*keys, score, "q_value"), [*keys, score])
 
 

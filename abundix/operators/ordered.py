@@ -2,7 +2,8 @@
 
 A plain window over ``partitionBy(group)`` puts a group into one task. Here the group is first cut into
 value cells (``order_cell``); the cells are summed with a map-side combine, the small table of cell totals
-gets the window over the group, and only rows of one cell share a task.
+gets the window over the group, and only rows of one cell share a task. Where the largest group has been
+counted and is small, the plain window is used instead.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.functions.numeric import order_cell
+from abundix.session import cut_lineage
 
 _CELL = "__cell"
 SMALL_GROUP = 100_000
@@ -30,6 +32,14 @@ def _sorted(name: str, descending: bool) -> Column:
     return F.col(name).desc() if descending else F.col(name).asc()
 
 
+def settled(df: DataFrame, by: str | Iterable[str] | None) -> tuple[DataFrame, int]:
+    """A checkpointed copy, for an operator that reads its input several times, and the rows of the largest group."""
+    df = cut_lineage(df)
+    keys = keys_of(by)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return df, counts.agg(F.max("n")).first()[0] or 0
+
+
 def prefix_scan(
     df: DataFrame,
     by: str | Iterable[str] | None,
@@ -37,27 +47,24 @@ def prefix_scan(
     measures: Mapping[str, tuple[str, Column]],
     *,
     descending: bool = False,
-    group_size: str | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Running ``sum``, ``min`` or ``max`` along ``order`` in each group, the current row included.
 
     ``measures`` maps a new column to (kind, expression). Every measure also gets ``<name>_total``, the
     value over the whole group. ``order`` must be unique in a group (collapse equal values first); keys
-    and ``order`` must not be NULL. Where ``group_size`` names a column with the rows of the group, groups
-    up to ``SMALL_GROUP`` take one plain window and only larger ones are cut into cells.
+    and ``order`` must not be NULL. ``largest`` is the known size of the largest group: up to
+    ``SMALL_GROUP`` rows one plain window does, anything larger or unknown is cut into cells.
     """
     keys = keys_of(by)
-    if group_size is not None:
-        small = df.where(F.col(group_size) <= SMALL_GROUP)
+    if largest is not None and largest <= SMALL_GROUP:
         whole = W.partitionBy(*keys)
         along = whole.orderBy(_sorted(order, descending)).rowsBetween(W.unboundedPreceding, W.currentRow)
-        small = small.select(
+        return df.select(
             "*",
             *[_REDUCE[kind](expr).over(along).alias(name) for name, (kind, expr) in measures.items()],
             *[_REDUCE[kind](expr).over(whole).alias(f"{name}_total") for name, (kind, expr) in measures.items()],
         )
-        large = prefix_scan(df.where(F.col(group_size) > SMALL_GROUP), keys, order, measures, descending=descending)
-        return small.unionByName(large)
     tagged = df.withColumn(_CELL, order_cell(F.col(order)))
     totals = tagged.groupBy(*keys, _CELL).agg(
         *[_REDUCE[kind](expr).alias(name) for name, (kind, expr) in measures.items()]
@@ -102,13 +109,19 @@ def grouped_rank(
     rank and are left out, as in a sort that drops missing values.
     """
     keys = keys_of(by)
-    rows = df.where(F.col(value).isNotNull())
+    rows, largest = settled(df.where(F.col(value).isNotNull()), keys)
+    rows = rows.withColumn("__hash", F.md5(F.col(tie).cast("string").cast("binary")))
+    if largest <= SMALL_GROUP:
+        group = W.partitionBy(*keys)
+        out = rows.withColumn(rank, F.row_number().over(group.orderBy(_sorted(value, descending), "__hash", tie)).cast("long"))
+        if total:
+            out = out.withColumn(total, F.count(F.lit(1)).over(group))
+        return out.select(*df.columns, rank, *([total] if total else []))
     levels = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     levels = prefix_scan(levels, keys, value, {"__upto": ("sum", F.col("__n"))}, descending=descending)
     levels = levels.withColumn("__start", F.col("__upto") - F.col("__n"))
     heavy = levels.where(F.col("__n") > heavy_ties)
 
-    rows = rows.withColumn("__hash", F.md5(F.col(tie).cast("string").cast("binary")))
     rows = rows.join(heavy.select(*keys, value, F.lit(True).alias("__heavy")), [*keys, value], "left")
     rows = rows.withColumn("__sub", F.when(F.col("__heavy"), F.substring("__hash", 1, 3)).otherwise(""))
 

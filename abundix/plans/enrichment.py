@@ -11,6 +11,7 @@ from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import CELLS_SQL, RESIDUES_SQL, cells, site_residues
 from abundix.plans.statistics import P_VIEWS, TEST_VIEWS, bh_sql, ranked, t_p_sql, with_p
 from abundix.plans.views import SAMPLES, table, with_views
+from abundix.session import cut_lineage
 
 # --- kinases ---------------------------------------------------------------------------------------------
 
@@ -151,7 +152,7 @@ def gsea_es(spark, d):
 def gsea_nes(spark, d):
     """Normalised scores with 200 random sets per set size."""
     listed = ranked(spark, d).where(F.col("comparison") == "R1_R0")
-    scores = enrich.ranked_set_scores(listed, views.term2gene(spark, d), value="log_fc", min_size=5)
+    scores = cut_lineage(enrich.ranked_set_scores(listed, views.term2gene(spark, d), value="log_fc", min_size=5))
     null = enrich.null_set_scores(listed, scores, value="log_fc", n_perm=200, seed=117)
     return rounded(enrich.normalised_set_scores(scores, null), "es", "nes", "p", "p_adj")
 
@@ -233,8 +234,9 @@ def ora_by_cluster(spark, d):
 
 CORRELATION_VIEWS = {
     "cells": "select feature, sample, concat('R', cast(plex as varchar)) as cohort, avg(value) as value from meas_dense group by all",
-    "complete": """select cohort, feature from cells group by all having count(*) > 1 and stddev_pop(value) > 1e-9 and count(*) = (
-        select count(distinct sample) from cells c where c.cohort = cells.cohort)""",
+    "cohort_size": "select cohort, count(distinct sample) as n_samples from cells group by cohort",
+    "complete": """select cohort, feature from cells join cohort_size using (cohort) group by cohort, feature, n_samples
+        having count(*) > 1 and stddev_pop(value) > 1e-9 and count(*) = n_samples""",
     "kept": "select c.* from cells c join complete using (cohort, feature)",
     "pairs": """select x.cohort, x.feature as a, y.feature as b, corr(x.value, y.value) as r from kept x join kept y
         on x.cohort = y.cohort and x.sample = y.sample and x.feature < y.feature group by all""",
