@@ -23,7 +23,7 @@ def lgamma(x, log):
     for i in range(1, _SHIFT):
         product = product * (x + float(i))
     inv2 = 1.0 / (y * y)
-    series = (1.0 / 12 - inv2 * (1.0 / 360 - inv2 * (1.0 / 1260 - inv2 * (1.0 / 1680)))) / y
+    series = (1.0 / 12 - inv2 * (1.0 / 360 - inv2 * (1.0 / 1260 - inv2 * (1.0 / 1680 - inv2 / 1188)))) / y
     return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + series - log(product)
 
 

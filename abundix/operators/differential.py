@@ -24,10 +24,17 @@ def condition_stats(
     value: str = "value",
     condition: str = "condition",
     by: str | Sequence[str] | None = None,
+    collapsed: bool = False,
 ) -> DataFrame:
-    """Count, mean and variance of sample means per feature and condition."""
+    """Count, mean and variance of sample means per feature and condition.
+
+    ``collapsed`` says that each (feature, sample) is one row already, which saves a shuffle.
+    """
     keys = keys_of(by)
-    cells = df.groupBy(*keys, feature, sample, condition).agg(F.avg(value).alias("__v"))
+    if collapsed:
+        cells = df.withColumn("__v", F.col(value))
+    else:
+        cells = df.groupBy(*keys, feature, sample, condition).agg(F.avg(value).alias("__v"))
     return cells.groupBy(*keys, feature, condition).agg(
         F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.var_samp("__v").alias("var")
     )

@@ -161,11 +161,13 @@ def null_set_scores(
     keys = keys_of(by)
     wanted = cut_lineage(sizes.select(*keys, "n", "h").distinct())
     largest = wanted.agg(F.max("h")).first()[0] or 0
+    # A few size rows grow to sizes x permutations x members: spread them over tasks before they grow.
+    width = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
-        wanted
-        .withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+        wanted.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
         .withColumn("__key", F.xxhash64(F.lit(seed), "perm", *keys))
         .withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / _DRAW_BLOCK).cast("int"))))
+        .repartition(width, *keys, "h", "perm", "__block")
         .withColumn(
             "__i",
             F.explode(

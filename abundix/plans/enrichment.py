@@ -241,7 +241,7 @@ CORRELATION_VIEWS = {
     "pairs": """select x.cohort, x.feature as a, y.feature as b, corr(x.value, y.value) as r from kept x join kept y
         on x.cohort = y.cohort and x.sample = y.sample and x.feature < y.feature group by all""",
     "members": "select distinct term, gene from term2gene",
-    "inside": """select cohort, term, count(*) as pairs, avg(r) as correlation, var_samp(r) as v from pairs
+    "inside": """select cohort, g.term, count(*) as pairs, avg(r) as correlation, var_samp(r) as v from pairs
         join members g on a = g.gene join members h on b = h.gene and g.term = h.term group by all""",
     "outside": "select cohort, count(*) as all_pairs, avg(r) as background, var_samp(r) as v0 from pairs group by cohort",
     "counted": "select cohort, term, count(*) as n_members from complete join members on feature = gene group by all",

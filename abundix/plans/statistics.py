@@ -423,7 +423,7 @@ def entry_slice(spark, d):
     """Long table, sample medians out, all comparisons, pooled t, adjusted p."""
     centred = normalize.center_samples(cells(views.meas(spark, d))).withColumn("condition", prefixed("R", "plex"))
     catalogue = design.checked_catalogue(design.comparison_catalogue(spark, COMPARISONS), conditions(spark, d))
-    test = differential.pooled_test(differential.comparison_stats(differential.condition_stats(centred), catalogue))
+    test = differential.pooled_test(differential.comparison_stats(differential.condition_stats(centred, collapsed=True), catalogue))
     test = test.withColumn("p", t_two_sided_p(F.col("t"), F.col("d").cast("double")))
     out = differential.bh_adjust(test, "comparison").select("comparison", "feature", "log_fc", "t", "p", "p_adj")
     return rounded(out, "log_fc", "t", "p", "p_adj")
