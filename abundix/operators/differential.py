@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.functions.special import digamma, inverse_trigamma, t_two_sided_p, trigamma
@@ -44,22 +45,30 @@ def _side(side: int) -> list[Column]:
     here = F.col("side") == side
     n = F.sum(F.when(here, F.col("n")))
     weighted = F.sum(F.when(here, F.col("n") * F.col("mean")))
-    within = F.sum(F.when(here, (F.col("n") - 1) * F.coalesce("var", F.lit(0.0))))
-    squares = F.sum(F.when(here, F.col("n") * F.col("mean") * F.col("mean")))
-    several = F.count(F.when(here, 1)) > 1
-    between = F.when(several, F.greatest(squares - weighted * weighted / n, F.lit(0.0))).otherwise(0.0)
+    squares = (F.col("n") - 1) * F.coalesce("var", F.lit(0.0)) + F.col("n") * F.pow(F.col("mean") - F.col("__center"), 2)
     return [
         F.coalesce(n, F.lit(0)).alias(f"n{side}"),
         (weighted / F.nullif(n, F.lit(0))).alias(f"m{side}"),
-        F.when(n > 1, (within + between) / (n - 1)).alias(f"v{side}"),
+        F.when(n > 1, F.sum(F.when(here, squares)) / (n - 1)).alias(f"v{side}"),
     ]
 
 
 def comparison_stats(stats: DataFrame, catalogue: DataFrame, *, feature: str = "feature", by: str | Sequence[str] | None = None) -> DataFrame:
-    """Both sides of every comparison side by side; conditions of one side are merged."""
+    """Both sides of every comparison side by side; conditions of one side are merged.
+
+    A side's squares are taken around its own mean, which keeps small variances of large values exact. The
+    window and the aggregate share one shuffle, and a group has as many rows as the catalogue has conditions.
+    """
     keys = keys_of(by)
     rows = stats.where(F.col("n") > 0).join(catalogue, "condition")
-    return rows.groupBy(*keys, "comparison", feature).agg(*_side(1), *_side(2))
+    group = W.partitionBy(*keys, "comparison", feature)
+
+    def center(side: int) -> Column:
+        weighted = F.when(F.col("side") == side, F.col("n") * F.col("mean"))
+        return F.sum(weighted).over(group) / F.sum(F.when(F.col("side") == side, F.col("n"))).over(group)
+
+    centred = rows.withColumn("__center", F.when(F.col("side") == 1, center(1)).otherwise(center(2)))
+    return centred.groupBy(*keys, "comparison", feature).agg(*_side(1), *_side(2))
 
 
 def welch_test(pairs: DataFrame) -> DataFrame:

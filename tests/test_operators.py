@@ -289,7 +289,7 @@ def test_group_tests_with_small_groups(spark):
 
 def test_merged_conditions_equal_pooled_samples(spark):
     rng = np.random.default_rng(4)
-    data = [("f", f"s{i}", "ABC"[i % 3], float(rng.normal(15, 2))) for i in range(15)]
+    data = [("f", f"s{i}", "ABC"[i % 3], float(1e6 + rng.normal(0, 0.01))) for i in range(15)]
     df = spark.createDataFrame(data, "feature string, sample string, condition string, value double")
     catalogue = design.comparison_catalogue(spark, {"x": (["A"], ["B", "C"])})
     r = differential.comparison_stats(differential.condition_stats(df), catalogue).first()
