@@ -128,7 +128,7 @@ def peptides_per_1000(df: DataFrame, sequences: DataFrame, peptide: str = "pepti
     counts = df.groupBy(accession).agg(F.count_distinct(peptide).alias("n_peptides"))
     lengths = sequences.select(accession, F.length("sequence").alias("n_residues"))
     return counts.join(lengths, accession).withColumn(
-        "per_1000", F.col("n_peptides") * F.lit(1000.0) / F.col("n_residues")
+        "per_1000", F.col("n_peptides") * F.lit(1000.0) / F.nullif(F.col("n_residues"), F.lit(0))
     )
 
 

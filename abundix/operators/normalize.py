@@ -81,10 +81,12 @@ def sum_coded(column: str, levels: Sequence[str]) -> dict[str, Column]:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _least_squares(xtx: pd.Series, xty: pd.Series) -> pd.Series:
+    """Coefficients, then the diagonal of the inverse, for a batch of small systems."""
     y = np.stack(xty.to_numpy())
     p = y.shape[1]
-    x = np.stack(xtx.to_numpy()).reshape(-1, p, p)
-    return pd.Series(list(np.einsum("nij,nj->ni", np.linalg.pinv(x, rcond=1e-10, hermitian=True), y)))
+    inverse = np.linalg.pinv(np.stack(xtx.to_numpy()).reshape(-1, p, p), rcond=1e-10, hermitian=True)
+    fits = np.concatenate([np.einsum("nij,nj->ni", inverse, y), np.einsum("nii->ni", inverse)], axis=1)
+    return pd.Series(list(fits))
 
 
 def remove_covariates(
@@ -94,12 +96,15 @@ def remove_covariates(
     *,
     feature: str = "feature",
     value: str = "value",
+    shrink: bool = False,
 ) -> DataFrame:
     """Per feature fit value ~ 1 + remove + keep by least squares and subtract the ``remove`` part only.
 
     The sums of products are ordinary grouped aggregates; only the small p x p systems, one per feature,
     are solved in Python, a batch at a time. Covariates that a feature cannot tell apart share the effect
-    (pseudo-inverse). Numeric covariates should come centred.
+    (pseudo-inverse). Numeric covariates should come centred. With ``shrink`` each removed coefficient is
+    pulled towards its mean over features by the normal-normal posterior weight: the variance of the
+    coefficients beyond their mean sampling variance is the prior variance.
     """
     names = ["__one", *[f"__r{i}" for i in range(len(remove))], *[f"__k{i}" for i in range(len(keep))]]
     columns = [F.lit(1.0), *remove.values(), *keep.values()]
@@ -108,11 +113,30 @@ def remove_covariates(
     p = len(names)
     sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"__x{i}_{j}") for i in range(p) for j in range(i, p)]
     sums += [F.sum(F.col(n) * F.col(value)).alias(f"__y{i}") for i, n in enumerate(names)]
+    sums += [F.sum(F.col(value) * F.col(value)).alias("__yy"), F.count(F.lit(1)).alias("__n")]
     grouped = used.groupBy(feature).agg(*sums)
     xtx = F.array(*[F.col(f"__x{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
     xty = F.array(*[F.col(f"__y{i}") for i in range(p)])
-    fits = grouped.select(feature, _least_squares(xtx, xty).alias("__beta"))
+    solved = grouped.withColumn("__fit", _least_squares(xtx, xty))
+    explained = F.lit(0.0)
+    for i in range(p):
+        explained = explained + F.element_at("__fit", i + 1) * F.col(f"__y{i}")
+    s2 = F.greatest(F.col("__yy") - explained, F.lit(0.0)) / F.nullif(F.col("__n") - p, F.lit(0))
+    betas = [F.element_at("__fit", i + 2).alias(f"__b{i}") for i in range(len(remove))]
+    noise = [(F.element_at("__fit", p + i + 2) * s2).alias(f"__v{i}") for i in range(len(remove))]
+    fits = solved.select(feature, *betas, *(noise if shrink else []))
+    if shrink:
+        fits = cut_lineage(fits)
+        spread = fits.agg(
+            *[F.avg(f"__b{i}").alias(f"m{i}") for i in range(len(remove))],
+            *[(F.var_samp(f"__b{i}") - F.avg(f"__v{i}")).alias(f"t{i}") for i in range(len(remove))],
+        ).first()  # two numbers per removed covariate
+        for i in range(len(remove)):
+            mean, prior = F.lit(float(spread[f"m{i}"] or 0.0)), max(float(spread[f"t{i}"] or 0.0), 0.0)
+            weight = F.lit(prior) / F.nullif(F.lit(prior) + F.col(f"__v{i}"), F.lit(0.0))
+            pulled = mean + F.coalesce(weight, F.lit(1.0)) * (F.col(f"__b{i}") - mean)
+            fits = fits.withColumn(f"__b{i}", pulled)
     effect = F.lit(0.0)
     for i in range(len(remove)):
-        effect = effect + F.col(f"__r{i}") * F.element_at("__beta", i + 2)
+        effect = effect + F.col(f"__r{i}") * F.col(f"__b{i}")
     return rows.join(fits, feature).withColumn(value, F.col(value) - effect).select(*df.columns)

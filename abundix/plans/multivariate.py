@@ -42,6 +42,22 @@ def pca_scores(spark, d):
     return rounded(multivar.pca_scores(matrix(spark, d), POSITIONS, 2), "score", "share")
 
 
+@query(
+    "pca_distances",
+    with_views(
+        """select cast(x.sample as varchar) as a, cast(y.sample as varchar) as b, round(sqrt(sum((x.c - y.c) * (x.c - y.c))), 5) as distance from centred x
+           join centred y on x.feature = y.feature and x.sample < y.sample group by all""",
+        matrix=MATRIX_SQL, centred="select feature, sample, value - avg(value) over (partition by feature) as c from matrix",
+    ),
+)
+def pca_distances(spark, d):
+    """Distances between samples in the space of all components equal those between their centred columns."""
+    scores = multivar.pca_scores(matrix(spark, d), POSITIONS, len(POSITIONS))
+    moments = multivar.pair_moments(scores, POSITIONS, row="component", column="sample", value="score")
+    ordered = multivar.euclidean_distance(moments)
+    return ordered.select("a", "b", F.round("distance", 5).alias("distance"))
+
+
 @query("kmeans_assign")
 def kmeans_assign(spark, d):
     return multivar.kmeans_clusters(packed(spark, d), [3, 4], restarts=3)

@@ -149,6 +149,60 @@ def batch_model(spark, d):
     return rounded(corrected.select("feature", "sample", "value"), "value")
 
 
+# With every plex present the sum-coded effect of a plex is its mean minus the mean of plex means, and its
+# sampling variance follows from the plex sizes; the last plex takes minus the sum of the others.
+_SHRINK_SQL = {
+    "plex_means": "select feature, plex, avg(value) as m, count(*) as n, var_pop(value) * count(*) as ss from cells group by all",
+    "size": "select count(distinct plex)::double as l, max(plex) as last from cells",
+    "whole": "select feature, avg(m) as mm, sum(ss) / (sum(n) - max(l)) as s2, sum(1.0::double / n) as inv from plex_means, size group by feature",
+    "effects": """select feature, plex, m - mm as b, s2 * (pow(1 - 1 / l, 2) / n + (inv - 1.0::double / n) / (l * l)) as noise
+        from plex_means join whole using (feature), size where plex < last""",
+    "priors": "select plex, avg(b) as mean_b, greatest(var_samp(b) - avg(noise), 0) as prior from effects group by plex",
+    "pulled": """select feature, plex, mean_b + prior / (prior + noise) * (b - mean_b) as b from effects join priors using (plex)""",
+    "all_effects": "select feature, plex, b from pulled union all select feature, last, -sum(b) from pulled, size group by feature, last",
+}
+
+
+@query(
+    "batch_model_shrunk",
+    with_views(
+        f"select feature, sample, {r6('value - b')} as value from cells join all_effects using (feature, plex)",
+        "meas_dense",
+        every=DENSE_CELLS_SQL,
+        cells="""select * from every where feature in (select feature from every group by feature
+                 having count(distinct plex) = (select count(distinct plex) from every))""",
+        **_SHRINK_SQL,
+    ),
+)
+def batch_model_shrunk(spark, d):
+    """Plex effects pulled towards their mean over features, of features that every plex has."""
+    full = filters.present_in_every_batch(cells(views.meas_dense(spark, d)), "plex")
+    rows = full.withColumn("plex", F.col("plex").cast("string"))
+    plexes = sorted(row["plex"] for row in rows.select("plex").distinct().collect())  # one per region
+    remove = normalize.sum_coded("plex", plexes)
+    return rounded(normalize.remove_covariates(rows, remove, {}, shrink=True).select("feature", "sample", "value"), "value")
+
+
+@query(
+    "covariate_removal",
+    with_views(
+        f"""select feature, sample, {r6('value - coalesce(b, 0) * x')} as value from joined join
+            (select feature, case when var_pop(x) > 1e-12 then regr_slope(value, x) end as b from joined group by feature) using (feature)""",
+        "meas",
+        mass="select concat('N', cast(s_nationkey as varchar)) as sample, avg(s_acctbal) / 1000 - 4.5::double as x from supplier group by s_nationkey",
+        cells=CELLS_SQL,
+        joined="select feature, sample, value, x from cells join mass using (sample) qualify count(distinct x) over (partition by feature) > 1",
+    ),
+)
+def covariate_removal(spark, d):
+    """One numeric covariate, of features that see at least two of its levels."""
+    mass = table(spark, d, "supplier").groupBy("s_nationkey").agg((F.avg("s_acctbal") / 1000 - 4.5).alias("x"))
+    joined = cells(views.meas(spark, d)).drop("plex").join(mass.select(prefixed("N", "s_nationkey").alias("sample"), "x"), "sample")
+    several = joined.groupBy("feature").agg(F.count_distinct("x").alias("n")).where("n > 1")
+    rows = filters.keep_listed(joined, several, "feature")
+    return rounded(normalize.remove_covariates(rows, {"x": F.col("x")}, {}).select("feature", "sample", "value"), "value")
+
+
 # --- tests -----------------------------------------------------------------------------------------------
 
 WELCH_SQL = """select *, case when ok then effect / sqrt(q) end as t, case when ok then q * q / (q1 * q1 / (n1 - 1) + q2 * q2 / (n2 - 1)) end as df from (

@@ -258,6 +258,30 @@ def test_removed_covariates_match_least_squares(spark):
             assert got[d[0], d[1]] == pytest.approx(value, abs=1e-8)
 
 
+def test_shrinking_pulls_towards_the_mean(spark):
+    data = matrix(3, features=30, missing=0.0)
+    df = frame(spark, data)
+    remove = normalize.sum_coded("batch", ["b0", "b1", "b2"])
+    plain = {(r["feature"], r["sample"]): r["value"] for r in normalize.remove_covariates(df, remove, {}).collect()}
+    shrunk = {(r["feature"], r["sample"]): r["value"] for r in normalize.remove_covariates(df, remove, {}, shrink=True).collect()}
+    start = {(d[0], d[1]): d[4] for d in data}
+    x = np.array([[1.0, *{"b0": [1, 0], "b1": [0, 1], "b2": [-1, -1]}[f"b{j % 3}"]] for j in range(9)])
+    inverse = np.linalg.inv(x.T @ x)
+    features = sorted({d[0] for d in data})
+    y = np.array([[start[f, f"s{j}"] for j in range(9)] for f in features])
+    beta = y @ x @ inverse
+    s2 = ((y - beta @ x.T) ** 2).sum(axis=1) / 6
+    for j in (1, 2):
+        noise = s2 * inverse[j, j]
+        prior = max(beta[:, j].var(ddof=1) - noise.mean(), 0.0)
+        beta[:, j] = beta[:, j].mean() + prior / (prior + noise) * (beta[:, j] - beta[:, j].mean())
+    expected = y - beta[:, 1:] @ x[:, 1:].T
+    for i, f in enumerate(features):
+        for j in range(9):
+            assert shrunk[f, f"s{j}"] == pytest.approx(expected[i, j], abs=1e-7)
+    assert plain != shrunk
+
+
 # --- tests -----------------------------------------------------------------------------------------------
 
 
