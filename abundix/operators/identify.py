@@ -104,23 +104,22 @@ def parsimonious_accessions(
     happens elsewhere, so each round takes all such accessions at once and the outcome is the same.
     """
     left = cut_lineage(df.select(peptide, accession).distinct())
-    chosen = None
+    chosen = left.limit(0)
     for _ in range(max_rounds):
         if left.isEmpty():
-            break
+            return chosen
         counts = left.groupBy(accession).agg(F.count(F.lit(1)).alias("__n"))
-        scored = left.join(counts, accession)
-        winners = scored.groupBy(peptide).agg(
+        winners = left.join(counts, accession).groupBy(peptide).agg(
             F.min(F.struct((-F.col("__n")).alias("__neg"), F.col(accession))).alias("__w")
         )
-        wins = winners.groupBy(F.col(f"__w.{accession}").alias(accession)).agg(F.count(F.lit(1)).alias("__wins"))
-        picked = counts.join(wins, accession).where(F.col("__n") == F.col("__wins")).select(accession)
-        covered = cut_lineage(left.join(picked, accession, "left_semi"))
-        chosen = covered if chosen is None else chosen.unionByName(covered)
-        left = cut_lineage(left.join(covered.select(peptide).distinct(), peptide, "left_anti"))
-    else:
-        raise RuntimeError("greedy cover did not end")
-    return left if chosen is None else chosen
+        winners = winners.select(peptide, F.col(f"__w.{accession}").alias("__winner"), (-F.col("__w.__neg")).alias("__n"))
+        wins = winners.groupBy("__winner", "__n").agg(F.count(F.lit(1)).alias("__wins"))
+        picked = wins.where(F.col("__n") == F.col("__wins")).select("__winner")
+        covered = winners.join(picked, "__winner", "left_semi").select(peptide, "__winner")
+        marked = cut_lineage(left.join(covered, peptide, "left"))
+        chosen = chosen.unionByName(marked.where(F.col(accession) == F.col("__winner")).select(peptide, accession))
+        left = marked.where(F.col("__winner").isNull()).select(peptide, accession)
+    raise RuntimeError("greedy cover did not end")
 
 
 def peptides_per_1000(df: DataFrame, sequences: DataFrame, peptide: str = "peptide", accession: str = "accession") -> DataFrame:

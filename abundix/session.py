@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +33,23 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     settings.update(extra)
     for key, setting in settings.items():
         builder = builder.config(key, setting)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the session, once; UDFs import it there."""
+    context = spark.sparkContext
+    if "abundix.zip" not in context._python_includes:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="abundix-"), "abundix.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(root):
+                for name in files:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
