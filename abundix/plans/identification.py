@@ -121,19 +121,28 @@ def prior_peptides(spark, d):
 
 @query(
     "parsimony_greedy",
-    """with recursive pairs as (select distinct concat('PEP', cast(l_partkey as varchar)) as peptide, concat('A', cast(l_suppkey as varchar)) as accession from lineitem),
-       walk(peptide, accession, taken) as (
-         select peptide, accession, null::varchar from pairs
+    # Groups of accessions that share peptides are known here, so the SQL takes one accession per group and step.
+    """with recursive pairs as (select distinct case when l_partkey % 3 = 0 then concat('G', cast(l_partkey % 600 as varchar)) else concat('U', cast(l_partkey as varchar)) end as grp,
+         concat('PEP', cast(case when l_partkey % 3 = 0 then l_partkey % 600 else l_partkey end as varchar), case when l_partkey % 3 = 0 then 'S' else 'U' end,
+           cast(l_linenumber as varchar)) as peptide, concat('P', cast(l_partkey as varchar)) as accession from lineitem),
+       walk(grp, peptide, accession, taken) as (
+         select grp, peptide, accession, null::varchar from pairs
          union all
-         select l.peptide, l.accession, case when c.peptide is not null then b.accession end
-         from (select peptide, accession from walk where taken is null) l
-         cross join (select accession from walk where taken is null group by accession order by count(*) desc, accession limit 1) b
-         left join (select peptide, accession from walk where taken is null) c on c.peptide = l.peptide and c.accession = b.accession)
+         select l.grp, l.peptide, l.accession, case when c.peptide is not null then b.accession end
+         from (select grp, peptide, accession from walk where taken is null) l
+         join (select grp, accession from (select grp, accession, row_number() over (partition by grp order by count(*) desc, accession) as rn
+               from walk where taken is null group by grp, accession) where rn = 1) b on b.grp = l.grp
+         left join (select grp, peptide, accession from walk where taken is null) c on c.grp = l.grp and c.peptide = l.peptide and c.accession = b.accession)
        select distinct peptide, taken as accession from walk where taken is not null""",
 )
 def parsimony_greedy(spark, d):
-    """Parts as peptides, their suppliers as accessions: nearly every peptide is shared."""
-    pairs = table(spark, d, "lineitem").select(prefixed("PEP", "l_partkey").alias("peptide"), prefixed("A", "l_suppkey").alias("accession"))
+    """Every accession has several peptides; a third of the accessions share theirs with others."""
+    part = F.col("l_partkey")
+    stem = F.when(part % 3 == 0, part % 600).otherwise(part).cast("string")
+    pairs = table(spark, d, "lineitem").select(
+        F.concat(F.lit("PEP"), stem, F.when(part % 3 == 0, "S").otherwise("U"), F.col("l_linenumber").cast("string")).alias("peptide"),
+        prefixed("P", "l_partkey").alias("accession"),
+    )
     return identify.parsimonious_accessions(pairs)
 
 
