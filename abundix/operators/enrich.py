@@ -322,8 +322,8 @@ def consensus_terms(
 
     A term that any patient lacks is out, as a missing cell makes its extremes missing.
     """
-    n_ids = results.agg(F.count_distinct(by).alias("n")).scalar()
     adjusted = bh_adjust(results, None, p, "__adj")
+    n_ids = adjusted.agg(F.count_distinct(by).alias("n")).scalar()
     terms = adjusted.groupBy(term).agg(
         F.max(F.abs(score)).alias("max_abs_score"), F.min("__adj").alias("min_p_adj"),
         F.count(F.when(F.col(score).isNotNull() & F.col(p).isNotNull(), 1)).alias("__n"),

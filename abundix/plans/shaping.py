@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abundix.functions import text
-from abundix.functions.numeric import missing_to_null, signif
+from abundix.functions.numeric import signif
 from abundix.operators import aggregate, design, filters, joins, reshape
 from abundix.plans import views
 from abundix.plans.registry import prefixed, query, r6, rounded
