@@ -33,7 +33,7 @@ def test_visit_parts_and_plex(spark):
     df = spark.createDataFrame([("P2 Cycle 1 Day 28",), ("cell line",)], "d string")
     out = df.select(*[c.alias(n) for n, c in text.visit_parts(F.col("d")).items()]).collect()
     assert tuple(out[0]) == ("P2", "1", "28") and tuple(out[1]) == (None, None, None)
-    plex = spark.createDataFrame([("Ex17_Plex3_F01",), ("Ex17_P4_F02",)], "d string")
+    plex = spark.createDataFrame([("EX_Plex3_F01",), ("EX_P4_F02",)], "d string")
     assert rows(plex.select(text.plex_name(F.col("d")).alias("p")), "p") == [("Plex3",), ("Plex4",)]
 
 

@@ -12,15 +12,15 @@ def write(path, text):
 
 
 def test_crosstabs(spark, tmp_path):
-    one = write(tmp_path / "ptrc_global_corrected.txt", "Gene\tUniprot\t01\t02\nA\tP1\t1.5\tNA\nB\tP2\t2\t3\n")
-    two = write(tmp_path / "ptrc_global_original.txt", "Gene\tUniprot\t01\t02\nA\tP1\t9\t8\n")
+    one = write(tmp_path / "crosstab_global_corrected.txt", "Gene\tUniprot\t01\t02\nA\tP1\t1.5\tNA\nB\tP2\t2\t3\n")
+    two = write(tmp_path / "crosstab_global_original.txt", "Gene\tUniprot\t01\t02\nA\tP1\t9\t8\n")
     df = tables.read_crosstab(spark, one, ["Gene", "Uniprot"])
     assert [tuple(r) for r in df.orderBy("Gene").collect()] == [("A", "P1", 1.5, None), ("B", "P2", 2.0, 3.0)]
     both = tables.read_datasets(spark, [one, two], ["Gene", "Uniprot"])
-    assert {r["dataset"] for r in both.collect()} == {"ptrc_global_corrected", "ptrc_global_original"}
+    assert {r["dataset"] for r in both.collect()} == {"crosstab_global_corrected", "crosstab_global_original"}
     tables.export_datasets(both, str(tmp_path / "out"), pattern="_corrected$")
     back = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True)
-    assert {r["dataset"] for r in back.collect()} == {"ptrc_global_corrected"}
+    assert {r["dataset"] for r in back.collect()} == {"crosstab_global_corrected"}
 
 
 def test_text_numbers_lists_metadata(spark, tmp_path):
