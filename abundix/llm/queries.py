@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abundix.llm import simple8b
 from abundix.llm.hilbert import hilbert_shards
+from abundix.llm.host_rules import quality_rules
 from abundix.llm.mixing import Mix, with_word_counts
 from abundix.llm.registry import ORACLES, QUERIES, query, table
 
@@ -46,6 +48,77 @@ def shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+HOST_RULES_SQL = r"""
+with texts as (
+  select doc_id, source, coalesce(text, '') as t from documents
+), split as (
+  select doc_id, source, t,
+    list_filter(string_split_regex(t, '[ \t-\r]+'), lambda x: x <> '') as words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) as lines
+  from texts
+), starts as (
+  select doc_id, unnest(range(1, len(words) - 6)) as i, words from split where len(words) >= 8
+), grams as (
+  select doc_id, i, count(*) over (partition by doc_id, words[i:i + 7]) as n from starts
+), covered as (
+  select doc_id, count(distinct p) as n_repeat_words
+  from (select doc_id, unnest(range(i, i + 8)) as p from grams where n >= 2) group by doc_id
+), measured as (
+  select s.doc_id, s.source, len(words)::bigint as n_words,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    len(lines)::bigint as n_lines,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from split s left join covered c on s.doc_id = c.doc_id
+), marked as (
+  select *, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
+    (n_words < 20)::int + (100 * n_repeat_words > 30 * n_words)::int + (10 * n_symbols > n_words)::int
+    + (word_chars < 2 * n_words or word_chars > 12 * n_words)::int + (10 * n_dup_lines > 3 * n_lines)::int as failures
+  from measured
+), hosts as (
+  select source, count(*)::double as docs, sum((failures > 0)::int)::double as failed from marked group by source
+), sums as (
+  select count(*)::double as h, sum(docs) as d, sum(failed) as f, sum(failed * failed / docs) as q from hosts
+), moments as (
+  select f / d as m, f / d * (1 - f / d) as b, q / d - (f / d) * (f / d) - f / d * (1 - f / d) * h / d as v from sums
+), prior as (
+  select m, case when v <= 0 or b = 0 then 1e6 else least(1e6, greatest(1, b / v - 1)) end as w from moments
+), rates as (
+  select source, (failed + (select m * w from prior)) / (docs + (select w from prior)) as rate from hosts
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and (failures = 0 or (failures = 1 and rate <= 0.5)) as kept,
+  failures, round(rate, 9) + 0.0::double as host_rate
+from marked m join rates r on m.source is not distinct from r.source
+"""
+
+
+@query("op4_host_rules", HOST_RULES_SQL)
+def host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return quality_rules(docs).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "failures",
+        F.round("host_rate", 9).alias("host_rate"),
+    )
+
+
+@query("op5_simple8b_ids")
+def simple8b_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents")
+    return simple8b.read_ids(simple8b.write_ids(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries():
     return dict(QUERIES)
 
