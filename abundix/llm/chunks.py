@@ -131,7 +131,7 @@ def repeated_keys(asked: DataFrame, buckets: int, kind: np.dtype) -> DataFrame:
     """Rows of ``ANSWER``: the hashes, cut to what ``kind`` holds, of indexed keys with two probes or more."""
     kind = np.dtype(kind)
 
-    def answer(key, table: pa.Table) -> pa.Table:
+    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         probes = np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column("probe").to_pylist()] or [np.zeros(0, kind)])
         probes = np.sort(probes)
         again = np.unique(probes[1:][probes[1:] == probes[:-1]])

@@ -30,7 +30,7 @@ def new_name(folder: str, stem: str, ending: str) -> str:
 
 def create(uri: str) -> pa.NativeFile:
     system, place = pafs.FileSystem.from_uri(uri)
-    return system.open_output_stream(place)
+    return system.open_output_stream(place, compression=None)
 
 
 def read(uri: str) -> pa.Buffer:

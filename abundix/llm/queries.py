@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundix.llm import simple8b
+from abundix.llm import simple8b, warc_zstd
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
 from abundix.llm.mixing import Mix, with_word_counts
+from abundix.llm.perspectives import rotate
 from abundix.llm.registry import ORACLES, QUERIES, query, table
+from abundix.llm.spaced_seeds import contaminated
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -119,6 +121,62 @@ def simple8b_ids(spark: SparkSession, folder: str) -> DataFrame:
     return simple8b.read_ids(simple8b.write_ids(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+PERSPECTIVES_SQL = """
+with said as (
+  select conv_id, coalesce(floor(turn / 4096), 0)::integer as part, turn, role as who,
+    replace(coalesce(text, ''), '<|', '< |') as text, coalesce(text, '') as raw
+  from conversations
+), views as (
+  select distinct conv_id, role as speaker from conversations where role is not null and role <> 'system'
+), segments as (
+  select s.conv_id, part, speaker, turn, who, s.text, coalesce(who = speaker, false) as own,
+    '<|im_start|>' || case when who = 'system' then 'system' when who = speaker then 'assistant'
+      else 'user name=' || translate(coalesce(who, 'unknown'), chr(13) || chr(10), '  ') end || chr(10) as head
+  from said s join views v on s.conv_id is not distinct from v.conv_id
+), placed as (
+  select *, sum(length(head) + length(text) + 11) over (
+    partition by conv_id, part, speaker order by turn nulls first, who nulls first, text
+    rows between unbounded preceding and current row) as done
+  from segments
+)
+select conv_id, speaker, part, count(*) as n_turns, count(*) filter (where own) as n_own,
+  string_agg(head || text || '<|im_end|>' || chr(10), '' order by turn nulls first, who nulls first, text) as rendered,
+  coalesce(string_agg((done - length(text) - 11)::bigint::varchar || '-' || (done - 1)::bigint::varchar, ' '
+    order by turn nulls first, who nulls first, text) filter (where own), '') as mask
+from placed group by conv_id, speaker, part
+"""
+
+
+@query("op6_perspectives", PERSPECTIVES_SQL)
+def perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    views = rotate(table(spark, folder, "conversations"))
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return views.withColumn("mask", F.array_join(spans, " "))
+
+
+@query("op8_spaced_seeds")
+def spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+WARC_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as body from pages
+), m as (
+  select page_id, strlen(body)::bigint as n, sha1(body) as digest, max(page_id) over (partition by body) as top from p
+)
+select page_id, n as payload_bytes, digest as payload_digest,
+  case when n >= 1000 and page_id < top then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < top then top end as refers_to, true as payload_ok
+from m
+"""
+
+
+@query("op9_warc_bundles", WARC_SQL)
+def warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_zstd.read_bundles(warc_zstd.write_bundles(table(spark, folder, "pages")))
+
+
 def queries():
     return dict(QUERIES)
 
