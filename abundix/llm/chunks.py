@@ -105,53 +105,59 @@ def twice_at_most(keys: np.ndarray) -> np.ndarray:
     return keys[keep]
 
 
-def requests(name: str, buckets: int, probes: np.ndarray, indexed: np.ndarray, kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    """Rows of ``REQUEST``. A 64-bit hash gives the bucket by its value modulo the number of buckets and the key by the rest."""
-    rows = {}
-    for role, keys in (("probe", probes), ("indexed", indexed)):
-        owner = (keys % np.uint64(buckets)).astype(np.int64)
+def requests(name: str, buckets: int, probes: np.ndarray, indexed: np.ndarray, kind: np.dtype, owners=None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``REQUEST`` for 64-bit hashes; ``owners`` are second hashes of (probes, indexed) that pick the bucket."""
+    packed = {}
+    for i, keys in enumerate((probes, indexed)):
+        owner = ((keys if owners is None else owners[i]) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(owner, kind="stable")
-        rows[role] = ((keys // np.uint64(buckets))[order].astype(kind), np.searchsorted(owner[order], np.arange(buckets + 1)))
-    chunk, bucket, probe, index = [], [], [], []
-    for b in range(buckets):
-        (p, pc), (i, ic) = rows["probe"], rows["indexed"]
-        if pc[b] == pc[b + 1] and ic[b] == ic[b + 1]:
-            continue
-        chunk.append(name)
-        bucket.append(b)
-        probe.append(twice_at_most(p[pc[b] : pc[b + 1]]).tobytes())
-        index.append(np.unique(i[ic[b] : ic[b + 1]]).tobytes())
+        packed[i] = (stored(keys, kind)[order], np.searchsorted(owner[order], np.arange(buckets + 1)))
+    (p, pc), (i, ic) = packed[0], packed[1]
+    used = np.flatnonzero((np.diff(pc) > 0) | (np.diff(ic) > 0)).tolist()
     yield pa.RecordBatch.from_arrays(
-        [pa.array(chunk, pa.string()), pa.array(bucket, pa.int32()), pa.array(probe, pa.binary()), pa.array(index, pa.binary())],
+        [
+            pa.array([name] * len(used), pa.string()),
+            pa.array(used, pa.int32()),
+            pa.array([twice_at_most(p[pc[b] : pc[b + 1]]).tobytes() for b in used], pa.binary()),
+            pa.array([np.unique(i[ic[b] : ic[b + 1]]).tobytes() for b in used], pa.binary()),
+        ],
         names=["chunk", "bucket", "probe", "indexed"],
     )
 
 
-def repeated_keys(asked: DataFrame, buckets: int, kind: np.dtype) -> DataFrame:
-    """Rows of ``ANSWER``: the hashes, cut to what ``kind`` holds, of indexed keys with two probes or more."""
+def stored(hashes: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The part of a hash that travels: all of it, or its upper half."""
+    return hashes if np.dtype(kind) == np.uint64 else (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def answered(hashes: np.ndarray, buckets: int, kind: np.dtype) -> np.ndarray:
+    """What ``repeated_keys`` answers for these hashes: upper half and bucket, if only that travelled."""
+    if np.dtype(kind) == np.uint64:
+        return hashes
+    return (hashes >> np.uint64(32) << np.uint64(32)) | (hashes % np.uint64(buckets))
+
+
+def repeated_keys(asked: DataFrame, kind: np.dtype) -> DataFrame:
+    """Rows of ``ANSWER``: the indexed keys with two probes or more."""
     kind = np.dtype(kind)
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        probes = np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column("probe").to_pylist()] or [np.zeros(0, kind)])
-        probes = np.sort(probes)
+        probes = np.sort(np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column("probe").to_pylist()]))
         again = np.unique(probes[1:][probes[1:] == probes[:-1]])
         chunk, keys = [], []
         for name, packed in zip(table.column("chunk").to_pylist(), table.column("indexed").to_pylist()):
             own = np.frombuffer(packed, dtype=kind)
-            found = own[is_in(own, again)]
+            found = own[is_in(own, again)].astype(np.uint64)
             if len(found):
+                if kind != np.uint64:
+                    found = (found << np.uint64(32)) | np.uint64(key[0].as_py())
                 chunk.append(name)
-                keys.append((found.astype(np.uint64) * np.uint64(buckets) + np.uint64(key[0].as_py())).tobytes())
+                keys.append(found.tobytes())
         return pa.table([pa.array(chunk, pa.string()), pa.array(keys, pa.binary())], names=["chunk", "keys"])
 
     return asked.groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
-def cut_hashes(hashes: np.ndarray, buckets: int, kind: np.dtype) -> np.ndarray:
-    """What ``repeated_keys`` returns for these hashes."""
-    return (hashes // np.uint64(buckets)).astype(kind).astype(np.uint64) * np.uint64(buckets) + hashes % np.uint64(buckets)
-
-
 def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Membership in a sorted array."""
     if len(ordered) == 0:

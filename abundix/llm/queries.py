@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundix.llm import simple8b, warc_zstd
+from abundix.llm.anchors import repeats
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
 from abundix.llm.mixing import Mix, with_word_counts
@@ -177,6 +178,12 @@ def warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
     return warc_zstd.read_bundles(warc_zstd.write_bundles(table(spark, folder, "pages")))
 
 
+@query("op10_block_anchors")
+def block_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def queries():
     return dict(QUERIES)
 
