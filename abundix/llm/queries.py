@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from abundix.llm import simple8b, warc_zstd
 from abundix.llm.anchors import repeats
+from abundix.llm.class_lm import score_documents
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
 from abundix.llm.mixing import Mix, with_word_counts
@@ -184,6 +185,12 @@ def block_anchors(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+@query("op2_class_bigrams")
+def class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return score_documents(table(spark, folder, "documents"), held_out)
+
+
 def queries():
     return dict(QUERIES)
 
