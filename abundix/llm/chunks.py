@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,3 +182,22 @@ def visit_chunks(
     every = manifest.select("chunk", F.lit(None).cast("binary").alias("keys"))
     return answers.unionByName(every).groupBy("chunk").applyInArrow(run, schema)
 
+
+def visit_answers(
+    manifest: DataFrame, answers: DataFrame, fn: Callable[[str, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema
+) -> DataFrame:
+    """Run ``fn(name, rows, answers)`` on every chunk; ``answers`` are its rows of the table, none of them maybe.
+
+    The second column of the answers must not be NULL.
+    """
+
+    marker = answers.columns[1]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        table = table.filter(pa.compute.is_valid(table.column(marker)))
+        name = key[0].as_py()
+        yield from fn(name, open_chunk(name), table)
+
+    every = manifest.select("chunk", *[F.lit(None).cast(f.dataType).alias(f.name) for f in answers.schema if f.name != "chunk"])
+    return answers.unionByName(every).groupBy("chunk").applyInArrow(run, schema)

@@ -20,7 +20,7 @@ is held on the driver and sent to tasks depends on ``core_words`` and ``classes`
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abundix.llm.chunks import bucket_count, each_chunk, open_chunk, stage_chunks
+from abundix.llm.chunks import bucket_count, each_chunk, stage_chunks, visit_answers
 from abundix.llm.words import Words, ranges, word_slices
 from abundix.session import cut_lineage
 
@@ -444,15 +444,3 @@ def transition_scores(moves: np.ndarray | None, tokens: np.ndarray, types: np.nd
     last = chance @ unseen
     return np.log10(np.maximum(np.concatenate([chance, last[:, None]], axis=1), 1e-300))
 
-
-def visit_answers(manifest: DataFrame, answers: DataFrame, fn: Callable[[str, pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """Run ``fn(name, rows, answers)`` on every chunk that has answers or none."""
-
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        table = table.filter(pa.compute.is_valid(table.column("bucket")))
-        name = key[0].as_py()
-        yield from fn(name, open_chunk(name), table)
-
-    every = manifest.select("chunk", *[F.lit(None).cast(f.dataType).alias(f.name) for f in answers.schema if f.name != "chunk"])
-    return answers.unionByName(every).groupBy("chunk").applyInArrow(run, schema)

@@ -10,6 +10,7 @@ from abundix.llm.anchors import repeats
 from abundix.llm.class_lm import score_documents
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
+from abundix.llm.jaccard_rtree import jaccard_components
 from abundix.llm.mixing import Mix, with_word_counts
 from abundix.llm.perspectives import rotate
 from abundix.llm.registry import ORACLES, QUERIES, query, table
@@ -191,6 +192,11 @@ def class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"), held_out)
 
 
+@query("op7_jaccard_rtree")
+def jaccard_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(table(spark, folder, "documents"))
+
+
 def queries():
     return dict(QUERIES)
 

@@ -119,13 +119,13 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_slices(column: pa.Array, *, lower: bool = False, max_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+def word_slices(column: pa.Array, *, lower: bool = False, max_bytes: int = SLICE_BYTES, max_rows: int = 1 << 20) -> Iterator[Words]:
     """Slices of whole texts with at most ``max_bytes``, or one longer text."""
     data, offsets = text_buffer(column)
     first, rows = 0, len(offsets) - 1
     while first < rows:
         last = int(np.searchsorted(offsets, offsets[first] + max_bytes, side="right")) - 1
-        last = min(max(last, first + 1), rows)
+        last = min(max(last, first + 1), rows, first + max_rows)
         part = data[offsets[first] : offsets[last]]
         if lower:
             part = _LOWER[part]
