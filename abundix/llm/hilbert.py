@@ -6,7 +6,8 @@ point on the Hilbert curve and the order is cut into runs of equal bytes. Neighb
 dimensions, so the minimum and maximum of any of them prunes shards.
 
 Defined results: NULL is a value of its own in each dimension; NULL text has size 1; ties on the curve follow the
-tie columns, full copies are interchangeable; an empty table gives no rows; other columns are carried along.
+tie columns, full copies are interchangeable; an empty table gives no rows; other columns are carried along,
+but ``curve``, ``shard`` and ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ def hilbert_shards(
     df: DataFrame, dimensions: Sequence[str], shards: int, *, size: str = "size", ties: Sequence[str] = (), bits: int = 8
 ) -> DataFrame:
     """Adds ``shard`` (0 to shards - 1, near equal sums of ``size``), ``slot`` (gapless from 0) and ``curve``."""
+    df = df.drop(*[c for c in ("curve", "shard", "slot") if c not in (size, *dimensions, *ties)])
     kept = df.columns
     points = quantised(df, dimensions, bits)
     cells = [f"__cell{i}" for i in range(len(dimensions))]

@@ -26,6 +26,7 @@ from abundix.llm.words import Words, mix64, windows, word_slices
 from abundix.session import cut_lineage
 
 WINDOW = 8
+BROADCAST_HOSTS = 100_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = np.zeros(256, dtype=np.int64)
 _SYMBOLS[list(b"#*$%&|<>")] = 1
@@ -88,9 +89,9 @@ def measure(words: Words) -> dict[str, np.ndarray]:
     }
 
 
-def with_measures(df: DataFrame, text: str = "text", *, keep_text: bool = False) -> DataFrame:
-    """Adds the measures; ``text`` itself is dropped unless wanted. Columns of the same names are replaced."""
-    kept = [c for c in df.columns if c not in MEASURES and (keep_text or c != text)]
+def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
+    """The measures in place of ``text``. Columns of the same names are replaced."""
+    kept = [c for c in df.columns if c not in MEASURES and c != text]
     rows = df.select(*kept, F.col(text).alias("__text"))
     schema = rows.drop("__text").schema
     for name in MEASURES:
@@ -118,14 +119,13 @@ RULES = {
 BASE = ("few_words", "repeats")
 
 
-def host_verdicts(measured: DataFrame, host: str = "source", *, host_limit: float = 0.5) -> DataFrame:
-    """Adds ``failures`` (rules failed), ``host_rate`` (shrunk), ``base_failed`` and ``kept``.
+def with_failures(measured: DataFrame) -> DataFrame:
+    return measured.withColumn("failures", sum((F.expr(rule).cast("int") for rule in RULES.values()), F.lit(0)))
 
-    Reads the table twice, so it should be checkpointed. What comes to the driver is three sums over all hosts.
-    """
-    failures = sum((F.expr(rule).cast("int") for rule in RULES.values()), F.lit(0))
-    marked = measured.withColumn("failures", failures)
-    hosts = marked.groupBy(F.col(host).alias("__host")).agg(
+
+def host_rates(measured: DataFrame, host: str) -> DataFrame:
+    """Rows (__host, host_rate). What comes to the driver is four sums over all hosts."""
+    hosts = with_failures(measured).groupBy(F.col(host).alias("__host")).agg(
         F.count(F.lit(1)).alias("__docs"), F.sum((F.col("failures") > 0).cast("long")).alias("__failed")
     )
     rate = F.col("__failed") / F.col("__docs")
@@ -137,8 +137,13 @@ def host_verdicts(measured: DataFrame, host: str = "source", *, host_limit: floa
     ).first()
     mean, weight = prior(sums["hosts"], sums["docs"] or 0, sums["failed"] or 0, sums["squares"] or 0.0)
     shrunk = (F.col("__failed") + F.lit(mean * weight)) / (F.col("__docs") + F.lit(weight))
-    hosts = hosts.select("__host", shrunk.alias("host_rate"))
-    out = marked.join(hosts, marked[host].eqNullSafe(hosts["__host"])).drop("__host")
+    rates = hosts.select("__host", shrunk.alias("host_rate"))
+    return F.broadcast(rates) if sums["hosts"] <= BROADCAST_HOSTS else rates
+
+
+def host_verdicts(measured: DataFrame, rates: DataFrame, host: str, *, host_limit: float = 0.5) -> DataFrame:
+    """Adds ``failures`` (rules failed), ``host_rate`` (shrunk), ``base_failed`` and ``kept``."""
+    out = with_failures(measured).join(rates, F.col(host).eqNullSafe(rates["__host"])).drop("__host")
     base = F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
     trusted = (F.col("failures") == 0) | ((F.col("failures") == 1) & (F.col("host_rate") <= host_limit))
     return out.withColumn("base_failed", base).withColumn("kept", ~base & trusted)
@@ -156,5 +161,18 @@ def prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[float, fl
     return mean, min(1e6, max(1.0, binomial / between - 1))
 
 
-def quality_rules(df: DataFrame, text: str = "text", host: str = "source", *, keep_text: bool = False) -> DataFrame:
-    return host_verdicts(cut_lineage(with_measures(df, text, keep_text=keep_text)), host)
+def quality_rules(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """Measures and verdict of every document, in place of its text; columns of the same names are replaced."""
+    measured = cut_lineage(with_measures(df, text))
+    return host_verdicts(measured, host_rates(measured, host), host)
+
+
+def kept_documents(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The documents that the verdict keeps, with all their columns as they were.
+
+    Two passes over the texts, so that no copy of them is checkpointed: rates first, then measures and verdict.
+    """
+    rates = host_rates(with_measures(df.select(host, text), text), host)
+    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(host).alias("__own"), F.col(text).alias("__body"))
+    judged = host_verdicts(with_measures(whole, "__body"), rates, "__own")
+    return judged.where("kept").select("__row.*")

@@ -12,7 +12,8 @@ What the driver holds is the plan: one row per source and at most ``PLAN_CELLS``
 number of shards gives way to that bound. Widths grow so that all quotas together stay below ``MOST_BLOCKS``.
 
 Defined results: NULL text has 0 words and is never drawn; NULL is a source of its own, the last in order;
-repeated rows are separate documents; an empty table gives an empty mix; other columns are carried along unread.
+repeated rows are separate documents; an empty table gives an empty mix; other columns are carried
+along unread, but those with the names of ``ADDED`` are dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ PLAN_CELLS = 1 << 22
 MOST_SOURCES = 1 << 16
 MOST_BLOCKS = 500_000_000
 LEAST_BLOCKS = 256
-PIECES = "source string, shard int, epoch int, block long, first_word long, n_words long"
+ADDED = ("source_size", "target", "taken", "shard", "epoch", "block", "first_word", "n_words", "slot", "__before")
+
+
+def cycled_weights(sources: list[str | None]) -> list[float]:
+    """3, 1, 2, 3, 1, 2, ... in the order of the sources."""
+    return [(3.0, 1.0, 2.0)[i % 3] for i in range(len(sources))]
 
 
 def with_word_counts(df: DataFrame, text: str, name: str) -> DataFrame:
@@ -172,6 +178,7 @@ class Mix:
         whole_documents: bool = False,
         seed: int = 20,
     ):
+        docs = docs.drop(*[c for c in ADDED if c not in (size, source, key)])
         self.columns = docs.columns
         self.size, self.source, self.whole = size, source, whole_documents
         order = [F.col(source).asc_nulls_last(), F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key), F.col(size)]

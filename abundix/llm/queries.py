@@ -11,22 +11,15 @@ from abundix.llm.class_lm import score_documents
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
 from abundix.llm.jaccard_rtree import jaccard_components
-from abundix.llm.mixing import Mix, with_word_counts
+from abundix.llm.mixing import Mix, cycled_weights, with_word_counts
 from abundix.llm.perspectives import rotate
 from abundix.llm.registry import ORACLES, QUERIES, query, table
 from abundix.llm.spaced_seeds import contaminated
 
-WEIGHTS = (3.0, 1.0, 2.0)
-
-
-def cycled(sources: list[str | None]) -> list[float]:
-    return [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))]
-
-
 @query("op1_mix_sources")
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    mix = Mix(with_word_counts(docs, "text", "size"), cycled)
+    mix = Mix(with_word_counts(docs, "text", "size"), cycled_weights)
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
