@@ -247,7 +247,7 @@ class Mix:
 
         schema = self.rows.select(*kept, F.col(self.source).alias("source")).schema
         for name, kind in (("shard", "int"), ("epoch", "int"), ("block", "long"), ("first_word", "long"), ("n_words", "long")):
-            schema = schema.add(name, kind)
+            schema = schema.add(name, {"int": "integer"}.get(kind, kind))
         drawn = self._light().mapInArrow(draw, schema)
         shuffled = W.partitionBy("shard").orderBy(F.xxhash64("source", "epoch", "block", *kept), *kept, "first_word")
         return drawn.withColumn("slot", F.row_number().over(shuffled))
