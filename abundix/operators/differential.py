@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.functions.special import digamma, inverse_trigamma, t_two_sided_p, trigamma
-from abundix.operators.ordered import keys_of, prefix_scan, settled
+from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan, present
 from abundix.session import cut_lineage
 
 
@@ -170,7 +170,7 @@ def moderate(tests: DataFrame, d0: Column, s02: Column, df_pooled: Column | None
     return (
         tests.withColumn("s2_post", posterior)
         .withColumn("df_total", total.cast("double"))
-        .withColumn("t_mod", F.col("log_fc") / F.sqrt(F.col("s2_post") * F.col("unscaled")))
+        .withColumn("t_mod", F.when(posterior > 0, F.col("log_fc") / F.sqrt(posterior * F.col("unscaled"))))
     )
 
 
@@ -184,19 +184,21 @@ def moderated_test(tests: DataFrame, by: str | Sequence[str] | None = "compariso
 
 
 def bh_adjust(df: DataFrame, by: str | Sequence[str] | None, p: str = "p", out: str = "p_adj") -> DataFrame:
-    """Benjamini-Hochberg adjustment within each group; a missing p stays missing and is not counted.
+    """Benjamini-Hochberg adjustment within each group; a missing p (NULL or NaN) gets NULL and is not counted.
 
     Works on distinct p with counts: equal p get equal results, and a p shared by very many rows (1.0) is
     one row before any window sees it.
     """
     keys = keys_of(by)
     df = cut_lineage(df)
-    levels, largest = settled(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n")), keys)
-    ranks = prefix_scan(levels, keys, p, {"__rank": ("sum", F.col("__n"))}, largest=largest)
-    raw = ranks.select(*keys, p, (F.col(p) * F.col("__rank_total") / F.col("__rank")).alias("__raw"))
-    adjusted = prefix_scan(raw, keys, p, {"__min": ("min", F.col("__raw"))}, descending=True, largest=largest)
+    levels = df.where(present(df, p)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("__n"))
+    ranks = prefix_scan(cut_ranges(levels, keys, p), keys, p, {"__rank": ("sum", F.col("__n"))})
+    raw = ranks.withColumn("__raw", F.col(p) * F.col("__rank_total") / F.col("__rank"))
+    adjusted = prefix_scan(raw, keys, p, {"__min": ("min", F.col("__raw"))}, descending=True)
     adjusted = adjusted.select(*keys, p, F.least(F.col("__min"), F.lit(1.0)).alias(out))
-    return df.join(adjusted, [*keys, p], "left").select(*df.columns, out)
+    known = df.where(present(df, p)).join(adjusted, [*keys, p]).select(*df.columns, out)
+    missing = df.where(F.coalesce(~present(df, p), F.lit(True))).select(*df.columns, F.lit(None).cast("double").alias(out))
+    return known.unionByName(missing)
 
 
 def patient_effects(

@@ -15,7 +15,7 @@ from abundix.functions.text import pathway_label
 from abundix.operators.differential import bh_adjust
 from abundix.operators.filters import top_rows
 from abundix.operators.multivar import outer_sums, standardised_rows
-from abundix.operators.ordered import keys_of, prefix_scan, settled
+from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan
 from abundix.operators.reshape import explode_tokens, sets_to_long
 from abundix.session import cut_lineage
 
@@ -72,11 +72,11 @@ def significant_kinases(tested: DataFrame, min_substrates: int = 5, max_fdr: flo
 # --- ranked lists ----------------------------------------------------------------------------------------
 
 
-def _peak(hits: DataFrame, keys: list[str], largest: int) -> DataFrame:
+def _peak(hits: DataFrame, keys: list[str]) -> DataFrame:
     """Enrichment score from hits (keys, rank, weight, n, h): the running sum moves up only at hits, so its
     extremes lie just after or just before one of them."""
     sums = prefix_scan(
-        hits, keys, "rank", {"__w": ("sum", F.col("weight")), "__i": ("sum", F.lit(1))}, largest=largest
+        cut_ranges(hits, keys, "rank"), keys, "rank", {"__w": ("sum", F.col("weight")), "__i": ("sum", F.lit(1))}
     )
     missed = (F.col("rank") - F.col("__i")) / (F.col("n") - F.col("h"))
     after = F.col("__w") / F.col("__w_total") - missed
@@ -103,12 +103,12 @@ def ranked_set_scores(
     keys = keys_of(by)
     members = sets.select("term", F.col("gene").alias(feature)).distinct()
     hits = ranked.select(*keys, feature, "rank", "n", F.abs(value).alias("weight")).join(members, feature)
-    hits, largest = settled(hits.drop(feature), [*keys, "term"])
+    hits = cut_lineage(hits.drop(feature))
     sizes = hits.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("h"))
     sizes = sizes.where(F.col("h") >= min_size)
     if max_size is not None:
         sizes = sizes.where(F.col("h") <= max_size)
-    return _peak(hits.join(sizes, [*keys, "term"]), [*keys, "term"], largest)
+    return _peak(hits.join(sizes, [*keys, "term"]), [*keys, "term"])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -160,7 +160,6 @@ def null_set_scores(
     """
     keys = keys_of(by)
     wanted = cut_lineage(sizes.select(*keys, "n", "h").distinct())
-    largest = wanted.agg(F.max("h")).first()[0] or 0
     # A few size rows grow to sizes x permutations x members: spread them over tasks before they grow.
     width = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
@@ -181,7 +180,7 @@ def null_set_scores(
     )
     weights = ranked.select(*keys, "rank", F.abs(value).alias("weight"))
     hits = draws.join(weights, [*keys, "rank"])
-    peaks = _peak(hits.withColumn("__size", F.col("h")), [*keys, "__size", "perm"], largest)
+    peaks = _peak(hits.withColumn("__size", F.col("h")), [*keys, "__size", "perm"])
     return peaks.select(*keys, "h", "perm", "es")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abundix.operators.ordered import keys_of, prefix_scan, settled
+from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan
 from abundix.session import cut_lineage
 
 
@@ -23,30 +23,26 @@ def target_decoy_q(
 ) -> DataFrame:
     """q-value of each row: least decoys/targets over all cut-offs that still keep it.
 
-    Rows are first counted per score, so ties share a cut-off; both running values then go over cells.
+    Rows are first counted per score, so ties share a cut-off; both running values then go over the
+    same ranges of scores.
     """
     keys = keys_of(by)
     df = cut_lineage(df)
     levels = df.groupBy(*keys, score).agg(
         F.count_if(F.col(decoy)).alias("__decoys"), F.count_if(~F.col(decoy)).alias("__targets")
     )
-    levels, largest = settled(levels, keys)
     sums = prefix_scan(
-        levels,
+        cut_ranges(levels, keys, score),
         keys,
         score,
         {"__cum_decoys": ("sum", F.col("__decoys")), "__cum_targets": ("sum", F.col("__targets"))},
         descending=True,
-        largest=largest,
     )
-    rate = sums.select(
-        *keys,
-        score,
-        F.when(F.col("__cum_targets") > 0, F.col("__cum_decoys") / F.col("__cum_targets"))
-        .otherwise(F.lit(float("inf")))
-        .alias("__rate"),
+    rate = sums.withColumn(
+        "__rate",
+        F.when(F.col("__cum_targets") > 0, F.col("__cum_decoys") / F.col("__cum_targets")).otherwise(F.lit(float("inf"))),
     )
-    q = prefix_scan(rate, keys, score, {"q_value": ("min", F.col("__rate"))}, largest=largest)
+    q = prefix_scan(rate, keys, score, {"q_value": ("min", F.col("__rate"))})
     return df.join(q.select(*keys, score, "q_value"), [*keys, score])
 
 

@@ -1,9 +1,13 @@
 """Order-dependent operators for groups of any size: running totals, ranks, quantiles.
 
-A plain window over ``partitionBy(group)`` puts a group into one task. Here the group is first cut into
-value cells (``order_cell``); the cells are summed with a map-side combine, the small table of cell totals
-gets the window over the group, and only rows of one cell share a task. Where the largest group has been
-counted and is small, the plain window is used instead.
+A plain window over ``partitionBy(group)`` puts a group into one task. Here all rows are dealt to ranges of
+(group, order) whose bounds Spark takes from a sample of the rows, so a large group spreads over as many ranges as
+its share asks for, whatever its values look like. Ranges are summed, the small table of range totals (one row
+per group and range) gets the window over the group, and only rows of one group in one range share a task. There
+is one plan at every size.
+
+NULL and NaN both mean missing: ``grouped_rank`` and ``grouped_quantiles`` leave such rows out; keys and orders
+given to ``prefix_scan`` must not be missing.
 """
 
 from __future__ import annotations
@@ -13,12 +17,11 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from abundix.functions.numeric import order_cell
 from abundix.session import cut_lineage
 
-_CELL = "__cell"
-SMALL_GROUP = 100_000
+_RANGE = "__range"
 _REDUCE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -28,59 +31,51 @@ def keys_of(by: str | Iterable[str] | None) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _sorted(name: str, descending: bool) -> Column:
-    return F.col(name).desc() if descending else F.col(name).asc()
+def present(df: DataFrame, value: str) -> Column:
+    """Neither NULL nor NaN."""
+    known = F.col(value).isNotNull()
+    return known & ~F.isnan(value) if isinstance(df.schema[value].dataType, (DoubleType, FloatType)) else known
 
 
-def settled(df: DataFrame, by: str | Iterable[str] | None) -> tuple[DataFrame, int]:
-    """A checkpointed copy, for an operator that reads its input several times, and the rows of the largest group."""
-    df = cut_lineage(df)
-    keys = keys_of(by)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return df, counts.agg(F.max("n")).first()[0] or 0
+def cut_ranges(df: DataFrame, by: str | Iterable[str] | None, *order: str | Column) -> DataFrame:
+    """A checkpointed copy dealt to ranges of (by, order), with the number of the range in ``__range``.
+
+    The checkpoint keeps bounds and numbers the same for all that is read from the copy.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *keys_of(by), *order).withColumn(_RANGE, F.spark_partition_id()))
 
 
 def prefix_scan(
-    df: DataFrame,
+    held: DataFrame,
     by: str | Iterable[str] | None,
     order: str,
     measures: Mapping[str, tuple[str, Column]],
     *,
     descending: bool = False,
-    largest: int | None = None,
 ) -> DataFrame:
     """Running ``sum``, ``min`` or ``max`` along ``order`` in each group, the current row included.
 
-    ``measures`` maps a new column to (kind, expression). Every measure also gets ``<name>_total``, the
-    value over the whole group. ``order`` must be unique in a group (collapse equal values first); keys
-    and ``order`` must not be NULL. ``largest`` is the known size of the largest group: up to
-    ``SMALL_GROUP`` rows one plain window does, anything larger or unknown is cut into cells.
+    ``held`` comes from ``cut_ranges(df, by, order)`` and keeps its ranges. ``measures`` maps a new column to
+    (kind, expression). Every measure also gets ``<name>_total``, the value over the whole group. ``order`` must
+    be unique in a group (collapse equal values first).
     """
     keys = keys_of(by)
-    if largest is not None and largest <= SMALL_GROUP:
-        whole = W.partitionBy(*keys)
-        along = whole.orderBy(_sorted(order, descending)).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select(
-            "*",
-            *[_REDUCE[kind](expr).over(along).alias(name) for name, (kind, expr) in measures.items()],
-            *[_REDUCE[kind](expr).over(whole).alias(f"{name}_total") for name, (kind, expr) in measures.items()],
-        )
-    tagged = df.withColumn(_CELL, order_cell(F.col(order)))
-    totals = tagged.groupBy(*keys, _CELL).agg(
-        *[_REDUCE[kind](expr).alias(name) for name, (kind, expr) in measures.items()]
-    )
+
+    def along(name: str) -> Column:
+        return F.col(name).desc() if descending else F.col(name).asc()
+
+    totals = held.groupBy(*keys, _RANGE).agg(*[_REDUCE[kind](expr).alias(name) for name, (kind, expr) in measures.items()])
     group = W.partitionBy(*keys)
-    before = group.orderBy(_sorted(_CELL, descending)).rowsBetween(W.unboundedPreceding, -1)
+    before = group.orderBy(along(_RANGE)).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         *keys,
-        _CELL,
+        _RANGE,
         *[_REDUCE[kind](name).over(before).alias(f"__before_{name}") for name, (kind, _) in measures.items()],
         *[_REDUCE[kind](name).over(group).alias(f"{name}_total") for name, (kind, _) in measures.items()],
     )
-    inside = (
-        W.partitionBy(*keys, _CELL).orderBy(_sorted(order, descending)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    out = tagged.join(offsets, [*keys, _CELL])
+    inside = W.partitionBy(*keys, _RANGE).orderBy(along(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = held.join(offsets, [*keys, _RANGE])
     for name, (kind, expr) in measures.items():
         here, earlier = _REDUCE[kind](expr).over(inside), F.col(f"__before_{name}")
         if kind == "sum":
@@ -88,7 +83,7 @@ def prefix_scan(
         else:
             combined = (F.least if kind == "min" else F.greatest)(here, earlier)
         out = out.withColumn(name, combined)
-    return out.drop(_CELL, *[f"__before_{name}" for name in measures])
+    return out.drop(*[f"__before_{name}" for name in measures])
 
 
 def grouped_rank(
@@ -100,47 +95,26 @@ def grouped_rank(
     rank: str = "rank",
     total: str | None = None,
     descending: bool = True,
-    heavy_ties: int = 1_000_000,
 ) -> DataFrame:
     """Position 1, 2, ... of each row in its group by ``value``; equal values follow md5(``tie``), then ``tie``.
 
-    Hash order for ties is deliberate: a value shared by more than ``heavy_ties`` rows is cut further by
-    the first hash digits, so not even one repeated value ends in one task. Rows without a value have no
-    rank and are left out, as in a sort that drops missing values.
+    Hash order for ties is deliberate: a value that very many rows share is cut into ranges of the hash. Rows
+    without a value have no rank and are left out, as in a sort that drops missing values.
     """
     keys = keys_of(by)
-    rows, largest = settled(df.where(F.col(value).isNotNull()), keys)
-    rows = rows.withColumn("__hash", F.md5(F.col(tie).cast("string").cast("binary")))
-    if largest <= SMALL_GROUP:
-        group = W.partitionBy(*keys)
-        out = rows.withColumn(rank, F.row_number().over(group.orderBy(_sorted(value, descending), "__hash", tie)).cast("long"))
-        if total:
-            out = out.withColumn(total, F.count(F.lit(1)).over(group))
-        return out.select(*df.columns, rank, *([total] if total else []))
-    levels = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    levels = prefix_scan(levels, keys, value, {"__upto": ("sum", F.col("__n"))}, descending=descending)
-    levels = levels.withColumn("__start", F.col("__upto") - F.col("__n"))
-    heavy = levels.where(F.col("__n") > heavy_ties)
-
-    rows = rows.join(heavy.select(*keys, value, F.lit(True).alias("__heavy")), [*keys, value], "left")
-    rows = rows.withColumn("__sub", F.when(F.col("__heavy"), F.substring("__hash", 1, 3)).otherwise(""))
-
-    pieces = rows.where(F.col("__heavy")).groupBy(*keys, value, "__sub").agg(F.count(F.lit(1)).alias("__piece"))
-    earlier = W.partitionBy(*keys, value).orderBy("__sub").rowsBetween(W.unboundedPreceding, -1)
-    pieces = pieces.withColumn("__skip", F.coalesce(F.sum("__piece").over(earlier), F.lit(0)))
-    starts = levels.where(F.col("__n") <= heavy_ties).select(
-        *keys, value, F.lit("").alias("__sub"), "__start", "__upto_total"
-    )
-    starts = starts.unionByName(
-        pieces.join(heavy, [*keys, value]).select(
-            *keys, value, "__sub", (F.col("__start") + F.col("__skip")).alias("__start"), "__upto_total"
-        )
+    rows = df.where(present(df, value)).withColumn("__hash", F.md5(F.col(tie).cast("string").cast("binary")))
+    order = [F.col(value).desc() if descending else F.col(value).asc(), F.col("__hash"), F.col(tie)]
+    held = cut_ranges(rows, keys, *order)
+    sizes = held.groupBy(*keys, _RANGE).agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(*keys)
+    earlier = group.orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(
+        *keys, _RANGE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"), F.sum("__n").over(group).alias("__total")
     )
-    inside = W.partitionBy(*keys, value, "__sub").orderBy("__hash", tie)
-    out = rows.join(starts, [*keys, value, "__sub"])
-    out = out.withColumn(rank, (F.col("__start") + F.row_number().over(inside)).cast("long"))
+    inside = W.partitionBy(*keys, _RANGE).orderBy(*order)
+    out = held.join(starts, [*keys, _RANGE]).withColumn(rank, (F.col("__start") + F.row_number().over(inside)).cast("long"))
     if total:
-        out = out.withColumn(total, F.col("__upto_total").cast("long"))
+        out = out.withColumn(total, F.col("__total"))
     return out.select(*df.columns, rank, *([total] if total else []))
 
 
@@ -154,47 +128,28 @@ def grouped_quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    Pass one counts cells, pass two reads only the rows of the cells that hold a wanted position; the
-    full group is neither sorted nor shuffled.
+    Equal values are counted first; the counts get running totals, and the values that hold a wanted position
+    are picked by an aggregate.
     """
     keys = keys_of(by)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, value, order_cell(F.col(value)).alias(_CELL))
-    cells = rows.groupBy(*keys, _CELL).agg(F.count(F.lit(1)).alias("__n"))
-    group = W.partitionBy(*keys)
-    running = group.orderBy(_CELL).rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = cells.select(
-        *keys,
-        _CELL,
-        (F.sum("__n").over(running) - F.col("__n")).alias("__start"),
-        F.sum("__n").over(running).alias("__end"),
-        F.sum("__n").over(group).alias("__total"),
-    )
+    levels = df.where(present(df, value)).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    steps = prefix_scan(cut_ranges(levels, keys, value), keys, value, {"__end": ("sum", F.col("__n"))})
+    start, end, size = F.col("__end") - F.col("__n"), F.col("__end"), F.col("__end_total")
 
     def position(prob: float) -> Column:
-        return (F.col("__total") - 1) * F.lit(float(prob))
+        return (size - 1) * F.lit(float(prob))
 
     def holds(spot: Column) -> Column:
-        return (spot >= F.col("__start")) & (spot < F.col("__end"))
-
-    wanted = F.lit(False)
-    for prob in probs.values():
-        wanted = wanted | holds(F.floor(position(prob))) | holds(F.ceil(position(prob)))
-    picked = cells.where(wanted).select(*keys, _CELL, F.col("__start").alias("__base"), "__total")
-    steps = rows.join(picked, [*keys, _CELL]).groupBy(*keys, _CELL, "__base", "__total", value).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    inside = W.partitionBy(*keys, _CELL).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    steps = steps.withColumn("__end", F.col("__base") + F.sum("__n").over(inside)).withColumn(
-        "__start", F.col("__end") - F.col("__n")
-    )
-    parts: list[Column] = [F.max("__total").alias("__total")]
+        return (spot >= start) & (spot < end)
+
+    parts: list[Column] = [F.max("__end_total").alias("__end_total")]
     for name, prob in probs.items():
         parts.append(F.max(F.when(holds(F.floor(position(prob))), F.col(value))).alias(f"__lo_{name}"))
         parts.append(F.max(F.when(holds(F.ceil(position(prob))), F.col(value))).alias(f"__hi_{name}"))
     ends = steps.groupBy(*keys).agg(*parts)
     columns: list[Column] = [F.col(k) for k in keys]
     if count:
-        columns.append(F.col("__total").alias(count))
+        columns.append(size.alias(count))
     for name, prob in probs.items():
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
         share = position(prob) - F.floor(position(prob))

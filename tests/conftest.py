@@ -15,11 +15,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def cells_only(monkeypatch):
-    """Force the cell plans that large groups take."""
-    from abundix.operators import ordered
-
-    monkeypatch.setattr(ordered, "SMALL_GROUP", 0)

@@ -341,12 +341,7 @@ def brute_score(weights, hits):
     return up if up >= -down else down
 
 
-@pytest.mark.parametrize("force_cells", [False, True])
-def test_ranked_scores(spark, monkeypatch, force_cells):
-    from abundix.operators import ordered
-
-    if force_cells:
-        monkeypatch.setattr(ordered, "SMALL_GROUP", 0)
+def test_ranked_scores(spark):
     rng = random.Random(8)
     weights = sorted((rng.gauss(0, 1) for _ in range(60)), reverse=True)
     ranked = spark.createDataFrame([("c", f"g{i}", i + 1, 60, w) for i, w in enumerate(weights)], "comparison string, feature string, rank long, n long, v double")

@@ -1,4 +1,4 @@
-"""Running totals, ranks and quantiles: both plans against plain Python."""
+"""Running totals, ranks and quantiles against plain Python."""
 
 import hashlib
 import random
@@ -13,13 +13,6 @@ from abundix.operators.differential import bh_adjust
 from abundix.operators.identify import target_decoy_q
 
 
-@pytest.fixture(params=["window", "cells"])
-def plan(request, monkeypatch):
-    if request.param == "cells":
-        monkeypatch.setattr(ordered, "SMALL_GROUP", 0)
-    return request.param
-
-
 def values(seed, n=400):
     rng = random.Random(seed)
     return [(rng.choice("abc"), f"f{i}", rng.choice([0.0, -1.5, 2.5, rng.gauss(0, 3), rng.gauss(0, 1e-6), rng.gauss(0, 1e9)])) for i in range(n)]
@@ -33,14 +26,13 @@ def test_cells_never_fall(spark):
     assert all(a[1] <= b[1] for a, b in zip(ranked, ranked[1:]))
 
 
-def test_scan(spark, plan):
+def test_scan(spark):
     rows = sorted({(g, round(v, 3)) for g, _, v in values(2)})
     df = spark.createDataFrame([(g, v, i % 7) for i, (g, v) in enumerate(rows)], "g string, v double, w long")
-    largest = 10 if plan == "window" else None
     for descending in (False, True):
         out = ordered.prefix_scan(
-            df, "g", "v", {"s": ("sum", F.col("w")), "lo": ("min", F.col("w")), "hi": ("max", F.col("w"))},
-            descending=descending, largest=largest if plan == "cells" else 10,
+            ordered.cut_ranges(df, "g", "v"), "g", "v", {"s": ("sum", F.col("w")), "lo": ("min", F.col("w")), "hi": ("max", F.col("w"))},
+            descending=descending,
         ).collect()
         for group in "abc":
             mine = sorted((r for r in out if r["g"] == group), key=lambda r: -r["v"] if descending else r["v"])
@@ -51,11 +43,10 @@ def test_scan(spark, plan):
             assert {r["s_total"] for r in mine} == {sum(w)}
 
 
-@pytest.mark.parametrize("heavy", [2, 1_000_000])
-def test_rank_with_heavy_ties(spark, plan, heavy):
+def test_rank_with_heavy_ties(spark):
     rows = values(3)
-    df = spark.createDataFrame(rows + [("a", "missing", None)], "g string, f string, v double")
-    out = ordered.grouped_rank(df, "g", "v", "f", total="n", heavy_ties=heavy).collect()
+    df = spark.createDataFrame(rows + [("a", "missing", None), ("a", "nan", float("nan"))], "g string, f string, v double")
+    out = ordered.grouped_rank(df, "g", "v", "f", total="n").collect()
     assert len(out) == len(rows)
     for group in "abc":
         expected = sorted((r for r in rows if r[0] == group), key=lambda r: (-r[2], hashlib.md5(r[1].encode()).hexdigest(), r[1]))
@@ -67,7 +58,7 @@ def test_rank_with_heavy_ties(spark, plan, heavy):
 
 def test_quantiles(spark):
     rows = values(4) + [("one", "x", 5.0), ("two", "x", 1.0), ("two", "y", 2.0)]
-    df = spark.createDataFrame(rows + [("a", "none", None)], "g string, f string, v double")
+    df = spark.createDataFrame(rows + [("a", "none", None), ("b", "nan", float("nan"))], "g string, f string, v double")
     probs = {"min": 0.0, "q1": 0.25, "median": 0.5, "p90": 0.9, "max": 1.0}
     for r in ordered.grouped_quantiles(df, "g", "v", probs, count="n").collect():
         mine = [v for g, _, v in rows if g == r["g"]]
@@ -89,17 +80,17 @@ def brute_bh(p):
     return out
 
 
-def test_bh(spark, plan):
+def test_bh(spark):
     rng = random.Random(5)
     p = [rng.choice([1.0, 0.03, rng.random(), rng.random() ** 6, 0.0]) for _ in range(300)]
-    df = spark.createDataFrame([(i, "c", v) for i, v in enumerate(p)] + [(-1, "c", None)], "i long, c string, p double")
+    df = spark.createDataFrame([(i, "c", v) for i, v in enumerate(p)] + [(-1, "c", None), (-2, "c", float("nan"))], "i long, c string, p double")
     got = {r["i"]: r["p_adj"] for r in bh_adjust(df, "c").collect()}
-    assert got.pop(-1) is None
+    assert got.pop(-1) is None and got.pop(-2) is None
     assert np.allclose([got[i] for i in range(len(p))], brute_bh(p))
     assert all(got[i] >= p[i] for i in range(len(p)))
 
 
-def test_target_decoy(spark, plan):
+def test_target_decoy(spark):
     rng = random.Random(6)
     rows = [(i, round(rng.gauss(0, 1), 1), rng.random() < 0.3) for i in range(300)] + [(999, 50.0, True)]
     df = spark.createDataFrame(rows, "i long, score double, is_decoy boolean")
@@ -115,12 +106,12 @@ def test_target_decoy(spark, plan):
 
 
 @pytest.mark.parametrize("partitions", ["1", "4", "50"])
-def test_partitioning_does_not_matter(spark, cells_only, partitions):
+def test_partitioning_does_not_matter(spark, partitions):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
         df = spark.createDataFrame(values(7), "g string, f string, v double").repartition(int(partitions))
-        out = sorted((r["g"], r["rank"], r["f"]) for r in ordered.grouped_rank(df, "g", "v", "f", heavy_ties=3).collect())
+        out = sorted((r["g"], r["rank"], r["f"]) for r in ordered.grouped_rank(df, "g", "v", "f").collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     expected = sorted(
@@ -129,3 +120,11 @@ def test_partitioning_does_not_matter(spark, cells_only, partitions):
         for i, (_, f, _) in enumerate(sorted((r for r in values(7) if r[0] == g), key=lambda r: (-r[2], hashlib.md5(r[1].encode()).hexdigest())))
     )
     assert out == expected
+
+
+@pytest.mark.parametrize("start", [1.7e9, 1e-300, -5.0])
+def test_ranges_split_what_stands_close_together(spark, start):
+    """One group of 40,000 values that differ only in their last digits must not end in one range."""
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (F.lit(start) * (1 + F.col("id") * 1e-9)).alias("v"))
+    sizes = [r["count"] for r in ordered.cut_ranges(df, "g", "v").groupBy("__range").count().collect()]
+    assert max(sizes) < 2 * 40_000 / 8
