@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundix.llm import files
+from abundix.llm.chunks import is_in
 from abundix.llm.running import running_totals
 from abundix.llm.words import ranges, word_slices
 from abundix.session import cut_lineage
@@ -37,7 +38,7 @@ SHAPES = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8),
 COUNTS = np.array([1, *[n for n, _ in SHAPES], 0], dtype=np.int64)
 _POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _SMALL = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 
 
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
@@ -189,6 +190,14 @@ class Reader:
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
 
 
+def texts(words: pa.Array) -> list[str]:
+    """Bytes that are no UTF-8 are replaced."""
+    try:
+        return words.cast(pa.string()).to_pylist()
+    except pa.ArrowInvalid:
+        return [w.decode("utf-8", "replace") for w in words.to_pylist()]
+
+
 class WordTokens:
     """Ids of words for a tokenizer that treats the words of a text one by one; each distinct word is encoded once."""
 
@@ -200,9 +209,8 @@ class WordTokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)]
-        self.bounds: list[np.ndarray] = [np.zeros(1, dtype=np.int64)]
+        self.known, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.flat, self.bounds = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each."""
@@ -216,21 +224,20 @@ class WordTokens:
         some[inverse] = np.arange(len(inverse))
         if len(self.known) + len(keys) > CACHED_WORDS:
             self._forget()
-        known = self.known
-        new = [i for i, key in enumerate(keys.tolist()) if key not in known]
+        new = np.flatnonzero(~is_in(keys, self.known))
+        flat, bounds = [self.flat], [self.bounds]
         for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            ids, lengths = self.encode([words.word(some[i]).decode("utf-8", "replace") for i in part])
-            start = len(known)
-            known.update(zip(keys[part].tolist(), range(start, start + len(part))))
-            self.flat.append(ids)
-            self.bounds.append(self.bounds[-1][-1] + np.cumsum(lengths))
-        self.flat, self.bounds = [np.concatenate(self.flat)], [np.concatenate(self.bounds)]
-        place = np.array([known[k] for k in keys.tolist()], dtype=np.int64)[inverse]
-        bounds = self.bounds[0]
-        lengths = bounds[place + 1] - bounds[place]
+            ids, lengths = self.encode(texts(words.some(some[new[low : low + 4096]])))
+            flat.append(ids)
+            bounds.append(bounds[-1][-1] + np.cumsum(lengths))
+        self.flat, self.bounds = np.concatenate(flat), np.concatenate(bounds)
+        at = np.searchsorted(self.known, keys[new])
+        self.place = np.insert(self.place, at, np.arange(len(self.known), len(self.known) + len(new)))
+        self.known = np.insert(self.known, at, keys[new])
+        place = self.place[np.searchsorted(self.known, keys)][inverse]
+        lengths = self.bounds[place + 1] - self.bounds[place]
         sums = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[0][ranges(bounds[place], lengths)], np.diff(sums[words.bounds])
+        return self.flat[ranges(self.bounds[place], lengths)], np.diff(sums[words.bounds])
 
 
 _LOADED: dict[int, WordTokens] = {}
@@ -253,7 +260,7 @@ def with_ends(ids: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarra
 
 
 def write_ids(
-    df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int = 2, file_bytes: int = 16 << 20
+    df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str = "text", end: int = 2, file_bytes: int = 48 << 20
 ) -> DataFrame:
     """Encode and write the documents in ascending order of ``key``; returns the manifest (file, part, n_docs, n_ids).
 
