@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from abundix.functions.special import digamma, inverse_trigamma, t_two_sided_p, trigamma
 from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan, present
+from abundix.operators.reshape import listed
 from abundix.session import cut_lineage
 
 
@@ -221,6 +222,7 @@ def label_direction(df: DataFrame, *, effect: str = "log_fc", p: str = "p_adj",
 def direction_flow(labelled: DataFrame, comparisons: Sequence[str], *, feature: str = "feature") -> DataFrame:
     """How many features take each path of up, down or absent through the ordered comparisons."""
     hits = labelled.where(F.col("significance") == "Significant")
+    hits = hits.withColumn("comparison", listed("comparison", comparisons))
     wide = hits.groupBy(feature).pivot("comparison", list(comparisons)).agg(F.first("direction"))
     wide = wide.na.fill("absent", list(comparisons))
     return wide.groupBy(*[F.col(f"`{c}`") for c in comparisons]).agg(F.count(F.lit(1)).alias("n"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from abundix.operators.ordered import keys_of
+from abundix.operators.reshape import listed
 
 
 def with_metadata(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def merge_shared(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def align_results(df: DataFrame, key: str, by: str, value: str, ids: Sequence[str]) -> DataFrame:
     """One row per key of the first id, one column per id; a key that another id lacks is NULL there."""
-    wide = df.groupBy(key).pivot(by, list(ids)).agg(F.avg(value))
+    wide = df.withColumn(by, listed(by, ids)).groupBy(key).pivot(by, list(ids)).agg(F.avg(value))
     first_keys = df.where(F.col(by) == ids[0]).select(key).distinct()
     return wide.join(first_keys, key, "left_semi")
 

@@ -15,8 +15,9 @@ from abundix.operators.aggregate import collapse_duplicates
 from abundix.operators.ordered import keys_of
 from abundix.operators.reshape import to_wide
 
-MAX_AXIS = 4096
+BLOCK = 2048
 _MAX_HELD = 32_000_000
+MOST_SAMPLES = 4096
 
 
 def pack_rows(
@@ -31,20 +32,29 @@ def pack_rows(
 def outer_sums(df: DataFrame, keys: Sequence[str], vec: str, size: int) -> DataFrame:
     """Sum of vec * vec' per key as rows (keys, i, j, product).
 
-    Each task adds up its own rows with matrix products and emits one partial matrix per key; the partial
-    matrices are then summed by Spark. No pair of rows is ever formed and a key of any size stays spread.
+    The axis is cut into blocks of ``BLOCK`` entries. Each task adds up its own rows with matrix products, one
+    partial matrix per key and pair of blocks (upper triangle only); the partial matrices are then summed by
+    Spark. No pair of rows is ever formed, and a key or an axis of any size stays spread.
     """
-    if size > MAX_AXIS:
-        raise ValueError(f"axis of {size} exceeds {MAX_AXIS}; select fewer columns first")
     keys = list(keys)
-    held_keys = max(1, _MAX_HELD // (size * size))
-    fields = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    blocks = -(-size // BLOCK)
+    pairs = F.array(*[F.struct(F.lit(i).alias("bi"), F.lit(j).alias("bj")) for i in range(blocks) for j in range(i, blocks)])
+    rows = df.select(*keys, F.col(vec).alias("__vec"), F.explode(pairs).alias("__pair")).select(
+        *keys,
+        "__pair.bi",
+        "__pair.bj",
+        F.slice("__vec", F.col("__pair.bi") * BLOCK + 1, F.lit(BLOCK)).alias("__left"),
+        F.slice("__vec", F.col("__pair.bj") * BLOCK + 1, F.lit(BLOCK)).alias("__right"),
+    )
+    names = [*keys, "bi", "bj"]
+    held_keys = max(1, _MAX_HELD // (min(size, BLOCK) ** 2))
+    fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in names)
 
     def emit(sums: dict) -> pd.DataFrame:
-        names = [k for k in sums for _ in range(size)]
-        out = pd.DataFrame({k: [name[n] for name in names] for n, k in enumerate(keys)})
-        out["i"] = np.tile(np.arange(size, dtype=np.int32), len(sums))
-        out["line"] = [line for matrix in sums.values() for line in matrix]
+        lines = [(name, i, line) for name, matrix in sums.items() for i, line in enumerate(matrix)]
+        out = pd.DataFrame({k: [name[n] for name, _, _ in lines] for n, k in enumerate(names)})
+        out["i"] = np.array([i for _, i, _ in lines], dtype=np.int32)
+        out["line"] = [line for _, _, line in lines]
         return out
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,34 +62,46 @@ def outer_sums(df: DataFrame, keys: Sequence[str], vec: str, size: int) -> DataF
         for batch in batches:
             if batch.empty:
                 continue
-            groups = batch.groupby(keys, sort=False) if keys else [((), batch)]
-            for name, rows in groups:
-                block = np.stack(rows[vec].to_numpy()).astype(float)
-                product = block.T @ block
-                if name in sums:
-                    sums[name] += product
-                else:
-                    sums[name] = product
+            for name, own in batch.groupby(names, sort=False):
+                product = np.stack(own["__left"].to_numpy()).astype(float).T @ np.stack(own["__right"].to_numpy()).astype(float)
+                sums[name] = sums[name] + product if name in sums else product
                 if len(sums) >= held_keys:
                     yield emit(sums)
                     sums = {}
         if sums:
             yield emit(sums)
 
-    lines = df.select(*keys, vec).mapInPandas(partial, f"{fields}i int, line array<double>")
-    cells = lines.select(*keys, "i", F.posexplode("line").alias("j", "x"))
-    return cells.groupBy(*keys, "i", "j").agg(F.sum("x").alias("product"))
+    lines = rows.mapInPandas(partial, f"{fields}i int, line array<double>")
+    cells = lines.select(*names, "i", F.posexplode("line").alias("j", "x"))
+    cells = cells.groupBy(*names, "i", "j").agg(F.sum("x").alias("product"))
+    placed = cells.select(
+        *keys, (F.col("bi") * BLOCK + F.col("i")).alias("i"), (F.col("bj") * BLOCK + F.col("j")).alias("j"), "product", (F.col("bi") < F.col("bj")).alias("__off")
+    )
+    if blocks == 1:
+        return placed.drop("__off")
+    below = placed.where("__off").select(*keys, F.col("j").alias("i"), F.col("i").alias("j"), "product")
+    return placed.drop("__off").unionByName(below)
 
 
 def pair_moments(
-    df: DataFrame, axis: Sequence[str], *, row: str = "feature", column: str = "sample", value: str = "value"
+    df: DataFrame, axis: Sequence[str], *, row: str = "feature", column: str = "sample", value: str = "value", about: str = "column"
 ) -> DataFrame:
     """Pairwise-complete n, sums and products for every pair of axis entries (a <= b).
 
-    Values, presence marks and squares stand in one vector, so one cross-product holds all of them.
+    Values, presence marks and squares stand in one vector, so one cross-product holds all of them. Values are
+    first taken from the mean of their axis entry (``about="column"``, for correlations) or of their row
+    (``about="row"``, for differences), neither of which changes the result, so that large values with small
+    differences lose no digits.
     """
     size = len(axis)
+    if about == "column":
+        means = df.groupBy(column).agg(F.avg(value).alias("__mean"))
+        df = df.join(means, column).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
     packed = pack_rows(df, axis, row=row, column=column, value=value)
+    if about == "row":
+        known = F.filter("vec", lambda x: x.isNotNull())
+        mean = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size(known), F.lit(0))
+        packed = packed.withColumn("__mean", mean).withColumn("vec", F.transform("vec", lambda x: x - F.col("__mean")))
     filled = F.transform("vec", lambda x: F.coalesce(x, F.lit(0.0)))
     marks = F.transform("vec", lambda x: F.when(x.isNull(), 0.0).otherwise(1.0))
     squares = F.transform(filled, lambda x: x * x)
@@ -132,15 +154,17 @@ def gram_matrix(
     centred = complete.withColumn("__mean", mean).select(F.transform("vec", lambda x: x - F.col("__mean")).alias("vec"))
     names = F.array(*[F.lit(s) for s in samples])
     return outer_sums(centred, [], "vec", len(samples)).select(
-        F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), "product"
+        F.element_at(names, (F.col("i") + 1).cast("int")).alias("a"), F.element_at(names, (F.col("j") + 1).cast("int")).alias("b"), "product"
     )
 
 
 def pca_scores(df: DataFrame, samples: Sequence[str], n_components: int = 2, **names: str) -> DataFrame:
     """Principal component scores of samples; the largest absolute score of each component is positive.
 
-    Only the sample x sample matrix, at most ``MAX_AXIS`` squared, comes to the driver.
+    Only the sample x sample matrix, at most ``MOST_SAMPLES`` squared, comes to the driver.
     """
+    if len(samples) > MOST_SAMPLES:
+        raise ValueError(f"{len(samples)} samples exceed {MOST_SAMPLES}; take scores of fewer samples")
     spark = df.sparkSession
     cells = gram_matrix(df, samples, **names).toPandas()
     place = {s: i for i, s in enumerate(samples)}

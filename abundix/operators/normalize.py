@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abundix.operators.ordered import grouped_median
+from abundix.operators.reshape import listed
 from abundix.session import cut_lineage
 
 
@@ -37,7 +38,8 @@ def median_polish(
     """Take out row medians, then column medians, over and over (Tukey's two-way fit).
 
     Returns residuals in ``value`` with ``row_effect`` and ``col_effect``. With ``passes`` the number is
-    fixed; otherwise it stops when the sum of absolute residuals changes by at most ``tolerance`` of itself.
+    fixed; otherwise it stops when the sum of absolute residuals changes by at most ``tolerance`` of itself, and
+    not settling within ``max_passes`` is an error.
     """
     names = {feature: "row_effect", sample: "col_effect"}
     fit = cut_lineage(
@@ -60,6 +62,9 @@ def median_polish(
             if size == 0.0 or (previous is not None and abs(previous - size) <= tolerance * size):
                 break
             previous = size
+    else:
+        if passes is None:
+            raise RuntimeError(f"median polish did not settle in {max_passes} passes")
     return fit.select(*df.columns, "row_effect", "col_effect")
 
 
@@ -72,11 +77,10 @@ def center_batches(df: DataFrame, batch: str, *, feature: str = "feature", value
 
 
 def sum_coded(column: str, levels: Sequence[str]) -> dict[str, Column]:
-    """Sum-to-zero coding: 1 for the own level, -1 for the last level, else 0."""
-    last = F.when(F.col(column) == levels[-1], F.lit(-1.0)).otherwise(F.lit(0.0))
-    return {
-        f"{column}_{level}": F.when(F.col(column) == level, F.lit(1.0)).otherwise(last) for level in levels[:-1]
-    }
+    """Sum-to-zero coding: 1 for the own level, -1 for the last level, 0 for another; no listed level is an error."""
+    own = listed(column, levels)
+    last = F.when(own == levels[-1], F.lit(-1.0)).when(own.isNotNull(), F.lit(0.0))
+    return {f"{column}_{level}": F.when(own == level, F.lit(1.0)).otherwise(last) for level in levels[:-1]}
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abundix.operators.ordered import grouped_rank
+
 
 def to_long(
     wide: DataFrame, ids: Sequence[str], *, sample: str = "sample", value: str = "value", keep_missing: bool = False
@@ -17,9 +19,27 @@ def to_long(
     return out if keep_missing else out.where(F.col(value).isNotNull())
 
 
+MOST_COLUMNS = 10_000
+
+
+def listed(column: str, names: Sequence[str]) -> Column:
+    """The column itself; a value that is not among ``names`` ends the job rather than get lost in a pivot."""
+    known = F.col(column).isNull() | F.col(column).isin(list(names))
+    message = F.concat(F.lit(f"{column} not among the given columns: "), F.col(column).cast("string"))
+    return F.when(known, F.col(column)).otherwise(F.raise_error(message))
+
+
+def names_in(df: DataFrame, column: str) -> list[str]:
+    """The distinct names of a column, in order, as a wide table needs them; bounded by what a table can have."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} values of {column}: too many for columns")
+    return sorted(r[0] for r in found)
+
+
 def to_wide(
     df: DataFrame,
-    samples: Sequence[str],
+    samples: Sequence[str] | None = None,
     *,
     feature: str | Sequence[str] = "feature",
     sample: str = "sample",
@@ -27,13 +47,18 @@ def to_wide(
     fill: float | None = None,
     distinct: bool = False,
 ) -> DataFrame:
-    """Mean per cell, missing ignored. The sample list is given, so no extra job looks for it."""
+    """Mean per cell, missing ignored.
+
+    The columns are those of the sample dimension when ``samples`` gives them, which spares a job; a row of any
+    other sample is then an error. Without it the samples of the rows themselves are looked up.
+    """
     ids = [feature] if isinstance(feature, str) else list(feature)
-    rows = df.select(*ids, sample, value)
+    samples = names_in(df, sample) if samples is None else list(samples)
+    rows = df.select(*ids, listed(sample, samples).alias(sample), value)
     if distinct:
         rows = rows.distinct()
-    wide = rows.groupBy(*ids).pivot(sample, list(samples)).agg(F.avg(value))
-    return wide if fill is None else wide.na.fill(fill, list(samples))
+    wide = rows.groupBy(*ids).pivot(sample, samples).agg(F.avg(value))
+    return wide if fill is None else wide.na.fill(fill, samples)
 
 
 def pool_log_ratio(
@@ -65,21 +90,21 @@ def mean_of_means_strict(df: DataFrame, *, target: str, part: str, sample: str =
     )
 
 
-def collapse_members(
-    df: DataFrame, group: str, member: str, *, separator: str = "; ", chunk: int = 10_000
-) -> DataFrame:
-    """Sorted member string and size per group.
+def member_rows(df: DataFrame, group: str, member: str) -> DataFrame:
+    """Distinct members in order: group, member, ``position`` from 1 and ``size``, one row each at any group size."""
+    members = df.select(group, member).where(F.col(member).isNotNull()).distinct()
+    return grouped_rank(members, group, member, member, rank="position", total="size", descending=False)
 
-    A group above ``chunk`` members comes out as several rows (``part`` 0, 1, ...; members spread by
-    checksum), so no task ever holds a whole oversized group; smaller groups are one row with part 0.
+
+def collapse_members(df: DataFrame, group: str, member: str, *, separator: str = "; ") -> DataFrame:
+    """Sorted member string and size, one row per group.
+
+    A string holds its whole group, so this is a last step for groups that a reader can take in; anything that
+    goes on working with members uses ``member_rows`` or the rows themselves.
     """
     members = df.select(group, member).where(F.col(member).isNotNull()).distinct()
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    parts = members.join(sizes, group).withColumn(
-        "part", F.pmod(F.crc32(F.col(member).cast("binary")), F.ceil(F.col("size") / F.lit(chunk)))
-    )
-    return parts.groupBy(group, "size", "part").agg(
-        F.concat_ws(separator, F.array_sort(F.collect_list(member))).alias("members")
+    return members.groupBy(group).agg(
+        F.count(F.lit(1)).alias("size"), F.concat_ws(separator, F.array_sort(F.collect_list(member))).alias("members")
     )
 
 

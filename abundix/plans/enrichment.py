@@ -179,11 +179,11 @@ def _ora_sql(chosen: str, keys: str) -> dict[str, str]:
     }
 
 
-CHOSEN_SQL = "select distinct concat('C', cast(p_size % 7 as varchar)) as cluster, concat('P', cast(p_partkey as varchar)) as feature from part where p_partkey % 3 = 0"
+CHOSEN_SQL = "select distinct concat('C', cast(p_size % 7 as varchar)) as cluster, concat('P', cast(p_partkey as varchar)) as feature from part"
 
 
 def chosen(spark, d):
-    part = table(spark, d, "part").where("p_partkey % 3 = 0")
+    part = table(spark, d, "part")
     return part.select(F.concat(F.lit("C"), (F.col("p_size") % 7).cast("string")).alias("cluster"), prefixed("P", "p_partkey").alias("feature"))
 
 
@@ -209,7 +209,7 @@ def ora_pvalue(spark, d):
 
 
 BY_K_SQL = """select distinct k_, p_size % k_ as cluster, concat('P', cast(p_partkey as varchar)) as feature
-    from part, (values (3), (4), (5)) as v(k_)"""
+    from part, (values (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) as v(k_)"""
 
 
 @query(
@@ -221,7 +221,7 @@ BY_K_SQL = """select distinct k_, p_size % k_ as cluster, concat('P', cast(p_par
 )
 def ora_by_cluster(spark, d):
     """All partitions and all their clusters in one job."""
-    part = table(spark, d, "part").withColumn("kk", F.explode(F.array(*[F.lit(k) for k in (3, 4, 5)])))
+    part = table(spark, d, "part").withColumn("kk", F.explode(F.array(*[F.lit(k) for k in range(3, 13)])))
     clusters = part.select(
         F.col("kk").cast("long").alias("kk"), (F.col("p_size") % F.col("kk")).cast("long").alias("cluster"), prefixed("P", "p_partkey").alias("feature")
     )

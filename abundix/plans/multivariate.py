@@ -53,7 +53,7 @@ def pca_scores(spark, d):
 def pca_distances(spark, d):
     """Distances between samples in the space of all components equal those between their centred columns."""
     scores = multivar.pca_scores(matrix(spark, d), POSITIONS, len(POSITIONS))
-    moments = multivar.pair_moments(scores, POSITIONS, row="component", column="sample", value="score")
+    moments = multivar.pair_moments(scores, POSITIONS, row="component", column="sample", value="score", about="row")
     ordered = multivar.euclidean_distance(moments)
     return ordered.select("a", "b", F.round("distance", 5).alias("distance"))
 
@@ -85,7 +85,7 @@ def nearest_centroid(spark, d):
 
 @query(
     "targeted_by_cluster",
-    """select label, count(*) as size, 0::bigint as part, string_agg(v, '; ' order by v) as members from (
+    """select label, count(*) as size, string_agg(v, '; ' order by v) as members from (
          select distinct label, concat('V', cast(vec_id as varchar)) as v from embeddings where vec_id in (select doc_id from labels where quality = 1)) group by label""",
 )
 def targeted_by_cluster(spark, d):
@@ -116,15 +116,15 @@ def corr_distance(spark, d):
         f"""select x.feature as a, y.feature as b, count(*) as n, {r6('sqrt(sum((x.value - y.value) * (x.value - y.value)))')} as distance
             from picked x join picked y on x.sample = y.sample and x.feature < y.feature group by all""",
         "meas_dense", dense=DENSE_CELLS_SQL, spread=VARIANCE_SQL,
-        picked="select * from dense where feature in (select feature from spread order by spread.variance desc, feature limit 30)",
+        picked="select * from dense where feature in (select feature from spread order by spread.variance desc, feature limit 150)",
     ),
 )
 def euclid_distance(spark, d):
-    """Between the most variable features; their names, thirty at most, are the axis."""
+    """Between the most variable features; their names, 150 at most, are the axis."""
     rows = views.meas_dense(spark, d)
-    names = sorted(row["feature"] for row in aggregate.top_variable(rows, 30).collect())
+    names = sorted(row["feature"] for row in aggregate.top_variable(rows, 150).collect())
     picked = rows.where(F.col("feature").isin(names))
-    moments = multivar.pair_moments(picked, names, row="sample", column="feature")
+    moments = multivar.pair_moments(picked, names, row="sample", column="feature", about="row")
     return rounded(multivar.euclidean_distance(moments), "distance")
 
 

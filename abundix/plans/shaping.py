@@ -385,7 +385,7 @@ def mean_of_means_strict(spark, d):
 @query(
     "collapse_members",
     with_views(
-        """select kinase, count(*) as size, 0::bigint as part, string_agg(m, '; ' order by m) as members from (
+        """select kinase, count(*) as size, string_agg(m, '; ' order by m) as members from (
              select distinct kinase, concat(sub_gene, '-', sub_mod_rsd) as m from ks) group by kinase""",
         "ks",
     ),
@@ -571,20 +571,18 @@ def union_cohorts(spark, d):
 @query(
     "multi_dataset_long",
     with_views(
-        f"""select 'global' as dataset, feature, sample, {r6('avg(value)')} as value from meas group by all
-            union all select 'dense', feature, sample, {r6('avg(value)')} from meas_dense group by all""",
+        f"""select 'global' as dataset, feature, sample, {r6('avg(value)')} as value from meas where plex <= 2 group by all
+            union all select 'dense', feature, sample, {r6('avg(value)')} from meas_dense where plex >= 2 group by all""",
         "meas", "meas_dense",
     ),
 )
 def multi_dataset_long(spark, d):
-    crosstabs = joins.union_by_label(
-        {
-            "global": reshape.to_wide(views.meas(spark, d), SAMPLES),
-            "dense": reshape.to_wide(views.meas_dense(spark, d), SAMPLES),
-        },
-        "dataset",
-    )
-    return rounded(reshape.to_long(crosstabs, ["dataset", "feature"]), "value")
+    """Two crosstabs with different sample columns, written as text and read together."""
+    folder = stage_path(spark, "crosstabs")
+    parts = {"global": views.meas(spark, d).where("plex <= 2"), "dense": views.meas_dense(spark, d).where("plex >= 2")}
+    for name, rows in parts.items():
+        tables.write_tsv(reshape.to_wide(rows), f"{folder}/{name}")
+    return rounded(tables.read_datasets(spark, [f"{folder}/{name}" for name in parts], ["feature"]), "value")
 
 
 @query(

@@ -400,7 +400,7 @@ def label_direction(spark, d):
     return labelled(spark, d).select("comparison", "feature", "direction", "significance")
 
 
-FLOW = ["R1_R0", "R2_R0", "R12_R0"]
+FLOW = ["R1_R0", "R2_R0", "R12_R0", "R34_R12"]
 
 
 @query(

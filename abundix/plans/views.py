@@ -41,9 +41,9 @@ def _text(prefix: str, column) -> F.Column:
     return F.concat(F.lit(prefix), column.cast("string"))
 
 
-def meas(spark: SparkSession, d: str, modulo: int | None = None) -> DataFrame:
+def meas(spark: SparkSession, d: str, parts_each: int = 1) -> DataFrame:
     """Long measurements (feature, sample, plex, value); cells may be missing or repeated."""
-    part = F.col("l_partkey") if modulo is None else F.col("l_partkey") % modulo
+    part = F.col("l_partkey") if parts_each == 1 else F.floor(F.col("l_partkey") / parts_each)
     return _supplied(spark, d).select(
         _text("P", part).alias("feature"),
         _text("N", F.col("s_nationkey")).alias("sample"),
@@ -53,8 +53,8 @@ def meas(spark: SparkSession, d: str, modulo: int | None = None) -> DataFrame:
 
 
 def meas_dense(spark: SparkSession, d: str) -> DataFrame:
-    """The same rows folded to 100 features, nearly every cell filled."""
-    return meas(spark, d, 100)
+    """The same rows with twenty parts to a feature, nearly every cell filled; features grow with the parts."""
+    return meas(spark, d, 20)
 
 
 def course(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ def ions(spark: SparkSession, d: str) -> DataFrame:
 def sites(spark: SparkSession, d: str) -> DataFrame:
     line = F.col("l_linenumber")
     second = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("T"), (line + 10).cast("string"), F.lit("t"))).otherwise("")
-    return table(spark, d, "lineitem").where(F.col("l_partkey") % 10 < 3).select(
+    return table(spark, d, "lineitem").select(
         _text("P", F.col("l_partkey")).alias("gene"),
         F.concat(_text("P", F.col("l_partkey")), F.lit("-S"), line.cast("string"), F.lit("s"), second).alias("site"),
         F.concat(F.lit("K.PEP"), (F.col("l_suppkey") % 3).cast("string"), F.lit(".V")).alias("peptide"),
@@ -138,7 +138,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
 
 
 def substrates(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").where(F.col("p_size") % 3 == 0)
+    parts = table(spark, d, "part")
     joined = parts.join(table(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"))
     return joined.select(
         F.col("p_brand").alias("kinase"),
@@ -159,7 +159,7 @@ SQL = {
     "meas": """select concat('P', cast(l.l_partkey as varchar)) as feature,
         concat('N', cast(s.s_nationkey as varchar)) as sample, n.n_regionkey as plex, log2(l.l_extendedprice) as value
         from lineitem l join supplier s on l.l_suppkey = s.s_suppkey join nation n on s.s_nationkey = n.n_nationkey""",
-    "meas_dense": """select concat('P', cast(l.l_partkey % 100 as varchar)) as feature,
+    "meas_dense": """select concat('P', cast(l.l_partkey // 20 as varchar)) as feature,
         concat('N', cast(s.s_nationkey as varchar)) as sample, n.n_regionkey as plex, log2(l.l_extendedprice) as value
         from lineitem l join supplier s on l.l_suppkey = s.s_suppkey join nation n on s.s_nationkey = n.n_nationkey""",
     "course": """select concat('U', cast(user_id as varchar)) as feature, event_type as ligand, day(ts) as day,
@@ -193,10 +193,10 @@ SQL = {
                case when l_returnflag = 'R' then concat('T', cast(l_linenumber + 10 as varchar), 't') else '' end) as site,
         concat('K.PEP', cast(l_suppkey % 3 as varchar), '.V') as peptide,
         concat('N', cast(l_suppkey % 20 as varchar)) as sample, log2(l_extendedprice) as value
-        from lineitem where l_partkey % 10 < 3""",
+        from lineitem""",
     "ks": """select distinct p_brand as kinase, concat('P', cast(p_partkey as varchar)) as sub_gene,
         concat('S', cast(l_linenumber as varchar)) as sub_mod_rsd
-        from part join lineitem on p_partkey = l_partkey where p_size % 3 = 0""",
+        from part join lineitem on p_partkey = l_partkey""",
     "edges": """select distinct concat('P', cast(least(l_partkey, l_suppkey * 20 + l_linenumber) as varchar)) as a,
         concat('P', cast(greatest(l_partkey, l_suppkey * 20 + l_linenumber) as varchar)) as b
         from lineitem where l_partkey <> l_suppkey * 20 + l_linenumber""",

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Mapping, Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from abundix.functions.numeric import missing_to_null, signif
 from abundix.operators.filters import cast_text_numbers
+from abundix.operators.reshape import to_long
 from abundix.session import stage_path
 
 
@@ -24,9 +28,10 @@ def read_table(spark: SparkSession, path: str, list_columns: Sequence[str] = (),
 def read_crosstab(spark: SparkSession, path: str | Sequence[str], ids: Sequence[str], separator: str = "\t") -> DataFrame:
     """Wide delimited table: leading id columns as text, every other column as number.
 
-    The header line alone decides the columns; values are cast, so text such as ``NA`` turns NULL.
+    The header line alone decides the columns; a file of the same table with another header is an error (see
+    ``read_datasets`` for those). Values are cast, so text such as ``NA`` turns NULL.
     """
-    raw = spark.read.csv(path, sep=separator, header=True, inferSchema=False, quote="")
+    raw = spark.read.csv(path, sep=separator, header=True, inferSchema=False, quote="", enforceSchema=False)
     return cast_text_numbers(raw, [c for c in raw.columns if c not in set(ids)])
 
 
@@ -81,12 +86,24 @@ def read_enrichment(spark: SparkSession, path: str, separator: str = "\t") -> Da
     return raw.select("geneSet", "description", F.split("userId", ";").alias("members"))
 
 
-def read_datasets(spark: SparkSession, paths: Sequence[str], ids: Sequence[str], separator: str = "\t") -> DataFrame:
-    """Crosstabs with the same header as one table; ``dataset`` is the file name without its ending."""
-    raw = spark.read.csv(list(paths), sep=separator, header=True, inferSchema=False, quote="")
-    numbers = cast_text_numbers(raw, [c for c in raw.columns if c not in set(ids)])
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
-    return numbers.withColumn("dataset", name)
+def read_datasets(
+    spark: SparkSession, paths: Sequence[str], ids: Sequence[str], separator: str = "\t", *, sample: str = "sample", value: str = "value"
+) -> DataFrame:
+    """Crosstabs, each with a header of its own, as one long table (dataset, ids, sample, value).
+
+    Every file or folder is read by its own header, so a value stays with its sample whatever columns the others
+    have; ``dataset`` is the last part of the path without its ending. Cells without a value are dropped.
+    """
+    out = None
+    for path in paths:
+        name = path.rstrip("/").rsplit("/", 1)[-1]
+        name = name.rsplit(".", 1)[0] if "." in name[1:] else name
+        part = to_long(read_crosstab(spark, path, ids, separator), ids, sample=sample, value=value)
+        part = part.select(F.lit(name).alias("dataset"), *ids, sample, value)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no paths to read")
+    return out
 
 
 def write_new_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -96,9 +113,34 @@ def write_new_table(df: DataFrame, path: str, partition_by: Sequence[str] = ())
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace all rows of a parquet table. ``df`` must not read the same path."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Replace all rows of a parquet table; ``df`` may read the same path.
+
+    The new rows are written beside the table first and take its name only when they are complete, so a job that
+    fails leaves the old table as it was.
+    """
+    fresh, old = (f"{path.rstrip('/')}.{mark}-{uuid.uuid4().hex}" for mark in ("new", "old"))
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
+    system, place = located(path)
+    if exists(path):
+        system.move(place, located(old)[1])
+    system.move(located(fresh)[1], place)
+    if exists(old):
+        system.delete_dir(located(old)[1])
+
+
+def write_named_table(df: DataFrame, name: str, *, replace: bool = False) -> None:
+    """Table of the session's catalogue; an existing one is an error unless it is to be replaced."""
+    df.write.mode("overwrite" if replace else "errorifexists").saveAsTable(name)
+
+
+def located(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{os.path.abspath(path)}")
+
+
+def exists(path: str) -> bool:
+    system, place = located(path)
+    return system.get_file_info(place).type != pafs.FileType.NotFound
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -107,11 +149,16 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def export_datasets(
-    df: DataFrame, path: str, *, dataset: str = "dataset", pattern: str = ".*", digits: int = 3
+    df: DataFrame, path: str, *, dataset: str = "dataset", pattern: str = ".*", replacement: str | None = None, digits: int = 3
 ) -> None:
-    """Datasets whose name matches, numbers at ``digits`` significant digits, one folder per dataset."""
+    """Datasets whose name matches, numbers at ``digits`` significant digits, one folder per dataset.
+
+    With ``replacement`` what ``pattern`` matches of a name is replaced in the name of its folder.
+    """
     numbers = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     chosen = df.where(F.col(dataset).rlike(pattern))
+    if replacement is not None:
+        chosen = chosen.withColumn(dataset, F.regexp_replace(dataset, pattern, replacement))
     for name in numbers:
         chosen = chosen.withColumn(name, signif(F.col(name), digits))
     chosen.write.mode("errorifexists").partitionBy(dataset).csv(path, sep="\t", header=True, nullValue="NA")
@@ -121,7 +168,6 @@ def staged(df: DataFrame, path: str | None = None, name: str = "stage") -> DataF
     """Result of an expensive step kept as parquet: read it when it is there, else compute and write it."""
     spark = df.sparkSession
     target = path or stage_path(spark, name)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not exists(f"{target.rstrip('/')}/_SUCCESS"):
         df.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)

@@ -106,15 +106,46 @@ def test_mean_of_means_is_strict(spark):
     assert out == {"s1": 3.0, "s2": None}
 
 
-def test_collapse_splits_only_large_groups(spark):
-    data = [("big", f"m{i:03d}") for i in range(100)] + [("small", "b"), ("small", "a"), ("small", "a")]
+def test_collapse_gives_one_row_at_any_size(spark):
+    data = [("big", f"m{i:05d}") for i in range(20_000)] + [("small", "b"), ("small", "a"), ("small", "a"), ("small", None)]
     df = spark.createDataFrame(data, "g string, m string")
-    out = reshape.collapse_members(df, "g", "m", chunk=30).collect()
-    small = [r for r in out if r["g"] == "small"]
-    assert [(r["members"], r["size"], r["part"]) for r in small] == [("a; b", 2, 0)]
-    big = [r for r in out if r["g"] == "big"]
-    assert len(big) > 1 and {r["size"] for r in big} == {100}
-    assert sorted(m for r in big for m in r["members"].split("; ")) == [f"m{i:03d}" for i in range(100)]
+    out = {r["g"]: r for r in reshape.collapse_members(df, "g", "m").collect()}
+    assert (out["small"]["members"], out["small"]["size"]) == ("a; b", 2)
+    assert out["big"]["members"].split("; ") == [f"m{i:05d}" for i in range(20_000)] and out["big"]["size"] == 20_000
+    listed = reshape.member_rows(df, "g", "m")
+    assert rows(listed.where("g = 'small'"), "m", "position", "size") == [("a", 1, 2), ("b", 2, 2)]
+    assert rows(listed.where("m = 'm19999'"), "position", "size") == [(20_000, 20_000)]
+
+
+def test_wide_keeps_or_refuses_every_sample(spark):
+    df = spark.createDataFrame([("f", "s1", 1.0), ("f", "s3", 3.0), ("g", "s2", 2.0)], "feature string, sample string, value double")
+    assert reshape.to_wide(df).columns == ["feature", "s1", "s2", "s3"]
+    with pytest.raises(Exception, match="not among the given columns: s3"):
+        reshape.to_wide(df, ["s1", "s2"]).collect()
+    with pytest.raises(Exception, match="not among the given columns: s2"):
+        df.select(*normalize.sum_coded("sample", ["s1", "s3"]).values()).collect()
+
+
+def test_near_rows_of_large_values(spark):
+    data = [(f"f{i}", s, 1e6 + i + (1e-4 if s == "b" else 0.0)) for i in range(200) for s in "ab"]
+    df = spark.createDataFrame(data, "feature string, sample string, value double")
+    far = [r["distance"] for r in multivar.euclidean_distance(multivar.pair_moments(df, ["a", "b"], about="row")).collect()]
+    assert far == [pytest.approx(0.0014142, rel=1e-4)]
+    near = [r["distance"] for r in multivar.correlation_distance(multivar.pair_moments(df, ["a", "b"])).collect()]
+    assert near == [pytest.approx(0.0, abs=1e-9)]
+
+
+def test_products_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(multivar, "BLOCK", 3)
+    rng = np.random.default_rng(2)
+    matrix = rng.normal(size=(20, 8))
+    df = spark.createDataFrame([(i % 2, row.tolist()) for i, row in enumerate(matrix)], "k int, vec array<double>")
+    for keys in ([], ["k"]):
+        got = {(r["k"] if keys else 0, r["i"], r["j"]): r["product"] for r in multivar.outer_sums(df, keys, "vec", 8).collect()}
+        assert len(got) == 64 * (2 if keys else 1)
+        for (k, i, j), product in got.items():
+            own = matrix[k::2] if keys else matrix
+            assert product == pytest.approx(own[:, i] @ own[:, j])
 
 
 def test_set_padding(spark):
@@ -228,7 +259,7 @@ def test_medians_become_zero(spark):
 
 def test_polish_settles(spark):
     data = matrix(1)
-    out = normalize.median_polish(frame(spark, data), tolerance=0.0, max_passes=8).collect()
+    out = normalize.median_polish(frame(spark, data), tolerance=1e-3, max_passes=60).collect()
     start = {(f, s): v for f, s, _, _, v in data}
     for r in out:
         assert r["value"] + r["row_effect"] + r["col_effect"] == pytest.approx(start[r["feature"], r["sample"]])
@@ -435,7 +466,7 @@ def test_pair_moments_with_gaps(spark):
         a, b = x[:, int(r["a"][1:])], x[:, int(r["b"][1:])]
         both = ~np.isnan(a) & ~np.isnan(b)
         assert r["n"] == both.sum() and r["distance"] == pytest.approx(1 - np.corrcoef(a[both], b[both])[0, 1])
-    for r in multivar.euclidean_distance(moments).collect():
+    for r in multivar.euclidean_distance(multivar.pair_moments(df, [f"s{j}" for j in range(4)], about="row")).collect():
         a, b = x[:, int(r["a"][1:])], x[:, int(r["b"][1:])]
         both = ~np.isnan(a) & ~np.isnan(b)
         assert r["distance"] == pytest.approx(np.linalg.norm(a[both] - b[both]))

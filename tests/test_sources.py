@@ -13,14 +13,20 @@ def write(path, text):
 
 def test_crosstabs(spark, tmp_path):
     one = write(tmp_path / "crosstab_global_corrected.txt", "Gene\tUniprot\t01\t02\nA\tP1\t1.5\tNA\nB\tP2\t2\t3\n")
-    two = write(tmp_path / "crosstab_global_original.txt", "Gene\tUniprot\t01\t02\nA\tP1\t9\t8\n")
+    two = write(tmp_path / "crosstab_global_original.txt", "Gene\tUniprot\t02\t03\nA\tP1\t9\t8\n")
     df = tables.read_crosstab(spark, one, ["Gene", "Uniprot"])
     assert [tuple(r) for r in df.orderBy("Gene").collect()] == [("A", "P1", 1.5, None), ("B", "P2", 2.0, 3.0)]
     both = tables.read_datasets(spark, [one, two], ["Gene", "Uniprot"])
-    assert {r["dataset"] for r in both.collect()} == {"crosstab_global_corrected", "crosstab_global_original"}
-    tables.export_datasets(both, str(tmp_path / "out"), pattern="_corrected$")
+    assert sorted(tuple(r)[0:2] + tuple(r)[3:] for r in both.collect()) == [
+        ("crosstab_global_corrected", "A", "01", 1.5), ("crosstab_global_corrected", "B", "01", 2.0),
+        ("crosstab_global_corrected", "B", "02", 3.0), ("crosstab_global_original", "A", "02", 9.0),
+        ("crosstab_global_original", "A", "03", 8.0),
+    ]
+    with pytest.raises(Exception):
+        tables.read_crosstab(spark, [one, two], ["Gene", "Uniprot"]).collect()
+    tables.export_datasets(both, str(tmp_path / "out"), pattern="_corrected$", replacement="_final")
     back = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True)
-    assert {r["dataset"] for r in back.collect()} == {"crosstab_global_corrected"}
+    assert {r["dataset"] for r in back.collect()} == {"crosstab_global_final"}
 
 
 def test_text_numbers_lists_metadata(spark, tmp_path):
@@ -51,6 +57,13 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         tables.write_new_table(df, path)
     tables.replace_table(df.where("i = 'a'").unionByName(df), path)
+    again = spark.read.parquet(path)
+    tables.replace_table(again, path)
+    with pytest.raises(Exception):
+        tables.replace_table(again.withColumn("bad", F.raise_error(F.lit("no"))), path)
+    tables.write_named_table(df, "kept_by_name", replace=True)
+    assert spark.table("kept_by_name").count() == 2
+    spark.sql("drop table kept_by_name")
     back = tables.read_table(spark, path, list_columns=["gene"], value="value")
     assert sorted((r["i"], r["gene"], r["value"] is None) for r in back.collect()) == [("a", "G", True), ("a", "G", True), ("b", "H", False)]
 
