@@ -9,8 +9,8 @@ The masks below hit every placement of two substitutions in thirteen words. Item
 words have one seed, all their words, and must agree as a whole; items of fewer than ``least_item`` words say too
 little and are not searched.
 
-Only documents with a hit in a bitmap of the benchmark's seeds (at most 2**28 bits, whatever the benchmark's size)
-are shuffled. Defined results: NULL texts have no words; NULL ids are kept as they are; repeated documents and
+Only documents with a hit in a Bloom filter of the benchmark's seeds (at most 2**28 bits, whatever the benchmark's
+size) are shuffled; a fuller filter lets more documents through to the join, never fewer. Defined results: NULL texts have no words; NULL ids are kept as they are; repeated documents and
 items are separate rows; an empty table on either side gives no rows; other columns are not read. Upper-case A-Z
 counts as lower-case.
 """
@@ -31,7 +31,7 @@ from abundix.session import cut_lineage
 # The masks.
 MASKS = ("11011111", "11110001011", "101101111", "1011010111")
 LEAST_WORDS, MOST_ERRORS, LEAST_ITEM = 13, 2, 5
-MOST_BITS = 1 << 28
+MOST_BITS, BITS_EACH, PLACES = 1 << 28, 128, 6
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 HITS = ArrayType(StructType().add("at", "long").add("hash", "long"))
 FOUND = "doc_id {doc}, item_id {item}, doc_word long, item_word long, n_words long, n_agree long"
@@ -91,23 +91,41 @@ def masks_for(n_words: int) -> list[str]:
     return ["1" * n_words] if n_words < LEAST_WORDS else list(MASKS)
 
 
-def bitmap(hashes: DataFrame, n_seeds: int) -> tuple[np.ndarray, int]:
-    """Bits of all seed hashes, built in segments of 2**16 bits; bounded by ``MOST_BITS``."""
-    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n_seeds).bit_length()))
+def place_of(hashes: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    return ((mix64(hashes, turn) if turn else hashes) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def seed_filter(hashes: DataFrame, n_seeds: int) -> tuple[np.ndarray, int]:
+    """Bloom filter of all seed hashes, built in segments of 2**16 bits; bounded by ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_EACH * n_seeds - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("hash").to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([place_of(own, turn, bits) for turn in range(PLACES)]))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 16), pa.array(at)], names=["segment", "place"])
 
     def segment(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         own = np.zeros(1 << 16, dtype=np.uint8)
         own[table.column("place").to_numpy() & 0xFFFF] = 1
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["segment", "bits"])
 
-    places = hashes.select((F.col("hash").bitwiseAND(F.lit(bits - 1))).alias("place")).distinct()
-    parts = places.withColumn("segment", F.shiftright("place", 16)).groupBy("segment").applyInArrow(segment, "segment long, bits binary")
+    parts = hashes.select("hash").mapInArrow(places, "segment long, place long").distinct().groupBy("segment")
     out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in parts.collect():
+    for row in parts.applyInArrow(segment, "segment long, bits binary").collect():
         out[row["segment"] << 13 : (row["segment"] + 1) << 13] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out, bits
 
 
+def maybe_seeds(hashes: np.ndarray, known: np.ndarray, bits: int) -> np.ndarray:
+    """Places of the hashes that the filter lets through."""
+    left = np.arange(len(hashes))
+    for turn in range(PLACES):
+        place = place_of(hashes[left], turn, bits)
+        left = left[((known[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool)]
+    return left
+
+
 def overlaps(doc: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int, int]]:
     """(doc word, item word, words, words that agree) of the overlaps on a diagonal (document minus item place)."""
     low, high = max(0, -diagonal), min(len(item), len(doc) - diagonal)
@@ -137,7 +155,7 @@ def contaminated(
     counted = indexed.agg(F.sum(F.size("hits")), F.collect_set(F.when(F.size("hits") == 1, F.octet_length("item_words") / 8))).first()
     short = sorted(int(n) for n in counted[1] if n < LEAST_WORDS)
     masks = [*MASKS, *("1" * n for n in short)]
-    bits, size = bitmap(item_hits, int(counted[0] or 0))
+    bits, size = seed_filter(item_hits, int(counted[0] or 0))
     shared = spark.sparkContext.broadcast(bits)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("__text"))
@@ -148,8 +166,7 @@ def contaminated(
         for batch in batches:
             for words in word_slices(batch.column("__text"), lower=True):
                 at, keys = seeds(words, masks)
-                place = (keys & np.uint64(size - 1)).astype(np.int64)
-                found = np.flatnonzero((known[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+                found = maybe_seeds(keys, known, size)
                 if len(found) == 0:
                     continue
                 at, keys = at[found], keys[found].view(np.int64)
