@@ -65,6 +65,28 @@ def kinase_test(scores: DataFrame, by: str | Sequence[str] | None = "comparison"
     return bh_adjust(scores.withColumn("p", normal_upper_p(F.abs("z"))), by, "p", "fdr")
 
 
+def kinase_substrates(
+    sites: DataFrame,
+    substrates: DataFrame,
+    tested: DataFrame,
+    *,
+    by: str | Sequence[str] | None = "comparison",
+    residue: str = "residue",
+    gene: str = "gene",
+    value: str = "value",
+) -> DataFrame:
+    """The measured substrates behind each tested kinase: gene, residue, source and value beside m, mean, z, p and fdr.
+
+    The rows are the edges (kinase, gene) of a network per condition; with ``tested`` cut to the significant
+    kinases they are its significant part.
+    """
+    keys = keys_of(by)
+    single = explode_tokens(sites.select(*keys, gene, residue, value), residue)
+    single = single.groupBy(*keys, gene, residue).agg(F.avg(value).alias(value))
+    pairs = single.join(substrates.select("kinase", gene, residue, "source").distinct(), [gene, residue])
+    return pairs.join(tested.select(*keys, "kinase", "m", "mean_s", "z", "p", "fdr"), [*keys, "kinase"])
+
+
 def significant_kinases(tested: DataFrame, min_substrates: int = 5, max_fdr: float = 0.05) -> DataFrame:
     return tested.where((F.col("m") >= min_substrates) & (F.col("fdr") < max_fdr))
 
@@ -337,5 +359,6 @@ def member_values(
 ) -> DataFrame:
     """Values of all members of the terms whose description matches."""
     listed = results.where(F.col(description).rlike(pattern))
-    genes = listed.select(F.explode(F.split(members, separator)).alias(feature)).distinct()
+    own = F.col(members) if isinstance(results.schema[members].dataType, T.ArrayType) else F.split(members, separator)
+    genes = listed.select(F.explode(own).alias(feature)).distinct()
     return values.join(genes, feature, "left_semi")

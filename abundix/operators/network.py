@@ -63,8 +63,8 @@ def connected_components(edges: DataFrame, condition: str = "condition", max_rou
         own = joined.select(condition, F.col("node").alias("a"), F.col("__m").alias("b"))
         return moved.unionByName(own).where(F.col("a") != F.col("b")).distinct()
 
-    original = edges.select(condition, "a", "b").where(F.col("a") != F.col("b")).distinct()
-    current = cut_lineage(original)
+    edges = cut_lineage(edges.select(condition, "a", "b").distinct())
+    current = edges.where(F.col("a") != F.col("b"))
     nodes = edges.select(condition, F.col("a").alias("node")).unionByName(edges.select(condition, F.col("b").alias("node"))).distinct()
     previous = None
     for _ in range(max_rounds):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abundix.operators import enrich, filters, reshape
+from abundix.operators import aggregate, enrich, filters, reshape
 from abundix.plans import views
 from abundix.plans.identification import activity
 from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import CELLS_SQL, RESIDUES_SQL, cells, site_residues
 from abundix.plans.statistics import P_VIEWS, TEST_VIEWS, bh_sql, ranked, t_p_sql, with_p
 from abundix.plans.views import SAMPLES, table, with_views
-from abundix.session import cut_lineage
+from abundix.session import cut_lineage, stage_path
+from abundix.sources import tables
 
 # --- kinases ---------------------------------------------------------------------------------------------
 
@@ -76,6 +77,53 @@ def ksea_significant(spark, d):
     return rounded(kept.select("kinase", "sample", "m", "fdr"), "fdr")
 
 
+TESTED_VIEWS = {
+    **KSEA_VIEWS,
+    "with_p": f"select *, {normal_tail_sql('z')} as p from scores",
+    "adjusted": bh_sql("with_p", "sample", "p", "fdr"),
+    "pairs": """select s.sample, ks.kinase, s.gene, s.residue, ks.source, s.v as value from single s
+        join ks on s.gene = ks.sub_gene and s.residue = ks.sub_mod_rsd""",
+}
+
+
+def substrate_rows(spark, d, *, max_fdr: float | None = None):
+    sites = site_residues(views.sites(spark, d))
+    tested = enrich.kinase_test(kinases(spark, d), "sample")
+    if max_fdr is not None:
+        tested = enrich.significant_kinases(tested, 5, max_fdr)
+    return enrich.kinase_substrates(sites, substrates(spark, d), tested, by="sample")
+
+
+SUBSTRATE_COLUMNS = f"{r6('value')} as value, m, {r6('mean_s')} as mean_s, {r6('z')} as z, {r6('p')} as p, {r6('fdr')} as fdr"
+
+
+@query(
+    "ksea_substrates",
+    with_views(
+        f"select sample, kinase, gene, residue, source, {SUBSTRATE_COLUMNS} from pairs join adjusted using (sample, kinase)", "sites", "ks", **TESTED_VIEWS
+    ),
+)
+def ksea_substrates(spark, d):
+    """Every measured substrate of every tested kinase, with its source and value."""
+    return rounded(substrate_rows(spark, d), "value", "mean_s", "z", "p", "fdr")
+
+
+@query(
+    "kinase_network",
+    with_views(
+        f"""select sample, kinase, gene, source, count(*) as n_sites, {r6('avg(value)')} as value, {r6('max(z)')} as z, {r6('max(fdr)')} as fdr
+            from pairs join adjusted using (sample, kinase) where m >= 5 and fdr < 0.45 group by sample, kinase, gene, source""",
+        "sites", "ks", **TESTED_VIEWS,
+    ),
+)
+def kinase_network(spark, d):
+    """Per condition the edges from significant kinases to their substrates, with the columns of both."""
+    edges = substrate_rows(spark, d, max_fdr=0.45).groupBy("sample", "kinase", "gene", "source").agg(
+        F.count(F.lit(1)).alias("n_sites"), F.avg("value").alias("value"), F.max("z").alias("z"), F.max("fdr").alias("fdr")
+    )
+    return rounded(edges, "value", "z", "fdr")
+
+
 KINASE_SAMPLES = [f"N{i}" for i in range(20)]
 
 
@@ -83,15 +131,20 @@ KINASE_SAMPLES = [f"N{i}" for i in range(20)]
     "kinase_matrix",
     with_views(
         "select kinase, " + ", ".join(f"{r6(f'avg(case when sample = {chr(39)}{s}{chr(39)} then v end)')} as {s}" for s in KINASE_SAMPLES)
-        + " from (select kinase, sample, avg(v) as v from single join ks on gene = sub_gene and residue = sub_mod_rsd group by all)"
-        " where kinase in (select kinase from scores where m >= 5 and abs(z) > 1.5) group by kinase",
-        "sites", "ks", **KSEA_VIEWS,
+        + " from acts where kinase in (select kinase from adjusted where m >= 5 and fdr < 0.45)"
+        " and kinase in (select kinase from spread order by spread.variance desc, kinase limit 150) group by kinase",
+        "sites", "ks", **TESTED_VIEWS,
+        acts="select kinase, sample, avg(value) as v from pairs group by all",
+        spread="""select kinase, var_samp(v) as variance from acts group by kinase
+            having count(*) = (select count(distinct sample) from acts) and var_samp(v) > 0""",
     ),
 )
 def kinase_matrix(spark, d):
-    """Activity matrix of the kinases that stand out in any condition."""
-    strong = filters.significant(kinases(spark, d).where("m >= 5").withColumn("p", F.lit(0.0)), "p", 1.0, "z", 1.5)
-    kept = filters.keep_listed(activity(spark, d), strong.select("kinase").distinct(), "kinase")
+    """Activity matrix of the 150 most variable kinases among those that are significant in any condition."""
+    strong = enrich.significant_kinases(enrich.kinase_test(kinases(spark, d), "sample"), 5, 0.45)
+    scores = cut_lineage(activity(spark, d))
+    variable = aggregate.top_variable(scores, 150, feature="kinase", value="mean_lfc")
+    kept = filters.keep_listed(filters.keep_listed(scores, strong.select("kinase").distinct(), "kinase"), variable.select("kinase"), "kinase")
     matrix = reshape.to_wide(kept, KINASE_SAMPLES, feature="kinase", value="mean_lfc")
     return rounded(matrix, *KINASE_SAMPLES)
 
@@ -120,7 +173,11 @@ def geneset_long(spark, d):
     ),
 )
 def leading_edge_values(spark, d):
-    results = reshape.collapse_members(views.term2gene(spark, d), "term", "gene", separator=";").withColumnRenamed("term", "description")
+    """Of terms in an enrichment result file, written and read as text."""
+    sets = reshape.collapse_members(views.term2gene(spark, d), "term", "gene", separator=";")
+    path = stage_path(spark, "enrichment")
+    tables.write_tsv(sets.select(F.col("term").alias("geneSet"), F.col("term").alias("description"), F.col("members").alias("userId")), path)
+    results = tables.read_enrichment(spark, path)
     values = cells(views.meas(spark, d)).drop("plex")
     return rounded(enrich.member_values(results, "REACTOME_(PROMO|ECONOMY)_[1-3]$", values), "value")
 

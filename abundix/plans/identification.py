@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abundix.operators import design, identify, joins, quantify, reshape
+from abundix.session import stage_path
+from abundix.sources import tables
 from abundix.plans import views
 from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import RESIDUES_SQL, site_residues
@@ -31,7 +33,10 @@ def headers(spark, d):
 
 @query("accession_map", with_views("select accession, symbol from mapping", headers=HEADERS_SQL, mapping=MAP_SQL))
 def accession_map(spark, d):
-    return identify.parse_fasta_headers(headers(spark, d))
+    """From FASTA text, written and read back."""
+    path = stage_path(spark, "fasta")
+    headers(spark, d).select(F.concat(F.lit(">"), "header", F.lit("\n"), "sequence")).write.text(path)
+    return identify.parse_fasta_headers(tables.read_fasta(spark, path))
 
 
 @query(

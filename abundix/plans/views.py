@@ -144,6 +144,7 @@ def substrates(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_brand").alias("kinase"),
         _text("P", F.col("p_partkey")).alias("sub_gene"),
         _text("S", F.col("l_linenumber")).alias("sub_mod_rsd"),
+        _text("DB", F.col("p_size") % 2).alias("source"),
     ).distinct()
 
 
@@ -195,7 +196,8 @@ SQL = {
         concat('N', cast(l_suppkey % 20 as varchar)) as sample, log2(l_extendedprice) as value
         from lineitem""",
     "ks": """select distinct p_brand as kinase, concat('P', cast(p_partkey as varchar)) as sub_gene,
-        concat('S', cast(l_linenumber as varchar)) as sub_mod_rsd
+        concat('S', cast(l_linenumber as varchar)) as sub_mod_rsd,
+        concat('DB', cast(p_size % 2 as varchar)) as source
         from part join lineitem on p_partkey = l_partkey""",
     "edges": """select distinct concat('P', cast(least(l_partkey, l_suppkey * 20 + l_linenumber) as varchar)) as a,
         concat('P', cast(greatest(l_partkey, l_suppkey * 20 + l_linenumber) as varchar)) as b
