@@ -6,14 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundix.operators.aggregate import collapse_duplicates
 from abundix.operators.ordered import keys_of
 from abundix.operators.reshape import to_wide
+from abundix.session import cut_lineage
 
 BLOCK = 2048
 _MAX_HELD = 32_000_000
@@ -182,6 +181,40 @@ def pca_scores(df: DataFrame, samples: Sequence[str], n_components: int = 2, **n
     return spark.createDataFrame(rows, "sample string, component int, score double, share double")
 
 
+class _Starts:
+    """All fits of K-means side by side: for every K the same restarts, each with its K centres in one block."""
+
+    def __init__(self, ks: Sequence[int], restarts: int):
+        self.ks, self.restarts = list(ks), restarts
+        self.begin = np.concatenate([[0], np.cumsum([k * restarts for k in self.ks])])
+
+    def nearest(self, points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per point and fit the number of the nearest centre (counted over all fits) and its squared distance."""
+        base = (points * points).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres * centres).sum(axis=1)[None]
+        chosen, least = [], []
+        for begin, k in zip(self.begin, self.ks):
+            block = base[:, begin : begin + k * self.restarts].reshape(len(points), self.restarts, k)
+            best = block.argmin(axis=2)
+            chosen.append(begin + np.arange(self.restarts)[None] * k + best)
+            least.append(np.maximum(np.take_along_axis(block, best[:, :, None], axis=2)[:, :, 0], 0.0))
+        return np.concatenate(chosen, axis=1), np.concatenate(least, axis=1)
+
+
+def _packed_sum(parts: DataFrame) -> np.ndarray:
+    """Sum of equally long packed arrays of doubles, first by groups of eight tasks."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            for packed in batch["sums"]:
+                own = np.frombuffer(packed)
+                total = own.copy() if total is None else total + own
+        if total is not None:
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+    return np.sum([np.frombuffer(r["sums"]) for r in parts.repartition(8).mapInPandas(add, "sums binary").collect()], axis=0)
+
+
 def kmeans_clusters(
     packed: DataFrame,
     ks: Sequence[int],
@@ -194,30 +227,82 @@ def kmeans_clusters(
 ) -> DataFrame:
     """Cluster of each row for every K, rows (k, row, cluster); the restart with the least cost wins.
 
-    Clusters are numbered by ascending centre, so the number does not depend on the run.
+    Lloyd's steps of all K and restarts run in one job each, with one pass over the rows per step. The starts are
+    the rows with the least hash of (seed, restart, row). Only the centres, sum of K x restarts x width numbers,
+    and their sums come to the driver. Clusters are numbered by ascending centre, so the number does not depend
+    on the run; a centre without rows stays where it is; rows without a vector are left out.
     """
-    vectors = packed.select(row, array_to_vector(F.col(vec)).alias("features")).persist()
-    out = None
-    try:
-        for k in ks:
-            best = None
-            for restart in range(restarts):
-                model = KMeans(k=k, maxIter=max_iter, seed=seed + restart, featuresCol="features", predictionCol="__raw").fit(vectors)
-                cost = model.summary.trainingCost
-                if best is None or cost < best[0]:
-                    best = (cost, model)
-            model = best[1]
-            centres = [tuple(c) for c in model.clusterCenters()]
-            numbers = {old: new for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]), 1)}
-            renumber = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
-            plain = packed.select(row, array_to_vector(F.col(vec)).alias("features"))
-            part = model.transform(plain).select(
-                F.lit(k).cast("long").alias("k"), row, F.element_at(renumber, F.col("__raw")).cast("long").alias("cluster")
-            )
-            out = part if out is None else out.unionByName(part)
-    finally:
-        vectors.unpersist()
-    return out
+    rows = cut_lineage(packed.where(F.col(vec).isNotNull()).select(row, vec))
+    fits, most = _Starts(ks, restarts), max(ks)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame] = []
+        for batch in batches:
+            for restart, own in batch.groupby("restart"):
+                best.append(own.nsmallest(most, "h"))
+            if best:
+                best = [own.nsmallest(most, "h") for _, own in pd.concat(best).groupby("restart")]
+        yield from best
+
+    numbered = rows.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    hashed = numbered.select("restart", F.xxhash64(F.lit(seed), "restart", row).alias("h"), vec)
+    shape = hashed.schema
+    least = hashed.mapInPandas(first, shape).repartition(8, "restart").mapInPandas(first, shape).collect()
+    if not least:
+        return rows.select(F.lit(0).cast("long").alias("k"), row, F.lit(0).cast("long").alias("cluster")).limit(0)
+    starts = [[r[vec] for r in sorted((r for r in least if r["restart"] == i), key=lambda r: r["h"])] for i in range(restarts)]
+    centres = np.array([own[j % len(own)] for k in fits.ks for own in starts for j in range(k)], dtype=float)
+    n, width = centres.shape
+
+    def points_of(batch: pd.DataFrame) -> Iterator[np.ndarray]:
+        for low in range(0, len(batch), 1000):
+            yield np.stack(batch[vec].to_numpy()[low : low + 1000]).astype(float)
+
+    def step(centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums and counts of the rows of each centre, and the cost of each fit."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums, counts, costs = np.zeros((n, width)), np.zeros(n), np.zeros(len(fits.ks) * restarts)
+            for batch in batches:
+                for points in points_of(batch):
+                    chosen, far = fits.nearest(points, centres)
+                    own = np.zeros((len(points), n))
+                    np.put_along_axis(own, chosen, 1.0, axis=1)
+                    sums += own.T @ points
+                    counts += own.sum(axis=0)
+                    costs += far.sum(axis=0)
+            yield pd.DataFrame({"sums": [np.concatenate([sums.reshape(-1), counts, costs]).tobytes()]})
+
+        total = _packed_sum(rows.select(vec).mapInPandas(partial, "sums binary"))
+        return total[: n * width].reshape(n, width), total[n * width : n * width + n], total[n * width + n :]
+
+    for _ in range(max_iter):
+        sums, counts, costs = step(centres)
+        moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
+        settled = np.allclose(moved, centres, rtol=0, atol=1e-12)
+        centres = moved
+        if settled:
+            break
+    costs = step(centres)[2].reshape(len(fits.ks), restarts)
+    chosen = []
+    for begin, k, own in zip(fits.begin, fits.ks, costs):
+        best = begin + int(np.argmin(own)) * k
+        block = centres[best : best + k]
+        chosen.append(block[np.lexsort(block.T[::-1])])
+    final = _Starts(fits.ks, 1)
+    best_centres = np.concatenate(chosen)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low, points in zip(range(0, len(batch), 1000), points_of(batch)):
+                nearest, _ = final.nearest(points, best_centres)
+                for i, k in enumerate(final.ks):
+                    yield pd.DataFrame(
+                        {"k": k, row: batch[row].to_numpy()[low : low + 1000], "cluster": nearest[:, i] - final.begin[i] + 1}
+                    )
+
+    kind = rows.schema[row].dataType.simpleString()
+    return rows.mapInPandas(assign, f"k long, `{row}` {kind}, cluster long")
 
 
 def nearest_centroid(packed: DataFrame, centroids: Sequence[Sequence[float]], *, row: str = "feature", vec: str = "vec") -> DataFrame:

@@ -60,7 +60,7 @@ def pca_distances(spark, d):
 
 @query("kmeans_assign")
 def kmeans_assign(spark, d):
-    return multivar.kmeans_clusters(packed(spark, d), [3, 4], restarts=3)
+    return multivar.kmeans_clusters(packed(spark, d), range(3, 13))
 
 
 @query(

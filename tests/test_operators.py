@@ -490,6 +490,20 @@ def test_clusters(spark):
     assert all(near[f"g{i}"] == i % 3 for i in range(60))
 
 
+def test_kmeans_steps_are_those_of_lloyd(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(80, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None)], "feature long, vec array<double>")
+    got = {(r["k"], r["feature"]): r["cluster"] for r in multivar.kmeans_clusters(df, [2, 4], restarts=6, max_iter=40).collect()}
+    assert len(got) == 160 and all(v in range(1, k + 1) for (k, _), v in got.items())
+    for k in (2, 4):
+        label = np.array([got[k, i] for i in range(80)])
+        centres = np.array([x[label == c].mean(axis=0) for c in range(1, k + 1)])
+        assert (np.argmin(((x[:, None] - centres[None]) ** 2).sum(axis=2), axis=1) + 1 == label).all()
+        assert [tuple(c) for c in centres] == sorted(tuple(c) for c in centres)
+    assert multivar.kmeans_clusters(df.where("feature = 99"), [2]).count() == 0
+
+
 def union_find(pairs):
     parent = {}
 
