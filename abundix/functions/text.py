@@ -57,5 +57,10 @@ def visit_parts(description: Column) -> dict[str, Column]:
     }
 
 
+def cell_line_parts(name: Column) -> dict[str, Column]:
+    """Cell line and replicate of a sample name such as ``HS-5 R2``."""
+    return {"cell_line": extract(name, r"HS-[0-9]+"), "replicate": extract(name, r"R[0-9]")}
+
+
 def significance_mark(p: Column, cutoff: float = 0.05) -> Column:
     return F.when(p < cutoff, "*").otherwise("")

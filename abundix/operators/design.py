@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundix.functions.text import plex_name
+from abundix.functions.text import cell_line_parts, plex_name, visit_parts
 from abundix.operators.ordered import grouped_rank, keys_of
 
 
@@ -81,9 +81,10 @@ def comparison_samples(catalogue: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def cohorts(
-    visits: DataFrame, *, patient: str, treatment: str, order: str, sample: str, before: str, after: str, later: str
+    visits: DataFrame, *, patient: str, treatment: str, order: str, sample: str, before: str, after: str, later: str,
+    healthy: Column | None = None,
 ) -> DataFrame:
-    """Label rows as pre-treatment, first treated, first treated with a later counterpart, or combination.
+    """Label rows as healthy, pre-treatment, first treated, first treated with a later counterpart, or combination.
 
     Rows (cohort, patient, sample); one sample may be in several cohorts.
     """
@@ -95,8 +96,22 @@ def cohorts(
         "first_treated_with_later": first_treated.join(with_later, patient, "left_semi"),
         "later": first_per_group(visits.where(F.col(treatment) == later), patient, order, sample),
     }
+    if healthy is not None:
+        parts["healthy"] = visits.where(healthy)
     out = None
     for name, part in parts.items():
         rows = part.select(F.lit(name).alias("cohort"), patient, sample)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def split_samples(
+    visits: DataFrame, is_cell_line: Column, *, sample: str = "sample", name: str = "name", description: str = "description"
+) -> dict[str, DataFrame]:
+    """Two typed tables: patient samples with phase, cycle and day, and cell lines with line and replicate."""
+    patients = visit_parts(F.col(description))
+    lines = cell_line_parts(F.col(name))
+    return {
+        "patient": visits.where(~is_cell_line).select(sample, *[c.alias(n) for n, c in patients.items()]),
+        "cell_line": visits.where(is_cell_line).select(sample, *[c.alias(n) for n, c in lines.items()]),
+    }

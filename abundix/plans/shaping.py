@@ -400,19 +400,17 @@ def collapse_members(spark, d):
     with_views(
         """select 'patient' as kind, sample, regexp_extract(description, '^(P\\S+)\\s', 1) as phase,
              regexp_extract(description, 'Cycle ([0-9]+)', 1) as cycle, regexp_extract(description, 'Day ([0-9]+)', 1) as day,
-             null as replicate from visits where treatment <> 'OTHER'
-           union all select 'cell_line', sample, null, null, null, concat('rep', cast(sample % 3 as varchar)) from visits where treatment = 'OTHER'""",
+             null as cell_line, null as replicate from visits where treatment <> 'OTHER'
+           union all select 'cell_line', sample, null, null, null, regexp_extract(name, 'HS-[0-9]+'), regexp_extract(name, 'R[0-9]')
+             from visits where treatment = 'OTHER'""",
         "visits",
     ),
 )
 def split_by_type(spark, d):
-    visits = views.visits(spark, d)
-    parts = text.visit_parts(F.col("description"))
-    patients = visits.where("treatment <> 'OTHER'").select(F.lit("patient").alias("kind"), "sample", *[c.alias(n) for n, c in parts.items()])
-    lines = visits.where("treatment = 'OTHER'").select(
-        F.lit("cell_line").alias("kind"), "sample", F.concat(F.lit("rep"), (F.col("sample") % 3).cast("string")).alias("replicate")
-    )
-    return patients.unionByName(lines, allowMissingColumns=True)
+    """Both tables stacked, for the comparison; the operator gives them one by one."""
+    typed = design.split_samples(views.visits(spark, d), F.col("treatment") == "OTHER")
+    kinds = [df.withColumn("kind", F.lit(kind)) for kind, df in typed.items()]
+    return kinds[0].unionByName(kinds[1], allowMissingColumns=True)
 
 
 # --- aggregates ------------------------------------------------------------------------------------------
@@ -542,7 +540,8 @@ def ordered_visits(spark, d):
            union all select 'first_treated', patient, sample from ft
            union all select 'first_treated_with_later', patient, sample from ft where patient in (select patient from visits where treatment = 'GILT + DEC')
            union all select 'later', patient, sample from visits where treatment = 'GILT + DEC'
-             qualify row_number() over (partition by patient order by visit_day, sample) = 1""",
+             qualify row_number() over (partition by patient order by visit_day, sample) = 1
+           union all select 'healthy', patient, sample from visits where treatment = 'OTHER'""",
         "visits",
         ft="select patient, sample from visits where treatment = 'GILT' qualify row_number() over (partition by patient order by visit_day, sample) = 1",
     ),
@@ -550,7 +549,7 @@ def ordered_visits(spark, d):
 def cohorts(spark, d):
     return design.cohorts(
         views.visits(spark, d), patient="patient", treatment="treatment", order="visit_day", sample="sample",
-        before="PRE", after="GILT", later="GILT + DEC",
+        before="PRE", after="GILT", later="GILT + DEC", healthy=F.col("treatment") == "OTHER",
     )
 
 

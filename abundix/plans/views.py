@@ -83,6 +83,8 @@ def visits(spark: SparkSession, d: str) -> DataFrame:
             F.lit(" Day "), F.dayofmonth("o_orderdate").cast("string"),
         ).alias("description"),
         F.col("o_totalprice").alias("loading_mass"),
+        F.when(priority.isin("1-URGENT", "2-HIGH", "3-MEDIUM"), _text("S", F.col("o_orderkey")))
+        .otherwise(F.concat(_text("HS-", F.col("o_custkey") % 30), _text(" R", 1 + F.col("o_orderkey") % 3))).alias("name"),
     )
 
 
@@ -173,7 +175,9 @@ SQL = {
              else 'OTHER' end as treatment,
         concat('P', cast(1 + o_custkey % 2 as varchar), ' Cycle ', cast(month(o_orderdate) as varchar),
                ' Day ', cast(day(o_orderdate) as varchar)) as description,
-        o_totalprice as loading_mass from orders""",
+        o_totalprice as loading_mass,
+        case when o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM') then concat('S', cast(o_orderkey as varchar))
+             else concat('HS-', cast(o_custkey % 30 as varchar), ' R', cast(1 + o_orderkey % 3 as varchar)) end as name from orders""",
     "term2gene": """select concat('KEGG_', p_brand) as term, concat('P', cast(p_partkey as varchar)) as gene from part
         union all select concat('REACTOME_', p_type, '_', cast(p_size % 10 as varchar)), concat('P', cast(p_partkey as varchar)) from part
         union all select concat('GOMF_SIZE_', cast(p_size as varchar)), concat('P', cast(p_partkey as varchar)) from part""",
