@@ -127,8 +127,8 @@ def prior_peptides(spark, d):
 @query(
     "parsimony_greedy",
     # Groups of accessions that share peptides are known here, so the SQL takes one accession per group and step.
-    """with recursive pairs as (select distinct case when l_partkey % 3 = 0 then concat('G', cast(l_partkey % 600 as varchar)) else concat('U', cast(l_partkey as varchar)) end as grp,
-         concat('PEP', cast(case when l_partkey % 3 = 0 then l_partkey % 600 else l_partkey end as varchar), case when l_partkey % 3 = 0 then 'S' else 'U' end,
+    """with recursive pairs as (select distinct case when l_partkey % 3 = 0 then concat('G', cast(l_partkey // 10 as varchar)) else concat('U', cast(l_partkey as varchar)) end as grp,
+         concat('PEP', cast(case when l_partkey % 3 = 0 then l_partkey // 10 else l_partkey end as varchar), case when l_partkey % 3 = 0 then 'S' else 'U' end,
            cast(l_linenumber as varchar)) as peptide, concat('P', cast(l_partkey as varchar)) as accession from lineitem),
        walk(grp, peptide, accession, taken) as (
          select grp, peptide, accession, null::varchar from pairs
@@ -143,7 +143,7 @@ def prior_peptides(spark, d):
 def parsimony_greedy(spark, d):
     """Every accession has several peptides; a third of the accessions share theirs with others."""
     part = F.col("l_partkey")
-    stem = F.when(part % 3 == 0, part % 600).otherwise(part).cast("string")
+    stem = F.when(part % 3 == 0, F.floor(part / 10)).otherwise(part).cast("string")
     pairs = table(spark, d, "lineitem").select(
         F.concat(F.lit("PEP"), stem, F.when(part % 3 == 0, "S").otherwise("U"), F.col("l_linenumber").cast("string")).alias("peptide"),
         prefixed("P", "l_partkey").alias("accession"),

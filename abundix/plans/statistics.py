@@ -298,18 +298,19 @@ def moderated_t(spark, d):
 @query(
     "paired_effect",
     with_views(
-        f"""select feature, n, n_blocks, d, {r6('slope')} as log_fc, {r6('s2')} as s2, {r6('slope / sqrt(s2 / sxx)')} as t from (
+        f"""select feature, n, n_blocks, d, {r6('slope')} as log_fc, {r6('s2')} as s2, {r6('case when s2 > 0 then slope / sqrt(s2 / sxx) end')} as t from (
               select *, case when d > 0 then greatest(syy - sxy * slope, 0) / d end as s2 from (
                 select *, sxy / sxx as slope, n - n_blocks - 1 as d from (
                   select feature, count(*) as n, count(distinct patient) as n_blocks, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from (
                     select feature, patient, x0 - avg(x0) over w as x, value - avg(value) over w as y from (
-                      select ligand as feature, feature as patient, value, case when treatment <> 'PRE' then 1.0::double else 0 end as x0 from course)
+                      select feature, ligand as patient, value, case when treatment <> 'PRE' then 1.0::double else 0 end as x0 from course)
                     window w as (partition by feature, patient)) group by feature) where sxx > 0))""",
         "course",
     ),
 )
 def paired_effect(spark, d):
-    rows = views.course(spark, d).select(F.col("ligand").alias("feature"), F.col("feature").alias("patient"), "treatment", "value")
+    """Features are the users, blocks the kinds of event: both grow with the table."""
+    rows = views.course(spark, d).select("feature", F.col("ligand").alias("patient"), "treatment", "value")
     out = differential.paired_test(rows, F.col("treatment") != "PRE").select("feature", "n", "n_blocks", "d", "log_fc", "s2", "t")
     return rounded(out, "log_fc", "s2", "t")
 

@@ -108,7 +108,7 @@ def psm(spark: SparkSession, d: str) -> DataFrame:
     return _supplied(spark, d).select(
         _text("EX_Plex", F.col("n_regionkey")).alias("dataset"),
         _scan().alias("scan"),
-        F.when(part % 3 == 0, _text("PEP", part % 600)).otherwise(_text("PEPU", part)).alias("peptide"),
+        F.when(part % 3 == 0, _text("PEP", F.floor(part / 10))).otherwise(_text("PEPU", part)).alias("peptide"),
         _text("P", part).alias("accession"),
         (part % 10 == 0).alias("is_decoy"),
         (F.col("l_extendedprice") * F.when(part % 10 == 0, 0.2).otherwise(1.0)).alias("score"),
@@ -183,7 +183,7 @@ SQL = {
         union all select concat('GOMF_SIZE_', cast(p_size as varchar)), concat('P', cast(p_partkey as varchar)) from part""",
     "psm": """select distinct concat('EX_Plex', cast(n.n_regionkey as varchar)) as dataset,
         concat_ws('-', cast(l.l_orderkey as varchar), cast(l.l_linenumber as varchar), cast(l.l_partkey as varchar), cast(l.l_suppkey as varchar)) as scan,
-        case when l.l_partkey % 3 = 0 then concat('PEP', cast(l.l_partkey % 600 as varchar))
+        case when l.l_partkey % 3 = 0 then concat('PEP', cast(l.l_partkey // 10 as varchar))
              else concat('PEPU', cast(l.l_partkey as varchar)) end as peptide,
         concat('P', cast(l.l_partkey as varchar)) as accession, (l.l_partkey % 10 = 0) as is_decoy,
         l.l_extendedprice * cast(case when l.l_partkey % 10 = 0 then 0.2 else 1.0 end as double) as score
