@@ -90,6 +90,11 @@ def spread(manifest: DataFrame) -> DataFrame:
     return manifest.select("chunk").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def by_chunk(manifest: DataFrame, rows: DataFrame) -> DataFrame:
+    """About one task for each chunk: a few bytes of answers stand for MBs of text, so their size must not merge tasks."""
+    return rows.repartition(max(1, min(manifest.count(), 1 << 17)), "chunk")
+
+
 def bucket_count(manifest: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Number of buckets so that a bucket's keys come from about ``bytes_each`` bytes of text."""
     total = manifest.agg(F.sum("n_bytes")).first()[0] or 0
@@ -180,7 +185,7 @@ def visit_chunks(
         yield from fn(name, open_chunk(name), keys)
 
     every = manifest.select("chunk", F.lit(None).cast("binary").alias("keys"))
-    return answers.unionByName(every).groupBy("chunk").applyInArrow(run, schema)
+    return by_chunk(manifest, answers.unionByName(every)).groupBy("chunk").applyInArrow(run, schema)
 
 
 def visit_answers(
@@ -200,4 +205,4 @@ def visit_answers(
         yield from fn(name, open_chunk(name), table)
 
     every = manifest.select("chunk", *[F.lit(None).cast(f.dataType).alias(f.name) for f in answers.schema if f.name != "chunk"])
-    return answers.unionByName(every).groupBy("chunk").applyInArrow(run, schema)
+    return by_chunk(manifest, answers.unionByName(every)).groupBy("chunk").applyInArrow(run, schema)
