@@ -6,9 +6,9 @@ the points prunes pairs that cannot reach the threshold; what survives is verifi
 
 The tree is cut at the top by fine groups (the hashes themselves): the rectangle of group g holds the points with a
 count in g. A pair over the threshold shares one of the first n - ceil(t n) + 1 groups of both sets, in any order
-that all sets follow, so a set enters only those rectangles; the order puts groups that are frequent in the corpus
-last. Rectangles with one point are dropped by an exchange of packed hashes between chunks. Points whose
-rectangles touch form a candidate group; inside each, coordinates are the counts of ``GROUPS`` coarse groups, packed
+that all sets follow, so a set enters only those rectangles. The order puts groups of one point first (an exchange
+of packed hashes between chunks finds the others) and those that are frequent in the corpus last, so a set enters
+a shared rectangle only if little of it is its own. Points whose rectangles touch form a candidate group; inside each, coordinates are the counts of ``GROUPS`` coarse groups, packed
 into pages of ``PAGE`` points. Equal sets are one point, however many documents they stand for.
 
 A candidate group works on its components rather than on all pairs: a few pivots are compared with all points at
@@ -89,12 +89,13 @@ def frequency_classes(cells: np.ndarray) -> np.ndarray:
     return np.where(excess <= 1, 0, np.minimum(15, 1 + np.floor(2 * np.log2(np.maximum(excess, 1))))).astype(np.uint64)
 
 
-def prefix(shingles: np.ndarray, bounds: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
-    """Places of the shingles that each set is indexed by: the first n - ceil(t n) + 1, rarest class first."""
+def prefix(shingles: np.ndarray, bounds: np.ndarray, shared: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the shingles that each set is indexed by: the first n - ceil(t n) + 1, rarest first."""
     counts = np.diff(bounds)
     row = np.repeat(np.arange(len(counts)), counts)
-    # 12 bits of row, 4 of class, 48 of hash; equal keys stay in the order of the whole hash
-    key = (row.astype(np.uint64) << np.uint64(52)) | (classes[cell(shingles)] << np.uint64(48)) | (shingles >> np.uint64(4))
+    # 12 bits of row, 5 of frequency, 47 of hash; equal keys stay in the order of the whole hash
+    often = np.where(shared, np.uint64(16) | classes[cell(shingles)], np.uint64(0))
+    key = (row.astype(np.uint64) << np.uint64(52)) | (often << np.uint64(47)) | (shingles >> np.uint64(5))
     order = np.argsort(key, kind="stable")
     length = np.where(counts > 0, counts - -(-percent * counts // 100) + 1, 0)
     inside = np.arange(len(order)) - bounds[:-1][row]
@@ -237,13 +238,13 @@ def candidate_points(docs: DataFrame, key: str, text: str, width: int, percent:
     places = seen.where("n > 0").groupBy("print").agg(F.min(F.struct("chunk", "row")).alias("place"))
     chosen = places.select("place.chunk", "place.row").groupBy("chunk").agg(F.collect_list("row").alias("rows"))
     chosen = cut_lineage(chosen.select("chunk", F.lit(0).alias("tag"), "rows", F.lit(None).cast("binary").alias("keys")))
-    buckets = bucket_count(manifest, 32 << 20)
+    buckets = bucket_count(manifest)
 
     def ask(name: str, table: pa.Table, answers: pa.Table) -> Iterator[pa.RecordBatch]:
         keep, keys = wanted_rows(table, answers), []
         for words, shingles, bounds in sets_of(table, width):
             shingles, bounds = only(shingles, bounds, keep[words.first : words.last])
-            keys.append(mix64(shingles[prefix(shingles, bounds, classes, percent)], 3))
+            keys.append(mix64(shingles, 3))
         every = np.concatenate(keys)
         yield from requests(name, buckets, every, every, HALF)
 
@@ -258,8 +259,9 @@ def candidate_points(docs: DataFrame, key: str, text: str, width: int, percent:
         known = np.sort(np.concatenate(known))
         for words, shingles, bounds in sets_of(table, width):
             shingles, bounds = only(shingles, bounds, keep[words.first : words.last])
-            place = prefix(shingles, bounds, classes, percent)
-            place = place[is_in(answered(mix64(shingles[place], 3), buckets, HALF), known)]
+            often = is_in(answered(mix64(shingles, 3), buckets, HALF), known)
+            place = prefix(shingles, bounds, often, classes, percent)
+            place = place[often[place]]
             row = np.searchsorted(bounds, place, side="right") - 1
             order = np.argsort(row, kind="stable")
             own, firsts = np.unique(row[order], return_index=True)
