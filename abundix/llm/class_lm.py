@@ -38,7 +38,7 @@ HAPAX = 128
 
 
 def sum_arrays(df: DataFrame, column: str, kind: str = "<f8", groups: int = 4) -> np.ndarray | None:
-    """Sum of equally long packed arrays; tasks add up groups of rows, the driver the few sums."""
+    """Sum of equally long packed arrays, one from each task; a few tasks add up groups, the driver the few sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -49,7 +49,7 @@ def sum_arrays(df: DataFrame, column: str, kind: str = "<f8", groups: int = 4) -
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
 
-    once = df.select(column).mapInArrow(add, "sum binary").repartition(groups).mapInArrow(add, "sum binary")
+    once = df.select(column).repartition(groups).mapInArrow(add, "sum binary")
     parts = [np.frombuffer(r["sum"], dtype=kind) for r in once.collect()]
     return np.sum(parts, axis=0) if parts else None
 
@@ -115,14 +115,16 @@ def exchange(pairs: DataFrame, core: Core, classes: int, rounds: int) -> tuple[n
         """For each word, how often each class follows and precedes it."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((2, (size + 1) * wide))
+            out, some = np.zeros((2, (size + 1) * wide)), False
             for batch in batches:
+                some = some or batch.num_rows > 0
                 for packed, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
                     keys, n = np.frombuffer(packed, dtype=np.int64), np.frombuffer(n, dtype=np.int64)
                     left, right = keys // (size + 1), keys % (size + 1)
                     out[0] += np.bincount(left * wide + belongs[right], weights=n, minlength=out.shape[1])
                     out[1] += np.bincount(right * wide + belongs[left], weights=n, minlength=out.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
         total = sum_arrays(pairs.mapInArrow(count, "sums binary"), "sums")
         total = np.zeros(2 * (size + 1) * wide) if total is None else total
@@ -322,7 +324,8 @@ def score_documents(
         yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["keys", "counts"])
 
     pairs = each_chunk(manifest, pair_rows, "part int, keys binary, counts binary").groupBy("part")
-    pairs = cut_lineage(pairs.applyInArrow(merge, "keys binary, counts binary"))
+    # at most core_words squared pairs, so a few tasks suffice; each sends one table of sums
+    pairs = cut_lineage(pairs.applyInArrow(merge, "keys binary, counts binary").coalesce(16))
     belongs, joint = exchange(pairs, core, classes, rounds)
     gains = class_gains(joint, classes)
 
@@ -389,7 +392,8 @@ def score_documents(
                 out += np.bincount(plain[:-1] * (wide + 1) + plain[1:], minlength=len(out))
                 once = np.flatnonzero(line[:-1] >= HAPAX)
                 out += np.bincount(wide * (wide + 1) + plain[once + 1], minlength=len(out))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
     moves = sum_arrays(lines.where(~F.col("held_out")).select("line").mapInArrow(transitions, "sums binary"), "sums")
     table_ = transition_scores(moves, tokens, types, docs_trained, classes)
