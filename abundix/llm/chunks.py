@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundix.llm import files
+from abundix.llm.words import release, small_batches
 from abundix.session import cut_lineage
 
 CHUNK_BYTES = 8 << 20
@@ -53,6 +54,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
 def stage_chunks(df: DataFrame, text: str, most: int = CHUNK_BYTES) -> DataFrame:
     """Write the table as chunk files; returns their manifest, checkpointed."""
     folder = files.new_folder(df.sparkSession, "chunks")
+    small_batches(df.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in pieces(batches, text, most):
@@ -80,6 +82,7 @@ def each_chunk(manifest: DataFrame, fn: Callable[[str, pa.Table], Iterator[pa.Re
         for batch in batches:
             for name in batch.column("chunk").to_pylist():
                 yield from fn(name, open_chunk(name))
+        release()
 
     return spread(manifest).mapInArrow(run, schema)
 
@@ -183,6 +186,7 @@ def visit_chunks(
         keys = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in packed])) if packed else np.zeros(0, np.uint64)
         name = key[0].as_py()
         yield from fn(name, open_chunk(name), keys)
+        release()
 
     every = manifest.select("chunk", F.lit(None).cast("binary").alias("keys"))
     return by_chunk(manifest, answers.unionByName(every)).groupBy("chunk").applyInArrow(run, schema)
@@ -203,6 +207,7 @@ def visit_answers(
         table = table.filter(pa.compute.is_valid(table.column(marker)))
         name = key[0].as_py()
         yield from fn(name, open_chunk(name), table)
+        release()
 
     every = manifest.select("chunk", *[F.lit(None).cast(f.dataType).alias(f.name) for f in answers.schema if f.name != "chunk"])
     return by_chunk(manifest, answers.unionByName(every)).groupBy("chunk").applyInArrow(run, schema)

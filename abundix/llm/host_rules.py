@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from abundix.llm.words import Words, mix64, windows, word_slices
+from abundix.llm.words import Words, mix64, release, small_batches, windows, word_slices
 from abundix.session import cut_lineage
 
 WINDOW = 8
@@ -89,11 +89,13 @@ def measure(words: Words) -> dict[str, np.ndarray]:
     }
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """The measures in place of ``text``. Columns of the same names are replaced."""
+def with_measures(df: DataFrame, text: str = "text", *, keep_text: bool = False) -> DataFrame:
+    """The measures in place of ``text``, or beside it as ``__text``. Columns of the same names are replaced."""
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in MEASURES and c != text]
     rows = df.select(*kept, F.col(text).alias("__text"))
-    schema = rows.drop("__text").schema
+    schema = rows.select("*").schema if keep_text else rows.drop("__text").schema
+    kept = [*kept, "__text"] if keep_text else kept
     for name in MEASURES:
         schema = schema.add(name, "long")
 
@@ -105,6 +107,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in kept] + [pa.array(found[m]) for m in MEASURES], names=[*kept, *MEASURES]
                 )
+        release()
 
     return rows.mapInArrow(run, schema)
 
@@ -173,6 +176,7 @@ def kept_documents(df: DataFrame, text: str = "text", host: str = "source") -> D
     Two passes over the texts, so that no copy of them is checkpointed: rates first, then measures and verdict.
     """
     rates = host_rates(with_measures(df.select(host, text), text), host)
-    whole = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), F.col(host).alias("__own"), F.col(text).alias("__body"))
-    judged = host_verdicts(with_measures(whole, "__body"), rates, "__own")
-    return judged.where("kept").select("__row.*")
+    others = F.struct(*[F.col(c) for c in df.columns if c != text])
+    whole = df.select(others.alias("__row"), F.col(host).alias("__own"), F.col(text).alias("__body"))
+    judged = host_verdicts(with_measures(whole, "__body", keep_text=True), rates, "__own")
+    return judged.where("kept").select(*[(F.col("__text") if c == text else F.col("__row")[c]).alias(c) for c in df.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.llm.running import running_totals
-from abundix.llm.words import mix64, ranges, word_slices
+from abundix.llm.words import mix64, ranges, small_batches, word_slices
 
 PLAN_CELLS = 1 << 22
 MOST_SOURCES = 1 << 16
@@ -44,6 +44,7 @@ def cycled_weights(sources: list[str | None]) -> list[float]:
 
 def with_word_counts(df: DataFrame, text: str, name: str) -> DataFrame:
     """The table with the number of words of ``text`` in place of it."""
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in (text, name)]
     rows = df.select(*kept, F.col(text).alias("__text"))
 

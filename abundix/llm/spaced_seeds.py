@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from abundix.llm.words import Words, mix64, ranges, word_slices
+from abundix.llm.words import Words, mix64, ranges, release, small_batches, word_slices
 from abundix.session import cut_lineage
 
 # The masks.
@@ -150,6 +150,7 @@ def contaminated(
 ) -> DataFrame:
     """One row for each overlap of a document with an item: where it lies in both, its words, and those that agree."""
     spark = docs.sparkSession
+    small_batches(spark)
     indexed = item_seeds(items, item_key, item_text)
     item_hits = indexed.select("item", F.explode("hits").alias("hit")).select("item", F.col("hit.at").alias("item_at"), F.col("hit.hash").alias("hash"))
     counted = indexed.agg(F.sum(F.size("hits")), F.collect_set(F.when(F.size("hits") == 1, F.octet_length("item_words") / 8))).first()
@@ -181,6 +182,7 @@ def contaminated(
                 lists = pa.ListArray.from_arrays(pa.array([*firsts.tolist(), len(row)], pa.int32()), struct)
                 ids = batch.column("doc_id").take(pa.array(own + words.first))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary()), lists], names=["doc_id", "doc_words", "hits"])
+        release()
 
     schema = rows.select("doc_id").schema.add("doc_words", "binary").add("hits", HITS)
     hit_docs = rows.mapInArrow(search, schema).withColumn("doc", F.monotonically_increasing_id())

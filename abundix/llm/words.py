@@ -6,11 +6,13 @@ batch, cut into slices of whole texts, so no Python object is made per word. NUL
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
 
@@ -102,6 +104,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, lengths)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows hold whole texts here, so fewer of them in an Arrow batch bound what a task holds on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task; the worker stays for later ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text column; NULL becomes empty."""
     if isinstance(column, pa.ChunkedArray):
