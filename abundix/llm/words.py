@@ -161,8 +161,11 @@ def find_words(data: np.ndarray, offsets: np.ndarray, first: int = 0, last: int
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Start index and hash of every run of ``width`` words inside one row."""
+    """Start index and hash of every run of ``width`` words inside one row.
+
+    All seeds share one base, whose powers a worker keeps; independent hashes come from hashes of words with
+    another seed.
+    """
     counts = np.maximum(np.diff(bounds) - width + 1, 0)
     starts = ranges(bounds[:-1], counts)
-    base = (_WORD_BASE + 2 * 0x2545F4914F6CDD1D * seed) & (2**64 - 1)
-    return starts, mix64(_span_hashes(hashes, starts, starts + width, base), seed)
+    return starts, mix64(_span_hashes(hashes, starts, starts + width, _WORD_BASE), seed)
