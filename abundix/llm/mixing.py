@@ -11,6 +11,8 @@ a shard the pieces follow a keyed hash.
 What the driver holds is the plan: one row per source and at most ``PLAN_CELLS`` counts (sources x shards); the
 number of shards gives way to that bound. Widths grow so that all quotas together stay below ``MOST_BLOCKS``.
 
+Rows are numbered in the order of the streams, so that pieces find their document whatever its key.
+
 Defined results: NULL text has 0 words and is never drawn; NULL is a source of its own, the last in order;
 repeated rows are separate documents; an empty table gives an empty mix; other columns are carried
 along unread, but those with the names of ``ADDED`` are dropped.
@@ -34,7 +36,8 @@ PLAN_CELLS = 1 << 22
 MOST_SOURCES = 1 << 16
 MOST_BLOCKS = 500_000_000
 LEAST_BLOCKS = 256
-ADDED = ("source_size", "target", "taken", "shard", "epoch", "block", "first_word", "n_words", "slot", "__before")
+ADDED = ("source_size", "target", "taken", "shard", "epoch", "block", "first_word", "n_words", "slot", "places", "__before", "__row", "__one")
+ROW = "__row"
 
 
 def cycled_weights(sources: list[str | None]) -> list[float]:
@@ -183,7 +186,8 @@ class Mix:
         self.columns = docs.columns
         self.size, self.source, self.whole = size, source, whole_documents
         order = [F.col(source).asc_nulls_last(), F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.col(key), F.col(size)]
-        self.rows, _ = running_totals(docs, order, {"__before": size})
+        numbered = docs.withColumn("__one", F.lit(1).cast("long"))
+        self.rows = running_totals(numbered, order, {"__before": size, ROW: "__one"})[0].drop("__one")
         sums = self.rows.groupBy(source).agg(F.sum(size).alias("n")).limit(MOST_SOURCES + 1).collect()
         if len(sums) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of sources instead")
@@ -206,27 +210,39 @@ class Mix:
         )
 
     def taken(self) -> DataFrame:
-        """Every document with its source's words and target, and the words that the mix takes of it."""
-        plan, epochs, columns = self.plan, self.epochs, self.columns
-        reading = (self.source, self.size, self.whole)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, source, size, start, row, block, low, high in plan.scan(batches, *reading):
-                taken = np.zeros(len(size), dtype=np.int64)
-                for epoch in range(epochs):
-                    drawn = plan.draws(source[row], block, epoch) < plan.quotas[source[row]]
-                    taken += np.bincount(row[drawn], weights=(high - low)[drawn], minlength=len(size)).astype(np.int64)
-                added = [pa.array(plan.sizes[source]), pa.array(plan.targets[source]), pa.array(taken)]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + added, names=[*columns, "source_size", "target", "taken"])
-
-        schema = self.rows.drop("__before").schema.add("source_size", "long").add("target", "double").add("taken", "long")
-        return self._light().mapInArrow(count, schema)
+        """Every document with its source's words and target, the words that the mix takes of it, and where they lie.
+
+        ``places`` are the document's own ``pieces()`` as (shard, slot, first_word, n_words), in the order of the mix.
+        """
+        plan, columns, source_name = self.plan, [*self.columns, ROW], self.source
+        index = {name: i for i, name in enumerate(plan.names)}
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                source = np.array([index[s] for s in batch.column(source_name).to_pylist()], dtype=np.int64)
+                added = [pa.array(plan.sizes[source]), pa.array(plan.targets[source])]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in columns] + added, names=[*columns, "source_size", "target"])
+
+        schema = self.rows.drop("__before").schema.add("source_size", "long").add("target", "double")
+        every = self._light().mapInArrow(describe, schema)
+        own = self.pieces().groupBy(ROW).agg(
+            F.sum("n_words").alias("__taken"), F.sort_array(F.collect_list(F.struct("shard", "slot", "first_word", "n_words"))).alias("__places")
+        )
+        found = every.join(own, ROW, "left")
+        none = F.array().cast(own.schema["__places"].dataType)
+        return found.select(
+            *self.columns,
+            "source_size",
+            "target",
+            F.coalesce("__taken", F.lit(0).cast("long")).alias("taken"),
+            F.coalesce("__places", none).alias("places"),
+        )
 
     def pieces(self) -> DataFrame:
         """The mix: one row for each run of words drawn, with its shard and its place in the shuffled shard."""
         plan, epochs, source_name = self.plan, self.epochs, self.source
         reading = (self.source, self.size, self.whole)
-        kept = [c for c in self.columns if c != self.source]
+        kept = [*[c for c in self.columns if c != self.source], ROW]
 
         def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, source, size, start, row, block, low, high in plan.scan(batches, *reading):
@@ -250,8 +266,9 @@ class Mix:
         for name, kind in (("shard", "int"), ("epoch", "int"), ("block", "long"), ("first_word", "long"), ("n_words", "long")):
             schema = schema.add(name, {"int": "integer"}.get(kind, kind))
         drawn = self._light().mapInArrow(draw, schema)
-        shuffled = W.partitionBy("shard").orderBy(F.xxhash64("source", "epoch", "block", *kept), *kept, "first_word")
+        own = [c for c in kept if c != ROW]
+        shuffled = W.partitionBy("shard").orderBy(F.xxhash64("source", "epoch", "block", *own), *kept, "first_word", "epoch")
         return drawn.withColumn("slot", F.row_number().over(shuffled))
 
     def _light(self) -> DataFrame:
-        return self.rows.select(*self.columns, "__before")
+        return self.rows.select(*self.columns, "__before", ROW)

@@ -20,7 +20,8 @@ from abundix.llm.spaced_seeds import contaminated
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mix = Mix(with_word_counts(docs, "text", "size"), cycled_weights)
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source")
+    places = F.transform("places", lambda p: F.concat_ws("-", *[p[c].cast("string") for c in ("shard", "slot", "first_word", "n_words")]))
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "source", F.array_join(places, " ").alias("places"))
 
 
 @query("op3_hilbert_shards")

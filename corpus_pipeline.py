@@ -47,12 +47,24 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix takes them: sources weigh 3, 1, 2, repeating, and share 150 % of all words."""
+    """Whole documents as the mix deals them: sources weigh 3, 1, 2, repeating, and share 150 % of all words.
+
+    A document comes once for each of its pieces. Rows lie by shard of the mix, in the order of its slots.
+    """
+    return in_order(docs.join(cut_lineage(dealt(docs)), "doc_id")).select(*docs.columns)
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """The pieces of the mix, each a whole document: its key, shard and slot."""
     sizes = with_word_counts(docs.select("doc_id", "source", "text"), "text", "size")
-    taken = Mix(sizes, cycled_weights, whole_documents=True).taken().where("taken > 0 and doc_id is not null")
-    times = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    drawn = docs.join(cut_lineage(times), "doc_id")
-    return drawn.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    pieces = Mix(sizes, cycled_weights, whole_documents=True).pieces().where("doc_id is not null")
+    return pieces.select("doc_id", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+
+
+def in_order(drawn: DataFrame) -> DataFrame:
+    """A shard of the mix has a bounded number of words, so it fits into a task."""
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return drawn.repartition(parts, "__shard").sortWithinPartitions("__shard", "__slot")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

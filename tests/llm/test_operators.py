@@ -117,6 +117,15 @@ def test_mix_pieces_fill_shards(docs, spark):
     assert max(words.values()) < 1.5 * min(words.values())
 
 
+def test_mix_taken_is_what_the_pieces_hold(docs):
+    mix = Mix(sized(docs), cycled_weights, block_words=64, shard_words=4000)
+    got, pieces = mix.taken().collect(), mix.pieces().collect()
+    places = [tuple(p) for r in got for p in r["places"]]
+    assert sorted(places) == sorted((p["shard"], p["slot"], p["first_word"], p["n_words"]) for p in pieces)
+    assert all(r["taken"] == sum(p["n_words"] for p in r["places"]) for r in got)
+    assert len({p[:2] for p in places}) == len(places) and len({p[0] for p in places}) > 3
+
+
 def test_mix_of_nothing(nothing):
     mix = Mix(sized(nothing), cycled_weights)
     assert mix.taken().count() == 0 and mix.pieces().count() == 0

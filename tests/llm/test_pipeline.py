@@ -87,6 +87,16 @@ def test_stages_against_plain_python(spark, folder, tmp_path):
     assert all(sorted(own) == list(range(len(own))) for own in slots.values())
 
 
+def test_mix_stage_deals_the_pieces_in_order(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40 + i % 7)), "en", f"s{i % 3}", i) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    pieces = corpus_pipeline.dealt(docs).collect()
+    got = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()]
+    assert len(got) > 90 and {p["__shard"] for p in pieces} == {0}
+    assert got == [p["doc_id"] for p in sorted(pieces, key=lambda p: p["__slot"])]
+
+
 def test_run_and_empty_tables(spark, folder, tmp_path):
     out = corpus_pipeline.run(spark, folder)
     assert out.count() > 30 and {"doc_id", "shard", "slot"} <= set(out.columns)
