@@ -120,6 +120,8 @@ RULES = {
     "lines": "10 * n_dup_lines > 3 * n_lines",
 }
 BASE = ("few_words", "repeats")
+# Repeated lines alone are never clear, as good documents have them too.
+CLEAR = ("4 * n_symbols > n_words", "2 * word_chars < 3 * n_words OR word_chars > 20 * n_words")
 
 
 def with_failures(measured: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def with_failures(measured: DataFrame) -> DataFrame:
 
 
 def host_rates(measured: DataFrame, host: str) -> DataFrame:
-    """Rows (__host, host_rate). What comes to the driver is four sums over all hosts."""
+    """Rows (__host, host_rate, __bar), the last the mean and spread of the prior. What comes to the driver is four sums over all hosts."""
     hosts = with_failures(measured).groupBy(F.col(host).alias("__host")).agg(
         F.count(F.lit(1)).alias("__docs"), F.sum((F.col("failures") > 0).cast("long")).alias("__failed")
     )
@@ -140,16 +142,21 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     ).first()
     mean, weight = prior(sums["hosts"], sums["docs"] or 0, sums["failed"] or 0, sums["squares"] or 0.0)
     shrunk = (F.col("__failed") + F.lit(mean * weight)) / (F.col("__docs") + F.lit(weight))
-    rates = hosts.select("__host", shrunk.alias("host_rate"))
+    bar = mean + (mean * (1 - mean) / (weight + 1)) ** 0.5
+    rates = hosts.select("__host", shrunk.alias("host_rate"), F.lit(bar).alias("__bar"))
     return F.broadcast(rates) if sums["hosts"] <= BROADCAST_HOSTS else rates
 
 
-def host_verdicts(measured: DataFrame, rates: DataFrame, host: str, *, host_limit: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, rates: DataFrame, host: str, *, host_limit: float = 0.5, strict: bool = False) -> DataFrame:
     """Adds ``failures`` (rules failed), ``host_rate`` (shrunk), ``base_failed`` and ``kept``."""
     out = with_failures(measured).join(rates, F.col(host).eqNullSafe(rates["__host"])).drop("__host")
-    base = F.expr(" OR ".join(f"({RULES[name]})" for name in BASE))
-    trusted = (F.col("failures") == 0) | ((F.col("failures") == 1) & (F.col("host_rate") <= host_limit))
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & trusted)
+    any_of = lambda rules: F.expr(" OR ".join(f"({rule})" for rule in rules))
+    trusted = F.col("host_rate") <= (F.col("__bar") if strict else F.lit(host_limit))
+    if strict:
+        trusted = trusted & ~any_of(CLEAR)
+    trusted = (F.col("failures") == 0) | ((F.col("failures") == 1) & trusted)
+    base = any_of(RULES[name] for name in BASE)
+    return out.withColumn("base_failed", base).withColumn("kept", ~base & trusted).drop("__bar")
 
 
 def prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[float, float]:
@@ -164,13 +171,13 @@ def prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[float, fl
     return mean, min(1e6, max(1.0, binomial / between - 1))
 
 
-def quality_rules(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", host: str = "source", *, strict: bool = False) -> DataFrame:
     """Measures and verdict of every document, in place of its text; columns of the same names are replaced."""
     measured = cut_lineage(with_measures(df, text))
-    return host_verdicts(measured, host_rates(measured, host), host)
+    return host_verdicts(measured, host_rates(measured, host), host, strict=strict)
 
 
-def kept_documents(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+def kept_documents(df: DataFrame, text: str = "text", host: str = "source", *, strict: bool = False) -> DataFrame:
     """The documents that the verdict keeps, with all their columns as they were.
 
     Two passes over the texts, so that no copy of them is checkpointed: rates first, then measures and verdict.
@@ -178,5 +185,5 @@ def kept_documents(df: DataFrame, text: str = "text", host: str = "source") -> D
     rates = host_rates(with_measures(df.select(host, text), text), host)
     others = F.struct(*[F.col(c) for c in df.columns if c != text])
     whole = df.select(others.alias("__row"), F.col(host).alias("__own"), F.col(text).alias("__body"))
-    judged = host_verdicts(with_measures(whole, "__body", keep_text=True), rates, "__own")
+    judged = host_verdicts(with_measures(whole, "__body", keep_text=True), rates, "__own", strict=strict)
     return judged.where("kept").select(*[(F.col("__text") if c == text else F.col("__row")[c]).alias(c) for c in df.columns])
