@@ -2,15 +2,17 @@
 
 Quality rules, near copies, benchmark passages, mixing, sharding. Each stage takes (spark, docs, sf_dir) and its
 result is written as Parquet and read again as the next stage's documents; all but the last keep the columns of
-``documents``. Documents without a key cannot be told apart, so no stage removes them by key.
+``documents``. Stages decide on rows, by an identity made of all columns, so that rows without a key and rows that
+share one are judged like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import kept_documents
@@ -27,23 +29,47 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept_documents(docs, strict=True)
 
 
+def with_identity(docs: DataFrame) -> DataFrame:
+    """Adds ``__id``: 128 bits of hash of all columns, and the key. Only rows that are equal in all columns share it.
+
+    It is made of values alone, so that it is the same in every job, whatever the partitions or lost executors.
+    """
+    whole = [*[F.col(c) for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]]
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *whole)), 16, "0") for seed in (1, 2)]
+    key = F.col("doc_id").cast("string")
+    return docs.withColumn("__id", F.concat(*halves, F.when(key.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), key))))
+
+
+def key_of(row: Column, kind: DataType) -> Column:
+    """The key (NULL without one) in an identity."""
+    return F.when(F.substring(row, 33, 1) == "+", F.substr(row, F.lit(34))).cast(kind)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest key; five-word shingles, similarity 0.8 or more."""
-    groups = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(cut_lineage(copies), "doc_id", "left_anti")
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return single.unionByName(kept.where("doc_id is null")).select(*docs.columns)
+    """Of each group of linked documents the one with the smallest key; five-word shingles, similarity 0.8 or more.
+
+    A row without a key stays only where no linked row has one; of rows that are equal throughout one stays.
+    """
+    rows = with_identity(docs)
+    groups = jaccard_components(rows.select("__id", "text"), key="__id", width=5, percent=80).select("__id", "component_id")
+    groups = cut_lineage(groups)
+    key = key_of(F.col("__id"), docs.schema["doc_id"].dataType)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(key.isNull(), key, F.col("__id").alias("__id"))).alias("first"))
+    counted = groups.groupBy("__id").count()
+    copies = counted.join(first.select("first.__id"), "__id", "left_anti").select("__id")
+    kept = rows.join(cut_lineage(copies), "__id", "left_anti")
+    if not counted.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__id"])
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with no benchmark passage."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = contaminated(docs.select("doc_id", "text"), bench.select("item_id", "text")).select("doc_id").distinct()
-    return docs.join(cut_lineage(found), "doc_id", "left_anti").select(*docs.columns)
+    rows = with_identity(docs)
+    found = contaminated(rows.select("__id", "text"), bench.select("item_id", "text"), key="__id")
+    found = found.select(F.col("doc_id").alias("__id")).distinct()
+    return rows.join(cut_lineage(found), "__id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,14 +77,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document comes once for each of its pieces. Rows lie by shard of the mix, in the order of its slots.
     """
-    return in_order(docs.join(cut_lineage(dealt(docs)), "doc_id")).select(*docs.columns)
+    rows, pieces = with_identity(docs), cut_lineage(dealt(docs))
+    if not pieces.groupBy("__id", "__epoch").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["__id"])  # rows equal throughout have pieces of their own, but one row serves them
+    return in_order(rows.join(pieces, "__id")).select(*docs.columns)
 
 
 def dealt(docs: DataFrame) -> DataFrame:
-    """The pieces of the mix, each a whole document: its key, shard and slot."""
-    sizes = with_word_counts(docs.select("doc_id", "source", "text"), "text", "size")
-    pieces = Mix(sizes, cycled_weights, whole_documents=True).pieces().where("doc_id is not null")
-    return pieces.select("doc_id", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    """The pieces of the mix, each a whole document: its identity, epoch, shard and slot."""
+    sizes = with_word_counts(with_identity(docs).select("__id", "source", "text"), "text", "size")
+    pieces = Mix(sizes, cycled_weights, key="__id", whole_documents=True).pieces()
+    return pieces.select("__id", *[F.col(c).alias(f"__{c}") for c in ("epoch", "shard", "slot")])
 
 
 def in_order(drawn: DataFrame) -> DataFrame:

@@ -94,7 +94,38 @@ def test_mix_stage_deals_the_pieces_in_order(spark, tmp_path):
     pieces = corpus_pipeline.dealt(docs).collect()
     got = [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()]
     assert len(got) > 90 and {p["__shard"] for p in pieces} == {0}
-    assert got == [p["doc_id"] for p in sorted(pieces, key=lambda p: p["__slot"])]
+    assert got == [int(p["__id"][33:]) for p in sorted(pieces, key=lambda p: p["__slot"])]
+
+
+def test_rows_without_or_with_clashing_keys(spark, tmp_path):
+    text = lambda name, n=40: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(None, text("copied"), "en", "s0", 1), (3, text("copied"), "en", "s0", 1), (None, text("bad") + " " + PASSAGE, "en", "s0", 2)]
+    rows += [(7, text("clash"), "en", "s1", 3), (7, text("other"), "en", "s1", 4), (7, text("dirty") + " " + PASSAGE, "en", "s1", 5)]
+    rows += [(None, text("alone"), None, "s2", 6), (None, text("again"), "en", "s2", 7), (None, text("again"), "en", "s2", 7), (7, "short", "en", "s1", 8)]
+    rows += [(1, text("copied"), None, "s1", 9), (1, text("copied"), "s1", None, 9)]
+    rows += [(None, text(f"more{i}x"), "en", f"s{i % 3}", 10 + i) for i in range(60)]
+    spark.createDataFrame([(PASSAGE, 7)], "text string, item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), []
+    docs.repartition(3).write.parquet(f"{tmp_path}/0")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, spark.read.parquet(f"{tmp_path}/{i}"), str(tmp_path)).write.parquet(f"{tmp_path}/{i + 1}")
+        seen.append(spark.read.parquet(f"{tmp_path}/{i + 1}"))
+    name = lambda r: (r[0], r[1].split()[0])
+    more = {(None, f"more{i}x0") for i in range(60)}
+    assert Counter(rows_of(seen[0])) == Counter(r for r in rows if r[1] != "short")
+    kept = {(7, "clash0"), (7, "other0"), (None, "alone0"), (None, "again0"), (1, "copied0")} | more
+    assert Counter(map(name, rows_of(seen[1]))) == Counter(kept | {(None, "bad0"), (7, "dirty0")})
+    assert Counter(map(name, rows_of(seen[2]))) == Counter(kept)
+    pieces = corpus_pipeline.dealt(spark.read.parquet(f"{tmp_path}/3")).count()
+    drawn = [name(r) for r in rows_of(seen[3])]
+    assert len(drawn) == pieces == seen[4].count() and set(drawn) <= kept and sum(key is None for key, _ in drawn) > 60
+
+
+def test_mix_of_equal_rows(spark, tmp_path):
+    rows = [(None, f"same{i // 3} " * 300, "en", "s0", 1) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).count() == corpus_pipeline.dealt(docs).count() > 75
 
 
 def test_run_and_empty_tables(spark, folder, tmp_path):
