@@ -5,9 +5,9 @@ seeds of the benchmark are joined with those of the documents; each hit fixes a
 and the document are compared word by word. An overlap counts where ``least_words`` words in a row agree but for
 ``most_errors`` of them (substitutions), and is then extended over all such windows.
 
-The masks below hit every placement of two substitutions in thirteen words. Items of fewer than ``least_words``
-words have one seed, all their words, and must agree as a whole; items of fewer than ``least_item`` words say too
-little and are not searched.
+The masks below hit every placement of two substitutions in thirteen words. Shorter items are compared as a whole: 8
+to 12 words may have one substitution, so each half is a seed (one of them has none); 5 to 7 words have one seed, all
+their words, and must agree; 1 to 4 words say too little inside a text and must be all the words of a document.
 
 Only documents with a hit in a Bloom filter of the benchmark's seeds (at most 2**28 bits, whatever the benchmark's
 size) are shuffled; a fuller filter lets more documents through to the join, never fewer. Defined results: NULL texts have no words; NULL ids are kept as they are; repeated documents and
@@ -30,7 +30,7 @@ from abundix.session import cut_lineage
 
 # The masks.
 MASKS = ("11011111", "11110001011", "101101111", "1011010111")
-LEAST_WORDS, MOST_ERRORS, LEAST_ITEM = 13, 2, 5
+LEAST_WORDS, MOST_ERRORS, LEAST_ITEM, LEAST_HALVED = 13, 2, 5, 8
 MOST_BITS, BITS_EACH, PLACES = 1 << 28, 128, 6
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 HITS = ArrayType(StructType().add("at", "long").add("hash", "long"))
@@ -49,10 +49,13 @@ def seed_hashes(hashes: np.ndarray, starts: np.ndarray, mask: str) -> np.ndarray
 
 
 def seeds(words: Words, masks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of every mask at every place in its row."""
+    """Start and hash of every mask at every place in its row; masks of whole short items (``=``) only where they fill it."""
     hashes, starts, keys = words.hashes(), [], []
     for mask in masks:
-        at = ranges(words.bounds[:-1], np.maximum(words.counts - len(mask) + 1, 0))
+        whole = mask.startswith("=")
+        mask = mask.removeprefix("=")
+        room = np.maximum(words.counts - len(mask) + 1, 0)
+        at = ranges(words.bounds[:-1], np.where(words.counts == len(mask), 1, 0) if whole else room)
         starts.append(at)
         keys.append(seed_hashes(hashes, at, mask))
     return np.concatenate(starts), np.concatenate(keys)
@@ -72,8 +75,7 @@ def item_seeds(items: DataFrame, key: str, text: str) -> DataFrame:
                 all_hashes, packed, hits = words.hashes(), [], []
                 for low, high in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
                     own, found = all_hashes[low:high], []
-                    for mask in masks_for(high - low):
-                        at = np.arange(len(own) - len(mask) + 1)
+                    for mask, at in item_masks(high - low):
                         found += zip(at.tolist(), seed_hashes(own, at, mask).view(np.int64).tolist())
                     packed.append(own.tobytes())
                     hits.append([{"at": a, "hash": h} for a, h in found])
@@ -85,10 +87,26 @@ def item_seeds(items: DataFrame, key: str, text: str) -> DataFrame:
     return cut_lineage(cut_lineage(rows).mapInArrow(run, schema))
 
 
-def masks_for(n_words: int) -> list[str]:
-    if n_words < LEAST_ITEM:
-        return []
-    return ["1" * n_words] if n_words < LEAST_WORDS else list(MASKS)
+def item_masks(n_words: int) -> list[tuple[str, np.ndarray]]:
+    """The masks of an item, and the places where each lies in it."""
+    if n_words >= LEAST_WORDS:
+        return [(mask, np.arange(n_words - len(mask) + 1)) for mask in MASKS]
+    if n_words >= LEAST_HALVED:
+        half = n_words // 2
+        return [("1" * half, np.array([0])), ("1" * (n_words - half), np.array([half]))]
+    return [("1" * n_words, np.array([0]))] if n_words else []
+
+
+def doc_masks(lengths: list[int]) -> list[str]:
+    """The masks that documents need for items of these lengths."""
+    out = list(MASKS)
+    for n in lengths:
+        if 0 < n < LEAST_ITEM:
+            out.append("=" + "1" * n)
+        elif n < LEAST_WORDS:
+            out += [mask for mask, _ in item_masks(n)]
+    # a mask for all places finds whole short texts, too
+    return [m for m in dict.fromkeys(out) if not (m.startswith("=") and m[1:] in out)]
 
 
 def place_of(hashes: np.ndarray, turn: int, bits: int) -> np.ndarray:
@@ -132,7 +150,9 @@ def overlaps(doc: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int
     width = min(LEAST_WORDS, len(item))
     if high - low < width:
         return []
-    errors = MOST_ERRORS if len(item) >= LEAST_WORDS else 0
+    if len(item) < LEAST_ITEM and len(doc) != len(item):
+        return []
+    errors = MOST_ERRORS if len(item) >= LEAST_WORDS else 1 if len(item) >= LEAST_HALVED else 0
     agree = doc[low + diagonal : high + diagonal] == item[low:high]
     sums = np.concatenate([[0], np.cumsum(agree)])
     good = np.flatnonzero(sums[width:] - sums[:-width] >= width - errors)
@@ -153,9 +173,8 @@ def contaminated(
     small_batches(spark)
     indexed = item_seeds(items, item_key, item_text)
     item_hits = indexed.select("item", F.explode("hits").alias("hit")).select("item", F.col("hit.at").alias("item_at"), F.col("hit.hash").alias("hash"))
-    counted = indexed.agg(F.sum(F.size("hits")), F.collect_set(F.when(F.size("hits") == 1, F.octet_length("item_words") / 8))).first()
-    short = sorted(int(n) for n in counted[1] if n < LEAST_WORDS)
-    masks = [*MASKS, *("1" * n for n in short)]
+    counted = indexed.agg(F.sum(F.size("hits")), F.collect_set(F.when(F.octet_length("item_words") < 8 * LEAST_WORDS, F.octet_length("item_words") / 8))).first()
+    masks = doc_masks(sorted(int(n) for n in counted[1]))
     bits, size = seed_filter(item_hits, int(counted[0] or 0))
     shared = spark.sparkContext.broadcast(bits)
 

@@ -280,6 +280,17 @@ def test_decontamination(spark, docs, rows, nothing):
     assert contaminated(docs, items.where("item_id = 9")).count() == 0
 
 
+def test_short_items(spark):
+    items = [(1, "yes"), (2, "so it is"), (3, "a b c d e f g h"), (4, "k1 k2 k3 k4 k5 k6 k7 k8 k9 k10 k11 k12"), (5, "five words are all here")]
+    texts = ["Yes", "yes yes", "so it is", "and so it is", "x a b c d e f g h", "a b c d X f g h y", "a b X d Y f g h", "X b c d e f g h"]
+    texts += [f"z {' '.join('other' if i == j else f'k{i}' for i in range(1, 13))} z" for j in range(1, 13)]
+    texts += ["five words are not here", "now five words are all here", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    wanted = {(0, 1), (2, 2), (4, 3), (5, 3), (7, 3), (21, 5)} | {(i, 4) for i in range(8, 20)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == wanted and len(got) == len(wanted)
+
+
 def test_warc_bundles(spark):
     page = "<html>" + "é" * 700
     rows = [(1, "http://a/ x", page), (2, None, page), (3, "u", page), (3, "u", page), (4, "u", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (7, "", ""), (None, "u", page), (8, "u", "y" * 300_000)]
