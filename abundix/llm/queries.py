@@ -11,6 +11,7 @@ from abundix.llm.class_lm import score_documents
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
 from abundix.llm.jaccard_rtree import jaccard_components
+from abundix.llm.line_dedup import deduplicated
 from abundix.llm.mixing import Mix, cycled_weights, with_word_counts
 from abundix.llm.perspectives import rotate
 from abundix.llm.registry import ORACLES, QUERIES, query, table
@@ -191,6 +192,32 @@ def jaccard_rtree(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(table(spark, folder, "documents"))
 
 
+LINES_SQL = r"""
+with split as (
+  select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
+), placed as (
+  select doc_id, unnest(range(1, len(lines) + 1)) as place, unnest(lines) as line from split
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from placed
+), held as (
+  select key, max(doc_id) as keeper from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3
+), judged as (
+  select k.doc_id, place, line, h.key is not null and k.doc_id <> h.keeper as goes from keyed k left join held h on k.key = h.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where goes) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not goes), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = deduplicated(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries():
     return dict(QUERIES)
 
