@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from abundix.llm import simple8b, warc_zstd
 from abundix.llm.anchors import repeats
 from abundix.llm.class_lm import score_documents
+from abundix.llm.collocations import collocations
 from abundix.llm.hilbert import hilbert_shards
 from abundix.llm.host_rules import quality_rules
 from abundix.llm.jaccard_rtree import jaccard_components
 from abundix.llm.line_dedup import deduplicated
+from abundix.llm.lloyd import vector_codes
 from abundix.llm.mixing import Mix, cycled_weights, with_word_counts
 from abundix.llm.perspectives import rotate
 from abundix.llm.registry import ORACLES, QUERIES, query, table
@@ -218,6 +220,89 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def lloyd_sql(rounds: int = 6, entries: int = 16, parts: int = 8) -> str:
+    """Lloyd rounds, one after the other, in exact integers."""
+    steps = [
+        f"""with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), parts as materialized (
+  select vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] as x from kept, range({parts}) t(p)
+), book0 as materialized (
+  select p, e, x as c from (select p, x, row_number() over (partition by p order by vec_id) - 1 as e from parts) where e < {entries}
+)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""near{i} as materialized (
+  select vec_id, label, p, x, min(struct_pack(d := d, e := e)) as best
+  from (select vec_id, label, p, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from parts join book{i} using (p))
+  group by vec_id, label, p, x
+)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""mean{i} as (
+  select p, e, list(((s - ((s % n) + n) % n) // n)::bigint order by j) as c
+  from (select p, best.e as e, j, sum(x[j])::hugeint as s, count(*) as n from near{i}, range(1, 1025) t(j) where j <= len(x) group by p, best.e, j)
+  group by p, e
+), book{i + 1} as materialized (
+  select b.p, b.e, coalesce(m.c, b.c) as c from book{i} b left join mean{i} m on b.p = m.p and b.e = m.e
+)"""
+            )
+    return ", ".join(steps) + f""", flat as (
+  select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds}
+), coded as (
+  select vec_id, label, string_agg(printf('%02x', best.e), '' order by p) as code, sum(best.d)::bigint as error
+  from near{rounds} group by vec_id, label
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded, flat"""
+
+
+@query("op13_vector_codes", lloyd_sql())
+def lloyd_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes(table(spark, folder, "embeddings")).drop("label")
+
+
+COLLOCATIONS_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), spoken as (
+  select lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') as ws from pieces
+), sizes as (
+  select lang, sum(len(ws))::bigint as n from spoken group by lang
+), grams as (
+  select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
+  from spoken, range(1, 6) t(k) where len(ws) >= k
+), found as materialized (
+  select lang, k, phrase, count(*) as f from grams group by lang, k, phrase having count(*) >= 100
+), cuts as (
+  select c.lang, c.k, c.phrase, c.f as a, l.f as l, r.f as r, n, j, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f) as score
+  from found c, range(1, 5) t(j), found l, found r, sizes s
+  where j < c.k and l.lang = c.lang and r.lang = c.lang and s.lang = c.lang
+    and l.phrase = array_to_string(string_split(c.phrase, ' ')[1:j], ' ')
+    and r.phrase = array_to_string(string_split(c.phrase, ' ')[j + 1:], ' ')
+), weakest as (
+  select * from cuts qualify row_number() over (partition by lang, phrase order by score, j) = 1
+), kept as (
+  select * from weakest w where not exists (
+    select 1 from found b where b.lang = w.lang and b.k > w.k and 100 * b.f >= 100 * w.a
+      and contains(' ' || b.phrase || ' ', ' ' || w.phrase || ' '))
+), ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept
+)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
 def queries():
     return dict(QUERIES)
 
