@@ -6,8 +6,9 @@ The corpus is cut into shards of some MB, each kept as a file of word numbers. F
 * each shard is mined completely at its local support, the global one lowered in proportion to the shard's share of the
   words of a language and rounded up; a phrase that reaches the support anywhere in sum reaches it in some shard;
 * the locally frequent phrases of all shards are united in a bitmap of their hashes: the candidates;
-* each shard counts all candidates that it holds, and the sums over shards are exact, as they are kept by the words
-  themselves. What reaches the support is frequent.
+* each shard counts all candidates that it holds. Counts meet by hash first, so that only phrases that can be frequent
+  are sent as words; their sums over shards are exact, as they are kept by the words themselves. What reaches the
+  support is frequent.
 
 A phrase is looked at only where both its parts of one word less are frequent, for which a bitmap of hashes will do.
 Both bitmaps have at most ``MOST_BITS`` bits whatever the corpus; hashes that meet by chance let more phrases be
@@ -40,6 +41,7 @@ from pyspark.sql.window import Window
 
 from abundix.llm import files
 from abundix.llm.chunks import pieces
+from abundix.llm.running import running_totals
 from abundix.llm.skew import with_facts
 from abundix.llm.words import Words, mix64, release, small_batches, text_buffer
 from abundix.session import cut_lineage
@@ -249,40 +251,62 @@ class Corpus:
 
         return bitmap_of(self.shards.mapInArrow(mine, "segment int, places binary"), bits)
 
-    def counted(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
-        """Exact counts (lang, phrase, f, hash) of the candidates that reach the support."""
+    def each(self, level: int, frequent: Broadcast, wanted: Broadcast, emit, schema: str) -> DataFrame:
+        """``emit(shard, hashes, places, counts)`` of the distinct phrases of each shard that ``wanted`` lets through."""
         bits = self.bits
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for name in batch.column("shard").to_pylist():
                     shard = open_shard(name)
                     at, hashes = phrases(shard, level, frequent.value, bits)
-                    hashes, at = (x[known(hashes, wanted.value, bits)] for x in (hashes, at))
-                    keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                    at = at[first]
-                    langs = pa.array(shard.names, pa.string()).take(pa.array(shard.langs[shard.tokens[at]]))
-                    for low in range(0, max(1, len(at)), 1 << 16):
+                    own = known(hashes, wanted.value, bits)
+                    keys, first, counts = np.unique(hashes[own], return_index=True, return_counts=True)
+                    at, counts = at[own][first], counts.astype(np.int64)
+                    for low in range(0, len(at), 1 << 16):
                         cut = slice(low, low + (1 << 16))
-                        yield pa.RecordBatch.from_arrays(
-                            [langs[cut], spell(shard, at[cut], level), pa.array(counts[cut].astype(np.int64)), pa.array(keys[cut].view(np.int64))],
-                            names=["lang", "phrase", "f", "hash"],
-                        )
+                        yield emit(shard, keys[cut], at[cut], counts[cut])
             release()
 
-        rows = self.shards.mapInArrow(count, "lang string, phrase binary, f long, hash long")
-        sums = rows.groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f")).where(F.col("f") >= self.support)
-        return cut_lineage(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(level).alias("words"), "f", "hash"))
+        return self.shards.mapInArrow(run, schema)
 
-    def add(self, found: DataFrame) -> bool:
-        """Frequent phrases join the bitmap of frequent ones; whether there were any."""
+    def likely(self, level: int, frequent: Broadcast, wanted: Broadcast) -> np.ndarray:
+        """Bitmap of the candidates whose hashes reach the support in sum: all frequent phrases, and few others."""
+
+        def emit(shard: Shard, keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["hash", "f"])
+
+        rows = self.each(level, frequent, wanted, emit, "hash long, f long")
+        sums = rows.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= self.support)
+        return bitmap_of(sums.select("hash").mapInArrow(self.places, "segment int, places binary"), self.bits)
+
+    @property
+    def places(self):
         bits = self.bits
 
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield segments(places_of(batch.column("hash").to_numpy().view(np.uint64), bits), bits)
 
-        here = bitmap_of(found.select("hash").mapInArrow(places, "segment int, places binary"), bits)
+        return run
+
+    def counted(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
+        """Exact counts (lang, phrase, words, f, hash) of the candidates that reach the support."""
+
+        def emit(shard: Shard, keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            langs = pa.array(shard.names, pa.string()).take(pa.array(shard.langs[shard.tokens[at]]))
+            return pa.RecordBatch.from_arrays(
+                [langs, spell(shard, at, level), pa.array(counts), pa.array(keys.view(np.int64))], names=["lang", "phrase", "f", "hash"]
+            )
+
+        likely = self.spark.sparkContext.broadcast(self.likely(level, frequent, wanted))
+        rows = self.each(level, frequent, likely, emit, "lang string, phrase binary, f long, hash long")
+        sums = rows.groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f")).where(F.col("f") >= self.support)
+        return cut_lineage(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(level).alias("words"), "f", "hash"))
+
+    def add(self, found: DataFrame) -> bool:
+        """Frequent phrases join the bitmap of frequent ones; whether there were any."""
+        here = bitmap_of(found.select("hash").mapInArrow(self.places, "segment int, places binary"), self.bits)
         self.frequent |= here
         return bool(here.any())
 
@@ -335,5 +359,8 @@ def collocations(docs: DataFrame, *, top: int = 2000, **more) -> DataFrame:
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     some = left.withColumn("part", F.pmod("hash", F.lit(TOP_SALTS)))
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    placed, _ = running_totals(some.withColumn("one", F.lit(1)), [F.col("lang"), *order], {"before": "one"})
+    placed = cut_lineage(placed.select("lang", "phrase", "a", "l", "r", "n", "score", "hash", "before"))
+    begin = cut_lineage(placed.groupBy("lang").agg(F.min("before").alias("first"), F.count(F.lit(1)).alias("__rows")))
+    ranked = with_facts(placed, begin, ["lang"], "__rows", F.col("hash")).withColumn("rank", F.col("before") - F.col("first") + 1)
+    return ranked.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
