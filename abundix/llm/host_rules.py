@@ -2,9 +2,9 @@
 
 Documents are measured once. A host's failures are counted over all its documents; rates of hosts with few
 documents are drawn towards the whole by a beta prior fitted to all hosts by moments (Kleinman 1973). The verdict
-on the host is joined back: documents of a host whose shrunk rate is above ``host_limit`` must pass every rule,
-documents of other hosts are trusted unless they fail two rules or more, or a base rule. A document that fails no
-rule is always kept, whatever its host.
+on the host is joined back and decides the borderline documents: one that fails a base rule, two rules or more, or
+a rule clearly goes, one that fails no rule stays whatever its host, and one that fails a single rule by little stays
+only if its host's shrunk rate is no more than the prior's mean and spread.
 
 Rules: fewer than 20 words (base); more than 30 % of the words in repeated 8-word windows (base); more than one
 symbol in ten words; mean word length outside 2 to 12; more than 30 % repeated lines.
@@ -147,14 +147,12 @@ def host_rates(measured: DataFrame, host: str) -> DataFrame:
     return F.broadcast(rates) if sums["hosts"] <= BROADCAST_HOSTS else rates
 
 
-def host_verdicts(measured: DataFrame, rates: DataFrame, host: str, *, host_limit: float = 0.5, strict: bool = False) -> DataFrame:
+def host_verdicts(measured: DataFrame, rates: DataFrame, host: str) -> DataFrame:
     """Adds ``failures`` (rules failed), ``host_rate`` (shrunk), ``base_failed`` and ``kept``."""
     out = with_failures(measured).join(rates, F.col(host).eqNullSafe(rates["__host"])).drop("__host")
     any_of = lambda rules: F.expr(" OR ".join(f"({rule})" for rule in rules))
-    trusted = F.col("host_rate") <= (F.col("__bar") if strict else F.lit(host_limit))
-    if strict:
-        trusted = trusted & ~any_of(CLEAR)
-    trusted = (F.col("failures") == 0) | ((F.col("failures") == 1) & trusted)
+    borderline = (F.col("failures") == 1) & ~any_of(CLEAR)
+    trusted = (F.col("failures") == 0) | (borderline & (F.col("host_rate") <= F.col("__bar")))
     base = any_of(RULES[name] for name in BASE)
     return out.withColumn("base_failed", base).withColumn("kept", ~base & trusted).drop("__bar")
 
@@ -171,13 +169,13 @@ def prior(hosts: int, docs: int, failed: int, squares: float) -> tuple[float, fl
     return mean, min(1e6, max(1.0, binomial / between - 1))
 
 
-def quality_rules(df: DataFrame, text: str = "text", host: str = "source", *, strict: bool = False) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """Measures and verdict of every document, in place of its text; columns of the same names are replaced."""
     measured = cut_lineage(with_measures(df, text))
-    return host_verdicts(measured, host_rates(measured, host), host, strict=strict)
+    return host_verdicts(measured, host_rates(measured, host), host)
 
 
-def kept_documents(df: DataFrame, text: str = "text", host: str = "source", *, strict: bool = False) -> DataFrame:
+def kept_documents(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents that the verdict keeps, with all their columns as they were.
 
     Two passes over the texts, so that no copy of them is checkpointed: rates first, then measures and verdict.
@@ -185,5 +183,5 @@ def kept_documents(df: DataFrame, text: str = "text", host: str = "source", *, s
     rates = host_rates(with_measures(df.select(host, text), text), host)
     others = F.struct(*[F.col(c) for c in df.columns if c != text])
     whole = df.select(others.alias("__row"), F.col(host).alias("__own"), F.col(text).alias("__body"))
-    judged = host_verdicts(with_measures(whole, "__body", keep_text=True), rates, "__own", strict=strict)
+    judged = host_verdicts(with_measures(whole, "__body", keep_text=True), rates, "__own")
     return judged.where("kept").select(*[(F.col("__text") if c == text else F.col("__row")[c]).alias(c) for c in df.columns])

@@ -76,7 +76,8 @@ with texts as (
 ), marked as (
   select *, (n_words < 20 or 100 * n_repeat_words > 30 * n_words) as base_failed,
     (n_words < 20)::int + (100 * n_repeat_words > 30 * n_words)::int + (10 * n_symbols > n_words)::int
-    + (word_chars < 2 * n_words or word_chars > 12 * n_words)::int + (10 * n_dup_lines > 3 * n_lines)::int as failures
+    + (word_chars < 2 * n_words or word_chars > 12 * n_words)::int + (10 * n_dup_lines > 3 * n_lines)::int as failures,
+    4 * n_symbols > n_words or 2 * word_chars < 3 * n_words or word_chars > 20 * n_words as clearly
   from measured
 ), hosts as (
   select source, count(*)::double as docs, sum((failures > 0)::int)::double as failed from marked group by source
@@ -87,10 +88,10 @@ with texts as (
 ), prior as (
   select m, case when v <= 0 or b = 0 then 1e6 else least(1e6, greatest(1, b / v - 1)) end as w from moments
 ), rates as (
-  select source, (failed + (select m * w from prior)) / (docs + (select w from prior)) as rate from hosts
+  select source, (failed + m * w) / (docs + w) as rate, m + sqrt(m * (1 - m) / (w + 1)) as bar from hosts, prior
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and (failures = 0 or (failures = 1 and rate <= 0.5)) as kept,
+  not base_failed and (failures = 0 or (failures = 1 and not clearly and rate <= bar)) as kept,
   failures, round(rate, 9) + 0.0::double as host_rate
 from marked m join rates r on m.source is not distinct from r.source
 """
