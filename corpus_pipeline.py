@@ -25,8 +25,12 @@ SHARDS = 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep: none that fails one clearly, and borderline ones only of hosts no worse than most."""
-    return kept_documents(docs, strict=True)
+    """Documents that the rules keep: none that fails one clearly, and borderline ones only of hosts no worse than most.
+
+    NULL and empty texts have too few words and go; a NULL source is a host of its own; rows that are equal or share a key
+    are judged one by one; an empty table stays empty.
+    """
+    return kept_documents(docs)
 
 
 def with_identity(docs: DataFrame) -> DataFrame:
@@ -48,7 +52,8 @@ def key_of(row: Column, kind: DataType) -> Column:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest key; five-word shingles, similarity 0.8 or more.
 
-    A row without a key stays only where no linked row has one; of rows that are equal throughout one stays.
+    A row without a key stays only where no linked row has one; of rows that are equal throughout one stays. NULL and
+    empty texts are linked with nothing and stay; an empty table stays empty.
     """
     rows = with_identity(docs)
     groups = jaccard_components(rows.select("__id", "text"), key="__id", width=5, percent=80).select("__id", "component_id")
@@ -64,7 +69,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with no benchmark passage."""
+    """Documents with no benchmark passage.
+
+    NULL and empty texts hold none and stay; equal rows stay or go together; an item without text finds nothing; with an
+    empty benchmark all rows stay, and an empty table stays empty.
+    """
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = with_identity(docs)
     found = contaminated(rows.select("__id", "text"), bench.select("item_id", "text"), key="__id")
@@ -75,7 +84,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents as the mix deals them: sources weigh 3, 1, 2, repeating, and share 150 % of all words.
 
-    A document comes once for each of its pieces. Rows lie by shard of the mix, in the order of its slots.
+    A document comes once for each of its pieces. Rows lie by shard of the mix, in the order of its slots. NULL and empty
+    texts have no words to take and go; a NULL source is a source of its own, the last; of rows equal throughout each
+    is dealt for itself; ties of sources cannot occur; an empty table stays empty.
     """
     rows, pieces = with_identity(docs), cut_lineage(dealt(docs))
     if not pieces.groupBy("__id", "__epoch").count().where("count > 1").isEmpty():
@@ -97,7 +108,11 @@ def in_order(drawn: DataFrame) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of each document along the Hilbert curve: shard and slot, near equal bytes in each shard."""
+    """Place of each document along the Hilbert curve: shard and slot, near equal bytes in each shard.
+
+    A NULL text has size 1; NULL sources and languages have a cell of their own; ties on the curve go by key and the text's
+    checksum, and equal rows get different slots; an empty table gives no rows.
+    """
     text = F.col("text")
     sized = docs.select(
         "doc_id",
