@@ -176,8 +176,10 @@ def moderate(tests: DataFrame, d0: Column, s02: Column, df_pooled: Column | None
 
 
 def moderated_test(tests: DataFrame, by: str | Sequence[str] | None = "comparison") -> DataFrame:
-    """Moderated t with a fitted prior, p-value and adjusted p-value within each comparison."""
+    """Moderated t with a fitted prior, p-value and adjusted p-value within each comparison; one prior for all without ``by``."""
     keys = keys_of(by)
+    if not keys:
+        return moderated_test(tests.withColumn("__all", F.lit(0)), "__all").drop("__all")
     priors = variance_prior(tests, keys)
     joined = tests.join(priors, keys)
     fitted = moderate(joined, F.col("d0"), F.col("s02"), F.col("df_pooled"))

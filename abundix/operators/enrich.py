@@ -4,23 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from abundix.functions.special import hypergeometric_upper_p, normal_upper_p, t_two_sided_p
 from abundix.functions.text import pathway_label
 from abundix.operators.differential import bh_adjust
 from abundix.operators.filters import top_rows
-from abundix.operators.multivar import outer_sums, standardised_rows
+from abundix.operators.multivar import packed_features, pair_correlations
 from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan
+from abundix.operators.permute import multilevel_p, null_set_scores  # noqa: F401 (part of this module's interface)
 from abundix.operators.reshape import explode_tokens, sets_to_long
 from abundix.session import cut_lineage
 
-_DRAW_BLOCK = 65_536
-
 
 # --- gene sets -------------------------------------------------------------------------------------------
 
@@ -133,79 +129,6 @@ def ranked_set_scores(
     return _peak(hits.join(sizes, [*keys, "term"]), [*keys, "term"])
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64 finaliser (Steele, Lea and Flood 2014)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def keyed_position(n: np.ndarray, key: np.ndarray, i: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Image of i under a keyed permutation of 0..n-1: Feistel rounds, walked until the image is below n.
-
-    Different i of one key never collide, so i = 0..h-1 is a draw without replacement that any task can
-    make on its own.
-    """
-    n, key, x = (np.asarray(v).astype(np.uint64) for v in (n, key, i))
-    bits = np.maximum(np.ceil(np.log2(np.maximum(n.astype(float), 2.0)) / 2), 1).astype(np.uint64)
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    todo = np.ones(x.shape, dtype=bool)
-    while todo.any():
-        left, right = x[todo] >> bits[todo], x[todo] & mask[todo]
-        for r in range(rounds):
-            step = (key[todo] + np.uint64((0x9E3779B97F4A7C15 * (r + 1)) & 0xFFFFFFFFFFFFFFFF))
-            left, right = right, left ^ (_mix(_mix(step) ^ right) & mask[todo])
-        x[todo] = (left << bits[todo]) | right
-        todo = x >= n
-    return x.astype(np.int64)
-
-
-@F.pandas_udf(T.LongType())
-def _draw(n: pd.Series, key: pd.Series, i: pd.Series) -> pd.Series:
-    with np.errstate(over="ignore"):
-        return pd.Series(keyed_position(n.to_numpy(), key.to_numpy().view(np.uint64), i.to_numpy()))
-
-
-def null_set_scores(
-    ranked: DataFrame,
-    sizes: DataFrame,
-    *,
-    by: str | Sequence[str] | None = "comparison",
-    value: str = "value",
-    n_perm: int = 2000,
-    seed: int = 117,
-) -> DataFrame:
-    """Scores of random sets, rows (by, h, perm, es), for each distinct set size (by, n, h).
-
-    The null depends on the size alone, so the cost does not grow with the number of terms. Draws come from
-    a keyed permutation and do not depend on partitioning.
-    """
-    keys = keys_of(by)
-    wanted = cut_lineage(sizes.select(*keys, "n", "h").distinct())
-    # A few size rows grow to sizes x permutations x members: spread them over tasks before they grow.
-    width = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    draws = (
-        wanted.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-        .withColumn("__key", F.xxhash64(F.lit(seed), "perm", *keys))
-        .withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("h") - 1) / _DRAW_BLOCK).cast("int"))))
-        .repartition(width, *keys, "h", "perm", "__block")
-        .withColumn(
-            "__i",
-            F.explode(
-                F.sequence(
-                    F.col("__block").cast("long") * _DRAW_BLOCK,
-                    F.least((F.col("__block").cast("long") + 1) * _DRAW_BLOCK, F.col("h")) - 1,
-                )
-            ),
-        )
-        .select(*keys, "n", "h", "perm", (_draw(F.col("n"), F.col("__key"), F.col("__i")) + 1).alias("rank"))
-    )
-    weights = ranked.select(*keys, "rank", F.abs(value).alias("weight"))
-    hits = draws.join(weights, [*keys, "rank"])
-    peaks = _peak(hits.withColumn("__size", F.col("h")), [*keys, "__size", "perm"])
-    return peaks.select(*keys, "h", "perm", "es")
-
-
 def normalised_set_scores(
     scores: DataFrame, null_scores: DataFrame, by: str | Sequence[str] | None = "comparison"
 ) -> DataFrame:
@@ -259,70 +182,31 @@ def set_correlation(
     sample: str = "sample",
     value: str = "value",
     min_members: int = 2,
+    min_shared: int = 3,
 ) -> DataFrame:
-    """Mean correlation over all pairs of set members, beside the mean over all pairs of measured features.
-
-    For rows z of unit length the sum of r over all ordered pairs is |sum of z|^2, so G members cost G rows
-    and never G^2 pairs. Features must be complete within their cohort.
-    """
-    rows = standardised_rows(df, by=by, feature=feature, sample=sample, value=value)
-    members = sets.select("term", F.col("gene").alias(feature)).distinct()
-
-    def mean_r(part: DataFrame, keys: list[str], size: str, out: str) -> DataFrame:
-        sums = part.groupBy(*keys, sample).agg(F.sum("z").alias("__s"), F.count(F.lit(1)).alias(size))
-        pairs = F.col(size) * (F.col(size) - 1)
-        return (
-            sums.groupBy(*keys)
-            .agg(F.sum(F.col("__s") * F.col("__s")).alias("__sq"), F.max(size).alias(size))
-            .where(F.col(size) >= 2)
-            .select(*keys, size, ((F.col("__sq") - F.col(size)) / pairs).alias(out))
-        )
-
-    background = mean_r(rows, [by], "n_features", "background")
-    scored = mean_r(rows.join(members, feature), [by, "term"], "n_members", "correlation")
-    return scored.where(F.col("n_members") >= min_members).join(background, by)
-
-
-def set_correlation_test(
-    df: DataFrame,
-    sets: DataFrame,
-    samples: Sequence[str],
-    *,
-    by: str = "cohort",
-    feature: str = "feature",
-    sample: str = "sample",
-    value: str = "value",
-) -> DataFrame:
-    """``set_correlation`` with a Welch p-value of set pairs against background pairs.
+    """Correlation over all pairs of set members, beside that over all pairs of measured features of the cohort.
 
-    The sum of r^2 over pairs is the squared norm of the sample x sample product sum(z z'), which again
-    needs no pairs of features.
+    A pair is correlated over the samples that have both, ``min_shared`` of them at least, so gaps cost single pairs and
+    never a member. Members and features are those seen in as many samples. Mean, variance and number of pairs come out.
     """
-    rows = standardised_rows(df, by=by, feature=feature, sample=sample, value=value)
-    wide = rows.groupBy(by, feature).pivot(sample, list(samples)).agg(F.max("z"))
-    packed = wide.select(by, feature, F.array(*[F.coalesce(F.col(f"`{s}`"), F.lit(0.0)) for s in samples]).alias("vec"))
+    rows = packed_features(df, by=by, feature=feature, sample=sample, value=value, least=min_shared)
     members = sets.select("term", F.col("gene").alias(feature)).distinct()
-
-    def squares(part: DataFrame, keys: list[str], out: str) -> DataFrame:
-        products = outer_sums(part, keys, "vec", len(samples))
-        return products.groupBy(*keys).agg(F.sum(F.col("product") * F.col("product")).alias(out))
-
-    means = set_correlation(df, sets, by=by, feature=feature, sample=sample, value=value)
-    joined = means.join(squares(packed.join(members, feature), [by, "term"], "__sq1"), [by, "term"]).join(
-        squares(packed, [by], "__sq0"), by
-    )
-
-    def moments(size: str, mean: str, sq: str) -> tuple[Column, Column]:
-        pairs = F.col(size) * (F.col(size) - 1) / 2.0
-        spread = (F.col(sq) - F.col(size)) / 2.0 - pairs * F.col(mean) * F.col(mean)
-        return pairs, F.greatest(spread, F.lit(0.0)) / F.nullif(pairs - 1, F.lit(0.0))
-
-    n1, v1 = moments("n_members", "correlation", "__sq1")
-    n0, v0 = moments("n_features", "background", "__sq0")
-    a, b = v1 / n1, v0 / n0
+    inside = pair_correlations(rows.join(members, feature), [by, "term"], feature=feature, least=min_shared)
+    outside = pair_correlations(rows, [by], feature=feature, least=min_shared)
+    named = lambda part, *names: part.toDF(*names)
+    inside = named(inside, by, "term", "n_members", "pairs", "correlation", "var")
+    outside = named(outside, by, "n_features", "all_pairs", "background", "background_var")
+    scored = inside.where((F.col("n_members") >= min_members) & (F.col("pairs") > 0))
+    return scored.join(outside, by)
+
+
+def set_correlation_test(df: DataFrame, sets: DataFrame, *, by: str = "cohort", **names) -> DataFrame:
+    """``set_correlation`` with a Welch p-value of set pairs against background pairs."""
+    scored = set_correlation(df, sets, by=by, **names)
+    a, b = F.col("var") / F.col("pairs"), F.col("background_var") / F.col("all_pairs")
     t = F.when(a + b > 0, (F.col("correlation") - F.col("background")) / F.sqrt(a + b))
-    dof = (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1))
-    tested = joined.withColumn("t", t).withColumn("df", F.when(F.col("t").isNotNull(), dof)).drop("__sq1", "__sq0")
+    dof = (a + b) * (a + b) / (a * a / (F.col("pairs") - 1) + b * b / (F.col("all_pairs") - 1))
+    tested = scored.withColumn("t", t).withColumn("df", F.when(F.col("t").isNotNull() & (F.col("pairs") > 1), dof))
     return tested.withColumn("p", t_two_sided_p("t", "df"))
 
 

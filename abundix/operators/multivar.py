@@ -6,7 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.operators.aggregate import collapse_duplicates
@@ -317,17 +320,75 @@ def nearest_centroid(packed: DataFrame, centroids: Sequence[Sequence[float]], *,
     return best.select(row, F.col("__best.cluster").alias("cluster"), F.col("__best.distance").alias("distance"))
 
 
-def standardised_rows(
-    df: DataFrame, *, by: str | Sequence[str] | None = None, feature: str = "feature", sample: str = "sample", value: str = "value"
+def packed_features(
+    df: DataFrame, *, by: str | Sequence[str] | None = None, feature: str = "feature", sample: str = "sample", value: str = "value", least: int = 1
 ) -> DataFrame:
-    """Rows of features seen in every sample of their group, centred and scaled to unit length (``z``)."""
+    """One row per (by, feature) that was measured in ``least`` samples or more: its ``cells`` (at, v), gaps left out.
+
+    ``at`` numbers the samples of a group from 0 in the order of their names. Repeated cells are averaged.
+    """
     keys = keys_of(by)
-    cells = collapse_duplicates(df, [*keys, feature, sample], value)
-    samples = cells.groupBy(*keys).agg(F.count_distinct(sample).alias("__samples"))
-    stats = cells.groupBy(*keys, feature).agg(
-        F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd")
-    )
-    stats = stats.join(samples, keys) if keys else stats.withColumn("__samples", samples.select("__samples").scalar())
-    full = stats.where((F.col("__n") == F.col("__samples")) & (F.col("__sd") > 1e-9) & (F.col("__n") > 1))
-    z = (F.col(value) - F.col("__mean")) / (F.col("__sd") * F.sqrt("__n"))
-    return cells.join(full, [*keys, feature]).select(*keys, feature, sample, z.alias("z"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    cells = collapse_duplicates(known, [*keys, feature, sample], value)
+    axis = cells.select(*keys, sample).distinct()
+    axis = axis.withColumn("__at", F.row_number().over(W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(sample)) - 1)
+    placed = cells.join(axis, [*keys, sample])
+    packed = placed.groupBy(*keys, feature).agg(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(value).alias("v"))).alias("cells"))
+    return packed.where(F.size("cells") >= least)
+
+
+def pair_correlations(packed: DataFrame, keys: Sequence[str], *, feature: str = "feature", least: int = 3, tile: int = 1024) -> DataFrame:
+    """Correlations of all pairs of rows within each key, over the samples that both have: rows (keys, n_rows, pairs, mean, var).
+
+    Rows of ``packed_features`` are dealt to tiles of about ``tile`` rows; every pair of tiles is a task of its own, so no
+    key has to fit in a task, and a pair of tiles costs six matrix products of values, marks and squares. Pairs of rows
+    are summed where they arise. A pair counts that shares ``least`` samples in which both vary.
+    """
+    keys = list(keys)
+    sizes = packed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = sizes.withColumn("__tiles", F.ceil(F.col("n_rows") / tile).cast("int"))
+    rows = packed.join(sizes.select(*keys, "__tiles"), keys)
+    mine = F.pmod(F.xxhash64(feature), F.col("__tiles")).cast("int")
+    rows = rows.select(*keys, "cells", "__tiles", mine.alias("__own"))
+    rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
+    rows = rows.withColumns({"__i": F.least("__own", "__other"), "__j": F.greatest("__own", "__other"), "__left": F.col("__own") <= F.col("__other")})
+    kinds = "".join(f"`{k}` {packed.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def dense(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+        cells = table.column("cells").combine_chunks()
+        row = np.repeat(np.arange(len(cells)), cells.value_lengths().to_numpy())
+        flat = cells.flatten()
+        at, v = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+        # each row from its own mean: correlations stay, digits do too
+        counts = np.bincount(row, minlength=len(cells))
+        v = v - (np.bincount(row, weights=v, minlength=len(cells)) / np.maximum(counts, 1))[row]
+        values, marks = np.zeros((len(cells), width)), np.zeros((len(cells), width))
+        values[row, at], marks[row, at] = v, 1.0
+        return values, marks
+
+    def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        both = key[-2].as_py() != key[-1].as_py()
+        flat = table.column("cells").combine_chunks().flatten()
+        width = int(pc.max(flat.field(0)).as_py()) + 1
+        left = table.filter(table.column("__left")) if both else table
+        a, ma = dense(left, width)
+        b, mb = dense(table.filter(pc.invert(table.column("__left"))), width) if both else (a, ma)
+        pairs, total, squares = 0, 0.0, 0.0
+        for low in range(0, len(a), 256):
+            x, mx = a[low : low + 256], ma[low : low + 256]
+            n = mx @ mb.T
+            sx, sy = x @ mb.T, mx @ b.T
+            vx, vy = (x * x) @ mb.T * n - sx * sx, mx @ (b * b).T * n - sy * sy
+            good = (n >= least) & (vx > 1e-9 * n) & (vy > 1e-9 * n)
+            if not both:
+                good &= np.arange(len(b))[None] > (low + np.arange(len(x)))[:, None]
+            r = (x @ b.T * n - sx * sy)[good] / np.sqrt(vx[good] * vy[good])
+            pairs, total, squares = pairs + len(r), total + float(r.sum()), squares + float(r @ r)
+        columns = {k: [key[i].as_py()] for i, k in enumerate(keys)}
+        return pa.table({**{k: pa.array(v, table.schema.field(k).type) for k, v in columns.items()}, "__p": [pairs], "__s": [total], "__q": [squares]})
+
+    parts = rows.groupBy(*keys, "__i", "__j").applyInArrow(work, f"{kinds}__p long, __s double, __q double")
+    sums = parts.groupBy(*keys).agg(F.sum("__p").alias("pairs"), F.sum("__s").alias("__s"), F.sum("__q").alias("__q"))
+    mean = F.col("__s") / F.nullif(F.col("pairs"), F.lit(0))
+    spread = F.greatest(F.col("__q") - F.col("__s") * mean, F.lit(0.0)) / F.nullif(F.col("pairs") - 1, F.lit(0))
+    return sums.join(sizes.drop("__tiles"), keys).select(*keys, "n_rows", "pairs", mean.alias("mean"), spread.alias("var"))

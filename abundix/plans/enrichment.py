@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abundix.operators import aggregate, enrich, filters, reshape
+from abundix.operators.permute import draw_order_sql
 from abundix.plans import views
 from abundix.plans.identification import activity
 from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import CELLS_SQL, RESIDUES_SQL, cells, site_residues
 from abundix.plans.statistics import P_VIEWS, TEST_VIEWS, bh_sql, ranked, t_p_sql, with_p
-from abundix.plans.views import SAMPLES, table, with_views
+from abundix.plans.views import table, with_views
 from abundix.session import cut_lineage, stage_path
 from abundix.sources import tables
 
@@ -185,35 +186,72 @@ def leading_edge_values(spark, d):
 # --- ranked lists ----------------------------------------------------------------------------------------
 
 
+GSEA_VIEWS = {
+    **TEST_VIEWS,
+    "ranks": """select comparison, feature, abs(round(log_fc, 9)) as w, count(*) over (partition by comparison) as n,
+        row_number() over (partition by comparison order by round(log_fc, 9) desc, md5(feature), feature) as rank from tested""",
+    "sizes": "select comparison, term, count(*) as h, sum(w) as total_w from ranks join (select distinct term, gene from term2gene) on feature = gene group by all having count(*) >= 5",
+    "grid": """select r.comparison, z.term, r.n, z.h, z.total_w, r.w, r.rank, g.gene is not null as hit from ranks r join sizes z on r.comparison = z.comparison
+        left join (select distinct term, gene from term2gene) g on g.term = z.term and g.gene = r.feature""",
+    "scored": """select comparison, term, n, h, case when up >= -down then up else down end as es from (
+        select comparison, term, n, h, max(s) as up, min(s) as down from (
+          select comparison, term, n, h, sum(case when hit then w / total_w else -1.0::double / (n - h) end) over (
+            partition by comparison, term order by rank) as s from grid) group by all)""",
+}
+DRAWS, SEED = 2000, 117
+NULL_VIEWS = {
+    "wanted": "select distinct comparison, n, h from scored",
+    "lists": "select n, max(h) as most from wanted group by n",
+    "draws": draw_order_sql(DRAWS, SEED, "lists", "most"),
+    "drawn": """select z.comparison, z.n, z.h, d.perm, d.rank, r.w, sum(r.w) over w as up, row_number() over w as i
+        from wanted z join draws d on d.n = z.n and d.j <= z.h join ranks r on r.comparison = z.comparison and r.rank = d.rank
+        window w as (partition by z.comparison, z.h, d.perm order by d.rank)""",
+    "nulls": """select comparison, h, case when high >= -low then high else low end as es from (
+        select comparison, h, perm, max(up / total - missed) as high, min((up - w) / total - missed) as low from (
+          select d.comparison, d.h, d.perm, up, w, (rank - i) / (n - d.h)::double as missed, total from drawn d
+          join (select comparison, h, perm, max(up) as total from drawn group by all) using (comparison, h, perm))
+        group by all)""",
+    "with_p": """select * exclude (mean), es / mean as nes from (
+        select s.comparison, s.term, s.n, s.h, s.es, avg(case when sign(u.es) = sign(s.es) then abs(u.es) end) as mean,
+          (1 + count(case when sign(u.es) = sign(s.es) and abs(u.es) >= abs(s.es) then 1 end))::double
+            / (1 + count(case when sign(u.es) = sign(s.es) then 1 end)) as p
+        from scored s join nulls u using (comparison, h) group by s.comparison, s.term, s.n, s.h, s.es)""",
+}
+
+
+@query("gsea_es", with_views(f"select comparison, term, n, h, {r6('es')} as es from scored", "meas", "term2gene", **GSEA_VIEWS))
+def gsea_es(spark, d):
+    return rounded(set_scores(spark, d), "es")
+
+
+def set_scores(spark, d):
+    return enrich.ranked_set_scores(ranked(spark, d), views.term2gene(spark, d), value="log_fc", min_size=5)
+
+
 @query(
-    "gsea_es",
+    "gsea_nes",
     with_views(
-        f"""select comparison, term, n, h, {r6('case when up >= -down then up else down end')} as es from (
-              select comparison, term, n, h, max(s) as up, min(s) as down from (
-                select comparison, term, n, h, sum(case when hit then w / total_w else -1.0::double / (n - h) end) over (
-                  partition by comparison, term order by rank) as s from grid) group by all)""",
-        "meas", "term2gene", **TEST_VIEWS,
-        ranks="""select comparison, feature, abs(round(log_fc, 9)) as w, count(*) over (partition by comparison) as n,
-                 row_number() over (partition by comparison order by round(log_fc, 9) desc, md5(feature), feature) as rank from tested""",
-        sizes="select comparison, term, count(*) as h, sum(w) as total_w from ranks join (select distinct term, gene from term2gene) on feature = gene group by all having count(*) >= 5",
-        grid="""select r.comparison, z.term, r.n, z.h, z.total_w, r.w, r.rank, g.gene is not null as hit from ranks r join sizes z on r.comparison = z.comparison
-                left join (select distinct term, gene from term2gene) g on g.term = z.term and g.gene = r.feature""",
+        f"select comparison, term, n, h, {r6('es')} as es, {r6('nes')} as nes, {r6('p')} as p, {r6('p_adj')} as p_adj from adjusted",
+        "meas", "term2gene", **GSEA_VIEWS, **NULL_VIEWS, adjusted=bh_sql("with_p"),
     ),
 )
-def gsea_es(spark, d):
-    scores = enrich.ranked_set_scores(ranked(spark, d), views.term2gene(spark, d), value="log_fc", min_size=5)
-    return rounded(scores, "es")
-
-
-@query("gsea_nes")
 def gsea_nes(spark, d):
-    """Normalised scores with 200 random sets per set size."""
-    listed = ranked(spark, d).where(F.col("comparison") == "R1_R0")
+    """Normalised scores of all comparisons, with 2,000 random sets per set size."""
+    listed = cut_lineage(ranked(spark, d))
     scores = cut_lineage(enrich.ranked_set_scores(listed, views.term2gene(spark, d), value="log_fc", min_size=5))
-    null = enrich.null_set_scores(listed, scores, value="log_fc", n_perm=200, seed=117)
+    null = enrich.null_set_scores(listed, scores, value="log_fc", n_perm=DRAWS, seed=SEED)
     return rounded(enrich.normalised_set_scores(scores, null), "es", "nes", "p", "p_adj")
 
 
+@query("gsea_multilevel")
+def gsea_multilevel(spark, d):
+    """The same terms with p by splitting where the 2,000 random sets say too little."""
+    listed = cut_lineage(ranked(spark, d))
+    scores = cut_lineage(enrich.ranked_set_scores(listed, views.term2gene(spark, d), value="log_fc", min_size=5))
+    null = cut_lineage(enrich.null_set_scores(listed, scores, value="log_fc", n_perm=DRAWS, seed=SEED))
+    return enrich.multilevel_p(scores, listed, null, value="log_fc", seed=SEED)
+
+
 # --- over-representation ---------------------------------------------------------------------------------
 
 ORA_VIEWS = {
@@ -290,37 +328,37 @@ def ora_by_cluster(spark, d):
 # --- correlation -----------------------------------------------------------------------------------------
 
 CORRELATION_VIEWS = {
-    "cells": "select feature, sample, concat('R', cast(plex as varchar)) as cohort, avg(value) as value from meas_dense group by all",
-    "cohort_size": "select cohort, count(distinct sample) as n_samples from cells group by cohort",
-    "complete": """select cohort, feature from cells join cohort_size using (cohort) group by cohort, feature, n_samples
-        having count(*) > 1 and stddev_pop(value) > 1e-9 and count(*) = n_samples""",
-    "kept": "select c.* from cells c join complete using (cohort, feature)",
+    "cells": "select feature, sample, concat('R', cast(plex as varchar)) as cohort, avg(value) as value from meas group by all",
+    "seen": "select cohort, feature from cells group by all having count(*) >= 3",
+    "kept": "select * from cells semi join seen using (cohort, feature)",
     "pairs": """select x.cohort, x.feature as a, y.feature as b, corr(x.value, y.value) as r from kept x join kept y
-        on x.cohort = y.cohort and x.sample = y.sample and x.feature < y.feature group by all""",
+        on x.cohort = y.cohort and x.sample = y.sample and x.feature < y.feature group by all
+        having count(*) >= 3 and var_pop(x.value) * count(*) > 1e-9 and var_pop(y.value) * count(*) > 1e-9""",
     "members": "select distinct term, gene from term2gene",
     "inside": """select cohort, g.term, count(*) as pairs, avg(r) as correlation, var_samp(r) as v from pairs
         join members g on a = g.gene join members h on b = h.gene and g.term = h.term group by all""",
     "outside": "select cohort, count(*) as all_pairs, avg(r) as background, var_samp(r) as v0 from pairs group by cohort",
-    "counted": "select cohort, term, count(*) as n_members from complete join members on feature = gene group by all",
-    "features": "select cohort, count(*) as n_features from complete group by all",
+    "counted": "select cohort, term, count(*) as n_members from seen join members on feature = gene group by all",
+    "features": "select cohort, count(*) as n_features from seen group by all",
 }
 
 
 def _cohort_rows(spark, d):
-    return views.meas_dense(spark, d).select("feature", "sample", "value", prefixed("R", "plex").alias("cohort"))
+    """Sparse rows: about a third of the cells of a cohort are missing."""
+    return views.meas(spark, d).select("feature", "sample", "value", prefixed("R", "plex").alias("cohort"))
 
 
 @query(
     "corr_enrichment",
     with_views(
-        f"""select cohort, term, n_members, n_features, {r6('correlation')} as correlation, {r6('background')} as background
+        f"""select cohort, term, n_members, n_features, pairs, all_pairs, {r6('correlation')} as correlation, {r6('background')} as background
             from inside join outside using (cohort) join counted using (cohort, term) join features using (cohort)""",
-        "meas_dense", "term2gene", **CORRELATION_VIEWS,
+        "meas", "term2gene", **CORRELATION_VIEWS,
     ),
 )
 def corr_enrichment(spark, d):
     scored = enrich.set_correlation(_cohort_rows(spark, d), views.term2gene(spark, d))
-    out = scored.select("cohort", "term", "n_members", "n_features", "correlation", "background")
+    out = scored.select("cohort", "term", "n_members", "n_features", "pairs", "all_pairs", "correlation", "background")
     return rounded(out, "correlation", "background")
 
 
@@ -330,12 +368,12 @@ def corr_enrichment(spark, d):
         f"""select cohort, term, {r6('correlation')} as correlation, round(t, 4) + 0.0::double as t, {r6(t_p_sql('t', 'df'))} as p from (
               select *, (correlation - background) / sqrt(q1 + q0) as t, (q1 + q0) * (q1 + q0) / (q1 * q1 / (pairs - 1) + q0 * q0 / (all_pairs - 1)) as df from (
                 select *, v / pairs as q1, v0 / all_pairs as q0 from inside join outside using (cohort) where pairs > 2))""",
-        "meas_dense", "term2gene", **CORRELATION_VIEWS,
+        "meas", "term2gene", **CORRELATION_VIEWS,
     ),
 )
 def corr_enrichment_p(spark, d):
-    tested = enrich.set_correlation_test(_cohort_rows(spark, d), views.term2gene(spark, d), SAMPLES)
-    tested = tested.where("n_members > 2").select("cohort", "term", "correlation", F.round("t", 4).alias("t"), "p")
+    tested = enrich.set_correlation_test(_cohort_rows(spark, d), views.term2gene(spark, d))
+    tested = tested.where("pairs > 2").select("cohort", "term", "correlation", F.round("t", 4).alias("t"), "p")
     return rounded(tested, "correlation", "p")
 
 

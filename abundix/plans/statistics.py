@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from abundix.functions.special import t_two_sided_p
 from abundix.functions.text import significance_mark
-from abundix.operators import aggregate, design, differential, filters, joins, normalize
+from abundix.operators import aggregate, design, differential, filters, joins, linear, normalize
 from abundix.operators.ordered import grouped_rank
 from abundix.plans import views
 from abundix.plans.registry import prefixed, query, r6, rounded
@@ -295,24 +295,66 @@ def moderated_t(spark, d):
     return rounded(out, "log_fc", "t_mod", "s2_post", "p", "p_adj")
 
 
+PAIRED_SQL = """select 'treated' as comparison, *, 1 / sxx as unscaled, case when s2 > 0 then log_fc / sqrt(s2 / sxx) end as t from (
+    select *, case when d > 0 then greatest(syy - sxy * log_fc, 0) / d end as s2 from (
+      select *, sxy / sxx as log_fc, n - n_blocks - 1 as d from (
+        select feature, count(*) as n, count(distinct block) as n_blocks, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from (
+          select feature, block, x0 - avg(x0) over w as x, value - avg(value) over w as y from {rows} window w as (partition by feature, block))
+        group by feature) where sxx > 1e-12))"""
+MODERATED_SQL = f"""{r6('log_fc')} as log_fc, {r6('s2')} as s2, {r6('t')} as t, {r6('s2_post')} as s2_post, {r6('t_mod')} as t_mod,
+    round(df_total, 4) as df_total, {r6('p')} as p, {r6('p_adj')} as p_adj from adjusted"""
+MODERATED_VIEWS = {
+    **_PRIOR_SQL, "with_p": f"select *, {t_p_sql('t_mod', 'df_total', 2000)} as p from moderated", "adjusted": bh_sql("with_p"),
+}
+MODERATED = ["log_fc", "s2", "t", "s2_post", "t_mod", "df_total", "p", "p_adj"]
+
+
+def moderated_columns(tests, *keys):
+    out = tests.select(*keys, *[c for c in MODERATED if c != "df_total"], F.round("df_total", 4).alias("df_total"))
+    return rounded(out, *[c for c in MODERATED if c != "df_total"])
+
+
 @query(
     "paired_effect",
     with_views(
-        f"""select feature, n, n_blocks, d, {r6('slope')} as log_fc, {r6('s2')} as s2, {r6('case when s2 > 0 then slope / sqrt(s2 / sxx) end')} as t from (
-              select *, case when d > 0 then greatest(syy - sxy * slope, 0) / d end as s2 from (
-                select *, sxy / sxx as slope, n - n_blocks - 1 as d from (
-                  select feature, count(*) as n, count(distinct patient) as n_blocks, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from (
-                    select feature, patient, x0 - avg(x0) over w as x, value - avg(value) over w as y from (
-                      select feature, ligand as patient, value, case when treatment <> 'PRE' then 1.0::double else 0 end as x0 from course)
-                    window w as (partition by feature, patient)) group by feature) where sxx > 0))""",
-        "course",
+        f"select feature, n, n_blocks, d, {MODERATED_SQL}", "course",
+        arms="select feature, ligand as block, value, case when treatment <> 'PRE' then 1.0::double else 0 end as x0 from course",
+        tested=PAIRED_SQL.format(rows="arms"), **MODERATED_VIEWS,
     ),
 )
 def paired_effect(spark, d):
     """Features are the users, blocks the kinds of event: both grow with the table."""
     rows = views.course(spark, d).select("feature", F.col("ligand").alias("patient"), "treatment", "value")
-    out = differential.paired_test(rows, F.col("treatment") != "PRE").select("feature", "n", "n_blocks", "d", "log_fc", "s2", "t")
-    return rounded(out, "log_fc", "s2", "t")
+    tests = differential.paired_test(rows, F.col("treatment") != "PRE")
+    return moderated_columns(differential.moderated_test(tests, None), "feature", "n", "n_blocks", "d")
+
+
+@query(
+    "contrast_effect",
+    with_views(
+        f"select form, feature, n, d, {MODERATED_SQL}", "meas",
+        arms="""select feature, plex as block, avg(value) as value, cast(substr(sample, 2) as integer) % 2 as x0 from meas group by feature, plex, sample""",
+        once=PAIRED_SQL.format(rows="arms"),
+        tested="select form as comparison, form, * exclude (comparison) from once, (values ('contrast'), ('coefficient')) t(form)",
+        **MODERATED_VIEWS,
+    ),
+)
+def contrast_effect(spark, d):
+    """One group against another with plexes as blocks, written once as a contrast of two columns and once as a coefficient."""
+    nation = table(spark, d, "nation")
+    dim = nation.select(
+        prefixed("N", "n_nationkey").alias("sample"),
+        F.concat(F.lit("G"), (F.col("n_nationkey") % 2).cast("string")).alias("group"),
+        prefixed("B", "n_regionkey").alias("block"),
+    )
+    cells = views.meas(spark, d).groupBy("feature", "sample").agg(F.avg("value").alias("value"))
+    forms = {
+        "contrast": (linear.study_design(dim, ["group", "block"], intercept=False), linear.difference("group", "G1", "G0")),
+        "coefficient": (linear.study_design(dim, ["block", "group"]), {"group:G1": 1.0}),
+    }
+    fits = [linear.contrast_fits(cells, form, {name: wanted}, collapsed=True) for name, (form, wanted) in forms.items()]
+    tests = differential.moderated_test(fits[0].unionByName(fits[1]))
+    return moderated_columns(tests.withColumnRenamed("comparison", "form"), "form", "feature", "n", "d")
 
 
 def _closed_form(t: str, k: str) -> str:

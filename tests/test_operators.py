@@ -413,7 +413,7 @@ def test_correlation_without_pairs(spark):
     data = [(g, f"s{j}", "c", float(v)) for g, line in x.items() for j, v in enumerate(line)] + [("gap", "s0", "c", 1.0)]
     df = spark.createDataFrame(data, "feature string, sample string, cohort string, value double")
     sets = spark.createDataFrame([("t", f"g{i}") for i in range(4)] + [("t", "gap")], "term string, gene string")
-    r = enrich.set_correlation_test(df, sets, [f"s{j}" for j in range(8)]).first()
+    r = enrich.set_correlation_test(df, sets).first()
     inside = [np.corrcoef(x[a], x[b])[0, 1] for a, b in itertools.combinations([f"g{i}" for i in range(4)], 2)]
     everything = [np.corrcoef(x[a], x[b])[0, 1] for a, b in itertools.combinations(x, 2)]
     assert r["n_members"] == 4 and r["n_features"] == 10
@@ -422,6 +422,26 @@ def test_correlation_without_pairs(spark):
     assert r["t"] == pytest.approx((np.mean(inside) - np.mean(everything)) / math.sqrt(spread))
 
 
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_correlation_with_gaps(spark, tile):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(23, 7)) + 1e5
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[4] = np.where(np.isnan(x[4]), np.nan, 3.0)  # no spread
+    data = [(f"g{i}", f"s{j}", "c", float(v)) for i, line in enumerate(x) for j, v in enumerate(line) if not np.isnan(v)] + [("g0", None, "c", None), ("g1", "s1", "c", None)]
+    df = spark.createDataFrame(data, "feature string, sample string, cohort string, value double")
+    packed = multivar.packed_features(df, by="cohort", least=3)
+    got = multivar.pair_correlations(packed, ["cohort"], tile=tile).collect()
+    r = []
+    for a, b in itertools.combinations(range(23), 2):
+        both = ~np.isnan(x[a]) & ~np.isnan(x[b])
+        if both.sum() >= 3 and np.ptp(x[a][both]) > 0 and np.ptp(x[b][both]) > 0:
+            r.append(np.corrcoef(x[a][both], x[b][both])[0, 1])
+    assert len(got) == 1 and got[0]["n_rows"] == sum((~np.isnan(line)).sum() >= 3 for line in x) and got[0]["pairs"] == len(r)
+    assert got[0]["mean"] == pytest.approx(np.mean(r)) and got[0]["var"] == pytest.approx(np.var(r, ddof=1))
+    assert multivar.pair_correlations(packed.where("feature = 'none'"), ["cohort"]).collect() == []
+
+
 def test_consensus_drops_incomplete_terms(spark):
     data = [("a", "p1", 3.0, 0.001), ("a", "p2", -4.0, 0.2), ("b", "p1", 9.0, 0.001), ("c", "p1", 1.0, 0.9), ("c", "p2", 1.0, 0.9)]
     df = spark.createDataFrame(data, "term string, patient string, score double, p double")

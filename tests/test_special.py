@@ -45,16 +45,3 @@ def test_hypergeometric():
     for value, (a, b, c, d) in zip(got, cases):
         exact = sum(math.comb(c, i) * math.comb(d - c, b - i) for i in range(a, min(b, c) + 1) if b - i <= d - c) / math.comb(d, b)
         assert value == pytest.approx(exact, rel=1e-8, abs=1e-12)
-
-
-def test_keyed_positions_never_collide():
-    from abundix.operators.enrich import keyed_position
-
-    with np.errstate(over="ignore"):
-        for n in (1, 2, 3, 17, 1000, 4097):
-            for key in (1, 99, 2**63):
-                got = keyed_position(np.full(n, n), np.full(n, key, dtype=np.uint64), np.arange(n))
-                assert sorted(got) == list(range(n))
-        first = np.array([keyed_position(np.array([10]), np.array([key], dtype=np.uint64), np.array([0]))[0] for key in range(20000)])
-    counts = np.bincount(first, minlength=10)
-    assert counts.min() > 1800 and counts.max() < 2200
