@@ -1,4 +1,4 @@
-"""Cross-products, principal components, K-means and distances."""
+"""Cross-products, K-means, correlations and distances."""
 
 from __future__ import annotations
 
@@ -19,7 +19,6 @@ from abundix.session import cut_lineage
 
 BLOCK = 2048
 _MAX_HELD = 32_000_000
-MOST_SAMPLES = 4096
 
 
 def pack_rows(
@@ -160,30 +159,6 @@ def gram_matrix(
     )
 
 
-def pca_scores(df: DataFrame, samples: Sequence[str], n_components: int = 2, **names: str) -> DataFrame:
-    """Principal component scores of samples; the largest absolute score of each component is positive.
-
-    Only the sample x sample matrix, at most ``MOST_SAMPLES`` squared, comes to the driver.
-    """
-    if len(samples) > MOST_SAMPLES:
-        raise ValueError(f"{len(samples)} samples exceed {MOST_SAMPLES}; take scores of fewer samples")
-    spark = df.sparkSession
-    cells = gram_matrix(df, samples, **names).toPandas()
-    place = {s: i for i, s in enumerate(samples)}
-    matrix = np.zeros((len(samples), len(samples)))
-    matrix[cells["a"].map(place).to_numpy(int), cells["b"].map(place).to_numpy(int)] = cells["product"].to_numpy()
-    eigenvalues, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
-    order = np.argsort(eigenvalues)[::-1][:n_components]
-    total = max(float(np.clip(eigenvalues, 0, None).sum()), 1e-300)
-    rows = []
-    for number, column in enumerate(order, 1):
-        scores = vectors[:, column] * np.sqrt(max(eigenvalues[column], 0.0))
-        scores = scores * (1.0 if scores[np.argmax(np.abs(scores))] >= 0 else -1.0)
-        share = float(max(eigenvalues[column], 0.0) / total)
-        rows += [(s, number, float(score), share) for s, score in zip(samples, scores)]
-    return spark.createDataFrame(rows, "sample string, component int, score double, share double")
-
-
 class _Starts:
     """All fits of K-means side by side: for every K the same restarts, each with its K centres in one block."""
 

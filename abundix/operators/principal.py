@@ -25,6 +25,7 @@ from abundix.session import cut_lineage
 SAMPLE_BLOCK = 1024
 BLOCK_CELLS = 1 << 20
 WIDTH = 32
+EXACT = 256
 _EXTRA = 8
 _FAN = 64
 
@@ -181,6 +182,7 @@ def component_scores(
     n_components: int = 2,
     *,
     width: int = WIDTH,
+    exact: int = EXACT,
     sample_block: int = SAMPLE_BLOCK,
     max_steps: int = 300,
     tolerance: float = 1e-9,
@@ -195,7 +197,7 @@ def component_scores(
     spark = df.sparkSession
     blocks = centred_blocks(df, sample_block=sample_block, **names)
     n = blocks.samples
-    width = min(max(n, 1), max(width, n_components + _EXTRA))
+    width = min(max(n, 1), max(exact if n <= exact else width, n_components + _EXTRA))
     if n == 0 or blocks.total == 0.0:
         numbers = F.explode(F.sequence(F.lit(1), F.lit(n_components))).alias("component")
         return blocks.axis.select(F.col(sample).alias("sample"), numbers, F.lit(0.0).alias("score"), F.lit(0.0).alias("share"))

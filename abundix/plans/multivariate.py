@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from abundix.operators import aggregate, multivar, network, reshape
+from abundix.operators import aggregate, multivar, network, principal, reshape
 from abundix.plans import views
 from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import DENSE_CELLS_SQL, VARIANCE_SQL
@@ -37,9 +37,42 @@ def gram_matrix(spark, d):
     return rounded(multivar.gram_matrix(matrix(spark, d), POSITIONS), "product")
 
 
-@query("pca_scores")
+def _leading_sql(matrix: str, name: str, squarings: int = 24) -> dict[str, str]:
+    """Leading eigenvector of a matrix (i, j, v): squared again and again, it becomes that of its vector alone."""
+    steps = {f"{name}0": f"select i, j, v / sqrt(sum(v * v) over ()) as v from {matrix}"}
+    for k in range(squarings):
+        steps[f"{name}{k + 1}"] = f"""select i, j, v / sqrt(sum(v * v) over ()) as v from (
+            select x.i, y.j, sum(x.v * y.v) as v from {name}{k} x join {name}{k} y on x.j = y.i group by all)"""
+    last = f"{name}{squarings}"
+    steps[f"{name}_raw"] = f"""select i, v / sqrt((select max(v) from {last} where i = j)) as x from {last}
+        where j = (select j from {last} where i = j order by v desc limit 1)"""
+    steps[f"{name}_vector"] = f"select i, x / sqrt(sum(x * x) over ()) as x from {name}_raw"
+    steps[f"{name}_value"] = f"select sum(a.v * p.x * q.x) as l from {matrix} a join {name}_vector p on a.i = p.i join {name}_vector q on a.j = q.i"
+    return steps
+
+
+PCA_VIEWS = {
+    "matrix": MATRIX_SQL,
+    "centred": "select feature, sample, value - avg(value) over (partition by feature) as c from matrix",
+    "products": "select x.sample as i, y.sample as j, sum(x.c * y.c) as v from centred x join centred y on x.feature = y.feature group by all",
+    **_leading_sql("products", "first"),
+    "deflated": "select a.i, a.j, v - l * p.x * q.x as v from products a join first_vector p on a.i = p.i join first_vector q on a.j = q.i, first_value",
+    **_leading_sql("deflated", "second"),
+    "raw": """select i, 1 as component, x * sqrt(l) as s, l from first_vector, first_value
+        union all select i, 2, x * sqrt(l), l from second_vector, second_value""",
+    "signed": "select *, sign(arg_max(s, abs(s)) over (partition by component)) as way from raw",
+}
+
+
+@query(
+    "pca_scores",
+    with_views(
+        f"""select cast(i as varchar) as sample, component, {r6('s * way')} as score, {r6('l / (select sum(v) from products where i = j)')} as share from signed""",
+        **PCA_VIEWS,
+    ),
+)
 def pca_scores(spark, d):
-    return rounded(multivar.pca_scores(matrix(spark, d), POSITIONS, 2), "score", "share")
+    return rounded(principal.component_scores(matrix(spark, d), 2), "score", "share")
 
 
 @query(
@@ -52,7 +85,7 @@ def pca_scores(spark, d):
 )
 def pca_distances(spark, d):
     """Distances between samples in the space of all components equal those between their centred columns."""
-    scores = multivar.pca_scores(matrix(spark, d), POSITIONS, len(POSITIONS))
+    scores = principal.component_scores(matrix(spark, d), len(POSITIONS))
     moments = multivar.pair_moments(scores, POSITIONS, row="component", column="sample", value="score", about="row")
     ordered = multivar.euclidean_distance(moments)
     return ordered.select("a", "b", F.round("distance", 5).alias("distance"))

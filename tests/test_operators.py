@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from abundix.functions import numeric, text
 from abundix.operators import (
-    aggregate, design, differential, enrich, filters, identify, joins, multivar, network, normalize, quantify, reshape,
+    aggregate, design, differential, enrich, filters, identify, joins, multivar, network, normalize, principal, quantify, reshape,
 )
 
 
@@ -465,7 +465,7 @@ def test_scores_keep_distances(spark):
     x = rng.normal(size=(20, 5))
     data = [(f"f{i}", f"s{j}", float(x[i, j])) for i in range(20) for j in range(5)] + [("half", "s0", 1.0)]
     df = spark.createDataFrame(data, "feature string, sample string, value double")
-    out = multivar.pca_scores(df, [f"s{j}" for j in range(5)], 5).collect()
+    out = principal.component_scores(df, 5).collect()
     scores = np.zeros((5, 5))
     for r in out:
         scores[int(r["sample"][1:]), r["component"] - 1] = r["score"]
