@@ -76,6 +76,15 @@ def best_site_per_spectrum(df: DataFrame, spectrum: Sequence[str], score: str, s
     return best.select(*spectrum, F.col(f"__b.{site}").alias(site), (-F.col("__b.__neg")).alias(score))
 
 
+def best_localisation(
+    candidates: DataFrame, scores: DataFrame, spectrum: Sequence[str], candidate: Sequence[str], score: str = "score", site: str = "site"
+) -> DataFrame:
+    """Best-scored candidate site of each spectrum by a table of scores; candidates without a score cannot win."""
+    keys = [*spectrum, *candidate]
+    best = scores.where(F.col(score).isNotNull()).groupBy(*keys).agg(F.max(score).alias(score))
+    return best_site_per_spectrum(candidates.join(best, keys), spectrum, score, site)
+
+
 def unique_peptides(df: DataFrame, peptide: str = "peptide", accession: str = "accession") -> DataFrame:
     """Rows whose peptide belongs to one accession only."""
     single = df.groupBy(peptide).agg(F.min(accession).alias("__lo"), F.max(accession).alias("__hi"))

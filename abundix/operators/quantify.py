@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,16 +27,13 @@ def reporter_ratios(
     ``references`` is (plex_id, reference): the channel that serves as denominator. Sums combine map-side;
     a missing or zero reference gives NULL.
     """
-    sums = linked.groupBy(*key, "plex_id", "channel", "measurement").agg(F.sum(intensity).alias("__sum"))
-    base = sums.join(references, ["plex_id"]).where(F.col("channel") == F.col("reference"))
-    base = base.groupBy(*key, "plex_id").agg(F.sum("__sum").alias("__base"))
+    marked = linked.join(references, "plex_id").withColumn("__is_base", F.col("channel") == F.col("reference"))
+    sums = marked.groupBy(*key, "plex_id", "channel", "measurement", "__is_base").agg(F.sum(intensity).alias("__sum"))
+    # a window holds the channels of one plex
+    plex = W.partitionBy(*key, "plex_id")
+    sums = sums.withColumn("__base", F.sum(F.when(F.col("__is_base"), F.col("__sum"))).over(plex))
     ratio = F.when(F.col("__base") > 0, F.log2(F.col("__sum") / F.col("__base")))
-    return (
-        sums.join(references, ["plex_id"])
-        .where(F.col("channel") != F.col("reference"))
-        .join(base, [*key, "plex_id"], "left")
-        .select(*key, F.col("measurement").alias("sample"), ratio.alias("log_ratio"))
-    )
+    return sums.where(~F.col("__is_base")).select(*key, F.col("measurement").alias("sample"), ratio.alias("log_ratio"))
 
 
 def kinase_activity(

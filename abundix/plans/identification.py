@@ -199,7 +199,8 @@ def _ratio_sql(keys: str) -> str:
 
 
 def ratios(spark, d, keys):
-    psm, ions = views.psm(spark, d), views.ions(spark, d)
+    # both sides meet by (dataset, scan): dealt by these before they are made distinct, they join without moving again
+    psm, ions = (view(spark, d, dealt_by=("dataset", "scan")) for view in (views.psm, views.ions))
     channels, references = study_design(spark, d)
     fractions = design.dataset_fractions(table(spark, d, "nation").select(prefixed("EX_Plex", "n_regionkey").alias("dataset")), "dataset")
     linked = quantify.link_quantities(psm.select("dataset", "scan", *keys), ions.select("dataset", "scan", "channel", "intensity"), fractions, channels)
@@ -218,14 +219,17 @@ def crosstab_ratio_peptide(spark, d):
 
 @query(
     "best_site_per_spectrum",
-    """select l_orderkey as spectrum, site, score from (select l_orderkey, concat('S', cast(l_partkey as varchar)) as site, l_quantity as score,
-         row_number() over (partition by l_orderkey order by l_quantity desc, concat('S', cast(l_partkey as varchar))) as rn from lineitem) where rn = 1""",
+    """select spectrum, site, score from (select i.l_orderkey as spectrum, concat('S', cast(i.l_partkey as varchar)) as site, s.l_quantity as score,
+         row_number() over (partition by i.l_orderkey order by s.l_quantity desc, concat('S', cast(i.l_partkey as varchar))) as rn
+         from lineitem i join lineitem s on i.l_orderkey = s.l_orderkey and i.l_linenumber = s.l_linenumber where s.l_returnflag <> 'A') where rn = 1""",
 )
 def best_site_per_spectrum(spark, d):
-    scored = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("spectrum"), prefixed("S", "l_partkey").alias("site"), F.col("l_quantity").alias("score")
-    )
-    return identify.best_site_per_spectrum(scored, ["spectrum"], "score", "site")
+    """Candidate sites of each spectrum, and a table of localisation scores that not every candidate is in."""
+    lines = table(spark, d, "lineitem")
+    keys = [F.col("l_orderkey").alias("spectrum"), F.col("l_linenumber").alias("candidate")]
+    candidates = lines.select(*keys, prefixed("S", "l_partkey").alias("site"))
+    scores = lines.where("l_returnflag <> 'A'").select(*keys, F.col("l_quantity").alias("score"))
+    return identify.best_localisation(candidates, scores, ["spectrum"], ["candidate"], "score", "site")
 
 
 @query(

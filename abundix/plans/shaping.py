@@ -452,12 +452,12 @@ def feature_variance(spark, d):
 @query(
     "top_variable",
     with_views(
-        f"select feature, {r6('variance')} as variance from spread order by spread.variance desc, feature limit 30",
+        f"select feature, {r6('variance')} as variance from spread order by spread.variance desc, feature limit 150",
         "meas_dense", dense=DENSE_CELLS_SQL, spread=VARIANCE_SQL,
     ),
 )
 def top_variable(spark, d):
-    return rounded(aggregate.top_variable(views.meas_dense(spark, d), 30), "variance")
+    return rounded(aggregate.top_variable(views.meas_dense(spark, d), 150), "variance")
 
 
 @query("patient_arm_mean", with_views(f"select patient, treatment, {r6('avg(loading_mass)')} as mean_mass from visits group by all", "visits"))
@@ -570,15 +570,16 @@ def union_cohorts(spark, d):
 @query(
     "multi_dataset_long",
     with_views(
-        f"""select 'global' as dataset, feature, sample, {r6('avg(value)')} as value from meas where plex <= 2 group by all
-            union all select 'dense', feature, sample, {r6('avg(value)')} from meas_dense where plex >= 2 group by all""",
+        f"""select 'global' as dataset, feature, sample, {r6('avg(value)')} as value from meas group by all
+            union all select 'dense', feature, concat('D', sample), {r6('avg(value)')} from meas_dense group by all""",
         "meas", "meas_dense",
     ),
 )
 def multi_dataset_long(spark, d):
     """Two crosstabs with different sample columns, written as text and read together."""
     folder = stage_path(spark, "crosstabs")
-    parts = {"global": views.meas(spark, d).where("plex <= 2"), "dense": views.meas_dense(spark, d).where("plex >= 2")}
+    renamed = views.meas_dense(spark, d).withColumn("sample", F.concat(F.lit("D"), "sample"))
+    parts = {"global": views.meas(spark, d), "dense": renamed}
     for name, rows in parts.items():
         tables.write_tsv(reshape.to_wide(rows), f"{folder}/{name}")
     return rounded(tables.read_datasets(spark, [f"{folder}/{name}" for name in parts], ["feature"]), "value")
@@ -632,17 +633,20 @@ _SIGNIF = "case when x = 0 then 0 else round(x / pow(10, floor(log10(abs(x))) -
 
 @query(
     "export_signif",
-    f"""select dataset, l_orderkey, l_linenumber, l_partkey, {r6(_SIGNIF)} as value from (
+    f"""select regexp_replace(dataset, '_corrected$', '_final') as dataset, l_orderkey, l_linenumber, l_partkey, {r6(_SIGNIF)} as value from (
         select concat('crosstab_', l_linestatus, case when l_tax > 0.04 then '_corrected' else '_original' end) as dataset,
         l_orderkey, l_linenumber, l_partkey, l_extendedprice * (l_discount - 0.05) as x from lineitem) where regexp_matches(dataset, '_corrected$')""",
 )
 def export_signif(spark, d):
+    """Datasets whose name matches, rounded, written under their new names as text, and read back."""
     name = F.concat(F.lit("crosstab_"), "l_linestatus", F.when(F.col("l_tax") > 0.04, "_corrected").otherwise("_original"))
     rows = table(spark, d, "lineitem").select(
-        name.alias("dataset"), "l_orderkey", "l_linenumber", "l_partkey",
-        signif(F.col("l_extendedprice") * (F.col("l_discount") - 0.05), 3).alias("value"),
+        name.alias("dataset"), "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice") * (F.col("l_discount") - 0.05)).alias("value")
     )
-    return rounded(filters.keep_matching(rows, "dataset", "_corrected$"), "value")
+    path = stage_path(spark, "exports")
+    tables.export_datasets(rows, path, pattern="_corrected$", replacement="_final")
+    kinds = "l_orderkey bigint, l_linenumber int, l_partkey bigint, value double, dataset string"
+    return rounded(spark.read.csv(path, sep="\t", header=True, schema=kinds, nullValue="NA"), "value")
 
 
 @query(

@@ -467,6 +467,31 @@ def logfc_histogram(spark, d):
     return aggregate.histogram(labelled(spark, d), ["comparison", "significance"], "log_fc", 0.25, -5.0)
 
 
+@query(
+    "effect_density",
+    with_views(
+        f"select comparison, significance, i::integer as i, {r6('x')} as x, {r6('coalesce(density, 0)')} as density from grid left join sums using (comparison, significance, i)",
+        "meas", **P_VIEWS, labels_=LABEL_SQL,
+        stats="""select comparison, significance, count(*) as n, stddev_samp(log_fc) as sd, min(log_fc) as low, max(log_fc) as high,
+            (quantile_cont(log_fc, 0.75) - quantile_cont(log_fc, 0.25)) / 1.34 as iq from labels_ group by all""",
+        wide="""select *, 0.9::double * case when coalesce(sd, 0) <= 0 then 1 when iq > 0 then least(sd, iq) else sd end * pow(n::double, -0.2) as h from stats""",
+        grids="select *, low - 3 * h as start, (high + 3 * h - (low - 3 * h)) / 127 as step from wide",
+        grid="select comparison, significance, i, start + i * step as x from grids, range(128) t(i)",
+        placed="select comparison, significance, (log_fc - start) / step as at_ from labels_ join grids using (comparison, significance)",
+        dealt="""select comparison, significance, j, sum(w) as w from (
+            select comparison, significance, least(floor(at_), 126)::integer as j, 1 - (at_ - least(floor(at_), 126)) as w from placed
+            union all select comparison, significance, least(floor(at_), 126)::integer + 1, at_ - least(floor(at_), 126) from placed) group by all""",
+        sums="""select comparison, significance, g.i, sum(w * exp(-pow((g.i - j) * step / h, 2) / 2) / (sqrt(2 * pi()) * h * n)) as density
+            from dealt join grids using (comparison, significance) join grid g using (comparison, significance)
+            where abs(g.i - j) <= floor(4 * h / step) group by all""",
+    ),
+)
+def effect_density(spark, d):
+    """Density of effects by comparison and significance, the data of a ridge plot."""
+    found = aggregate.kernel_density(labelled(spark, d), ["comparison", "significance"], "log_fc")
+    return rounded(found, "x", "density")
+
+
 @query(
     "ranked_features",
     with_views(

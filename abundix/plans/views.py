@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,20 +105,26 @@ def _scan() -> F.Column:
     return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
 
 
-def psm(spark: SparkSession, d: str) -> DataFrame:
+def _distinct(rows: DataFrame, dealt_by: Sequence[str]) -> DataFrame:
+    """Distinct rows. Rows dealt by some of their columns are made distinct where they are, and stay dealt by these."""
+    return (rows.repartition(*dealt_by) if dealt_by else rows).distinct()
+
+
+def psm(spark: SparkSession, d: str, dealt_by: Sequence[str] = ()) -> DataFrame:
     part = F.col("l_partkey")
-    return _supplied(spark, d).select(
+    rows = _supplied(spark, d).select(
         _text("EX_Plex", F.col("n_regionkey")).alias("dataset"),
         _scan().alias("scan"),
         F.when(part % 3 == 0, _text("PEP", F.floor(part / 10))).otherwise(_text("PEPU", part)).alias("peptide"),
         _text("P", part).alias("accession"),
         (part % 10 == 0).alias("is_decoy"),
         (F.col("l_extendedprice") * F.when(part % 10 == 0, 0.2).otherwise(1.0)).alias("score"),
-    ).distinct()
+    )
+    return _distinct(rows, dealt_by)
 
 
-def ions(spark: SparkSession, d: str) -> DataFrame:
-    return _supplied(spark, d).select(
+def ions(spark: SparkSession, d: str, dealt_by: Sequence[str] = ()) -> DataFrame:
+    rows = _supplied(spark, d).select(
         _text("EX_Plex", F.col("n_regionkey")).alias("dataset"),
         _scan().alias("scan"),
         _text("N", F.col("s_nationkey")).alias("channel"),
@@ -124,7 +132,8 @@ def ions(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_extendedprice").alias("intensity"),
         (1.0 - F.col("l_discount") * 6).alias("interference"),
         (F.col("l_quantity") - 2).alias("s2n"),
-    ).distinct()
+    )
+    return _distinct(rows, dealt_by)
 
 
 def sites(spark: SparkSession, d: str) -> DataFrame:

@@ -18,8 +18,8 @@ from abundix.session import stage_path
 
 
 def read_table(spark: SparkSession, path: str, list_columns: Sequence[str] = (), value: str | None = None) -> DataFrame:
-    """Parquet table; one-element lists become plain values, NaN becomes NULL."""
-    df = spark.read.parquet(path)
+    """Parquet table, of one written by ``replace_table`` its present rows; one-element lists become plain values, NaN becomes NULL."""
+    df = spark.read.parquet(current_snapshot(path) or path)
     for name in list_columns:
         df = df.withColumn(name, F.try_element_at(F.col(name), F.lit(1)))
     return df.withColumn(value, missing_to_null(F.col(value))) if value else df
@@ -107,26 +107,54 @@ def read_datasets(
 
 
 def write_new_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """New parquet table; an existing one is an error."""
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """New table of snapshots; anything that is there already is an error."""
+    if exists(path):
+        raise FileExistsError(path)
+    replace_table(df, path, partition_by)
 
 
-def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace all rows of a parquet table; ``df`` may read the same path.
+def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), *, keep: int = 2) -> None:
+    """Replace all rows of a table, in one step for its readers; ``df`` may read the same table.
 
-    The new rows are written beside the table first and take its name only when they are complete, so a job that
-    fails leaves the old table as it was.
+    Rows are written to a numbered snapshot in the table's folder. Only when it is complete a pointer with its name is put
+    beside it, by one rename to a name that did not exist; the pointer with the highest number holds. So a reader
+    finds the old or the new rows at any moment, and a job that fails anywhere before leaves the old ones. The last
+    ``keep`` snapshots stay, so that who has opened one can read on; of two writers at once the higher name holds.
     """
-    fresh, old = (f"{path.rstrip('/')}.{mark}-{uuid.uuid4().hex}" for mark in ("new", "old"))
+    spots = pointers(path)
+    version = spots[-1][0] + 1 if spots else 1
+    mark = f"{version:012d}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path.rstrip('/')}/snapshot-{mark}")
+    put_pointer(path, mark)
     system, place = located(path)
-    if exists(path):
-        system.move(place, located(old)[1])
-    system.move(located(fresh)[1], place)
-    if exists(old):
-        system.delete_dir(located(old)[1])
+    for _, old in pointers(path)[: -max(1, keep)]:
+        system.delete_file(f"{place}/_pointer-{old}")
+        if exists(f"{path.rstrip('/')}/snapshot-{old}"):
+            system.delete_dir(f"{place}/snapshot-{old}")
+
+
+def put_pointer(path: str, mark: str) -> None:
+    """Make the snapshot of this mark the present one. The pointer's name says all, so no reader sees half of it."""
+    system, place = located(path)
+    with system.open_output_stream(f"{place}/_new-{mark}") as out:
+        out.write(mark.encode())
+    system.move(f"{place}/_new-{mark}", f"{place}/_pointer-{mark}")
+
+
+def pointers(path: str) -> list[tuple[int, str]]:
+    """(version, mark) of the pointers of a table, ascending; none for a folder of plain files."""
+    if not exists(path):
+        return []
+    system, place = located(path)
+    names = [f.base_name for f in system.get_file_info(pafs.FileSelector(place))]
+    marks = sorted(n.removeprefix("_pointer-") for n in names if n.startswith("_pointer-"))
+    return [(int(m.split("-")[0]), m) for m in marks]
+
+
+def current_snapshot(path: str) -> str | None:
+    spots = pointers(path)
+    return f"{path.rstrip('/')}/snapshot-{spots[-1][1]}" if spots else None
 
 
 def write_named_table(df: DataFrame, name: str, *, replace: bool = False) -> None:

@@ -442,6 +442,25 @@ def test_correlation_with_gaps(spark, tile):
     assert multivar.pair_correlations(packed.where("feature = 'none'"), ["cohort"]).collect() == []
 
 
+def test_kernel_density(spark):
+    rng = np.random.default_rng(14)
+    groups = {"a": rng.normal(3, 2, 400), "b": rng.exponential(1, 37), "same": np.full(5, 2.5), "one": np.array([1.0])}
+    data = [(g, float(v)) for g, own in groups.items() for v in own] + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = aggregate.kernel_density(df, ["g"], "v").collect()
+    for g, own in groups.items():
+        n, sd = len(own), own.std(ddof=1) if len(own) > 1 else 0.0
+        iqr = np.subtract(*np.quantile(own, [0.75, 0.25])) / 1.34
+        h = 0.9 * (1.0 if sd == 0 else min(sd, iqr) if iqr > 0 else sd) * n**-0.2
+        mine = sorted((r["i"], r["x"], r["density"]) for r in got if r["g"] == g)
+        assert [i for i, _, _ in mine] == list(range(128))
+        x, density = (np.array([r[k] for r in mine]) for k in (1, 2))
+        assert x[0] == pytest.approx(own.min() - 3 * h) and x[-1] == pytest.approx(own.max() + 3 * h)
+        exact = np.exp(-(((x[:, None] - own) / h) ** 2) / 2).sum(axis=1) / (math.sqrt(2 * math.pi) * h * n)
+        assert np.abs(density - exact).max() < 0.02 * exact.max()
+        assert (density[1:] + density[:-1]).sum() * (x[1] - x[0]) / 2 == pytest.approx(1, abs=0.01)
+
+
 def test_consensus_drops_incomplete_terms(spark):
     data = [("a", "p1", 3.0, 0.001), ("a", "p2", -4.0, 0.2), ("b", "p1", 9.0, 0.001), ("c", "p1", 1.0, 0.9), ("c", "p2", 1.0, 0.9)]
     df = spark.createDataFrame(data, "term string, patient string, score double, p double")

@@ -57,7 +57,7 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception):
         tables.write_new_table(df, path)
     tables.replace_table(df.where("i = 'a'").unionByName(df), path)
-    again = spark.read.parquet(path)
+    again = tables.read_table(spark, path)
     tables.replace_table(again, path)
     with pytest.raises(Exception):
         tables.replace_table(again.withColumn("bad", F.raise_error(F.lit("no"))), path)
@@ -68,6 +68,41 @@ def test_sinks(spark, tmp_path):
     assert sorted((r["i"], r["gene"], r["value"] is None) for r in back.collect()) == [("a", "G", True), ("a", "G", True), ("b", "H", False)]
 
 
+def test_replace_is_one_step_for_readers(spark, tmp_path, monkeypatch):
+    """At every step of a replacement, and after a failure at any of them, a reader finds all old or all new rows."""
+    path = str(tmp_path / "table")
+    rows = lambda first: spark.range(first, first + 100, 1, 4)
+    read = lambda: sorted(r["id"] for r in tables.read_table(spark, path).collect())
+    tables.write_new_table(rows(0), path)
+    seen = []
+    put = tables.put_pointer
+
+    def watched(p, mark):
+        seen.append(read())
+        put(p, mark)
+        seen.append(read())
+
+    monkeypatch.setattr(tables, "put_pointer", watched)
+    tables.replace_table(rows(1000), path)
+    assert seen == [list(range(100)), list(range(1000, 1100))] and read() == list(range(1000, 1100))
+
+    def broken(p, mark):
+        raise OSError("lost before the pointer")
+
+    monkeypatch.setattr(tables, "put_pointer", broken)
+    with pytest.raises(OSError):
+        tables.replace_table(rows(5000), path)
+    assert read() == list(range(1000, 1100))
+    monkeypatch.setattr(tables, "put_pointer", put)
+    # a reader that has opened the table before finishes after it was replaced
+    opened = tables.read_table(spark, path)
+    tables.replace_table(rows(2000), path)
+    assert sorted(r["id"] for r in opened.collect()) == list(range(1000, 1100)) and read() == list(range(2000, 2100))
+    for turn in range(3):
+        tables.replace_table(rows(turn), path)
+    assert len(tables.pointers(path)) == 2 and read() == list(range(2, 102))
+
+
 def test_stage_is_written_once(spark, tmp_path):
     path = str(tmp_path / "stage")
     first = tables.staged(spark.range(3), path)
