@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -144,3 +145,106 @@ def remove_covariates(
     for i in range(len(remove)):
         effect = effect + F.col(f"__r{i}") * F.col(f"__b{i}")
     return rows.join(fits, feature).withColumn(value, F.col(value) - effect).select(*df.columns)
+
+
+@dataclass(frozen=True)
+class Prior:
+    """What the removed coefficients of all features have in common."""
+
+    mean: np.ndarray
+    cov: np.ndarray
+
+
+def _packed(*arrays: np.ndarray) -> pd.Series:
+    return pd.Series([row.tobytes() for row in np.concatenate([a.reshape(len(a), -1) for a in arrays], axis=1).astype(float)])
+
+
+def _posterior(info: np.ndarray, eta: np.ndarray, prior: Prior) -> tuple[np.ndarray, np.ndarray]:
+    """Means and covariances of the coefficients given precision ``info`` and information ``eta`` of each feature."""
+    inverse = np.linalg.pinv(prior.cov, hermitian=True)
+    if not inverse.any():  # no spread at all: the prior mean holds
+        return np.tile(prior.mean, (len(info), 1)), np.zeros_like(info)
+    cov = np.linalg.inv(info + inverse)
+    return np.einsum("fij,fj->fi", cov, eta + inverse @ prior.mean), cov
+
+
+def hierarchical_removal(
+    df: DataFrame,
+    remove: Mapping[str, Column],
+    keep: Mapping[str, Column],
+    *,
+    feature: str = "feature",
+    value: str = "value",
+    steps: int = 25,
+) -> DataFrame:
+    """``remove_covariates`` with a joint normal prior of the removed coefficients over all features, fitted by EM.
+
+    Every feature stays: one that cannot tell removed covariates apart, or has a single level of them, informs what it
+    can, and the prior's mean and covariance fill in the rest. The noise of a feature is its residual variance; where it
+    has no degree of freedom left, that of all features together. An EM step is one pass over packed rows of a
+    feature's sums; mean and covariance of the prior are all that comes to the driver.
+    """
+    p, q = 1 + len(keep) + len(remove), len(remove)
+    names = ["__one", *[f"__k{i}" for i in range(len(keep))], *[f"__r{i}" for i in range(q)]]
+    rows = df.select("*", *[c.cast("double").alias(n) for n, c in zip(names, [F.lit(1.0), *keep.values(), *remove.values()])])
+    level = rows.where(F.col(value).isNotNull()).groupBy(feature).agg(F.avg(value).alias("__level"))
+    used = rows.where(F.col(value).isNotNull()).join(level, feature).withColumn("__y", F.col(value) - F.col("__level"))
+    sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"__x{i}_{j}") for i in range(p) for j in range(i, p)]
+    sums += [F.sum(F.col(n) * F.col("__y")).alias(f"__y{i}") for i, n in enumerate(names)]
+    grouped = used.groupBy(feature).agg(*sums, F.sum(F.col("__y") * F.col("__y")).alias("__yy"), F.count(F.lit(1)).alias("__n"))
+    xtx = F.array(*[F.col(f"__x{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)])
+    xty = F.array(*[F.col(f"__y{i}") for i in range(p)])
+
+    @F.pandas_udf("info binary, rss double, d long")
+    def reduced(xtx: pd.Series, xty: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
+        """Precision and information of the removed part once the kept part is taken out, without the noise."""
+        x, y = np.stack(xtx.to_numpy()).reshape(-1, p, p), np.stack(xty.to_numpy())
+        inner = np.linalg.pinv(x[:, : p - q, : p - q], rcond=1e-10, hermitian=True)
+        cross = np.einsum("fij,fjk->fik", x[:, p - q :, : p - q], inner)
+        info = x[:, p - q :, p - q :] - np.einsum("fij,fjk->fik", cross, x[:, : p - q, p - q :])
+        eta = y[:, p - q :] - np.einsum("fij,fj->fi", cross, y[:, : p - q])
+        whole = np.linalg.pinv(x, rcond=1e-10, hermitian=True)
+        rss = np.maximum(yy.to_numpy() - np.einsum("fi,fij,fj->f", y, whole, y), 0.0)
+        rank = np.linalg.matrix_rank(x, tol=1e-9 * np.abs(x).max(axis=(1, 2)), hermitian=True)
+        return pd.DataFrame({"info": _packed(info, eta), "rss": rss, "d": n.to_numpy() - rank})
+
+    fits = grouped.select(feature, reduced(xtx, xty, F.col("__yy"), F.col("__n")).alias("__f")).select(feature, "__f.*")
+    fits = cut_lineage(fits)
+    pooled = fits.where("d > 0").agg((F.sum("rss") / F.sum("d")).alias("s2")).first()["s2"]
+    own = F.when((F.col("d") > 0) & (F.col("rss") > 0), F.col("rss") / F.col("d")).otherwise(F.lit(float(pooled or 1.0) or 1.0))
+    fits = fits.select(feature, "info", own.alias("s2"))
+
+    def unpacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.stack([np.frombuffer(x) for x in batch["info"]]) / batch["s2"].to_numpy()[:, None]
+        return flat[:, : q * q].reshape(-1, q, q), flat[:, q * q :]
+
+    def expected(prior: Prior) -> tuple[float, np.ndarray, np.ndarray]:
+        """Number of features, and sums of the expected coefficients and of their products."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(1 + q + q * q)
+            for batch in batches:
+                if len(batch):
+                    m, cov = _posterior(*unpacked(batch), prior)
+                    second = (cov + m[:, :, None] * m[:, None, :]).sum(axis=0)
+                    total += np.concatenate([[len(m)], m.sum(axis=0), second.reshape(-1)])
+            yield pd.DataFrame({"sums": [total.tobytes()]})
+
+        total = np.sum([np.frombuffer(r["sums"]) for r in fits.mapInPandas(partial, "sums binary").collect()], axis=0)
+        return total[0], total[1 : 1 + q], total[1 + q :].reshape(q, q)
+
+    prior = Prior(np.zeros(q), np.eye(q))
+    for _ in range(steps):
+        n, first, second = expected(prior)
+        if n == 0:
+            break
+        mean = first / n
+        prior = Prior(mean, second / n - np.outer(mean, mean))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def effects(info: pd.Series, s2: pd.Series) -> pd.Series:
+        return pd.Series(list(_posterior(*unpacked(pd.DataFrame({"info": info, "s2": s2})), prior)[0]))
+
+    found = fits.select(feature, effects("info", "s2").alias("__b"))
+    effect = sum((F.col(f"__r{i}") * F.element_at("__b", i + 1) for i in range(q)), F.lit(0.0))
+    return rows.join(found, feature, "left").withColumn(value, F.col(value) - F.coalesce(effect, F.lit(0.0))).select(*df.columns)

@@ -135,9 +135,46 @@ def batch_center(spark, d):
     return rounded(normalize.center_batches(cells(views.meas(spark, d)), "plex").drop("plex"), "value")
 
 
-@query("batch_model")
+def _solved_sql(size: int, source: str) -> dict[str, str]:
+    """Coefficients by elimination: ``source`` has the normal equations as rows (feature, i, j, v), j = ``size`` the right side."""
+    steps = {"gone0": f"select * from {source}"}
+    for k in range(size):
+        steps[f"gone{k + 1}"] = f"""select m.feature, m.i, m.j, case when m.i = {k} then m.v / p.v else m.v - c.v * r.v / p.v end as v from gone{k} m
+            join gone{k} p on p.feature = m.feature and p.i = {k} and p.j = {k}
+            join gone{k} r on r.feature = m.feature and r.i = {k} and r.j = m.j
+            join gone{k} c on c.feature = m.feature and c.i = m.i and c.j = {k}"""
+    steps["coefficients"] = f"select feature, i, v as b from gone{size} where j = {size}"
+    return steps
+
+
+_LAST = len(PLEXES) - 1
+_CODED = [f"case plex when {p} then 1.0::double when {_LAST} then -1 else 0 end" for p in PLEXES[:-1]]
+_KINDS = [f"case kind when {k} then 1.0::double when 2 then -1 else 0 end" for k in (0, 1)]
+BATCH_SQL = {
+    "cells": DENSE_CELLS_SQL,
+    "dim": """select concat('N', cast(n_nationkey as varchar)) as sample, n_nationkey % 3 as kind, coalesce(mass, 0) / 1000 - 4.5::double as mass
+        from nation left join (select s_nationkey, avg(s_acctbal) as mass from supplier group by all) on n_nationkey = s_nationkey""",
+    "coded": f"select feature, sample, value, [1.0::double, {', '.join(_CODED)}, mass, {', '.join(_KINDS)}, value] as x from cells join dim using (sample)",
+    "normal": "select feature, i, j, sum(x[i + 1] * x[j + 1]) as v from coded, range(8) t(i), range(9) u(j) group by all",
+    **_solved_sql(8, "normal"),
+    "removed": "select feature, list(b order by i) as b from coefficients where i between 1 and 5 group by feature",
+}
+
+
+@query(
+    "batch_model",
+    with_views(
+        f"select feature, sample, {r6('value - (x[2] * b[1] + x[3] * b[2] + x[4] * b[3] + x[5] * b[4] + x[6] * b[5])')} as value from coded join removed using (feature)",
+        "meas_dense", **BATCH_SQL,
+    ),
+)
 def batch_model(spark, d):
     """Remove plex and loading mass, keep sample type."""
+    rows, remove, keep = batch_rows(spark, d)
+    return rounded(normalize.remove_covariates(rows, remove, keep).select("feature", "sample", "value"), "value")
+
+
+def batch_rows(spark, d):
     nation = table(spark, d, "nation").withColumn("sample", prefixed("N", "n_nationkey"))
     loading = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("mass"))
     dim = nation.join(loading, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(
@@ -145,8 +182,15 @@ def batch_model(spark, d):
     )
     rows = cells(views.meas_dense(spark, d)).withColumn("plex", F.col("plex").cast("string")).join(dim, "sample")
     remove = {**normalize.sum_coded("plex", [str(p) for p in PLEXES]), "mass": F.col("mass")}
-    corrected = normalize.remove_covariates(rows, remove, normalize.sum_coded("kind", ["0", "1", "2"]))
-    return rounded(corrected.select("feature", "sample", "value"), "value")
+    return rows, remove, normalize.sum_coded("kind", ["0", "1", "2"])
+
+
+@query("batch_model_hierarchical")
+def batch_model_hierarchical(spark, d):
+    """The same with a prior over all features; of the sparse rows, whose features often lack plexes."""
+    sparse = cells(views.meas(spark, d)).withColumn("plex", F.col("plex").cast("string"))
+    remove = normalize.sum_coded("plex", [str(p) for p in PLEXES])
+    return rounded(normalize.hierarchical_removal(sparse, remove, {}).select("feature", "sample", "value"), "value")
 
 
 # With every plex present the sum-coded effect of a plex is its mean minus the mean of plex means, and its
@@ -183,24 +227,63 @@ def batch_model_shrunk(spark, d):
     return rounded(normalize.remove_covariates(rows, remove, {}, shrink=True).select("feature", "sample", "value"), "value")
 
 
+MASS_VIEWS = {
+    "mass": "select concat('N', cast(s_nationkey as varchar)) as sample, avg(s_acctbal) / 1000 - 4.5::double as x from supplier group by s_nationkey",
+    "cells": CELLS_SQL,
+    "joined": "select feature, sample, value, x from cells join mass using (sample)",
+}
+
+
 @query(
     "covariate_removal",
     with_views(
         f"""select feature, sample, {r6('value - coalesce(b, 0) * x')} as value from joined join
-            (select feature, case when var_pop(x) > 1e-12 then regr_slope(value, x) end as b from joined group by feature) using (feature)""",
-        "meas",
-        mass="select concat('N', cast(s_nationkey as varchar)) as sample, avg(s_acctbal) / 1000 - 4.5::double as x from supplier group by s_nationkey",
-        cells=CELLS_SQL,
-        joined="select feature, sample, value, x from cells join mass using (sample) qualify count(distinct x) over (partition by feature) > 1",
+            (select feature, case when count(distinct x) > 1 then regr_slope(value, x) end as b from joined group by feature) using (feature)""",
+        "meas", **MASS_VIEWS,
     ),
 )
 def covariate_removal(spark, d):
-    """One numeric covariate, of features that see at least two of its levels."""
+    """One numeric covariate; features that see one level of it have no slope and stay as they are."""
+    rows = mass_rows(spark, d)
+    several = rows.groupBy("feature").agg(F.count_distinct("x").alias("levels"))
+    coded = F.when(F.col("levels") > 1, F.col("x")).otherwise(F.lit(0.0))
+    removed = normalize.remove_covariates(rows.join(several, "feature"), {"x": coded}, {})
+    return rounded(removed.select("feature", "sample", "value"), "value")
+
+
+def mass_rows(spark, d):
     mass = table(spark, d, "supplier").groupBy("s_nationkey").agg((F.avg("s_acctbal") / 1000 - 4.5).alias("x"))
-    joined = cells(views.meas(spark, d)).drop("plex").join(mass.select(prefixed("N", "s_nationkey").alias("sample"), "x"), "sample")
-    several = joined.groupBy("feature").agg(F.count_distinct("x").alias("n")).where("n > 1")
-    rows = filters.keep_listed(joined, several, "feature")
-    return rounded(normalize.remove_covariates(rows, {"x": F.col("x")}, {}).select("feature", "sample", "value"), "value")
+    return cells(views.meas(spark, d)).drop("plex").join(mass.select(prefixed("N", "s_nationkey").alias("sample"), "x"), "sample")
+
+
+def _em_sql(steps: int) -> dict[str, str]:
+    """EM for the mean and variance of one coefficient over features, step by step."""
+    out = {
+        "slopes": """select feature, sxx, sxy, case when d > 0 and rss > 0 then rss / d else (select sum(rss) / sum(d) from fitted where d > 0) end as s2 from fitted""",
+        "prior0": "select 0.0::double as m, 1.0::double as t",
+    }
+    for k in range(steps):
+        out[f"post{k}"] = f"select 1 / (1 / t + sxx / s2) as v, (m / t + sxy / s2) / (1 / t + sxx / s2) as b from slopes, prior{k}"
+        out[f"prior{k + 1}"] = f"select avg(b) as m, avg(v + b * b) - avg(b) * avg(b) as t from post{k}"
+    return out
+
+
+@query(
+    "covariate_removal_shrunk",
+    with_views(
+        f"""select feature, sample, {r6('value - x * b')} as value from joined join
+            (select feature, (m / t + sxy / s2) / (1 / t + sxx / s2) as b from slopes, prior25) using (feature)""",
+        "meas", **MASS_VIEWS,
+        fitted="""select feature, sxx, sxy, greatest(syy - case when sxx > 1e-12 then sxy * sxy / sxx else 0 end, 0) as rss,
+            n - 1 - case when sxx > 1e-12 then 1 else 0 end as d from (
+            select feature, count(*) as n, var_pop(x) * count(*) as sxx, covar_pop(x, value) * count(*) as sxy, var_pop(value) * count(*) as syy from joined group by feature)""",
+        **_em_sql(25),
+    ),
+)
+def covariate_removal_shrunk(spark, d):
+    """The same slope with a prior fitted to all features; those with one level take the prior's mean."""
+    removed = normalize.hierarchical_removal(mass_rows(spark, d), {"x": F.col("x")}, {}, steps=25)
+    return rounded(removed.select("feature", "sample", "value"), "value")
 
 
 # --- tests -----------------------------------------------------------------------------------------------
