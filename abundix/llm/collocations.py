@@ -1,7 +1,7 @@
 """Phrase collocations by SON partitioning (Savasere, Omiecinski, Navathe 1995), level by level.
 
-The corpus is cut into shards of some MB, each kept as a file of word numbers. For phrases of one word, then two, up to
-``longest``:
+The corpus is kept as files of word numbers, some MB of text each, and cut into shards of files with about
+``SHARD_WORDS`` words together, which is what a task holds of one level. For phrases of one word, then two, up to ``longest``:
 
 * each shard is mined completely at its local support, the global one lowered in proportion to the shard's share of the
   words of a language and rounded up; a phrase that reaches the support anywhere in sum reaches it in some shard;
@@ -49,7 +49,8 @@ from abundix.session import cut_lineage
 # What ends a piece, and what parts the words in it.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 
-SHARD_BYTES = 16 << 20
+FILE_BYTES = 16 << 20
+SHARD_WORDS = 8_000_000
 SLICE_BYTES = 1 << 20
 MOST_BITS = 27
 SEGMENTS = 6
@@ -203,10 +204,28 @@ def places_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of keys that several files hold, told by the first of these.
+
+    ``found`` has (keys, places, counts) of each file, keys distinct; the result has (which of them, counts in sum).
+    """
+    keys = np.concatenate([k for k, _, _ in found])
+    counts = np.concatenate([c for _, _, c in found])
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(counts[order], starts) if len(keys) else counts
+    first = order[starts]
+    back = np.argsort(first)
+    first, sums = first[back], sums[back]
+    bounds = np.cumsum([0, *[len(k) for k, _, _ in found]])
+    cuts = np.searchsorted(first, bounds)
+    return [(first[lo:hi] - at, sums[lo:hi]) for lo, hi, at in zip(cuts, cuts[1:], bounds)]
+
+
 class Corpus:
     """The shards of a table, their supports, and the passes over them."""
 
-    def __init__(self, docs: DataFrame, lang: str, text: str, support: int, other: str, shard_bytes: int):
+    def __init__(self, docs: DataFrame, lang: str, text: str, support: int, other: str, file_bytes: int, shard_words: int):
         spark = docs.sparkSession
         small_batches(spark)
         self.spark, self.support = spark, support
@@ -214,66 +233,70 @@ class Corpus:
         rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(other)).alias("__lang"), F.col(text).alias("__text"))
 
         def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in pieces(batches, "__text", shard_bytes):
-                name = files.new_name(folder, "shard", ".arrow")
+            for table in pieces(batches, "__text", file_bytes):
+                name = files.new_name(folder, "words", ".arrow")
                 found = write_shard(name, table)
                 yield pa.RecordBatch.from_pydict(
-                    {"shard": [name] * len(found), "lang": list(found), "n": pa.array(list(found.values()), pa.int64())},
-                    schema=pa.schema([("shard", pa.string()), ("lang", pa.string()), ("n", pa.int64())]),
+                    {"file": [name] * len(found), "lang": list(found), "n": pa.array(list(found.values()), pa.int64())},
+                    schema=pa.schema([("file", pa.string()), ("lang", pa.string()), ("n", pa.int64())]),
                 )
             release()
 
-        manifest = cut_lineage(rows.mapInArrow(stage, "shard string, lang string, n long"))
+        manifest = cut_lineage(rows.mapInArrow(stage, "file string, lang string, n long"))
         self.sizes = cut_lineage(manifest.groupBy("lang").agg(F.sum("n").alias("n")))
         whole = self.sizes.agg(F.sum("n")).first()[0] or 0
         self.bits = min(MOST_BITS, max(16, (2 * whole).bit_length()))
+        # files in line; where another ``shard_words`` words have gone by, a new shard begins
+        line, _ = running_totals(manifest.groupBy("file").agg(F.sum("n").alias("words")), [F.col("file")], {"before": "words"})
+        line = cut_lineage(line.select("file", F.floor(F.col("before") / shard_words).cast("long").alias("shard")))
+        owned = manifest.join(line, "file").groupBy("shard", "lang").agg(F.sum("n").alias("own"))
         local = F.expr(f"greatest(1L, ({int(support)}L * own + n - 1) div n)").alias("local")  # rounded up
-        shards = manifest.withColumnRenamed("n", "own").join(self.sizes, "lang").select("shard", "lang", local)
-        shards = shards.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("lang", "local"))).alias("local"))
+        supports = owned.join(self.sizes, "lang").select("shard", "lang", local)
+        supports = supports.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("lang", "local"))).alias("local"))
+        shards = line.groupBy("shard").agg(F.sort_array(F.collect_list("file")).alias("files")).join(supports, "shard")
         self.shards = cut_lineage(shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
         self.frequent = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
 
-    def candidates(self, level: int, frequent: Broadcast) -> np.ndarray:
-        """Bitmap of all phrases of ``level`` words that are frequent in some shard."""
+    def each(self, level: int, frequent: Broadcast, wanted: Broadcast | None, emit, schema: str) -> DataFrame:
+        """``emit(words of a file, local supports, hashes, places, counts)`` of the distinct phrases of each shard that ``wanted`` lets through.
+
+        Every phrase of a shard comes once, with the file that holds it first and its count in the whole shard.
+        """
         bits = self.bits
 
-        def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for name, local in zip(batch.column("shard").to_pylist(), batch.column("local").to_pylist()):
-                    shard = open_shard(name)
-                    at, hashes = phrases(shard, level, frequent.value, bits)
-                    keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                    by_lang = dict(local)
-                    need = np.array([by_lang.get(n, 1) for n in shard.names], dtype=np.int64)
-                    own = keys[counts >= need[shard.langs[shard.tokens[at[first]]]]]
-                    yield segments(places_of(own, bits), bits)
+                for names, local in zip(batch.column("files").to_pylist(), batch.column("local").to_pylist()):
+                    held, found = [open_shard(name) for name in names], []
+                    for shard in held:
+                        at, hashes = phrases(shard, level, frequent.value, bits)
+                        if wanted is not None:
+                            own = known(hashes, wanted.value, bits)
+                            at, hashes = at[own], hashes[own]
+                        keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+                        found.append((keys, at[first], counts.astype(np.int64)))
+                    for shard, (keys, at, _), (which, counts) in zip(held, found, merged(found)):
+                        for low in range(0, len(which), 1 << 16):
+                            cut = slice(low, low + (1 << 16))
+                            yield emit(shard, dict(local), keys[which[cut]], at[which[cut]], counts[cut])
             release()
 
-        return bitmap_of(self.shards.mapInArrow(mine, "segment int, places binary"), bits)
+        return self.shards.mapInArrow(run, schema)
 
-    def each(self, level: int, frequent: Broadcast, wanted: Broadcast, emit, schema: str) -> DataFrame:
-        """``emit(shard, hashes, places, counts)`` of the distinct phrases of each shard that ``wanted`` lets through."""
+    def candidates(self, level: int, frequent: Broadcast) -> np.ndarray:
+        """Bitmap of all phrases of ``level`` words that are frequent in some shard."""
         bits = self.bits
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for name in batch.column("shard").to_pylist():
-                    shard = open_shard(name)
-                    at, hashes = phrases(shard, level, frequent.value, bits)
-                    own = known(hashes, wanted.value, bits)
-                    keys, first, counts = np.unique(hashes[own], return_index=True, return_counts=True)
-                    at, counts = at[own][first], counts.astype(np.int64)
-                    for low in range(0, len(at), 1 << 16):
-                        cut = slice(low, low + (1 << 16))
-                        yield emit(shard, keys[cut], at[cut], counts[cut])
-            release()
+        def emit(shard: Shard, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            need = np.array([local.get(n, 1) for n in shard.names], dtype=np.int64)
+            return segments(places_of(keys[counts >= need[shard.langs[shard.tokens[at]]]], bits), bits)
 
-        return self.shards.mapInArrow(run, schema)
+        return bitmap_of(self.each(level, frequent, None, emit, "segment int, places binary"), bits)
 
     def likely(self, level: int, frequent: Broadcast, wanted: Broadcast) -> np.ndarray:
         """Bitmap of the candidates whose hashes reach the support in sum: all frequent phrases, and few others."""
 
-        def emit(shard: Shard, keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        def emit(shard: Shard, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["hash", "f"])
 
         rows = self.each(level, frequent, wanted, emit, "hash long, f long")
@@ -293,7 +316,7 @@ class Corpus:
     def counted(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
         """Exact counts (lang, phrase, words, f, hash) of the candidates that reach the support."""
 
-        def emit(shard: Shard, keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        def emit(shard: Shard, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             langs = pa.array(shard.names, pa.string()).take(pa.array(shard.langs[shard.tokens[at]]))
             return pa.RecordBatch.from_arrays(
                 [langs, spell(shard, at, level), pa.array(counts), pa.array(keys.view(np.int64))], names=["lang", "phrase", "f", "hash"]
@@ -312,10 +335,11 @@ class Corpus:
 
 
 def frequent_phrases(
-    docs: DataFrame, *, lang: str = "lang", text: str = "text", support: int = 100, longest: int = 5, other: str = "und", shard_bytes: int = SHARD_BYTES
+    docs: DataFrame, *, lang: str = "lang", text: str = "text", support: int = 100, longest: int = 5, other: str = "und",
+    file_bytes: int = FILE_BYTES, shard_words: int = SHARD_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``longest`` words that occur ``support`` times or more: (lang, phrase, words, f, hash); and (lang, n)."""
-    corpus = Corpus(docs, lang, text, support, other, shard_bytes)
+    corpus = Corpus(docs, lang, text, support, other, file_bytes, shard_words)
     found = None
     for level in range(1, longest + 1):
         frequent = corpus.spark.sparkContext.broadcast(corpus.frequent)

@@ -72,10 +72,10 @@ def run(df, **more):
     return sorted(tuple(r) for r in c.collocations(df, **more).collect())
 
 
-@pytest.mark.parametrize("parts, shard_bytes", [(1, 16 << 20), (4, 16 << 20), (3, 4000)])
-def test_collocations(spark, parts, shard_bytes):
+@pytest.mark.parametrize("parts, file_bytes, shard_words", [(1, 16 << 20, 8_000_000), (4, 16 << 20, 8_000_000), (3, 4000, 900)])
+def test_collocations(spark, parts, file_bytes, shard_words):
     rows = some_rows()
-    found = run(frame(spark, rows, parts), shard_bytes=shard_bytes)
+    found = run(frame(spark, rows, parts), file_bytes=file_bytes, shard_words=shard_words)
     assert found == plainly(rows) and len(found) > 5
 
 
@@ -83,7 +83,7 @@ def test_support_top_and_length(spark):
     rows = some_rows(200, 9)
     df = frame(spark, rows, 4)
     for more in ({"support": 7, "top": 30}, {"support": 3, "longest": 3}, {"support": 1, "top": 50, "longest": 2}, {"support": 10**6}):
-        assert run(df, shard_bytes=3000, **more) == plainly(rows, **more)
+        assert run(df, file_bytes=3000, shard_words=2000, **more) == plainly(rows, **more)
 
 
 def test_nothing(spark):
@@ -94,7 +94,7 @@ def test_nothing(spark):
 def test_shards_report_less_than_they_hold(spark, monkeypatch):
     """Mining at the local support spares most phrases the global count, and loses none that is frequent."""
     rows = some_rows(1500, 2)
-    corpus = c.Corpus(frame(spark, rows, 4), "lang", "text", 100, "und", 60_000)
+    corpus = c.Corpus(frame(spark, rows, 4), "lang", "text", 100, "und", 10_000, 2_500)
     assert corpus.shards.count() > 4
     assert max(v for r in corpus.shards.collect() for v in r["local"].values()) > 5
     none = spark.sparkContext.broadcast(corpus.frequent)
@@ -106,6 +106,22 @@ def test_shards_report_less_than_they_hold(spark, monkeypatch):
     assert len(found) <= reported < len(f)
 
 
+def test_counts_of_files_are_merged():
+    rng = np.random.default_rng(1)
+    found = []
+    for n in (30, 0, 50, 1):
+        keys = np.unique(rng.integers(0, 60, n).astype(np.uint64))
+        found.append((keys, np.arange(len(keys)), rng.integers(1, 9, len(keys))))
+    total, told = Counter(), {}
+    for i, (keys, _, n) in enumerate(found):
+        for j, (k, m) in enumerate(zip(keys.tolist(), n.tolist())):
+            total[k] += m
+            told.setdefault(k, (i, j))
+    got = {(i, int(j)): int(m) for i, (which, sums) in enumerate(c.merged(found)) for j, m in zip(which, sums)}
+    assert got == {told[k]: m for k, m in total.items()}
+    assert [len(w) for w, _ in c.merged([(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)])] == [0]
+
+
 def test_shard_file_round_trip(tmp_path):
     table = pa.table({"__lang": ["en", "de", "en"], "__text": ["A b. c  a", None, "b,b\tA"]})
     name = f"file://{tmp_path}/shard"
