@@ -26,11 +26,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.llm.running import running_totals
+from abundix.llm.skew import with_facts
 from abundix.llm.words import mix64, ranges, small_batches, word_slices
+from abundix.session import cut_lineage
 
 PLAN_CELLS = 1 << 22
 MOST_SOURCES = 1 << 16
@@ -267,8 +268,13 @@ class Mix:
             schema = schema.add(name, {"int": "integer"}.get(kind, kind))
         drawn = self._light().mapInArrow(draw, schema)
         own = [c for c in kept if c != ROW]
-        shuffled = W.partitionBy("shard").orderBy(F.xxhash64("source", "epoch", "block", *own), *kept, "first_word", "epoch")
-        return drawn.withColumn("slot", F.row_number().over(shuffled))
+        # slots count from 1 in each shard; rows are dealt to ranges of (shard, hash), as a shard may be most of the mix
+        order = [F.col("shard"), F.xxhash64("source", "epoch", "block", *own), *[F.col(c) for c in (*kept, "first_word", "epoch")]]
+        placed, _ = running_totals(drawn.withColumn("__one", F.lit(1)), order, {"__at": "__one"})
+        placed = cut_lineage(placed)
+        begin = cut_lineage(placed.groupBy("shard").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__rows")))
+        found = with_facts(placed, begin, ["shard"], "__rows", F.hash(ROW, "block", "epoch"))
+        return found.withColumn("slot", (F.col("__at") - F.col("__first") + 1).cast("int")).drop("__one", "__at", "__first")
 
     def _light(self) -> DataFrame:
         return self.rows.select(*self.columns, "__before", ROW)
