@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from abundix.llm.chunks import REQUEST, answered, bucket_count, each_chunk, is_in, repeated_keys, requests, stage_chunks, visit_answers
+from abundix.llm.skew import with_facts
 from abundix.llm.words import Words, mix64, windows, word_slices
 from abundix.operators.network import connected_components
 from abundix.session import cut_lineage
@@ -353,8 +354,11 @@ def jaccard_components(
     joined = cut_lineage(linked_points(found, percent))
     firsts = seen.where("n > 0").groupBy("print").agg(F.min("__key").alias("least"))
     named = firsts.join(found.select("print", "node").join(joined, "node").drop("node"), "print", "left")
-    lowest = named.where("component is not null").groupBy("component").agg(F.min("least").alias("lowest"))
-    named = named.join(lowest, "component", "left").select("print", F.coalesce("lowest", "least").alias("component_id"))
+    # most points may be in one component, so its rows are dealt apart
+    linked = cut_lineage(named.where("component is not null"))
+    lowest = cut_lineage(linked.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("weight")))
+    linked = with_facts(linked, lowest, ["component"], "weight", F.xxhash64("print")).select("print", F.coalesce("lowest", "least").alias("component_id"))
+    named = linked.unionByName(named.where("component is null").select("print", F.col("least").alias("component_id")))
     with_set = seen.where("n > 0").join(named, "print").select("__key", "n", "component_id")
     without = seen.where("n = 0").select("__key", "n", F.col("__key").alias("component_id"))
     out = with_set.unionByName(without)
