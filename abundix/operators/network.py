@@ -1,8 +1,9 @@
-"""Subnetworks of significant features and their connected components."""
+"""Subnetworks of significant features, their connected components, and what random nodes would give."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from abundix.session import cut_lineage
@@ -77,3 +78,64 @@ def connected_components(edges: DataFrame, condition: str = "condition", max_rou
         raise RuntimeError("components did not settle")
     labels = current.select(condition, F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(labels, both, "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def degree_bins(edges: DataFrame) -> DataFrame:
+    """Nodes of the graph with the power of two that their degree reaches: (node, bin)."""
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
+    degrees = ends.groupBy("node").agg(F.count(F.lit(1)).alias("__degree"))
+    return degrees.select("node", F.floor(F.log2(F.col("__degree").cast("double")) + 1e-9).cast("int").alias("bin"))
+
+
+def random_hits(nodes: DataFrame, hits: DataFrame, draws: int, *, condition: str = "condition", feature: str = "feature", seed: int = 1) -> DataFrame:
+    """Sets of nodes with as many of every bin as the hits have: rows (condition, draw, node).
+
+    ``nodes`` is (node, bin). A draw takes the nodes of a bin with the least hashes of (seed, draw, node); conditions
+    share the order of a draw, each takes its own number. Hits that are no node of the graph are left out.
+    """
+    wanted = hits.select(condition, F.col(feature).alias("node")).distinct().join(nodes, "node")
+    wanted = wanted.groupBy(condition, "bin").agg(F.count(F.lit(1)).alias("__m"))
+    most = wanted.groupBy("bin").agg(F.max("__m").alias("__most"))
+    shuffled = nodes.join(most, "bin").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    order = W.partitionBy("draw", "bin").orderBy(F.xxhash64(F.lit(seed), "draw", "node"), "node")
+    ranked = shuffled.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= F.col("__most"))
+    return ranked.select("draw", "bin", "node", "__i").join(wanted, "bin").where(F.col("__i") <= F.col("__m")).select(condition, "draw", "node")
+
+
+def component_sizes(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: ``n_components`` with an edge, nodes of the ``largest``, and ``n_edges``; keys without an edge have no row."""
+    one = edges.withColumn("__key", F.to_json(F.struct(*keys)))
+    sizes = connected_components(one, "__key").groupBy("__key", "component").agg(F.count(F.lit(1)).alias("__size"))
+    counted = sizes.groupBy("__key").agg(F.count(F.lit(1)).alias("n_components"), F.max("__size").alias("largest"))
+    named = one.groupBy("__key", *keys).agg(F.count(F.lit(1)).alias("n_edges"))
+    return named.join(counted, "__key").select(*keys, "n_components", "largest", "n_edges")
+
+
+def component_null(
+    edges: DataFrame, hits: DataFrame, *, draws: int = 1000, condition: str = "condition", feature: str = "feature", seed: int = 1
+) -> DataFrame:
+    """How the hits of each condition hang together, against as many random nodes of like degrees.
+
+    Number of components, size of the largest and number of edges among the hits, their means over the draws, and p of
+    a largest component (``p_largest``) and of a number of edges (``p_edges``) that are as large or larger:
+    (1 + draws beyond) / (1 + draws). All draws are keys of one job; hits without any edge between them have zeros.
+    """
+    edges = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    nodes = cut_lineage(degree_bins(edges))
+    found = component_sizes(hit_edges(edges, hits, condition=condition, feature=feature), [condition])
+    listed = hits.select(condition).distinct()
+    found = listed.join(found, condition, "left").na.fill(0, ["n_components", "largest", "n_edges"])
+    drawn = cut_lineage(random_hits(nodes, hits, draws, condition=condition, feature=feature, seed=seed))
+    inside = edges.join(drawn.withColumnRenamed("node", "a"), "a").join(drawn.withColumnRenamed("node", "b"), [condition, "draw", "b"])
+    null = component_sizes(inside.select(condition, "draw", "a", "b"), [condition, "draw"])
+    named = null.select(condition, *[F.col(c).alias(f"__{c}") for c in ("n_components", "largest", "n_edges")])
+    beyond = lambda c: F.count_if((F.col(f"__{c}") >= F.col(c)) & (F.col(c) > 0))
+    joined = cut_lineage(found).join(named, condition, "left").groupBy(condition, "n_components", "largest", "n_edges")
+    sums = joined.agg(
+        *[(F.coalesce(F.sum(f"__{c}"), F.lit(0)) / draws).alias(f"mean_{c}") for c in ("n_components", "largest", "n_edges")],
+        beyond("largest").alias("__l"),
+        beyond("n_edges").alias("__e"),
+    )
+    # every draw is as large as nothing
+    p = lambda c, n: F.when(F.col(n) > 0, (1 + F.col(c)) / F.lit(1.0 + draws)).otherwise(F.lit(1.0))
+    return sums.withColumn("p_largest", p("__l", "largest")).withColumn("p_edges", p("__e", "n_edges")).drop("__l", "__e")

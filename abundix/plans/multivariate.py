@@ -10,6 +10,7 @@ from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import DENSE_CELLS_SQL, VARIANCE_SQL
 from abundix.plans.statistics import P_VIEWS, with_p
 from abundix.plans.views import SAMPLES, table, with_views
+from abundix.session import cut_lineage
 
 POSITIONS = [str(i) for i in range(64)]
 MATRIX_SQL = """select vec_id as feature, generate_subscripts(embedding, 1) - 1 as sample, cast(unnest(embedding) as double) as value from embeddings"""
@@ -215,3 +216,10 @@ SPARSE_HITS_SQL = "select comparison as condition, feature from with_p where p <
 def components(spark, d):
     strict = with_p(spark, d).where("p < 0.02").select(F.col("comparison").alias("condition"), "feature")
     return network.connected_components(network.hit_edges(views.edges(spark, d), strict))
+
+
+@query("component_null")
+def component_null(spark, d):
+    """The same subnetworks against 1,000 sets of nodes with like degrees."""
+    strict = with_p(spark, d).where("p < 0.02").select(F.col("comparison").alias("condition"), "feature")
+    return network.component_null(views.edges(spark, d), cut_lineage(strict), draws=1000)
