@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from abundix.operators.network import connected_components
 from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan
 from abundix.session import cut_lineage
 
+_SOLVED_AT_ONCE = 100_000
+
 
 def best_score(df: DataFrame, level: str | Sequence[str], score: str = "score", decoy: str = "is_decoy") -> DataFrame:
     """Best score per level entity; an entity is a decoy when its best-scored row is one."""
@@ -99,11 +105,78 @@ def prefer_prior(df: DataFrame, prior: DataFrame, peptide: str = "peptide", acce
     return kept.select(*df.columns)
 
 
+def greedy_cover(accessions: Sequence[str], peptides: Sequence[str]) -> list[str]:
+    """The accession that covers each pair's peptide, when the one with most uncovered peptides is taken again and again.
+
+    Ties go to the smaller name. The heap is lazy: an entry whose count is out of date goes back with the right one.
+    """
+    holds: dict[str, list[int]] = {}
+    for i, name in enumerate(accessions):
+        holds.setdefault(name, []).append(i)
+    owner: dict[str, str] = {}
+    heap = [(-len(own), name) for name, own in holds.items()]
+    heapq.heapify(heap)
+    while heap:
+        count, name = heapq.heappop(heap)
+        left = [i for i in holds[name] if peptides[i] not in owner]
+        if not left:
+            continue
+        if len(left) < -count:
+            holds[name] = left
+            heapq.heappush(heap, (-len(left), name))
+            continue
+        for i in left:
+            owner[peptides[i]] = name
+    return [owner[p] for p in peptides]
+
+
 def parsimonious_accessions(
-    df: DataFrame, peptide: str = "peptide", accession: str = "accession", max_rounds: int = 10_000
+    df: DataFrame, peptide: str = "peptide", accession: str = "accession", max_rounds: int = 10_000, most_pairs: int = 1 << 20
 ) -> DataFrame:
     """Greedy cover: (accession, peptide) pairs such that each peptide goes to the accession chosen first.
 
+    The graph of peptides and accessions falls into connected components that have nothing to do with each other. Each
+    component of up to ``most_pairs`` pairs is solved in one task, many of them in a single pass; only larger ones go
+    through ``cover_rounds``, with the same outcome.
+    """
+    pairs = cut_lineage(df.select(peptide, accession).where(F.col(peptide).isNotNull() & F.col(accession).isNotNull()).distinct())
+    name, other = F.concat(F.lit("a"), F.col(accession).cast("string")), F.concat(F.lit("p"), F.col(peptide).cast("string"))
+    nodes = connected_components(pairs.select(F.lit(0).alias("all"), name.alias("a"), other.alias("b")), "all")
+    placed = pairs.withColumn("node", name).join(nodes.select("node", "component"), "node").drop("node")
+    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("__n"))
+    placed = cut_lineage(placed.join(sizes, "component"))
+    small = placed.where(F.col("__n") <= most_pairs).drop("__n")
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small.repartition(width, "component").sortWithinPartitions("component")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < _SOLVED_AT_ONCE:
+                continue
+            # the last component may go on in the next batch
+            last = held.column("component")[-1]
+            whole = pc.not_equal(held.column("component"), last)
+            yield from covered(held.filter(whole))
+            held = held.filter(pc.invert(whole))
+        if held is not None:
+            yield from covered(held)
+
+    def covered(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        names, parts = table.column(accession).to_pylist(), table.column(peptide).to_pylist()
+        mine = pa.array([a == b for a, b in zip(names, greedy_cover(names, parts))], pa.bool_())
+        yield from table.filter(mine).select([peptide, accession]).to_batches()
+
+    chosen = dealt.mapInArrow(solve, small.select(peptide, accession).schema)
+    large = placed.where(F.col("__n") > most_pairs).select(peptide, accession)
+    return chosen if large.isEmpty() else chosen.unionByName(cover_rounds(large, peptide, accession, max_rounds))
+
+
+def cover_rounds(df: DataFrame, peptide: str = "peptide", accession: str = "accession", max_rounds: int = 10_000) -> DataFrame:
+    """The same cover for a graph of any size, round by round.
+
     One-at-a-time greedy takes the accession with most uncovered peptides, ties by name. An accession that
     beats every rival with which it shares an uncovered peptide is taken before all of them whatever
     happens elsewhere, so each round takes all such accessions at once and the outcome is the same.

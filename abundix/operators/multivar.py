@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from abundix.operators.aggregate import collapse_duplicates
 from abundix.operators.ordered import keys_of
@@ -193,6 +194,35 @@ def _packed_sum(parts: DataFrame) -> np.ndarray:
     return np.sum([np.frombuffer(r["sums"]) for r in parts.repartition(8).mapInPandas(add, "sums binary").collect()], axis=0)
 
 
+def _least_rows(rows: DataFrame, row: str, restarts: int, most: int, seed: int) -> DataFrame:
+    """The ``most`` rows with the least hashes of each restart, (restart, place, row). Only keys travel, no vectors."""
+    keyed = rows.select(row, F.xxhash64(F.lit(seed), row).alias("h"))
+    salt = np.random.default_rng(seed).integers(0, 2**63, restarts).astype(np.uint64)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, pa.Array]] = [(np.zeros(0, np.uint64), pa.array([], keyed_type))] * restarts
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            own = batch.column(1).to_numpy().view(np.uint64)
+            for i in range(restarts):
+                x = (own ^ salt[i]) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = np.concatenate([held[i][0], x ^ (x >> np.uint64(32))])
+                ids = pa.concat_arrays([held[i][1], batch.column(0)])
+                best = np.argsort(x, kind="stable")[:most]
+                held[i] = (x[best], ids.take(pa.array(best)))
+        for i, (x, ids) in enumerate(held):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, dtype=np.int32)), pa.array(x.view(np.int64)), ids], names=["restart", "h", row])
+
+    keyed_type = to_arrow_type(keyed.schema[row].dataType)
+    kind = keyed.schema[row].dataType.simpleString()
+    found = keyed.mapInArrow(least, f"restart int, h long, `{row}` {kind}")
+    order = W.partitionBy("restart").orderBy(F.shiftrightunsigned("h", 1), "h", row)  # by the unsigned hash
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("restart", "place", row)
+
+
 def kmeans_clusters(
     packed: DataFrame,
     ks: Sequence[int],
@@ -202,34 +232,29 @@ def kmeans_clusters(
     restarts: int = 100,
     max_iter: int = 40,
     seed: int = 1,
+    starts: Sequence | None = None,
 ) -> DataFrame:
     """Cluster of each row for every K, rows (k, row, cluster); the restart with the least cost wins.
 
     Lloyd's steps of all K and restarts run in one job each, with one pass over the rows per step. The starts are
-    the rows with the least hash of (seed, restart, row). Only the centres, sum of K x restarts x width numbers,
-    and their sums come to the driver. Clusters are numbered by ascending centre, so the number does not depend
-    on the run; a centre without rows stays where it is; rows without a vector are left out.
+    the rows with the least hash of (seed, restart, row), or for a single fit of every K the first K of the rows named
+    in ``starts``. Only the centres, sum of K x restarts x width numbers, and their sums come to the driver. Clusters
+    are numbered by ascending centre, so the number does not depend on the run; a centre without rows stays where it
+    is; rows without a vector are left out.
     """
     rows = cut_lineage(packed.where(F.col(vec).isNotNull()).select(row, vec))
+    restarts = restarts if starts is None else 1
     fits, most = _Starts(ks, restarts), max(ks)
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = []
-        for batch in batches:
-            for restart, own in batch.groupby("restart"):
-                best.append(own.nsmallest(most, "h"))
-            if best:
-                best = [own.nsmallest(most, "h") for _, own in pd.concat(best).groupby("restart")]
-        yield from best
-
-    numbered = rows.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
-    hashed = numbered.select("restart", F.xxhash64(F.lit(seed), "restart", row).alias("h"), vec)
-    shape = hashed.schema
-    least = hashed.mapInPandas(first, shape).repartition(8, "restart").mapInPandas(first, shape).collect()
+    if starts is None:
+        chosen = _least_rows(rows, row, restarts, most, seed)
+    else:
+        listed = pa.table({row: pa.array(list(starts)[:most], to_arrow_type(rows.schema[row].dataType)), "place": pa.array(range(1, min(most, len(starts)) + 1), pa.int32())})
+        chosen = rows.sparkSession.createDataFrame(listed).withColumn("restart", F.lit(0))
+    least = chosen.join(rows, row).select("restart", "place", vec).collect()  # K vectors a restart
     if not least:
         return rows.select(F.lit(0).cast("long").alias("k"), row, F.lit(0).cast("long").alias("cluster")).limit(0)
-    starts = [[r[vec] for r in sorted((r for r in least if r["restart"] == i), key=lambda r: r["h"])] for i in range(restarts)]
-    centres = np.array([own[j % len(own)] for k in fits.ks for own in starts for j in range(k)], dtype=float)
+    points = [[r[vec] for r in sorted((r for r in least if r["restart"] == i), key=lambda r: (r["place"], r[vec]))] for i in range(restarts)]
+    centres = np.array([own[j % len(own)] for k in fits.ks for own in points for j in range(k)], dtype=float)
     n, width = centres.shape
 
     def points_of(batch: pd.DataFrame) -> Iterator[np.ndarray]:
@@ -283,16 +308,20 @@ def kmeans_clusters(
     return rows.mapInPandas(assign, f"k long, `{row}` {kind}, cluster long")
 
 
-def nearest_centroid(packed: DataFrame, centroids: Sequence[Sequence[float]], *, row: str = "feature", vec: str = "vec") -> DataFrame:
-    """Number (from 0) of the nearest given centre and the squared distance; ties to the lower number."""
-    choices = []
-    for number, centre in enumerate(centroids):
-        point = F.array(*[F.lit(float(x)) for x in centre])
-        squares = F.zip_with(F.col(vec), point, lambda x, c: (x - c) * (x - c))
-        distance = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
-        choices.append(F.struct(distance.alias("distance"), F.lit(number).cast("long").alias("cluster")))
-    best = packed.withColumn("__best", F.array_min(F.array(*choices)))
-    return best.select(row, F.col("__best.cluster").alias("cluster"), F.col("__best.distance").alias("distance"))
+def nearest_centroid(packed: DataFrame, centres: DataFrame, *, row: str = "feature", vec: str = "vec") -> DataFrame:
+    """Nearest of ``centres`` (cluster, centre) and the squared distance; ties to the lower cluster.
+
+    The centres travel as one array, joined to every row as a scalar.
+    """
+    listed = centres.agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("c")).scalar()
+    whole = packed.withColumn("__centres", listed)
+
+    def far(centre: Column) -> Column:
+        squares = F.zip_with(F.col(vec), centre, lambda x, c: (x - c) * (x - c))
+        return F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
+
+    best = whole.withColumn("__best", F.array_min(F.transform("__centres", lambda c: F.struct(far(c["centre"]).alias("distance"), c["cluster"].alias("cluster")))))
+    return best.select(row, F.col("__best.cluster").cast("long").alias("cluster"), F.col("__best.distance").alias("distance"))
 
 
 def packed_features(

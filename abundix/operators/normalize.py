@@ -230,7 +230,8 @@ def hierarchical_removal(
                     total += np.concatenate([[len(m)], m.sum(axis=0), second.reshape(-1)])
             yield pd.DataFrame({"sums": [total.tobytes()]})
 
-        total = np.sum([np.frombuffer(r["sums"]) for r in fits.mapInPandas(partial, "sums binary").collect()], axis=0)
+        parts = [np.frombuffer(r["sums"]) for r in fits.mapInPandas(partial, "sums binary").collect()]
+        total = np.sum([np.zeros(1 + q + q * q), *parts], axis=0)
         return total[0], total[1 : 1 + q], total[1 + q :].reshape(q, q)
 
     prior = Prior(np.zeros(q), np.eye(q))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abundix.operators.ordered import grouped_rank
+from abundix.operators.ordered import grouped_rank, keys_of
 
 
 def to_long(
@@ -96,14 +96,15 @@ def member_rows(df: DataFrame, group: str, member: str) -> DataFrame:
     return grouped_rank(members, group, member, member, rank="position", total="size", descending=False)
 
 
-def collapse_members(df: DataFrame, group: str, member: str, *, separator: str = "; ") -> DataFrame:
+def collapse_members(df: DataFrame, group: str | Sequence[str], member: str, *, separator: str = "; ") -> DataFrame:
     """Sorted member string and size, one row per group.
 
     A string holds its whole group, so this is a last step for groups that a reader can take in; anything that
     goes on working with members uses ``member_rows`` or the rows themselves.
     """
-    members = df.select(group, member).where(F.col(member).isNotNull()).distinct()
-    return members.groupBy(group).agg(
+    keys = keys_of(group)
+    members = df.select(*keys, member).where(F.col(member).isNotNull()).distinct()
+    return members.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("size"), F.concat_ws(separator, F.array_sort(F.collect_list(member))).alias("members")
     )
 

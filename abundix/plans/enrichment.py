@@ -8,6 +8,7 @@ from abundix.operators import aggregate, enrich, filters, reshape
 from abundix.operators.permute import draw_order_sql
 from abundix.plans import views
 from abundix.plans.identification import activity
+from abundix.plans.multivariate import KMEANS_VIEWS, clusters_from_starts
 from abundix.plans.registry import prefixed, query, r6, rounded
 from abundix.plans.shaping import CELLS_SQL, RESIDUES_SQL, cells, site_residues
 from abundix.plans.statistics import P_VIEWS, TEST_VIEWS, bh_sql, ranked, t_p_sql, with_p
@@ -303,23 +304,20 @@ def ora_pvalue(spark, d):
     return rounded(tested.select("cluster", "term", "p", "p_adj"), "p", "p_adj")
 
 
-BY_K_SQL = """select distinct k_, p_size % k_ as cluster, concat('P', cast(p_partkey as varchar)) as feature
-    from part, (values (3), (4), (5), (6), (7), (8), (9), (10), (11), (12)) as v(k_)"""
+BY_K_SQL = "select k as k_, cluster, concat('P', cast(feature as varchar)) as feature from clusters"
 
 
 @query(
     "ora_by_cluster",
     with_views(
         "select cast(k_ as bigint) as kk, cast(cluster as bigint) as cluster, count(case when p_adj < 0.05 then 1 end) as significant_terms, count(*) as terms from adjusted group by all",
-        "meas", "term2gene", **_ora_sql(BY_K_SQL, "k_, cluster"), adjusted=bh_sql("with_p", "k_, cluster"),
+        "meas", "term2gene", **KMEANS_VIEWS, **_ora_sql(BY_K_SQL, "k_, cluster"), adjusted=bh_sql("with_p", "k_, cluster"),
     ),
 )
 def ora_by_cluster(spark, d):
-    """All partitions and all their clusters in one job."""
-    part = table(spark, d, "part").withColumn("kk", F.explode(F.array(*[F.lit(k) for k in range(3, 13)])))
-    clusters = part.select(
-        F.col("kk").cast("long").alias("kk"), (F.col("p_size") % F.col("kk")).cast("long").alias("cluster"), prefixed("P", "p_partkey").alias("feature")
-    )
+    """Clusters of K-means for every K, all tested in one job."""
+    found = cut_lineage(clusters_from_starts(spark, d))
+    clusters = found.select(F.col("k").alias("kk"), "cluster", prefixed("P", "feature").alias("feature"))
     counts = enrich.overlap_counts(clusters, views.meas(spark, d), views.term2gene(spark, d), by=["kk", "cluster"])
     tested = enrich.over_representation(counts, ["kk", "cluster"])
     return tested.groupBy("kk", "cluster").agg(F.count_if(F.col("p_adj") < 0.05).alias("significant_terms"), F.count(F.lit(1)).alias("terms"))

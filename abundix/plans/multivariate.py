@@ -94,7 +94,7 @@ def pca_distances(spark, d):
 
 @query("kmeans_assign")
 def kmeans_assign(spark, d):
-    return multivar.kmeans_clusters(packed(spark, d), range(3, 13))
+    return multivar.kmeans_clusters(packed(spark, d), KS)
 
 
 @query(
@@ -111,21 +111,64 @@ def kmeans_assign(spark, d):
 def nearest_centroid(spark, d):
     rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("pos", "value"))
     means = rows.groupBy("label", "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    lines = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("line"))
-    centres = {row["label"]: [v["value"] for v in row["line"]] for row in lines.collect()}  # one row per label
-    found = multivar.nearest_centroid(packed(spark, d), [centres[label] for label in sorted(centres)])
-    return rounded(found, "distance")
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    centres = means.groupBy("label").agg(F.transform(pairs, lambda p: p["value"]).alias("centre")).withColumnRenamed("label", "cluster")
+    return rounded(multivar.nearest_centroid(packed(spark, d), centres), "distance")
+
+
+KS = range(3, 13)
+
+
+def _kmeans_sql(steps: int = 40) -> dict[str, str]:
+    """Lloyd's steps of every K from given starts; settled centres stay as they are."""
+    out = {
+        "rows_": "select vec_id as feature, list_transform(embedding, lambda x: x::double) as x from embeddings where embedding is not null",
+        "starts": f"select feature, x, row_number() over (order by md5(concat('s', cast(feature as varchar))), feature) as e from rows_ qualify e <= {max(KS)}",
+        "centres0": f"select k, e, x as c from starts, range({min(KS)}, {max(KS) + 1}) t(k) where e <= k",
+    }
+    near = """select k, feature, any_value(x) as x, arg_min(e, {{'d': d, 'e': e}}) as e from (
+        select k, feature, x, e, list_distance(x, c) as d from rows_, centres{i}) group by k, feature"""
+    for i in range(steps):
+        out[f"near{i}"] = near.format(i=i)
+        out[f"means{i}"] = f"""select k, e, list(m order by j) as c from (
+            select k, e, j, avg(x[j]) as m from near{i}, range(1, 65) t(j) group by k, e, j) group by k, e"""
+        out[f"centres{i + 1}"] = f"select b.k, b.e, coalesce(m.c, b.c) as c from centres{i} b left join means{i} m using (k, e)"
+    out["last"] = near.format(i=steps)
+    out["numbered"] = f"select k, e, row_number() over (partition by k order by c) as cluster from centres{steps}"
+    out["clusters"] = "select k, feature, cluster from last join numbered using (k, e)"
+    return out
+
+
+KMEANS_VIEWS = _kmeans_sql()
+
+
+def clusters_from_starts(spark, d):
+    """Clusters of every K from one start that SQL can repeat: the vectors with the least md5."""
+    rows = packed(spark, d).where(F.col("vec").isNotNull())
+    digest = F.md5(F.concat(F.lit("s"), F.col("feature").cast("string")).cast("binary"))
+    starts = [r["feature"] for r in rows.select("feature", digest.alias("md5")).orderBy("md5", "feature").limit(max(KS)).collect()]
+    return multivar.kmeans_clusters(rows, KS, starts=starts)
+
+
+@query("kmeans_from_starts", with_views("select k, feature, cluster from clusters", **KMEANS_VIEWS))
+def kmeans_from_starts(spark, d):
+    return clusters_from_starts(spark, d)
 
 
 @query(
     "targeted_by_cluster",
-    """select label, count(*) as size, string_agg(v, '; ' order by v) as members from (
-         select distinct label, concat('V', cast(vec_id as varchar)) as v from embeddings where vec_id in (select doc_id from labels where quality = 1)) group by label""",
+    with_views(
+        """select k, cluster, count(*) as size, string_agg(v, '; ' order by v) as members from (
+             select distinct k, cluster, concat('V', cast(feature as varchar)) as v from clusters where feature in (select doc_id from labels where quality = 1))
+           group by k, cluster""",
+        **KMEANS_VIEWS,
+    ),
 )
 def targeted_by_cluster(spark, d):
-    listed = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
-    members = table(spark, d, "embeddings").select("vec_id", "label").join(listed, "vec_id", "left_semi")
-    return reshape.collapse_members(members.select("label", prefixed("V", "vec_id").alias("v")), "label", "v")
+    """Where the listed rows lie, for every K."""
+    listed = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("feature"))
+    members = clusters_from_starts(spark, d).join(listed, "feature", "left_semi")
+    return reshape.collapse_members(members.select("k", "cluster", prefixed("V", "feature").alias("v")), ["k", "cluster"], "v")
 
 
 @query(

@@ -201,6 +201,21 @@ def test_parsimony_equals_one_at_a_time_greedy(spark, seed):
     df = spark.createDataFrame(sorted(pairs), "peptide string, accession string")
     got = {(r["peptide"], r["accession"]) for r in identify.parsimonious_accessions(df).collect()}
     assert got == greedy_cover(pairs)
+    # larger components by rounds, and many small ones in one stream
+    mixed = identify.parsimonious_accessions(df, most_pairs=20).collect()
+    assert {(r["peptide"], r["accession"]) for r in mixed} == got
+    copies = {(f"{p}_{i}", f"{a}_{i}") for p, a in pairs for i in range(20)}
+    more = identify.parsimonious_accessions(spark.createDataFrame(sorted(copies) + [("lone", None), (None, "acc")], df.schema)).collect()
+    assert {(r["peptide"], r["accession"]) for r in more} == greedy_cover(copies)
+
+
+def test_cover_in_pieces_of_any_size(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {(f"pep{i}_{rng.randrange(6)}", f"acc{i}_{rng.randrange(4)}") for i in range(60) for _ in range(9)}
+    assert identify.greedy_cover(*zip(*[(a, p) for p, a in sorted(pairs)])) == [dict(greedy_cover(pairs))[p] for p, _ in sorted(pairs)]
+    df = spark.createDataFrame(sorted(pairs), "peptide string, accession string").repartition(2)
+    got = {(r["peptide"], r["accession"]) for r in identify.parsimonious_accessions(df).collect()}
+    assert got == greedy_cover(pairs)
 
 
 def test_prior_and_unique(spark):
@@ -525,7 +540,8 @@ def test_clusters(spark):
     df = spark.createDataFrame(points, "feature string, vec array<double>")
     got = {(r["k"], r["feature"]): r["cluster"] for r in multivar.kmeans_clusters(df, [2, 3], restarts=4).collect()}
     assert all(got[3, f"g{i}"] == i % 3 + 1 for i in range(60))
-    near = {r["feature"]: r["cluster"] for r in multivar.nearest_centroid(df, [[0.0] * 3, [10.0] * 3, [20.0] * 3]).collect()}
+    centres = spark.createDataFrame([(i, [10.0 * i] * 3) for i in range(3)], "cluster int, centre array<double>")
+    near = {r["feature"]: r["cluster"] for r in multivar.nearest_centroid(df, centres).collect()}
     assert all(near[f"g{i}"] == i % 3 for i in range(60))
 
 
