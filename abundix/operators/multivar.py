@@ -19,6 +19,7 @@ from abundix.operators.reshape import to_wide
 from abundix.session import cut_lineage
 
 BLOCK = 2048
+LINES = 64
 _MAX_HELD = 32_000_000
 
 
@@ -53,10 +54,11 @@ def outer_sums(df: DataFrame, keys: Sequence[str], vec: str, size: int) -> DataF
     fields = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in names)
 
     def emit(sums: dict) -> pd.DataFrame:
-        lines = [(name, i, line) for name, matrix in sums.items() for i, line in enumerate(matrix)]
-        out = pd.DataFrame({k: [name[n] for name, _, _ in lines] for n, k in enumerate(names)})
-        out["i"] = np.array([i for _, i, _ in lines], dtype=np.int32)
-        out["line"] = [line for _, _, line in lines]
+        """Partial matrices, ``LINES`` lines of one in a row."""
+        parts = [(name, low, matrix[low : low + LINES].tobytes()) for name, matrix in sums.items() for low in range(0, len(matrix), LINES)]
+        out = pd.DataFrame({k: [name[n] for name, _, _ in parts] for n, k in enumerate(names)})
+        out["low"] = np.array([low for _, low, _ in parts], dtype=np.int32)
+        out["lines"] = [lines for _, _, lines in parts]
         return out
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,9 +75,26 @@ def outer_sums(df: DataFrame, keys: Sequence[str], vec: str, size: int) -> DataF
         if sums:
             yield emit(sums)
 
-    lines = rows.mapInPandas(partial, f"{fields}i int, line array<double>")
-    cells = lines.select(*names, "i", F.posexplode("line").alias("j", "x"))
-    cells = cells.groupBy(*names, "i", "j").agg(F.sum("x").alias("product"))
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = None, None
+        for batch in batches:
+            for lines in batch.column("lines").to_pylist():
+                total = np.frombuffer(lines) if total is None else total + np.frombuffer(lines)
+            first = batch.slice(0, 1)
+        width = min(BLOCK, size - first.column("bj")[0].as_py() * BLOCK)
+        matrix = total.reshape(-1, width)
+        low = first.column("low")[0].as_py()
+        same = first.take(pa.array(np.zeros(len(matrix), dtype=np.int64)))
+        offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * width)
+        yield pa.RecordBatch.from_arrays(
+            [*[same.column(k) for k in names], pa.array(np.arange(low, low + len(matrix), dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(total))],
+            names=[*names, "i", "line"],
+        )
+
+    # partial matrices are summed as packed lines; cells become rows only when they are final
+    parts = rows.mapInPandas(partial, f"{fields}low int, lines binary")
+    lines = parts.groupBy(*names, "low").applyInArrow(add, f"{fields}i int, line array<double>")
+    cells = lines.select(*names, "i", F.posexplode("line").alias("j", "product"))
     placed = cells.select(
         *keys, (F.col("bi") * BLOCK + F.col("i")).alias("i"), (F.col("bj") * BLOCK + F.col("j")).alias("j"), "product", (F.col("bi") < F.col("bj")).alias("__off")
     )

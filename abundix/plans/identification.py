@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from abundix.operators import design, identify, joins, quantify, reshape
-from abundix.session import stage_path
+from abundix.session import cut_lineage, stage_path
 from abundix.sources import tables
 from abundix.plans import views
 from abundix.plans.registry import prefixed, query, r6, rounded
@@ -98,7 +98,8 @@ def target_decoy_fdr(spark, d):
     ),
 )
 def fdr_filter(spark, d):
-    by_peptide = identify.filter_by_fdr(views.psm(spark, d), "peptide", 0.01)
+    # both levels and both filters read the identifications: made once
+    by_peptide = identify.filter_by_fdr(cut_lineage(views.psm(spark, d)), "peptide", 0.01)
     return identify.filter_by_fdr(by_peptide, "accession", 0.01).select("dataset", "scan", "peptide", "accession", "is_decoy")
 
 
