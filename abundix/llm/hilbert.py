@@ -6,7 +6,8 @@ point on the Hilbert curve and the order is cut into runs of equal bytes. Neighb
 dimensions, so the minimum and maximum of any of them prunes shards.
 
 Defined results: NULL is a value of its own in each dimension; NULL text has size 1; ties on the curve follow the
-tie columns, full copies are interchangeable; an empty table gives no rows; other columns are carried along,
+tie columns, full copies are interchangeable; rows of equal text have equal sizes and lie close on the curve, but a
+run may end between them, as bytes are cut near equal whatever the copies; an empty table gives no rows; other columns are carried along,
 but ``curve``, ``shard`` and ``slot`` are replaced.
 """
 

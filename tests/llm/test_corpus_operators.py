@@ -173,6 +173,38 @@ def test_hilbert(docs, rows, nothing):
     assert hilbert_shards(nothing.withColumn("size", column), ["source", "size"], 4).count() == 0
 
 
+def plain_hilbert(rows, shards, bits=8):
+    """(row, curve, shard, slot) in the order of the curve, for rows of (source, lang, size, key, text)."""
+    import math
+
+    import numpy as np
+
+    from abundix.llm.hilbert import hilbert_index
+
+    octave = lambda n: math.floor(min(math.log2(n * 2.0**40 + 1.0), 1100.0) * 8)
+    columns = [[r[0] for r in rows], [r[1] for r in rows], [octave(r[2]) for r in rows]]
+    last = lambda x: (x is None, x if x is not None else "")
+    cells = [[sum(last(y) < last(x) for y in own) * 2**bits // len(rows) for x in own] for own in columns]
+    curve = hilbert_index(np.array(cells).T, bits).tolist()
+    first = lambda x: (x is not None, x if x is not None else 0)  # noqa: E731  NULL keys come first
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], first(rows[i][3]), (rows[i][4] or "").encode(), rows[i][2]))
+    out, before, slots, total = [], 0, Counter(), sum(r[2] for r in rows)
+    for i in order:
+        shard = min(int((before + rows[i][2] / 2) * (shards / total)), shards - 1)
+        out.append((str(rows[i][3]), rows[i][2], curve[i], shard, slots[shard]))
+        slots[shard] += 1
+        before += rows[i][2]
+    return sorted(out)
+
+
+def test_hilbert_order_against_plain_python(docs, rows):
+    column = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    sized = docs.withColumn("size", column).withColumn("body", F.coalesce("text", F.lit("")))
+    got = hilbert_shards(sized, ["source", "lang", "size"], 4, ties=["doc_id", "body"]).collect()
+    mine = [(r[1], r[2], len((r[3] or "").encode()) + 1, r[0], r[3]) for r in rows]
+    assert sorted((str(r["doc_id"]), r["size"], r["curve"], r["shard"], r["slot"]) for r in got) == plain_hilbert(mine, 4)
+
+
 def test_host_rules(docs, rows, nothing):
     got = quality_rules(docs).collect()
     mine = sorted([str(r["doc_id"]), *[r[m] for m in plainly.measures("")], r["base_failed"]] for r in got)
