@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from abundix.functions.special import hypergeometric_upper_p, normal_upper_p, t_two_sided_p
 from abundix.functions.text import pathway_label
@@ -13,7 +14,7 @@ from abundix.operators.differential import bh_adjust
 from abundix.operators.filters import top_rows
 from abundix.operators.multivar import packed_features, pair_correlations
 from abundix.operators.ordered import cut_ranges, keys_of, prefix_scan
-from abundix.operators.permute import multilevel_p, null_set_scores  # noqa: F401 (part of this module's interface)
+from abundix.operators.permute import SCORE_TIE, multilevel_p, null_set_scores  # noqa: F401 (part of this module's interface)
 from abundix.operators.reshape import explode_tokens, sets_to_long
 from abundix.session import cut_lineage
 
@@ -137,7 +138,8 @@ def normalised_set_scores(
     null = null_scores.select(*keys, "h", F.col("es").alias("__null"))
     joined = scores.join(null, [*keys, "h"], "left")
     same = F.signum("__null") == F.signum("es")
-    beyond = same & (F.abs("__null") >= F.abs("es"))
+    # scores of small sets are often fractions of n - h, so equal ones must not hang on the last digit
+    beyond = same & (F.abs("__null") >= F.abs("es") - SCORE_TIE)
     out = joined.groupBy(*keys, "term", "n", "h", "es").agg(
         F.avg(F.when(same, F.abs("__null"))).alias("__mean"),
         ((1 + F.count_if(beyond)) / (1 + F.count_if(same))).alias("p"),

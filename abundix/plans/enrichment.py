@@ -214,7 +214,7 @@ NULL_VIEWS = {
         group by all)""",
     "with_p": """select * exclude (mean), es / mean as nes from (
         select s.comparison, s.term, s.n, s.h, s.es, avg(case when sign(u.es) = sign(s.es) then abs(u.es) end) as mean,
-          (1 + count(case when sign(u.es) = sign(s.es) and abs(u.es) >= abs(s.es) then 1 end))::double
+          (1 + count(case when sign(u.es) = sign(s.es) and abs(u.es) >= abs(s.es) - 1e-9 then 1 end))::double
             / (1 + count(case when sign(u.es) = sign(s.es) then 1 end)) as p
         from scored s join nulls u using (comparison, h) group by s.comparison, s.term, s.n, s.h, s.es)""",
 }
