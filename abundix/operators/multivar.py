@@ -360,17 +360,88 @@ def packed_features(
     return packed.where(F.size("cells") >= least)
 
 
-def pair_correlations(packed: DataFrame, keys: Sequence[str], *, feature: str = "feature", least: int = 3, tile: int = 1024) -> DataFrame:
+def _by_masks(rows: DataFrame, keys: Sequence[str], feature: str, least: int) -> DataFrame:
+    """Sums over all pairs of rows (keys, __p, __s, __q) where few patterns of gaps occur.
+
+    Rows of one pattern share their samples with all rows of another, so both are standardised over what the patterns
+    have in common, and sums over pairs of rows are products of sums over rows: of vectors for r, of their squares'
+    matrices for r^2. The work grows with the rows and with the square of the number of patterns.
+    """
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    places = lambda mask: tuple(int(x) for x in mask.split(",")) if mask else ()
+
+    def named(table: pa.Table, count: int) -> dict:
+        return {k: table.column(k).take(pa.array(np.zeros(count, dtype=np.int64))) for k in keys}
+
+    def partial(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        every = [places(m) for m in table.column("__masks")[0].as_py()]
+        found = []
+        for mask in pc.unique(table.column("__mask")).to_pylist():
+            own = places(mask)
+            cells = table.filter(pc.equal(table.column("__mask"), mask)).column("cells").combine_chunks().flatten()
+            at, v = cells.field(0).to_numpy().reshape(-1, len(own)), cells.field(1).to_numpy().reshape(-1, len(own))
+            x = np.take_along_axis(v, np.argsort(at, axis=1), axis=1)
+            x = x - x.mean(axis=1, keepdims=True)
+            for shared in {tuple(sorted({*own} & {*other})) for other in every}:
+                if len(shared) < least:
+                    continue
+                y = x[:, np.searchsorted(own, shared)]
+                y = y - y.mean(axis=1, keepdims=True)
+                squares = (y * y).sum(axis=1)
+                z = y[squares > 1e-9] / np.sqrt(squares[squares > 1e-9])[:, None]
+                found.append((mask, ",".join(map(str, shared)), len(z), z.sum(axis=0).tobytes(), (z.T @ z).tobytes()))
+        columns = list(zip(*found)) or [[], [], [], [], []]
+        kinds_of = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        out = {n: pa.array(c, t) for n, c, t in zip(("mask", "shared", "n", "u", "m"), columns, kinds_of)}
+        masks = pa.array([table.column("__masks")[0].as_py()] * len(found), pa.list_(pa.string()))
+        return pa.table({**named(table, len(found)), "masks": masks, **out})
+
+    def final(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sums: dict = {}
+        for mask, shared, n, u, m in zip(*(table.column(c).to_pylist() for c in ("mask", "shared", "n", "u", "m"))):
+            here = (n, np.frombuffer(u), np.frombuffer(m))
+            sums[mask, shared] = tuple(a + b for a, b in zip(sums[mask, shared], here)) if (mask, shared) in sums else here
+        masks = sorted(table.column("masks")[0].as_py())
+        pairs, total, squares = 0, 0.0, 0.0
+        for i, a in enumerate(masks):
+            for b in masks[i:]:
+                shared = ",".join(map(str, sorted({*places(a)} & {*places(b)})))
+                if (a, shared) not in sums or (b, shared) not in sums:
+                    continue
+                (na, ua, ma), (nb, ub, mb) = sums[a, shared], sums[b, shared]
+                if a == b:
+                    pairs, total, squares = pairs + na * (na - 1) // 2, total + (ua @ ua - na) / 2, squares + (ma @ ma - na) / 2
+                else:
+                    pairs, total, squares = pairs + na * nb, total + ua @ ub, squares + ma @ mb
+        return pa.table({**named(table, 1), "__p": [pairs], "__s": [float(total)], "__q": [float(squares)]})
+
+    part = F.pmod(F.xxhash64(feature), F.ceil(F.col("n_rows") / 8192)).cast("int").alias("__part")
+    dealt = rows.select(*keys, "cells", "__mask", "__masks", part)
+    sums = dealt.groupBy(*keys, "__part").applyInArrow(partial, f"{kinds}masks array<string>, mask string, shared string, n long, u binary, m binary")
+    return sums.groupBy(*keys).applyInArrow(final, f"{kinds}__p long, __s double, __q double")
+
+
+def pair_correlations(
+    packed: DataFrame, keys: Sequence[str], *, feature: str = "feature", least: int = 3, tile: int = 1024, most_masks: int = 64
+) -> DataFrame:
     """Correlations of all pairs of rows within each key, over the samples that both have: rows (keys, n_rows, pairs, mean, var).
 
     Rows of ``packed_features`` are dealt to tiles of about ``tile`` rows; every pair of tiles is a task of its own, so no
     key has to fit in a task, and a pair of tiles costs six matrix products of values, marks and squares. Pairs of rows
-    are summed where they arise. A pair counts that shares ``least`` samples in which both vary.
+    are summed where they arise. A pair counts that shares ``least`` samples in which both vary. Keys whose rows have no
+    more than ``most_masks`` patterns of gaps, and more rows than pairs of patterns, need no pairs of rows at all
+    (``_by_masks``); the sums are the same.
     """
     keys = list(keys)
-    sizes = packed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    sizes = sizes.withColumn("__tiles", F.ceil(F.col("n_rows") / tile).cast("int"))
-    rows = packed.join(sizes.select(*keys, "__tiles"), keys)
+    packed = packed.withColumn("__mask", F.array_join(F.array_sort(F.transform("cells", lambda c: c["at"])), ","))
+    counts = packed.groupBy(*keys, "__mask").agg(F.count(F.lit(1)).alias("__n"))
+    many = F.size("__masks")
+    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("n_rows"), F.collect_list("__mask").alias("__masks"))
+    few = (many <= most_masks) & (many * many < F.col("n_rows"))
+    sizes = sizes.withColumns({"__few": few, "__tiles": F.ceil(F.col("n_rows") / tile).cast("int")})
+    sizes = cut_lineage(sizes.withColumn("__masks", F.when(F.col("__few"), F.col("__masks"))))
+    simple = packed.join(sizes.where("__few").select(*keys, "__masks", "n_rows"), keys)
+    rows = packed.join(sizes.where("not __few").select(*keys, "__tiles"), keys)
     mine = F.pmod(F.xxhash64(feature), F.col("__tiles")).cast("int")
     rows = rows.select(*keys, "cells", "__tiles", mine.alias("__own"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
@@ -411,7 +482,8 @@ def pair_correlations(packed: DataFrame, keys: Sequence[str], *, feature: str =
         return pa.table({**{k: pa.array(v, table.schema.field(k).type) for k, v in columns.items()}, "__p": [pairs], "__s": [total], "__q": [squares]})
 
     parts = rows.groupBy(*keys, "__i", "__j").applyInArrow(work, f"{kinds}__p long, __s double, __q double")
+    parts = parts.unionByName(_by_masks(simple, keys, feature, least))
     sums = parts.groupBy(*keys).agg(F.sum("__p").alias("pairs"), F.sum("__s").alias("__s"), F.sum("__q").alias("__q"))
     mean = F.col("__s") / F.nullif(F.col("pairs"), F.lit(0))
     spread = F.greatest(F.col("__q") - F.col("__s") * mean, F.lit(0.0)) / F.nullif(F.col("pairs") - 1, F.lit(0))
-    return sums.join(sizes.drop("__tiles"), keys).select(*keys, "n_rows", "pairs", mean.alias("mean"), spread.alias("var"))
+    return sums.join(sizes.select(*keys, "n_rows"), keys).select(*keys, "n_rows", "pairs", mean.alias("mean"), spread.alias("var"))

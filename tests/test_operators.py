@@ -437,16 +437,18 @@ def test_correlation_without_pairs(spark):
     assert r["t"] == pytest.approx((np.mean(inside) - np.mean(everything)) / math.sqrt(spread))
 
 
-@pytest.mark.parametrize("tile", [1024, 5])
-def test_correlation_with_gaps(spark, tile):
+@pytest.mark.parametrize("tile, most_masks, gaps", [(1024, 64, 0.3), (5, 0, 0.3), (5, 64, 0.0)])
+def test_correlation_with_gaps(spark, tile, most_masks, gaps):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(23, 7)) + 1e5
-    x[rng.random(x.shape) < 0.3] = np.nan
+    x[rng.random(x.shape) < gaps] = np.nan
+    if not gaps:  # few patterns of gaps
+        x[::3, 0] = x[1::4, 2] = np.nan
     x[4] = np.where(np.isnan(x[4]), np.nan, 3.0)  # no spread
     data = [(f"g{i}", f"s{j}", "c", float(v)) for i, line in enumerate(x) for j, v in enumerate(line) if not np.isnan(v)] + [("g0", None, "c", None), ("g1", "s1", "c", None)]
     df = spark.createDataFrame(data, "feature string, sample string, cohort string, value double")
     packed = multivar.packed_features(df, by="cohort", least=3)
-    got = multivar.pair_correlations(packed, ["cohort"], tile=tile).collect()
+    got = multivar.pair_correlations(packed, ["cohort"], tile=tile, most_masks=most_masks).collect()
     r = []
     for a, b in itertools.combinations(range(23), 2):
         both = ~np.isnan(x[a]) & ~np.isnan(x[b])
