@@ -6,9 +6,8 @@ The corpus is kept as files of word numbers, some MB of text each, and cut into
 * each shard is mined completely at its local support, the global one lowered in proportion to the shard's share of the
   words of a language and rounded up; a phrase that reaches the support anywhere in sum reaches it in some shard;
 * the locally frequent phrases of all shards are united in a bitmap of their hashes: the candidates;
-* each shard counts all candidates that it holds. Counts meet by hash first, so that only phrases that can be frequent
-  are sent as words; their sums over shards are exact, as they are kept by the words themselves. What reaches the
-  support is frequent.
+* each shard counts all candidates that it holds, and the sums over shards by hash are exact. What reaches the support is
+  frequent, and one of the shards that hold it spells it.
 
 A phrase is looked at only where both its parts of one word less are frequent, for which a bitmap of hashes will do.
 Both bitmaps have at most ``MOST_BITS`` bits whatever the corpus; hashes that meet by chance let more phrases be
@@ -19,7 +18,8 @@ each with a support of its own.
 Scores are exact: products are decimals of up to 38 digits. A candidate that lies inside a longer one of the same
 count lies inside one longer by one word of that count, too, so only these are compared.
 
-Defined results: NULL texts are empty; a NULL language is ``other``; repeated rows count again; a phrase never
+Defined results: NULL texts are empty; a NULL language is ``other``; repeated rows count again; phrases are told apart by a hash of
+64 bits; a phrase never
 crosses ``BREAKS`` or documents; ties of scores go by count, then words in byte order; tables with no frequent phrase
 or no row at all give no rows; other columns are not read.
 """
@@ -255,10 +255,11 @@ class Corpus:
         supports = supports.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("lang", "local"))).alias("local"))
         shards = line.groupBy("shard").agg(F.sort_array(F.collect_list("file")).alias("files")).join(supports, "shard")
         self.shards = cut_lineage(shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        self.count = (line.agg(F.max("shard")).first()[0] or 0) + 1
         self.frequent = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
 
     def each(self, level: int, frequent: Broadcast, wanted: Broadcast | None, emit, schema: str) -> DataFrame:
-        """``emit(words of a file, local supports, hashes, places, counts)`` of the distinct phrases of each shard that ``wanted`` lets through.
+        """``emit(words of a file, number of the shard, local supports, hashes, places, counts)`` of the distinct phrases of each shard that ``wanted`` lets through.
 
         Every phrase of a shard comes once, with the file that holds it first and its count in the whole shard.
         """
@@ -266,7 +267,7 @@ class Corpus:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for names, local in zip(batch.column("files").to_pylist(), batch.column("local").to_pylist()):
+                for names, number, local in zip(*(batch.column(c).to_pylist() for c in ("files", "shard", "local"))):
                     held, found = [open_shard(name) for name in names], []
                     for shard in held:
                         at, hashes = phrases(shard, level, frequent.value, bits)
@@ -278,7 +279,7 @@ class Corpus:
                     for shard, (keys, at, _), (which, counts) in zip(held, found, merged(found)):
                         for low in range(0, len(which), 1 << 16):
                             cut = slice(low, low + (1 << 16))
-                            yield emit(shard, dict(local), keys[which[cut]], at[which[cut]], counts[cut])
+                            yield emit(shard, number, dict(local), keys[which[cut]], at[which[cut]], counts[cut])
             release()
 
         return self.shards.mapInArrow(run, schema)
@@ -287,21 +288,28 @@ class Corpus:
         """Bitmap of all phrases of ``level`` words that are frequent in some shard."""
         bits = self.bits
 
-        def emit(shard: Shard, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        def emit(shard: Shard, number: int, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
             need = np.array([local.get(n, 1) for n in shard.names], dtype=np.int64)
             return segments(places_of(keys[counts >= need[shard.langs[shard.tokens[at]]]], bits), bits)
 
         return bitmap_of(self.each(level, frequent, None, emit, "segment int, places binary"), bits)
 
-    def likely(self, level: int, frequent: Broadcast, wanted: Broadcast) -> np.ndarray:
-        """Bitmap of the candidates whose hashes reach the support in sum: all frequent phrases, and few others."""
+    def sums(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
+        """Exact counts (hash, f) of the candidates that reach the support, and one of the shards that hold each.
 
-        def emit(shard: Shard, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["hash", "f"])
+        A row carries count and shard in one number: the count below, above it the shard's number turned by the hash, so
+        that the largest is any of the holders with equal chance.
+        """
+        shards = self.count
+
+        def emit(shard: Shard, number: int, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            turned = ((np.uint64(number) + keys) % np.uint64(shards)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((turned << 36) | counts)], names=["hash", "packed"])
 
-        rows = self.each(level, frequent, wanted, emit, "hash long, f long")
-        sums = rows.groupBy("hash").agg(F.sum("f").alias("f")).where(F.col("f") >= self.support)
-        return bitmap_of(sums.select("hash").mapInArrow(self.places, "segment int, places binary"), self.bits)
+        rows = self.each(level, frequent, wanted, emit, "hash long, packed long")
+        below = F.col("packed").bitwiseAND(F.lit((1 << 36) - 1))
+        sums = rows.groupBy("hash").agg(F.sum(below).alias("f"), F.max(F.shiftright("packed", 36)).alias("turned"))
+        return cut_lineage(sums.where(F.col("f") >= self.support))
 
     @property
     def places(self):
@@ -314,18 +322,41 @@ class Corpus:
         return run
 
     def counted(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
-        """Exact counts (lang, phrase, words, f, hash) of the candidates that reach the support."""
-
-        def emit(shard: Shard, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            langs = pa.array(shard.names, pa.string()).take(pa.array(shard.langs[shard.tokens[at]]))
-            return pa.RecordBatch.from_arrays(
-                [langs, spell(shard, at, level), pa.array(counts), pa.array(keys.view(np.int64))], names=["lang", "phrase", "f", "hash"]
-            )
-
-        likely = self.spark.sparkContext.broadcast(self.likely(level, frequent, wanted))
-        rows = self.each(level, frequent, likely, emit, "lang string, phrase binary, f long, hash long")
-        sums = rows.groupBy("lang", "phrase", "hash").agg(F.sum("f").alias("f")).where(F.col("f") >= self.support)
-        return cut_lineage(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(level).alias("words"), "f", "hash"))
+        """Frequent phrases (lang, phrase, words, f, hash): each is spelled once, by a shard that holds it."""
+        shards, bits = self.count, self.bits
+        found = self.sums(level, frequent, wanted)
+        # the number of the shard is (turned - hash) mod shards, with the hash unsigned
+        unsigned = F.pmod(F.pmod(F.col("hash"), F.lit(shards)) + F.when(F.col("hash") < 0, F.lit(2**64 % shards)).otherwise(F.lit(0)), F.lit(shards))
+        told = found.select("hash", "f", F.pmod(F.col("turned") - unsigned, F.lit(shards)).alias("shard"))
+        told = told.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("hash", "f"))).alias("told"))
+        work = self.shards.select("shard", "files").join(told, "shard").repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, names in enumerate(batch.column("files").to_pylist()):
+                    flat = batch.column("told")[i].values
+                    keys, sums = flat.field("hash").to_numpy(), flat.field("f").to_numpy()
+                    left = np.ones(len(keys), dtype=bool)
+                    for name in names:
+                        shard = open_shard(name)
+                        at, hashes = phrases(shard, level, frequent.value, bits)
+                        own, first = np.unique(hashes.view(np.int64), return_index=True)
+                        place = np.searchsorted(keys, own)
+                        place[place == len(keys)] = 0
+                        met = (keys[place] == own) & left[place]
+                        place, at = place[met], at[first[met]]
+                        left[place] = False
+                        for low in range(0, len(at), 1 << 16):
+                            cut = slice(low, low + (1 << 16))
+                            langs = pa.array(shard.names, pa.string()).take(pa.array(shard.langs[shard.tokens[at[cut]]]))
+                            yield pa.RecordBatch.from_arrays(
+                                [langs, spell(shard, at[cut], level), pa.array(sums[place[cut]]), pa.array(keys[place[cut]])],
+                                names=["lang", "phrase", "f", "hash"],
+                            )
+            release()
+
+        rows = work.mapInArrow(run, "lang string, phrase binary, f long, hash long")
+        return cut_lineage(rows.select("lang", F.col("phrase").cast("string").alias("phrase"), F.lit(level).alias("words"), "f", "hash"))
 
     def add(self, found: DataFrame) -> bool:
         """Frequent phrases join the bitmap of frequent ones; whether there were any."""
