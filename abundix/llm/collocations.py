@@ -3,17 +3,20 @@
 The corpus is kept as files of word numbers, some MB of text each, and cut into shards of files with about
 ``SHARD_WORDS`` words together, which is what a task holds of one level. For phrases of one word, then two, up to ``longest``:
 
-* each shard is mined completely at its local support, the global one lowered in proportion to the shard's share of the
-  words of a language and rounded up; a phrase that reaches the support anywhere in sum reaches it in some shard;
-* the locally frequent phrases of all shards are united in a bitmap of their hashes: the candidates;
-* each shard counts all candidates that it holds, and the sums over shards by hash are exact. What reaches the support is
-  frequent, and one of the shards that hold it spells it.
+* each shard is mined completely at its local support: more than half of the global one's share in proportion to the
+  shard's words of a language. It reports what its locally frequent phrases have beyond that half;
+* a phrase that is not reported has at most that half in a shard, so one that reaches the support in sum has reports that
+  make up the rest. Reports are added up by hash in a bitmap, and what makes up the rest is a candidate: few phrases that
+  do not reach the support do, however many shards there are and however low their supports;
+* each task counts all candidates that its shards hold, one row for each, and the sums over tasks by hash are exact. What
+  reaches the support is frequent, and one of the shards that hold it spells it.
 
 A phrase is looked at only where both its parts of one word less are frequent, for which a bitmap of hashes will do.
 Both bitmaps have at most ``MOST_BITS`` bits whatever the corpus; hashes that meet by chance let more phrases be
 counted and change no count. With so many shards that a local support is one, everything that the level below leaves
-is a candidate: results stay whole, only fewer are spared the count. Shards that hold rows of several languages mine
-each with a support of its own.
+is reported, some bytes for each phrase of a shard, and the candidates are the frequent phrases. Shards that hold rows of
+several languages mine each with a support of its own. The tasks that count are as many as the session has cores, so that
+their rows follow the number of candidates, not of shards.
 
 Scores are exact: products are decimals of up to 38 digits. A candidate that lies inside a longer one of the same
 count lies inside one longer by one word of that count, too, so only these are compared.
@@ -54,6 +57,8 @@ SHARD_WORDS = 8_000_000
 SLICE_BYTES = 1 << 20
 MOST_BITS = 27
 SEGMENTS = 6
+FULL = (1 << 16) - 1
+MOST_HELD = 1 << 21
 TOP_SALTS = 64
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BREAK = np.zeros(256, dtype=bool)
@@ -169,28 +174,32 @@ def spell(shard: Shard, at: np.ndarray, level: int) -> pa.Array:
     return each[0] if level == 1 else pc.binary_join_element_wise(*each, b" ")
 
 
-def segments(places: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Places of a bitmap as rows (segment, packed places)."""
-    places = np.unique(places)
+SEGMENT = "segment int, places binary, shares binary"
+
+
+def segments(places: np.ndarray, shares: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Places of a bitmap as rows (segment, packed places, packed shares); shares of a place add up, to ``FULL`` at most."""
+    places, which = np.unique(places, return_inverse=True)
+    shares = np.minimum(np.bincount(which, shares, len(places)), FULL).astype(np.uint16)
     width = bits - SEGMENTS
     cuts = np.searchsorted(places, np.arange((1 << SEGMENTS) + 1) << width)
     used = np.flatnonzero(np.diff(cuts)).tolist()
     low = (places & ((1 << width) - 1)).astype(np.uint32)
-    return pa.RecordBatch.from_pydict(
-        {"segment": pa.array(used, pa.int32()), "places": pa.array([low[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary())}
-    )
+    packed = [pa.array([x[cuts[s] : cuts[s + 1]].tobytes() for s in used], pa.binary()) for x in (low, shares)]
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *packed], names=["segment", "places", "shares"])
 
 
 def bitmap_of(rows: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of rows of ``segments``. Each segment is built in one stream; its bits come to the driver compressed."""
+    """The places whose shares reach ``FULL`` in rows of ``segments``. Each segment is built in one stream; its bits come to the driver compressed."""
     width = bits - SEGMENTS
 
     def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << width, dtype=np.uint8)
+        own = np.zeros(1 << width, dtype=np.uint32)
         for batch in batches:
-            for packed in batch.column("places").to_pylist():
-                own[np.frombuffer(packed, dtype=np.uint32)] = 1
-        data = zlib.compress(np.packbits(own, bitorder="little").tobytes(), 1)
+            for places, shares in zip(batch.column("places").to_pylist(), batch.column("shares").to_pylist()):
+                at = np.frombuffer(places, dtype=np.uint32)
+                own[at] = np.minimum(own[at] + np.frombuffer(shares, dtype=np.uint16), FULL)
+        data = zlib.compress(np.packbits(own == FULL, bitorder="little").tobytes(), 1)
         yield pa.RecordBatch.from_pydict({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([data], pa.binary())})
 
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -222,6 +231,36 @@ def merged(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple
     return [(first[lo:hi] - at, sums[lo:hi]) for lo, hi, at in zip(cuts, cuts[1:], bounds)]
 
 
+def summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, counts, numbers) of several shards as one, keys distinct: the sum of the counts, the largest number."""
+    keys, counts, numbers = (np.concatenate(x) for x in zip(*held))
+    if len(keys) == 0:
+        return keys, counts, numbers
+    order = np.argsort(keys, kind="stable")
+    keys, counts, numbers = keys[order], counts[order], numbers[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts), np.maximum.reduceat(numbers, starts)
+
+
+def shard_phrases(
+    names: list[str], level: int, frequent: np.ndarray, wanted: np.ndarray | None, bits: int
+) -> Iterator[tuple[Shard, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words of a file, hashes, places, counts) of the distinct phrases of a shard that ``wanted`` lets through.
+
+    Every phrase of a shard comes once, with the file that holds it first and its count in the whole shard.
+    """
+    held, found = [open_shard(name) for name in names], []
+    for shard in held:
+        at, hashes = phrases(shard, level, frequent, bits)
+        if wanted is not None:
+            own = known(hashes, wanted, bits)
+            at, hashes = at[own], hashes[own]
+        keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        found.append((keys, at[first], counts.astype(np.int64)))
+    for shard, (keys, at, _), (which, counts) in zip(held, found, merged(found)):
+        yield shard, keys[which], at[which], counts
+
+
 class Corpus:
     """The shards of a table, their supports, and the passes over them."""
 
@@ -250,63 +289,80 @@ class Corpus:
         line, _ = running_totals(manifest.groupBy("file").agg(F.sum("n").alias("words")), [F.col("file")], {"before": "words"})
         line = cut_lineage(line.select("file", F.floor(F.col("before") / shard_words).cast("long").alias("shard")))
         owned = manifest.join(line, "file").groupBy("shard", "lang").agg(F.sum("n").alias("own"))
-        local = F.expr(f"greatest(1L, ({int(support)}L * own + n - 1) div n)").alias("local")  # rounded up
-        supports = owned.join(self.sizes, "lang").select("shard", "lang", local)
-        supports = supports.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("lang", "local"))).alias("local"))
-        shards = line.groupBy("shard").agg(F.sort_array(F.collect_list("file")).alias("files")).join(supports, "shard")
-        self.shards = cut_lineage(shards.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        # a phrase that a shard does not report has at most ``spare`` there; what all shards' spares leave of the support must be reported
+        owned = owned.join(self.sizes, "lang").select("shard", "lang", F.expr(f"({int(support)}L * own) div (2L * n)").alias("spare"))
+        owned = cut_lineage(owned)
+        rest = owned.groupBy("lang").agg((F.lit(int(support)) - F.sum("spare")).alias("need"))
+        supports = owned.join(rest, "lang").select("shard", "lang", (F.col("spare") + 1).alias("local"), "need")
+        by_lang = [F.map_from_entries(F.collect_list(F.struct("lang", c))).alias(c) for c in ("local", "need")]
+        supports = supports.groupBy("shard").agg(*by_lang)
+        shards = cut_lineage(line.groupBy("shard").agg(F.sort_array(F.collect_list("file")).alias("files")).join(supports, "shard"))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.shards = cut_lineage(shards.repartition(parts))
+        # fewer tasks than shards: a task adds up what its shards count
+        self.groups = cut_lineage(shards.select("shard", "files").repartition(min(parts, spark.sparkContext.defaultParallelism)))
         self.count = (line.agg(F.max("shard")).first()[0] or 0) + 1
         self.frequent = np.zeros(1 << (self.bits - 3), dtype=np.uint8)
 
-    def each(self, level: int, frequent: Broadcast, wanted: Broadcast | None, emit, schema: str) -> DataFrame:
-        """``emit(words of a file, number of the shard, local supports, hashes, places, counts)`` of the distinct phrases of each shard that ``wanted`` lets through.
-
-        Every phrase of a shard comes once, with the file that holds it first and its count in the whole shard.
-        """
+    def candidates(self, level: int, frequent: Broadcast) -> np.ndarray:
+        """Bitmap of the phrases of ``level`` words whose reports make up what the support needs: all frequent ones, and few others."""
         bits = self.bits
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for names, number, local in zip(*(batch.column(c).to_pylist() for c in ("files", "shard", "local"))):
-                    held, found = [open_shard(name) for name in names], []
-                    for shard in held:
-                        at, hashes = phrases(shard, level, frequent.value, bits)
-                        if wanted is not None:
-                            own = known(hashes, wanted.value, bits)
-                            at, hashes = at[own], hashes[own]
-                        keys, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                        found.append((keys, at[first], counts.astype(np.int64)))
-                    for shard, (keys, at, _), (which, counts) in zip(held, found, merged(found)):
-                        for low in range(0, len(which), 1 << 16):
+                for names, local, need in zip(*(batch.column(c).to_pylist() for c in ("files", "local", "need"))):
+                    local, need = dict(local), dict(need)
+                    for shard, keys, at, counts in shard_phrases(names, level, frequent.value, None, bits):
+                        own = shard.langs[shard.tokens[at]]
+                        beyond = counts - np.array([local.get(n, 1) - 1 for n in shard.names], dtype=np.int64)[own]
+                        told = np.flatnonzero(beyond > 0)
+                        least = np.array([need.get(n, 1) for n in shard.names], dtype=np.int64)[own[told]]
+                        shares = -(-np.minimum(beyond[told], least) * FULL // least)  # rounded up
+                        for low in range(0, len(told), 1 << 16):
                             cut = slice(low, low + (1 << 16))
-                            yield emit(shard, number, dict(local), keys[which[cut]], at[which[cut]], counts[cut])
+                            yield segments(places_of(keys[told[cut]], bits), shares[cut], bits)
             release()
 
-        return self.shards.mapInArrow(run, schema)
+        return bitmap_of(self.shards.mapInArrow(run, SEGMENT), bits)
 
-    def candidates(self, level: int, frequent: Broadcast) -> np.ndarray:
-        """Bitmap of all phrases of ``level`` words that are frequent in some shard."""
-        bits = self.bits
-
-        def emit(shard: Shard, number: int, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            need = np.array([local.get(n, 1) for n in shard.names], dtype=np.int64)
-            return segments(places_of(keys[counts >= need[shard.langs[shard.tokens[at]]]], bits), bits)
-
-        return bitmap_of(self.each(level, frequent, None, emit, "segment int, places binary"), bits)
-
-    def sums(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
-        """Exact counts (hash, f) of the candidates that reach the support, and one of the shards that hold each.
+    def partial(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
+        """Rows (hash, packed): how often the shards of a task hold a candidate, and one of the shards that do.
 
         A row carries count and shard in one number: the count below, above it the shard's number turned by the hash, so
-        that the largest is any of the holders with equal chance.
+        that the largest is any of the holders with equal chance. A task with more than ``MOST_HELD`` candidates gives
+        rows before it has seen all its shards.
         """
-        shards = self.count
+        shards, bits = self.count, self.bits
 
-        def emit(shard: Shard, number: int, local: dict[str, int], keys: np.ndarray, at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-            turned = ((np.uint64(number) + keys) % np.uint64(shards)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array((turned << 36) | counts)], names=["hash", "packed"])
+        def rows(keys: np.ndarray, counts: np.ndarray, turned: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for low in range(0, len(keys), 1 << 16):
+                cut = slice(low, low + (1 << 16))
+                packed = (turned[cut] << 36) | counts[cut]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[cut].view(np.int64)), pa.array(packed)], names=["hash", "packed"])
 
-        rows = self.each(level, frequent, wanted, emit, "hash long, packed long")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for batch in batches:
+                for names, number in zip(*(batch.column(c).to_pylist() for c in ("files", "shard"))):
+                    for _, keys, _, counts in shard_phrases(names, level, frequent.value, wanted.value, bits):
+                        turned = ((np.uint64(number) + keys) % np.uint64(shards)).astype(np.int64)
+                        held.append((keys, counts, turned))
+                        size += len(keys)
+                        if size > MOST_HELD:
+                            held = [summed(held)]
+                            size = len(held[0][0])
+                            if size > MOST_HELD // 2:
+                                yield from rows(*held[0])
+                                held, size = [], 0
+            if held:
+                yield from rows(*summed(held))
+            release()
+
+        return self.groups.mapInArrow(run, "hash long, packed long")
+
+    def sums(self, level: int, frequent: Broadcast, wanted: Broadcast) -> DataFrame:
+        """Exact counts (hash, f) of the candidates that reach the support, and one of the shards that hold each."""
+        rows = self.partial(level, frequent, wanted)
         below = F.col("packed").bitwiseAND(F.lit((1 << 36) - 1))
         sums = rows.groupBy("hash").agg(F.sum(below).alias("f"), F.max(F.shiftright("packed", 36)).alias("turned"))
         return cut_lineage(sums.where(F.col("f") >= self.support))
@@ -317,7 +373,8 @@ class Corpus:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield segments(places_of(batch.column("hash").to_numpy().view(np.uint64), bits), bits)
+                places = places_of(batch.column("hash").to_numpy().view(np.uint64), bits)
+                yield segments(places, np.full(len(places), FULL), bits)
 
         return run
 
@@ -360,7 +417,7 @@ class Corpus:
 
     def add(self, found: DataFrame) -> bool:
         """Frequent phrases join the bitmap of frequent ones; whether there were any."""
-        here = bitmap_of(found.select("hash").mapInArrow(self.places, "segment int, places binary"), self.bits)
+        here = bitmap_of(found.select("hash").mapInArrow(self.places, SEGMENT), self.bits)
         self.frequent |= here
         return bool(here.any())
 

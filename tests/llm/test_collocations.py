@@ -129,3 +129,80 @@ def test_shard_file_round_trip(tmp_path):
     shard = c.open_shard(name)
     said = [shard.words[int(t)].as_py() for t in shard.tokens]
     assert said == [b"", b"a", b"b", b"", b"c", b"a", b"", b"b", b"", b"b", b"a"]
+
+
+def spread_rows(seed=3):
+    """Words ``often*`` 120 times and ``rare*`` 72 times, spread over all rows by chance."""
+    rng = random.Random(seed)
+    rows = [("en" if i % 3 else "de", f"often{i} rare{i} often{i}") for i in range(30) for _ in range(60)]
+    rows += [("en" if i % 3 else "de", f"rare{i}") for i in range(30) for _ in range(12)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_candidates_are_few_more_than_the_frequent_phrases(spark):
+    """Many shards have low local supports: what one of them finds frequent by chance is no candidate yet."""
+    rows = spread_rows()
+    corpus = c.Corpus(frame(spark, rows, 3), "lang", "text", 100, "und", 500, 250)
+    assert corpus.count > 15
+    none = spark.sparkContext.broadcast(corpus.frequent)
+    wanted = corpus.candidates(1, none)
+    _, f = counts(rows, 1)
+    frequent = {p: a for p, a in f.items() if a >= 100}
+    assert len(frequent) == 30 and len(f) == 60
+    assert 30 <= int(np.unpackbits(wanted).sum()) <= 36
+    found = corpus.counted(1, none, spark.sparkContext.broadcast(wanted)).collect()
+    assert {(r["lang"], (r["phrase"],)): r["f"] for r in found} == frequent
+
+
+@pytest.mark.parametrize("most_held", [1 << 21, 8])
+def test_counting_rows_follow_tasks_and_not_shards(spark, monkeypatch, most_held):
+    rows = spread_rows()
+    monkeypatch.setattr(c, "MOST_HELD", most_held)
+    corpus = c.Corpus(frame(spark, rows, 3), "lang", "text", 100, "und", 500, 250)
+    tasks = corpus.groups.rdd.getNumPartitions()
+    assert sum(r["shard"] is not None for r in corpus.groups.collect()) == corpus.count
+    none = spark.sparkContext.broadcast(corpus.frequent)
+    every = spark.sparkContext.broadcast(np.full(len(corpus.frequent), 255, dtype=np.uint8))
+    made = corpus.partial(1, none, every)
+    if most_held > 8 and tasks < corpus.count:
+        assert made.count() <= 60 * tasks
+    got = {r["hash"]: r["f"] for r in made.selectExpr("hash", f"packed & {(1 << 36) - 1} as f").groupBy("hash").sum("f").withColumnRenamed("sum(f)", "f").collect()}
+    _, f = counts(rows, 1)
+    assert sorted(got.values()) == sorted(f.values())
+
+
+def test_phrases_at_the_support_in_uneven_shards(spark):
+    """A phrase with exactly the support is found wherever its occurrences lie, one below it is not."""
+    rng = random.Random(8)
+    for where in ("one", "first", "all"):
+        rows = [(rng.choice(["en", "en", "de"]), " ".join(rng.choice("pqrstuv") + str(rng.randrange(40)) for _ in range(9))) for _ in range(900)]
+        at = {"one": [450] * 20, "first": list(range(0, 60, 3)), "all": list(range(0, 900, 45))}[where]
+        for i, j in enumerate(at):
+            rows.insert(j, ("en", "ever green"))
+            if i:
+                rows.insert(j, ("en", "never red"))
+        assert run(frame(spark, rows, 1), support=20, file_bytes=900, shard_words=300) == plainly(rows, 20)
+
+
+def test_shares_of_a_place_add_up(spark):
+    bits, rng = 10, np.random.default_rng(5)
+    places, shares = rng.integers(0, 1 << bits, 3000), rng.integers(1, c.FULL // 2, 3000)
+    rows = [r for x in range(0, 3000, 500) for r in c.segments(places[x : x + 500], shares[x : x + 500], bits).to_pylist()]
+    df = spark.createDataFrame([(r["segment"], r["places"], r["shares"]) for r in rows], c.SEGMENT).repartition(4)
+    held = np.unpackbits(c.bitmap_of(df, bits), bitorder="little").astype(bool)
+    assert (held == (np.bincount(places, shares, 1 << bits) >= c.FULL)).all() and 0 < held.sum() < 1 << bits
+
+
+def test_sums_of_several_shards():
+    rng = np.random.default_rng(2)
+    held, total, most = [], Counter(), {}
+    for n in (30, 0, 50, 1):
+        keys = rng.choice(70, n, replace=False).astype(np.uint64)
+        held.append((keys, rng.integers(1, 9, n), rng.integers(0, 20, n)))
+        for k, m, number in zip(*(x.tolist() for x in held[-1])):
+            total[k] += m
+            most[k] = max(most.get(k, 0), number)
+    keys, sums, numbers = (x.tolist() for x in c.summed(held))
+    assert dict(zip(keys, sums)) == total and dict(zip(keys, numbers)) == most and keys == sorted(total)
+    assert [len(x) for x in c.summed([held[1]])] == [0, 0, 0]
