@@ -191,7 +191,7 @@ def set_correlation(
     A pair is correlated over the samples that have both, ``min_shared`` of them at least, so gaps cost single pairs and
     never a member. Members and features are those seen in as many samples. Mean, variance and number of pairs come out.
     """
-    rows = packed_features(df, by=by, feature=feature, sample=sample, value=value, least=min_shared)
+    rows = cut_lineage(packed_features(df, by=by, feature=feature, sample=sample, value=value, least=min_shared))
     members = sets.select("term", F.col("gene").alias(feature)).distinct()
     inside = pair_correlations(rows.join(members, feature), [by, "term"], feature=feature, least=min_shared)
     outside = pair_correlations(rows, [by], feature=feature, least=min_shared)

@@ -343,6 +343,12 @@ def nearest_centroid(packed: DataFrame, centres: DataFrame, *, row: str = "featu
     return best.select(row, F.col("__best.cluster").cast("long").alias("cluster"), F.col("__best.distance").alias("distance"))
 
 
+def beside(table: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """A checkpointed copy, which joins broadcast if it has few rows, so that they leave the other side where it is."""
+    held = cut_lineage(table)
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
 def packed_features(
     df: DataFrame, *, by: str | Sequence[str] | None = None, feature: str = "feature", sample: str = "sample", value: str = "value", least: int = 1
 ) -> DataFrame:
@@ -351,16 +357,17 @@ def packed_features(
     ``at`` numbers the samples of a group from 0 in the order of their names. Repeated cells are averaged.
     """
     keys = keys_of(by)
-    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    cells = collapse_duplicates(known, [*keys, feature, sample], value)
-    axis = cells.select(*keys, sample).distinct()
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, feature, sample, value)
+    # dealt once, by the feature: repeated cells, features and joins by the feature find their rows where they are
+    cells = collapse_duplicates(known.repartition(feature), [*keys, feature, sample], value)
+    axis = known.select(*keys, sample).distinct()
     axis = axis.withColumn("__at", F.row_number().over(W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(sample)) - 1)
-    placed = cells.join(axis, [*keys, sample])
+    placed = cells.join(beside(axis), [*keys, sample])
     packed = placed.groupBy(*keys, feature).agg(F.collect_list(F.struct(F.col("__at").alias("at"), F.col(value).alias("v"))).alias("cells"))
     return packed.where(F.size("cells") >= least)
 
 
-def _by_masks(rows: DataFrame, keys: Sequence[str], feature: str, least: int) -> DataFrame:
+def _by_masks(rows: DataFrame, masks: DataFrame, keys: Sequence[str], feature: str, least: int) -> DataFrame:
     """Sums over all pairs of rows (keys, __p, __s, __q) where few patterns of gaps occur.
 
     Rows of one pattern share their samples with all rows of another, so both are standardised over what the patterns
@@ -373,14 +380,13 @@ def _by_masks(rows: DataFrame, keys: Sequence[str], feature: str, least: int) ->
     def named(table: pa.Table, count: int) -> dict:
         return {k: table.column(k).take(pa.array(np.zeros(count, dtype=np.int64))) for k in keys}
 
-    def partial(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        every = [places(m) for m in table.column("__masks")[0].as_py()]
+    def partial(key: tuple[pa.Scalar, ...], table: pa.Table, group: pa.Table) -> pa.Table:
+        listed = group.column("__masks")[0].as_py()
+        every = [places(m) for m in listed]
         found = []
         for mask in pc.unique(table.column("__mask")).to_pylist():
             own = places(mask)
-            cells = table.filter(pc.equal(table.column("__mask"), mask)).column("cells").combine_chunks().flatten()
-            at, v = cells.field(0).to_numpy().reshape(-1, len(own)), cells.field(1).to_numpy().reshape(-1, len(own))
-            x = np.take_along_axis(v, np.argsort(at, axis=1), axis=1)
+            x = table.filter(pc.equal(table.column("__mask"), mask)).column("__v").combine_chunks().flatten().to_numpy().reshape(-1, len(own))
             x = x - x.mean(axis=1, keepdims=True)
             for shared in {tuple(sorted({*own} & {*other})) for other in every}:
                 if len(shared) < least:
@@ -393,8 +399,8 @@ def _by_masks(rows: DataFrame, keys: Sequence[str], feature: str, least: int) ->
         columns = list(zip(*found)) or [[], [], [], [], []]
         kinds_of = (pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary())
         out = {n: pa.array(c, t) for n, c, t in zip(("mask", "shared", "n", "u", "m"), columns, kinds_of)}
-        masks = pa.array([table.column("__masks")[0].as_py()] * len(found), pa.list_(pa.string()))
-        return pa.table({**named(table, len(found)), "masks": masks, **out})
+        masks = pa.array([listed] * len(found), pa.list_(pa.string()))
+        return pa.table({**named(group, len(found)), "masks": masks, **out})
 
     def final(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sums: dict = {}
@@ -415,9 +421,13 @@ def _by_masks(rows: DataFrame, keys: Sequence[str], feature: str, least: int) ->
                     pairs, total, squares = pairs + na * nb, total + ua @ ub, squares + ma @ mb
         return pa.table({**named(table, 1), "__p": [pairs], "__s": [float(total)], "__q": [float(squares)]})
 
-    part = F.pmod(F.xxhash64(feature), F.ceil(F.col("n_rows") / 8192)).cast("int").alias("__part")
-    dealt = rows.select(*keys, "cells", "__mask", "__masks", part)
-    sums = dealt.groupBy(*keys, "__part").applyInArrow(partial, f"{kinds}masks array<string>, mask string, shared string, n long, u binary, m binary")
+    parts = F.ceil(F.col("n_rows") / 8192).cast("int")
+    part = F.pmod(F.xxhash64(feature), parts).cast("int").alias("__part")
+    own = F.transform(F.array_sort("cells"), lambda c: c["v"]).alias("__v")
+    # the patterns of a key come to its parts once, not with every row
+    dealt = rows.select(*keys, part, "__mask", own).groupBy(*keys, "__part")
+    listed = masks.select(*[F.col(k).alias(k) for k in keys], F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"), "__masks").groupBy(*keys, "__part")
+    sums = dealt.cogroup(listed).applyInArrow(partial, f"{kinds}masks array<string>, mask string, shared string, n long, u binary, m binary")
     return sums.groupBy(*keys).applyInArrow(final, f"{kinds}__p long, __s double, __q double")
 
 
@@ -440,8 +450,9 @@ def pair_correlations(
     few = (many <= most_masks) & (many * many < F.col("n_rows"))
     sizes = sizes.withColumns({"__few": few, "__tiles": F.ceil(F.col("n_rows") / tile).cast("int")})
     sizes = cut_lineage(sizes.withColumn("__masks", F.when(F.col("__few"), F.col("__masks"))))
-    simple = packed.join(sizes.where("__few").select(*keys, "__masks", "n_rows"), keys)
-    rows = packed.join(sizes.where("not __few").select(*keys, "__tiles"), keys)
+    masks, tiled = sizes.where("__few").select(*keys, "__masks", "n_rows"), sizes.where("not __few").select(*keys, "__tiles")
+    some_few, some_tiled = not masks.isEmpty(), not tiled.isEmpty()
+    rows = packed.join(beside(tiled), keys)
     mine = F.pmod(F.xxhash64(feature), F.col("__tiles")).cast("int")
     rows = rows.select(*keys, "cells", "__tiles", mine.alias("__own"))
     rows = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)))
@@ -482,7 +493,9 @@ def pair_correlations(
         return pa.table({**{k: pa.array(v, table.schema.field(k).type) for k, v in columns.items()}, "__p": [pairs], "__s": [total], "__q": [squares]})
 
     parts = rows.groupBy(*keys, "__i", "__j").applyInArrow(work, f"{kinds}__p long, __s double, __q double")
-    parts = parts.unionByName(_by_masks(simple, keys, feature, least))
+    if some_few:
+        simple = _by_masks(packed.join(beside(masks.select(*keys, "n_rows")), keys), masks, keys, feature, least)
+        parts = parts.unionByName(simple) if some_tiled else simple
     sums = parts.groupBy(*keys).agg(F.sum("__p").alias("pairs"), F.sum("__s").alias("__s"), F.sum("__q").alias("__q"))
     mean = F.col("__s") / F.nullif(F.col("pairs"), F.lit(0))
     spread = F.greatest(F.col("__q") - F.col("__s") * mean, F.lit(0.0)) / F.nullif(F.col("pairs") - 1, F.lit(0))

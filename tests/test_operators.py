@@ -591,3 +591,35 @@ def test_linkers(spark):
     hits = spark.createDataFrame([("c", "h1"), ("c", "h2")], "condition string, feature string")
     assert rows(network.linker_nodes(edges, hits), "node", "n_hits") == [("x", 2)]
     assert rows(network.hit_edges(edges, hits), "a", "b") == [("h1", "h2")]
+
+
+def test_set_correlation_reads_rows_twice(spark):
+    """Once for the names of the samples, once for the cells; patterns and pairs come from a copy of the packed rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    rng = random.Random(4)
+    cells = [(c, f"f{i}", f"s{s}", rng.random()) for c in "xy" for i in range(60) for s in range(6) if rng.random() < 0.8]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(cells, 3).map(counted), "cohort string, feature string, sample string, value double")
+    sets = spark.createDataFrame([(t, f"f{i}") for t, step in (("two", 2), ("three", 3)) for i in range(0, 60, step)], "term string, gene string")
+    got = {(r["cohort"], r["term"]): r for r in enrich.set_correlation(df, sets).collect()}
+    assert read.value <= 2 * len(cells)
+    for cohort in "xy":
+        own = {}
+        for c, f, s, v in cells:
+            if c == cohort:
+                own.setdefault(f, {})[s] = v
+        own = {f: v for f, v in own.items() if len(v) >= 3}
+        found = {}
+        for f, g in itertools.combinations(own, 2):
+            both = [s for s in own[f] if s in own[g]]
+            if len(both) >= 3:
+                found[f, g] = np.corrcoef([own[f][s] for s in both], [own[g][s] for s in both])[0, 1]
+        for term, step in (("two", 2), ("three", 3)):
+            inside = [r for (f, g), r in found.items() if int(f[1:]) % step == 0 and int(g[1:]) % step == 0]
+            r = got[cohort, term]
+            assert (r["pairs"], r["all_pairs"]) == (len(inside), len(found))
+            assert r["correlation"] == pytest.approx(np.mean(inside)) and r["background"] == pytest.approx(np.mean(list(found.values())))
