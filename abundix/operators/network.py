@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from abundix.operators.multivar import beside
 from abundix.session import cut_lineage
 
 # edges of one draw that a task takes; edges of the graph that a task holds; conditions that share the bits of a number
-MOST_EDGES, HELD_EDGES, BITS = 1 << 22, 1 << 23, 32
+MOST_EDGES, HELD_EDGES, BITS = 1 << 22, 1 << 23, 31
 _SENT = 1 << 18
 
 
@@ -126,15 +127,16 @@ def drawn_nodes(nodes: DataFrame, wanted: DataFrame, draws: int, seed: int) -> D
     mark = F.xxhash64(F.lit(seed), "draw", "node")
     every = F.sequence(F.lit(1), F.lit(draws))
     dealt = nodes.join(most, "bin").withColumn("draw", F.explode(every)).withColumn("__hash", mark)
-    near = cut_lineage(dealt.where(F.col("__hash") <= F.col("__bound")))
+    columns = [*nodes.columns, "draw", "__hash"]
+    near = cut_lineage(dealt.where(F.col("__hash") <= F.col("__bound")).select(columns))
     counts = near.groupBy("draw", "bin").agg(F.count(F.lit(1)).alias("__n"))
     cells = most.withColumn("draw", F.explode(every)).join(counts, ["draw", "bin"], "left")
     short = cut_lineage(cells.where(F.coalesce("__n", F.lit(0)) < F.col("__most")).select("draw", "bin"))
     if not short.isEmpty():
         rest = nodes.join(most, "bin").join(short, "bin").withColumn("__hash", mark).where(F.col("__hash") > F.col("__bound"))
-        near = near.unionByName(rest)
+        near = near.unionByName(rest.select(columns))
     order = W.partitionBy("draw", "bin").orderBy("__hash", "node")
-    ranked = near.withColumn("__i", F.row_number().over(order)).where(F.col("__i") <= F.col("__most"))
+    ranked = near.withColumn("__i", F.row_number().over(order)).join(F.broadcast(most), "bin").where(F.col("__i") <= F.col("__most"))
     return ranked.drop("__most", "__bound", "__hash")
 
 
@@ -162,7 +164,7 @@ def component_counts(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return int(np.count_nonzero(sizes)), int(sizes.max(initial=0))
 
 
-def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int) -> DataFrame:
+def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int, n_edges: int) -> DataFrame:
     """Edges (a, b) with both ends in a draw: rows (__g, draw, a, b, bits), where bits are those that both ends have.
 
     ``edges`` has numbers of nodes, ``marked`` is (__g, draw, __id, bits). The edges are dealt to tasks, and every draw goes to
@@ -170,7 +172,7 @@ def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int) -> DataFrame:
     nodes only. No row is made for an edge with one end in a draw.
     """
     width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(min(width, 12), -(-edges.count() // HELD_EDGES))
+    parts = max(min(width, 12), -(-n_edges // HELD_EDGES))
     # numbers that a shuffle by them deals to one partition each
     tried = edges.sparkSession.range(64 * parts).select(F.col("id").cast("int").alias("part"))
     deals = F.pmod(F.hash("part"), F.lit(parts))
@@ -178,8 +180,9 @@ def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int) -> DataFrame:
 
     def pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("__id").to_numpy())
-        # steps between numbers are small and take little room once they are compressed
-        ids, own = np.diff(table.column("__id").to_numpy()[order], prepend=0).astype(np.int32), table.column("bits").to_numpy()[order].astype(np.int64)
+        # steps between numbers are small: their upper bytes, kept apart, take no room once they are compressed
+        ids = np.diff(table.column("__id").to_numpy()[order], prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T
+        own = table.column("bits").to_numpy()[order].astype(np.int32)
         columns = {"__g": pa.array([key[0].as_py()], pa.int64()), "draw": pa.array([key[1].as_py()], pa.int32())}
         return pa.table({**columns, "ids": pa.array([ids.tobytes()], pa.binary()), "bits": pa.array([own.tobytes()], pa.binary())})
 
@@ -194,7 +197,7 @@ def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int) -> DataFrame:
     work = held.unionByName(lists).repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, starts, ends, flags, found = None, [], None, np.zeros(n_nodes, dtype=np.int64), []
+        here, starts, ends, flags, found = None, [], None, np.zeros(n_nodes, dtype=np.int32), []
 
         def flushed() -> pa.RecordBatch:
             columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
@@ -217,8 +220,9 @@ def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int) -> DataFrame:
                     ends, starts = b[np.argsort(a, kind="stable")], []
                     first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n_nodes))])
                 for i in range(low, high):
-                    ids = np.cumsum(np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.int32), dtype=np.int32)
-                    own = np.frombuffer(batch.column("bits")[i].as_buffer(), dtype=np.int64)
+                    steps = np.frombuffer(batch.column("ids")[i].as_buffer(), dtype=np.uint8).reshape(4, -1).T
+                    ids = np.cumsum(np.ascontiguousarray(steps).view("<i4")[:, 0], dtype=np.int32)
+                    own = np.frombuffer(batch.column("bits")[i].as_buffer(), dtype=np.int32)
                     flags[ids] = own
                     begin = first[ids]
                     counts = first[ids + 1] - begin
@@ -229,7 +233,7 @@ def drawn_edges(edges: DataFrame, marked: DataFrame, n_nodes: int) -> DataFrame:
                     both = flags[other] & own[source]
                     good = np.flatnonzero(both)
                     flags[ids] = 0
-                    found.append((np.full(len(good), group[i]), np.full(len(good), draw[i]), ids[source[good]], other[good], both[good]))
+                    found.append((np.full(len(good), group[i]), np.full(len(good), draw[i]), ids[source[good]], other[good], both[good].astype(np.int64)))
                     if sum(len(x[0]) for x in found[-64:]) > _SENT or len(found) >= 64:
                         yield flushed()
         if found:
@@ -253,7 +257,7 @@ def drawn_sizes(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, draws: in
     marked = ranked.select("__g", "draw", "__id", bits.alias("bits")).where("bits <> 0")
     numbers = nodes.select("node", "__id")
     ends = edges.join(numbers.toDF("a", "__a"), "a").join(numbers.toDF("b", "__b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
-    inside = cut_lineage(drawn_edges(cut_lineage(ends), marked, nodes.count()))
+    inside = cut_lineage(drawn_edges(ends, marked, nodes.count(), edges.count()))
     counts = inside.groupBy("__g", "draw").agg(F.count(F.lit(1)).alias("__n"))
     large = cut_lineage(counts.where(F.col("__n") > MOST_EDGES).select("__g", "draw"))
     some = not large.isEmpty()
@@ -299,7 +303,8 @@ def component_null(
     """
     edges = cut_lineage(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     nodes = numbered(degree_bins(edges))
-    found = component_sizes(hit_edges(edges, hits, condition=condition, feature=feature), [condition])
+    near = edges.join(beside(hits.select(F.col(feature).alias("a")).distinct(), 1 << 18), "a", "left_semi")
+    found = component_sizes(hit_edges(near, hits, condition=condition, feature=feature), [condition])
     listed = hits.select(condition).distinct()
     found = listed.join(found, condition, "left").na.fill(0, ["n_components", "largest", "n_edges"])
     wanted = cut_lineage(wanted_nodes(nodes, hits, condition, feature))
